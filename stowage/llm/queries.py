@@ -23,7 +23,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_words(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_quality_rules, op9_substring_dedup)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setjoin import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_quality_rules, op9_substring_dedup, op10_jaccard_join)}
 
 WORDS = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -42,5 +48,22 @@ gone AS (SELECT rid, list(q) AS gone FROM hit GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
 FROM words LEFT JOIN gone USING (rid)
-"""
+""",
+    "op10_jaccard_join": WORDS
+    + """,
+shingles AS (
+    SELECT DISTINCT rid, sh FROM (
+        SELECT rid, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh
+        FROM (SELECT rid, list_transform(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM words))),
+sizes AS (SELECT rid, count(*) AS n FROM shingles GROUP BY rid),
+links AS (
+    SELECT a, b FROM (SELECT x.rid AS a, y.rid AS b, count(*) AS o FROM shingles x JOIN shingles y ON x.sh = y.sh AND x.rid <> y.rid GROUP BY ALL)
+    JOIN sizes s ON s.rid = a JOIN sizes t ON t.rid = b WHERE 100 * o >= 85 * (s.n + t.n - o)),
+reach AS (
+    WITH RECURSIVE r(a, b) AS (SELECT rid, rid FROM docs UNION SELECT r.a, links.b FROM r JOIN links ON r.b = links.a)
+    SELECT a, min(d.doc_id) AS component_id FROM r JOIN docs d ON d.rid = r.b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM docs LEFT JOIN sizes USING (rid) JOIN reach ON reach.a = docs.rid
+""",
 }
