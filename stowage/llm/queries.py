@@ -18,6 +18,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op4_bin_slack_packing, op5_hypergeometric_sharding, op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join)}
 
 WORDS = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
