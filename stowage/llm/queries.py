@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import integer_vectors, top_k
+
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 256)
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix import remove_repeats
 
@@ -65,7 +72,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_search, op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join)}
 
 WORDS = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -73,6 +80,14 @@ words AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_maxscore_search": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+""",
     "op9_substring_dedup": WORDS
     + """,
 starts AS (SELECT rid, doc_id, p, array_to_string(w[p : p + 12], ' ') AS win
