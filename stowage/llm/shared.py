@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,11 +20,24 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the plans run inside go when each ends, not when the driver's memory is next collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,3 +67,25 @@ def tasks_for(df: DataFrame, mb: int = 64) -> int:
     """A number of partitions that follows the input's size, at least the session's own."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(int(str(size)) / (mb << 20))))
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """`packed` instead of `text`: each text compressed on its own, for a shuffle of whole texts (null stays null)."""
+    schema = docs.drop("text").schema.add("packed", "binary")
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            texts = [None if x is None else pack(x.encode()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(texts, pa.binary())], names)
+
+    return docs.select(*names[:-1], "text").mapInArrow(run, schema)
+
+
+def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with `text` again; a null counts as empty."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = pa.array([b"" if x is None else unpack(x) for x in batch.column("packed").to_pylist()], pa.large_binary())
+    names = [*(n for n in batch.schema.names if n != "packed"), "text"]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), texts], names)

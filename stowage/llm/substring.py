@@ -3,7 +3,7 @@
 Pass 1: every task sketches the windows it reads (one hashed counter row, saturating at two); the partition sketches
 are merged by cell and only a bit per cell stays: counted twice or more. A cell never counts less than
 any of its windows, so no repeated window is missed. Pass 2 sends on the windows of such cells only and groups them by
-128 bits of hash. The sketch follows the input (`cells_per_window`) up to `most_cells`, the bound of what is
+96 bits of hash. The sketch follows the input (`cells_per_window`) up to `most_cells`, the bound of what is
 broadcast; beyond it more windows go to the exact pass, and the result stays the same.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import keyed, tasks_for
+from .shared import keyed, packed_texts, tasks_for, tidy, unpacked, written
 
 SEGMENT = 16  # bits of a cell's place within its segment
-FLUSH = 1 << 22  # windows that a task holds before it sends on what it has
+FLUSH = 1 << 21  # windows that a task holds before it sends on what it has
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[scan.Words, np.ndarray, list[np.ndarray]]:
@@ -81,7 +81,9 @@ def merged_sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
     rows = rows.repartition(tasks_for(docs), "segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, repeated binary")
     out = np.zeros(max(1, 1 << (bits - 3)), np.uint8)
     step = 1 << (SEGMENT - 3)
-    for batch in rows.toArrow().to_batches():
+    with tidy(docs.sparkSession):
+        merged = rows.toArrow()
+    for batch in merged.to_batches():
         for segment, repeated in zip(batch.column("segment").to_pylist(), batch.column("repeated"), strict=True):
             out[segment * step : (segment + 1) * step] = np.frombuffer(repeated.as_buffer(), np.uint8)[: len(out)]
     return out
@@ -105,13 +107,13 @@ def suspects(docs: DataFrame, size: int, bits: int, sketch, buckets: int) -> Dat
                 words, at, (h1, h2) = windows(raw, offsets, size)
                 cell = h1 >> np.uint64(64 - bits)
                 ok = (repeated[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                at, h1, h2 = at[ok], h1[ok], h2[ok]
+                at, h1, h2 = at[ok], h1[ok], (h2[ok] >> np.uint64(32)).astype(np.uint32)  # 96 bits name a window
                 d = words.doc[at]
                 ids = rows.column("doc_id")
                 order = ids.fill_null(np.iinfo(np.int64).max).to_numpy()  # null: after every other
                 held.append((h1, h2, (at - words.first[d]).astype(np.uint32), *(x[d] for x in (order, rows.column("rk_f").to_numpy(), rows.column("rk_r").to_numpy()))))
                 n += len(at)
-                if n >= FLUSH // 4:
+                if n >= FLUSH // 2:
                     yield from packed(held, buckets)
                     held, n = [], 0
         if n:
@@ -128,7 +130,7 @@ def packed(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
     least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
     decided = np.zeros(len(d), bool)
     decided[order] = d > least
-    bucket = np.where(decided, (r % buckets).astype(np.int64), ((h2 >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))
+    bucket = np.where(decided, (r % buckets).astype(np.int64), (h2 % np.uint32(buckets)).astype(np.int64))
     order = np.lexsort((at, r, f, decided, bucket))
     key = [x[order] for x in (bucket, decided, f, r)]
     cut = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in key], axis=0)))
@@ -143,7 +145,7 @@ def packed(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
 
     done = key[1][cut]
     rows = pa.RecordBatch.from_arrays(
-        [pa.array(key[0][cut].astype(np.int32)), pa.array(key[2][cut]), pa.array(key[3][cut]), binary(at[order], 4), binary(h1[order], 8, done), binary(h2[order], 8, done), pa.array(doc[order][cut])],
+        [pa.array(key[0][cut].astype(np.int32)), pa.array(key[2][cut]), pa.array(key[3][cut]), binary(at[order], 4), binary(h1[order], 8, done), binary(h2[order], 4, done), pa.array(doc[order][cut])],
         ["bucket", "rk_f", "rk_r", "at", "h1", "h2", "doc_id"],
     )
     for i in range(0, len(rows), 5000):
@@ -163,7 +165,7 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         h1, n = flat(rows.column("h1"), "<u8")
-        h2, _ = flat(rows.column("h2"), "<u8")
+        h2, _ = flat(rows.column("h2"), "<u4")
         at, each = flat(rows.column("at"), "<u4")
         open_rows = n > 0
         doc = np.repeat(rows.column("doc_id").to_numpy(), n)
@@ -197,7 +199,7 @@ def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle()
 
 
-def removed_words(docs: DataFrame, size: int = 13, cells_per_window: int = 8, most_cells: int = 1 << 30) -> DataFrame:
+def removed_words(docs: DataFrame, size: int = 13, cells_per_window: int = 8, most_cells: int = 1 << 29) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text left): per row of `docs`, in no order.
 
     A word goes if a window of `size` words that covers it also starts in a document with a smaller doc_id. Windows are
@@ -209,13 +211,14 @@ def removed_words(docs: DataFrame, size: int = 13, cells_per_window: int = 8, mo
     expected = total // 6 + 1
     bits = max(SEGMENT, min(most_cells.bit_length() - 1, (cells_per_window * expected - 1).bit_length()))
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, size, bits))
-    buckets = max(16, expected // (1 << 21))
+    buckets = max(16, expected // (1 << 22))
     marks = suspects(docs, size, bits, sketch, buckets).repartition(tasks_for(docs, 16), "bucket").sortWithinPartitions("bucket").mapInArrow(decide, "rk_f long, rk_r long, at binary")
-    marks = marks.groupBy("rk_f", "rk_r").agg(F.collect_list("at").alias("marks"))
+    marks = written(marks.groupBy("rk_f", "rk_r").agg(F.collect_list("at").alias("marks")), "marks")
+    sketch.destroy()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, offsets in scan.blocks(batch, "text"):
+            for rows, raw, offsets in scan.blocks(unpacked(batch), "text"):
                 words = scan.Words(raw, offsets)
                 marks = rows.column("marks")
                 lists = marks.flatten()
@@ -230,7 +233,7 @@ def removed_words(docs: DataFrame, size: int = 13, cells_per_window: int = 8, mo
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    return docs.join(marks, ["rk_f", "rk_r"], "left").select("doc_id", "text", "marks").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return packed_texts(docs).join(marks, ["rk_f", "rk_r"], "left").select("doc_id", "packed", "marks").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def kept_texts(raw: np.ndarray, words: scan.Words, gone: np.ndarray) -> list[bytes]:
