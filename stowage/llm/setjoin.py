@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .components import components
-from .shared import tasks_for, written
+from .shared import drop_written, keyed, tasks_for, written
 
 FLUSH = 1 << 21
 #: Most shingles whose frequency is broadcast; more than these keep their place by hash.
@@ -66,18 +66,18 @@ class Sets:
         return [flat[i : i + 16] for i in range(0, len(flat), 16)]
 
 
-def describe(docs: DataFrame, size: int) -> DataFrame:
+def describe(docs: DataFrame, size: int, carry: tuple[str, ...]) -> DataFrame:
     """Per document its set's name, size and two min-hashes; and per flush the shingles of many documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "cid", "m1", "m2", "heavy", "df"]
+        names = ["doc_id", *carry, "n", "cid", "m1", "m2", "heavy", "df"]
 
         def heavy() -> pa.RecordBatch:
             value, count = np.unique(np.concatenate(held), return_counts=True)
             many = count >= 4
             k = int(many.sum())
             none = lambda t: pa.nulls(k, t)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), none(pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.int64()), pa.array(value[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([none(pa.int64()), *(none(pa.int64()) for _ in carry), none(pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.int64()), pa.array(value[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names)
 
         held, n = [], 0
         for batch in batches:
@@ -85,7 +85,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                 s = Sets(raw, offsets, size)
                 mins = [s.fold(scan.mix(s.values ^ np.uint64(salt)), np.minimum, 0).view(np.int64) for salt in (0x3C6EF372, 0x5BE0CD19)]
                 none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(s.n.astype(np.int64)), pa.array(s.names(), pa.binary()), *map(pa.array, mins), none, none], names)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *carry)), pa.array(s.n.astype(np.int64)), pa.array(s.names(), pa.binary()), *map(pa.array, mins), none, none], names)
                 held.append(s.values)
                 n += len(s.values)
                 if n >= FLUSH:
@@ -94,7 +94,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
         if n:
             yield heavy()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cid binary, m1 long, m2 long, heavy long, df long")
+    return docs.select("doc_id", *carry, "text").mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n long, cid binary, m1 long, m2 long, heavy long, df long")
 
 
 def bit_filter(names: DataFrame) -> np.ndarray:
@@ -108,8 +108,8 @@ def bit_filter(names: DataFrame) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
-def chosen_sets(docs: DataFrame, size: int, wanted: np.ndarray, heavy: np.ndarray | None, num: int, den: int) -> DataFrame:
-    """cid, n, set (of the classes that the filter lets pass) and, if `heavy` is given, prefix: once per class."""
+def chosen_sets(docs: DataFrame, classes: DataFrame, size: int, wanted: np.ndarray, heavy: np.ndarray | None, num: int, den: int) -> DataFrame:
+    """id, n, set (of the classes that the filter lets pass) and, if `heavy` is given, prefix: once per class."""
     shared = docs.sparkSession.sparkContext.broadcast((wanted, heavy))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,8 @@ def chosen_sets(docs: DataFrame, size: int, wanted: np.ndarray, heavy: np.ndarra
                     j = slice(i, i + 2000)
                     yield pa.RecordBatch.from_arrays([pa.array([names[d] for d in pick[j]], pa.binary()), pa.array(s.n[pick[j]].astype(np.int64)), pa.array(sets[j], pa.binary()), pa.array(prefix[j], pa.binary())], ["cid", "n", "set", "prefix"])
 
-    return docs.select("text").mapInArrow(run, "cid binary, n long, set binary, prefix binary").groupBy("cid").agg(F.first("n").alias("n"), F.first("set").alias("set"), F.first("prefix").alias("prefix"))
+    once = docs.select("text").mapInArrow(run, "cid binary, n long, set binary, prefix binary").groupBy("cid").agg(F.first("set").alias("set"), F.first("prefix").alias("prefix"))
+    return once.join(classes.select("cid", "id", "n"), "cid").select("id", "n", "set", "prefix")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -169,29 +170,33 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out)], ["a", "b", "na", "nb", "overlap"])
 
     sets = sets.where("set is not null")
-    one = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("set").alias("set_b"))
-    two = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("set").alias("set_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(run, "a binary, b binary, na long, nb long, overlap long")
+    one = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("set_b"))
+    two = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("set_a"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(run, "a long, b long, na long, nb long, overlap long")
+
+
+PAIR = ("n", "lo", "slack")
 
 
 def list_pairs(entries: DataFrame, num: int, den: int, parts: int) -> DataFrame:
-    """Candidate pairs of entries that share a posted shingle, hang below different roots and can be of linking sizes.
+    """Candidate pairs (a, b) of entries that share posted shingles, hang below different roots, and may link.
 
     Lists come sorted by least size, so for each entry the part of its list that is too large is skipped as a whole;
-    a list of any length goes through in blocks.
+    a list of any length goes through in blocks. A pair stays if the number of shingles that it shares in its prefixes
+    leaves room: beyond the prefix that ends first, only num/den of that set (less one) can be shared. `slack` is what
+    an entry does not post and what the classes below it have beyond it.
     """
+    columns = ["a", "b", "shared", *(f"{c}_{s}" for s in "ab" for c in PAIR)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            token = rows.column("token").to_numpy()
+            token, ids, lo, hi, root = (rows.column(c).to_numpy() for c in ("token", "id", "lo", "hi", "root"))
             cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            lo, hi = rows.column("lo").to_numpy(), rows.column("hi").to_numpy()
-            root = rows.column("root_h").to_numpy()
+            cut = np.stack([cut[:-1], cut[1:]], 1)
             left, right, n = [], [], 0
-            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                if j - i < 2 or (root[i:j] == root[i]).all():
+            for i, j in cut[cut[:, 1] - cut[:, 0] > 1].tolist():
+                if (root[i:j] == root[i]).all():
                     continue
-                # Entry k links with later ones whose least size is at most hi[k] * den / num.
                 to = i + np.searchsorted(lo[i:j], hi[i:j] * den // num, "right")
                 for k in range(i, j - 1):
                     other = np.arange(k + 1, to[k - i])
@@ -200,35 +205,43 @@ def list_pairs(entries: DataFrame, num: int, den: int, parts: int) -> DataFrame:
                         left.append(np.full(len(other), k))
                         right.append(other)
                         n += len(other)
-                    if n > 20_000:
-                        yield made(rows, left, right)
+                    if n > 100_000:
+                        yield made(rows, ids, left, right)
                         left, right, n = [], [], 0
             if n:
-                yield made(rows, left, right)
+                yield made(rows, ids, left, right)
 
-        def made(rows: pa.RecordBatch, left: list, right: list) -> pa.RecordBatch:
+        def made(rows: pa.RecordBatch, ids: np.ndarray, left: list, right: list) -> pa.RecordBatch:
             x, y = np.concatenate(left), np.concatenate(right)
-            code = np.unique(rows.column("cid").dictionary_encode().indices.to_numpy()[np.stack([x, y])], axis=1)  # a pair once
-            names = rows.column("cid").dictionary_encode().dictionary
-            return pa.RecordBatch.from_arrays([names.take(pa.array(code[0])), names.take(pa.array(code[1]))], ["a", "b"])
+            x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
+            order = np.lexsort((ids[y], ids[x]))
+            x, y = x[order], y[order]
+            first = np.flatnonzero(np.append(True, (ids[x][1:] != ids[x][:-1]) | (ids[y][1:] != ids[y][:-1])))
+            shared = np.diff(np.append(first, len(x)))
+            x, y = x[first], y[first]
+            info = [pa.array(rows.column(c).to_numpy()[at]) for at in (x, y) for c in PAIR]
+            return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(shared.astype(np.int64)), *info], columns)
 
         held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
             token = batch.column("token").to_numpy()
             if not len(token):
                 continue
-            last = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
-            if last or held and held[-1].column("token")[0].as_py() != token[0]:
-                if last:
-                    held.append(batch.slice(0, last))
+            if n >= 50_000 and held[0].column("token")[0].as_py() != token[-1]:
+                last = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
+                held.append(batch.slice(0, last))
                 yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                held = []
-            held.append(batch.slice(last))
+                held, n, batch = [], 0, batch.slice(last)
+            held.append(batch)
+            n += len(batch)
         if held:
             yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    rows = entries.repartition(parts, "token").sortWithinPartitions("token", "lo").mapInArrow(run, "a binary, b binary")
-    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = entries.repartition(parts, "token").sortWithinPartitions("token", "lo").mapInArrow(run, ", ".join(f"{c} {'int' if '_' in c else 'long'}" for c in columns))
+    pairs = rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in columns[3:]))
+    beyond = f"greatest(ceil({num} * n_a / {den}), ceil({num} * n_b / {den})) - 1"
+    return pairs.where(f"{den + num} * (shared + {beyond} + slack_a + slack_b) >= {num} * (lo_a + lo_b)").select("a", "b")
 
 
 def entries_of(posted: DataFrame) -> DataFrame:
@@ -238,91 +251,106 @@ def entries_of(posted: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 rows = batch.slice(i, 500)
-                hub = rows.column("hub_prefix").to_pylist()
-                own = []
-                for p, q in zip(rows.column("prefix").to_pylist(), hub, strict=True):
+                own, slack = [], []
+                for p, q, more in zip(rows.column("prefix").to_pylist(), rows.column("hub_prefix").to_pylist(), rows.column("most").to_pylist(), strict=True):
                     p = np.frombuffer(p, np.int64)
                     own.append(p if q is None else p[~np.isin(p, np.frombuffer(q, np.int64))])
-                n = pa.array(np.repeat(np.arange(len(rows)), [len(p) for p in own]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), *(rows.column(c).take(n) for c in ("cid", "root_h", "lo", "hi"))], ["token", "cid", "root_h", "lo", "hi"])
+                    slack.append(more + len(p) - len(own[-1]))
+                n = np.repeat(np.arange(len(rows)), [len(p) for p in own])
+                small = [pa.array(x[n].astype(np.int32)) for x in (*(rows.column(c).to_numpy() for c in ("n", "lo", "hi")), np.array(slack))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), rows.column("id").take(pa.array(n)), rows.column("root").take(pa.array(n)), *small], ["token", "id", "root", "n", "lo", "hi", "slack"])
 
-    return posted.select("prefix", "hub_prefix", "cid", "root_h", "lo", "hi").mapInArrow(run, "token long, cid binary, root_h long, lo long, hi long")
+    return posted.select("prefix", "hub_prefix", "id", "root", "n", "lo", "hi", "most").mapInArrow(run, "token long, id long, root long, n int, lo int, hi int, slack int")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: per row of `docs`, in no order.
+def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, group_id and the (long) columns to carry: per row of `docs`, in no order.
 
     Shingles are `size` words, A-Z lower-cased; a text of fewer words is one shingle; a text without words (or null) has
     the empty set, n_shingles 0, and is a component of its own. Sets link when den * |x & y| >= num * |x | y|;
     component_id is the least doc_id that links lead to. Rows that share a doc_id and equal texts are
-    members like any other; a null doc_id never is the least unless no other is there.
+    members like any other; a null doc_id never is the least unless no other is there. group_id numbers the groups (null: none).
     """
-    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    docs = docs.select("doc_id", *carry, "text")
     parts = tasks_for(docs, 16)
-    table = written(describe(docs, size), "sets")
-    classes = table.where("cid is not null and n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"))
+    table = written(describe(docs, size, carry), "sets")
+    classes = table.where("cid is not null and n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.min("doc_id").alias("least"))
+    classes = written(written(classes, "classes").withColumn("id", F.monotonically_increasing_id()), "classes")  # written with their numbers, so these stay
     heavy = table.where("heavy is not null").groupBy("heavy").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "heavy").limit(MOST_HEAVY).toArrow()
     heavy = heavy.column("heavy").to_numpy().view(np.uint64)[::-1]  # the most frequent last
 
-    # Relations: each class and the hub (least name) of its min-hash buckets.
+    def sets_of(ids: DataFrame, with_prefix: bool = False) -> DataFrame:
+        wanted = bit_filter(ids.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id"))
+        return written(chosen_sets(docs, classes, size, wanted, heavy if with_prefix else None, num, den), "chosen")
+
+    # Relations: each class and the hub (least number) of its min-hash buckets, where the sizes can link.
+    is_link = f"{den + num} * overlap >= {num} * (na + nb)"
     stars = None
     for m in ("m1", "m2"):
-        hub = classes.groupBy(m).agg(F.min("cid").alias("a"), F.count("*").alias("k")).where("k > 1").select(m, "a")
-        own = classes.join(hub, m).where("a <> cid").select("a", F.col("cid").alias("b"))
+        hub = classes.groupBy(m).agg(F.min_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), "id").alias("hub"), F.count("*").alias("k")).where("k > 1").select(m, "hub.*")
+        own = classes.join(hub, m).where(f"a <> id and {den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("id").alias("b"))
         stars = own if stars is None else stars.union(own)
     stars = written(stars.distinct(), "stars")
-    wanted = bit_filter(stars.select(F.col("a").alias("cid")).union(stars.select(F.col("b").alias("cid"))))
-    sets = written(chosen_sets(docs, size, wanted, heavy, num, den), "chosen")
-    is_link = f"{den + num} * overlap >= {num} * (na + nb)"
+    sets = sets_of(stars, True)
     linked = written(verified(stars, sets).where(is_link), "linked")
     roots = components(linked)
-    # One hub per class, smaller in name, so hubs of hubs end; what a class has beyond its hub adds up along the way.
-    tree = written(linked.groupBy(F.col("b").alias("cid")).agg(F.min_by(F.struct("a", (F.col("nb") - F.col("overlap")).alias("more")), "a").alias("h")).select("cid", F.col("h.a").alias("hub"), F.col("h.more").alias("more")), "tree")
-    below = written(descendants(tree, classes.select("cid", "n")), "below")  # hub, cid, n, more: every class under each hub
-    span = below.groupBy("hub").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("more").alias("most")).withColumnRenamed("hub", "cid")
-    prefixes = sets.select("cid", "n", "prefix")
-    posted = (
-        prefixes.join(tree.select("cid", "hub"), "cid", "left")
-        .join(prefixes.select(F.col("cid").alias("hub"), F.col("prefix").alias("hub_prefix")), "hub", "left")
-        .join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
-        .join(span, "cid", "left")
-        .select("cid", "prefix", "hub_prefix", F.xxhash64(F.coalesce("root", "cid")).alias("root_h"), F.least("n", "lo").alias("lo"), F.greatest("n", "hi").alias("hi"))
-    )
+    # One hub per class, smaller in number, so hubs of hubs end; what a class has beyond its hub adds up along the way.
+    tree = written(linked.groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct(F.col("a").alias("hub"), (F.col("nb") - F.col("overlap")).alias("more")), "a").alias("h")).select("id", "h.*"), "tree")
+    below = written(descendants(tree, classes.select("id", "n")), "below")  # hub, id, n, more: every class under each hub
+    span = below.groupBy(F.col("hub").alias("id")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("more").alias("most"))
+    info = tree.select("id", "hub").join(roots.select(F.col("node").alias("id"), "root"), "id", "full").join(span, "id", "full")
+    hubs = sets.where("set is not null").select(F.col("id").alias("hub"), F.col("prefix").alias("hub_prefix"))
+    posted = sets.select("id", "n", "prefix").join(info, "id", "left").select("id", "n", "prefix", "hub", F.coalesce("root", "id").alias("root"), F.least("n", "lo").alias("lo"), F.greatest("n", "hi").alias("hi"), F.coalesce("most", F.lit(0)).alias("most"))
+    members = posted.where("hub is not null").join(hubs, "hub")
+    posted = posted.where("hub is null").withColumn("hub_prefix", F.lit(None).cast("binary")).unionByName(members)
     pairs = written(list_pairs(entries_of(posted), num, den, parts), "pairs")
-    wanted = bit_filter(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))))
-    more_sets = written(chosen_sets(docs, size, wanted, None, num, den), "chosen")
+    drop_written(sets)
+    more_sets = sets_of(pairs)
     checked = written(verified(pairs, more_sets), "checked")
+    drop_written(more_sets)
     links = linked.select("a", "b").union(checked.where(is_link).select("a", "b"))
 
     # Pairs that don't link, but with classes below that might: |y & w| <= |x & z| + |y - x| + |w - z|.
-    room = f"{den + num} * (overlap + most_a + most_b) >= {num} * (lo_a + lo_b)"
     near = checked.where(f"not ({is_link})")
     for side in ("a", "b"):
-        near = near.join(span.select(F.col("cid").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("most").alias(f"most_{side}")), side, "left")
-    near = near.withColumns({f"lo_{s}": F.least(f"lo_{s}", f"n{s}") for s in "ab"} | {f"most_{s}": F.coalesce(f"most_{s}", F.lit(0)) for s in "ab"}).where(room)
-    near = written(near.select("a", "b", "na", "nb", "overlap"), "near")
+        near = near.join(span.select(F.col("id").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("most").alias(f"most_{side}")), side, "left")
+    near = near.withColumns({f"lo_{s}": F.least(f"lo_{s}", f"n{s}") for s in "ab"} | {f"most_{s}": F.coalesce(f"most_{s}", F.lit(0)) for s in "ab"})
+    near = written(near.where("most_a + most_b > 0").where(f"{den + num} * (overlap + most_a + most_b) >= {num} * (lo_a + lo_b)").select("a", "b", "na", "nb", "overlap"), "near")
     if not near.isEmpty():
-        own = below.unionByName(near.select(F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("na").alias("n")), F.struct(F.col("b").alias("cid"), F.col("nb").alias("n")))).alias("x")).select(F.col("x.cid").alias("hub"), "x.cid", "x.n", F.lit(0).cast("long").alias("more")).distinct())
-        side = lambda s: own.select(F.col("hub").alias(s), F.col("cid").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("more").alias(f"more_{s}"))
+        ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
+        own = below.unionByName(ends.select(F.col("id").alias("hub"), "id", "n", F.lit(0).cast("long").alias("more")))
+        side = lambda s: own.select(F.col("hub").alias(s), F.col("id").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("more").alias(f"more_{s}"))
         wide = near.join(side("a"), "a").join(side("b"), "b").where(f"{den + num} * (overlap + more_a + more_b) >= {num} * (n_a + n_b) and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
         wide = written(wide.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "wide")
-        wanted = bit_filter(wide.select(F.col("a").alias("cid")).union(wide.select(F.col("b").alias("cid"))))
-        links = links.union(verified(wide, written(chosen_sets(docs, size, wanted, None, num, den), "chosen")).where(is_link).select("a", "b"))
+        links = links.union(verified(wide, sets_of(wide)).where(is_link).select("a", "b"))
     roots = components(links)
-    rows = table.where("cid is not null")
-    label = rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least")).join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    label = label.join(label.groupBy("root").agg(F.min("least").alias("component")), "root").select("cid", "component")
-    out = rows.join(label, "cid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    label = classes.select("cid", "id", "least").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    label = label.join(label.groupBy("root").agg(F.min("least").alias("component")), "root").select("cid", "component", "root")
+    out = table.where("cid is not null").join(label, "cid", "left")
+    return out.select("doc_id", *carry, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("root").alias("group_id"))
+
+
+def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs` without near duplicates: of each group, the row with the smallest doc_id (null last) and place stays.
+
+    Texts without words are in no group and all stay.
+    """
+    names = docs.columns
+    rows = keyed(docs, *names)
+    groups = near_duplicates(rows.select("doc_id", "text", "rk_f", "rk_r"), size, num, den, ("rk_f", "rk_r"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk_f", "rk_r")
+    stay = groups.where("n_shingles > 0").groupBy("group_id").agg(F.min(place).alias("p")).select("p.rk_f", "p.rk_r")
+    stay = stay.unionByName(groups.where("n_shingles = 0").select("rk_f", "rk_r"))
+    return rows.join(stay, ["rk_f", "rk_r"]).select(*names)
 
 
 def descendants(tree: DataFrame, sizes: DataFrame) -> DataFrame:
-    """hub, cid, n, more for every class below each hub at any depth (two min-hashes: chains are short)."""
-    step = written(tree.select("hub", "cid", "more"), "step")
+    """hub, id, n, more for every class below each hub at any depth (two min-hashes: chains are short)."""
+    step = written(tree.select("hub", "id", "more"), "step")
     out = step
     while True:
-        up = tree.select(F.col("cid").alias("hub"), F.col("hub").alias("upper"), F.col("more").alias("extra"))
-        step = written(step.join(up, "hub").select(F.col("upper").alias("hub"), "cid", (F.col("more") + F.col("extra")).alias("more")), "step")
+        up = tree.select(F.col("id").alias("hub"), F.col("hub").alias("upper"), F.col("more").alias("extra"))
+        step = written(step.join(up, "hub").select(F.col("upper").alias("hub"), "id", (F.col("more") + F.col("extra")).alias("more")), "step")
         if step.isEmpty():
-            return out.join(sizes, "cid").select("hub", "cid", "n", "more")
+            return out.join(sizes, "id").select("hub", "id", "n", "more")
         out = out.union(step)
