@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import written
+from .shared import drop_written, written
 
 STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOL = np.zeros(256, bool)
@@ -127,14 +127,28 @@ def verdict(chosen: dict[str, dict[str, int]], stratum: str):
     return ~reject
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, *carry: str, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """The statistics of every document, base_failed, and kept: the base rule and the calibrated rules both pass.
+def learn_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> tuple[DataFrame, dict[str, dict[str, int]]]:
+    """The statistics of every document (written), with rule_stratum and base_failed, and the allowed cutoffs.
 
     `labels` has doc_id and quality; repeated labels of a document count once (the smallest), null ones not at all.
     Labels join documents on doc_id; the bounds take a row as one draw, so copies of one document weigh as rows do.
     """
-    columns = list(dict.fromkeys(["doc_id", *carry]))
-    stats = written(document_stats(docs.withColumn("rule_stratum", F.col(stratum).cast("string")), *columns, "rule_stratum").withColumn("base_failed", base_failed()), "stats")
+    stats = written(document_stats(docs.withColumn("rule_stratum", F.col(stratum).cast("string")), "doc_id", "rule_stratum").withColumn("base_failed", base_failed()), "stats")
     good = labels.select("doc_id", F.col("quality").alias("rule_good")).where("doc_id is not null and rule_good is not null").groupBy("doc_id").agg(F.min("rule_good").alias("rule_good"))
-    chosen = calibrate(stats.where(~F.col("base_failed")).join(good, "doc_id"), "rule_good", "rule_stratum", alpha, delta)
+    return stats, calibrate(stats.where(~F.col("base_failed")).join(good, "doc_id"), "rule_good", "rule_stratum", alpha, delta)
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """doc_id, STAT_COLUMNS, base_failed and kept per row of `docs`: the base rule and the calibrated rules both pass."""
+    stats, chosen = learn_rules(docs, labels, stratum, alpha, delta)
     return stats.withColumn("kept", ~F.col("base_failed") & verdict(chosen, "rule_stratum")).drop("rule_stratum")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """The rows of `docs` that apply_rules() keeps, with all their columns."""
+    stats, chosen = learn_rules(docs, labels, stratum, alpha, delta)
+    drop_written(stats)
+    names = docs.columns
+    rows = docs.select(*(F.col(c).alias(f"doc_{i}") for i, c in enumerate(names)), "text", F.col(stratum).cast("string").alias("rule_stratum"))
+    rows = document_stats(rows, *(f"doc_{i}" for i in range(len(names))), "rule_stratum").where(~base_failed() & verdict(chosen, "rule_stratum"))
+    return rows.select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(names)))

@@ -295,20 +295,22 @@ def cut_contexts(size: int, crowd: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left): per row of `docs`, in no order.
+def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left) and the columns to carry: per row of `docs`, in no order.
 
     A byte goes if a string of `size` bytes that covers it starts anywhere else too, in this or any other row; overlaps
     count, strings never cross rows and are judged on the input. Null texts are empty; texts under `size` bytes lose
-    nothing; repeated rows remove each other. What is kept may cut a character in two: kept is binary.
+    nothing; repeated rows remove each other. What is kept may
+    cut a character in two: kept is binary, or with as_text a string without the bytes of such characters.
     """
-    docs = keyed(docs, "doc_id", "text")
+    docs = keyed(docs, "doc_id", "text", *carry)
+    types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     parts = tasks_for(docs, 16)
     found = all_contexts(docs, size).repartition(parts, "deal").sortWithinPartitions("h", "c").mapInArrow(sort_out, "h long, c long, f long, r long, lo int, hi int, what int")
     found = written(found, "contexts")
     open_ = found.where("what >= 1 and what < 5")
     sizes = open_.agg(F.count_if(F.col("what") < 3).alias("blocks"), F.count_if(F.col("what") >= 3).alias("crowds")).first()
-    texts = packed_texts(docs).select(F.col("rk_f").alias("f"), F.col("rk_r").alias("r"), "packed")
+    texts = packed_texts(docs.select("rk_f", "rk_r", "text")).select(F.col("rk_f").alias("f"), F.col("rk_r").alias("r"), "packed")
 
     def with_text(rows: DataFrame) -> DataFrame:
         return rows.groupBy("f", "r").agg(F.collect_list(F.struct("h", "lo", "hi", "what")).alias("cut")).join(texts, ["f", "r"]).select("f", "r", "packed", "cut")
@@ -343,7 +345,7 @@ def remove_repeats(docs: DataFrame, size: int = 200) -> DataFrame:
                     kept = b"".join(kept)
                     out.append((len(text), removed, n, hashlib.sha256(kept).hexdigest(), kept))
                 n_bytes, removed, n, sha, kept = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = packed_texts(docs).join(spans.select(F.col("f").alias("rk_f"), F.col("r").alias("rk_r"), "spans"), ["rk_f", "rk_r"], "left")
-    return joined.select("doc_id", "packed", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.select("doc_id", *carry, "packed", "spans").mapInArrow(finish, f"doc_id long{types}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}")
