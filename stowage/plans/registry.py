@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from stowage.plans import trace_queries
+
+QUERIES = {**trace_queries.QUERIES}
+ORACLE_SQL = {**trace_queries.ORACLE_SQL}
