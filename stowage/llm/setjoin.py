@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .components import components
-from .shared import drop_written, keyed, tasks_for, written
+from .shared import drop_written, keyed, tasks_for, tidy, written
 
 FLUSH = 1 << 21
 #: Most shingles whose frequency is broadcast; more than these keep their place by hash.
 MOST_HEAVY = 1 << 17
+LEAST_HEAVY = 24
+LOW_SHARE = 0.2
 #: Bits of the filter that says which classes are worth sending on; a false hit costs time only.
 FILTER_BITS = 1 << 25
 
@@ -67,34 +69,50 @@ class Sets:
 
 
 def describe(docs: DataFrame, size: int, carry: tuple[str, ...]) -> DataFrame:
-    """Per document its set's name, size and two min-hashes; and per flush the shingles of many documents."""
+    """Per document its set's name, size and two min-hashes."""
+    names = ["doc_id", *carry, "n", "cid", "m1", "m2"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", *carry, "n", "cid", "m1", "m2", "heavy", "df"]
+        for batch in batches:
+            for rows, raw, offsets in scan.blocks(batch, "text"):
+                s = Sets(raw, offsets, size)
+                mins = [s.fold(scan.mix(s.values ^ np.uint64(salt)), np.minimum, 0).view(np.int64) for salt in (0x3C6EF372, 0x5BE0CD19)]
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *carry)), pa.array(s.n.astype(np.int64)), pa.array(s.names(), pa.binary()), *map(pa.array, mins)], names)
+
+    return docs.select("doc_id", *carry, "text").mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n long, cid binary, m1 long, m2 long")
+
 
-        def heavy() -> pa.RecordBatch:
+def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """The shingles of LEAST_HEAVY documents or more, the most frequent last.
+
+    Prefixes are cut from the low end of the hashes, so all shingles there are counted; of the others, those that one flush
+    has many times. At most MOST_HEAVY come to the driver. What is missed keeps its place by hash.
+    """
+    low = int(2**64 * LOW_SHARE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> Iterator[pa.RecordBatch]:
             value, count = np.unique(np.concatenate(held), return_counts=True)
-            many = count >= 4
-            k = int(many.sum())
-            none = lambda t: pa.nulls(k, t)
-            return pa.RecordBatch.from_arrays([none(pa.int64()), *(none(pa.int64()) for _ in carry), none(pa.int64()), none(pa.binary()), none(pa.int64()), none(pa.int64()), pa.array(value[many].view(np.int64)), pa.array(count[many].astype(np.int64))], names)
+            some = (value < np.uint64(low)) | (count >= 4)
+            value, count = value[some].view(np.int64), count[some].astype(np.int32)
+            for i in range(0, len(value), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(value[i : i + 100_000]), pa.array(count[i : i + 100_000])], ["token", "df"])
 
         held, n = [], 0
         for batch in batches:
-            for rows, raw, offsets in scan.blocks(batch, "text"):
-                s = Sets(raw, offsets, size)
-                mins = [s.fold(scan.mix(s.values ^ np.uint64(salt)), np.minimum, 0).view(np.int64) for salt in (0x3C6EF372, 0x5BE0CD19)]
-                none = pa.nulls(len(rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *carry)), pa.array(s.n.astype(np.int64)), pa.array(s.names(), pa.binary()), *map(pa.array, mins), none, none], names)
-                held.append(s.values)
-                n += len(s.values)
+            for _, raw, offsets in scan.blocks(batch, "text"):
+                held.append(Sets(raw, offsets, size).values)
+                n += len(held[-1])
                 if n >= FLUSH:
-                    yield heavy()
+                    yield from counted()
                     held, n = [], 0
         if n:
-            yield heavy()
+            yield from counted()
 
-    return docs.select("doc_id", *carry, "text").mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n long, cid binary, m1 long, m2 long, heavy long, df long")
+    counts = docs.select("text").mapInArrow(run, "token long, df int").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= LEAST_HEAVY)
+    with tidy(docs.sparkSession):
+        found = counts.orderBy(F.desc("df"), "token").limit(MOST_HEAVY).toArrow()
+    return found.column("token").to_numpy().view(np.uint64)[::-1]
 
 
 def bit_filter(names: DataFrame) -> np.ndarray:
@@ -175,6 +193,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(run, "a long, b long, na long, nb long, overlap long")
 
 
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, gain, token: what b has and a has not (gain), and the reverse; gained and lost are how many of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("set_a", "set_b"))
+                gained, lost = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                n = len(gained) + len(lost)
+                fill = lambda v, t, n=n: pa.array(np.full(n, v), t)
+                yield pa.RecordBatch.from_arrays([fill(batch.column("a")[i].as_py(), pa.int64()), fill(batch.column("b")[i].as_py(), pa.int64()), pa.array(np.arange(n) < len(gained)), pa.array(np.concatenate([gained, lost])), fill(len(gained), pa.int64()), fill(len(lost), pa.int64())], ["a", "b", "gain", "token", "gained", "lost"])
+
+    sets = sets.where("set is not null")
+    one, two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, gain boolean, token long, gained long, lost long")
+
+
 PAIR = ("n", "lo", "slack")
 
 
@@ -274,34 +309,38 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     docs = docs.select("doc_id", *carry, "text")
     parts = tasks_for(docs, 16)
     table = written(describe(docs, size, carry), "sets")
-    classes = table.where("cid is not null and n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.min("doc_id").alias("least"))
+    classes = table.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = written(written(classes, "classes").withColumn("id", F.monotonically_increasing_id()), "classes")  # written with their numbers, so these stay
-    heavy = table.where("heavy is not null").groupBy("heavy").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "heavy").limit(MOST_HEAVY).toArrow()
-    heavy = heavy.column("heavy").to_numpy().view(np.uint64)[::-1]  # the most frequent last
+    heavy = frequent_shingles(docs, size)
 
     def sets_of(ids: DataFrame, with_prefix: bool = False) -> DataFrame:
         wanted = bit_filter(ids.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id"))
         return written(chosen_sets(docs, classes, size, wanted, heavy if with_prefix else None, num, den), "chosen")
 
-    # Relations: each class and the hub (least number) of its min-hash buckets, where the sizes can link.
+    # Relations: each class and the hub (the one with most copies) of its min-hash buckets, where the sizes can link.
     is_link = f"{den + num} * overlap >= {num} * (na + nb)"
-    stars = None
-    for m in ("m1", "m2"):
-        hub = classes.groupBy(m).agg(F.min_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), "id").alias("hub"), F.count("*").alias("k")).where("k > 1").select(m, "hub.*")
-        own = classes.join(hub, m).where(f"a <> id and {den} * least(n, na) >= {num} * greatest(n, na)").select("a", F.col("id").alias("b"))
-        stars = own if stars is None else stars.union(own)
-    stars = written(stars.distinct(), "stars")
-    sets = sets_of(stars, True)
-    linked = written(verified(stars, sets).where(is_link), "linked")
+    can_link = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+    one = F.col("id").alias("b"), F.col("n").alias("nb")
+    hubs = {m: classes.groupBy(m).agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("copies", -F.col("id"))).alias("hub"), F.count("*").alias("k")).where("k > 1").select(m, "hub.*") for m in ("m1", "m2")}
+    stars = {m: classes.join(hub, m).select("a", "na", *one).where(f"a <> b and {can_link}").select("a", "b") for m, hub in hubs.items()}
+    all_stars = written(stars["m1"].withColumn("first", F.lit(True)).union(stars["m2"].withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first")), "stars")
+    sets = sets_of(all_stars.select("a", "b"), True)
+    near_hub = written(verified(all_stars.select("a", "b"), sets).join(all_stars, ["a", "b"]), "near_hub")
+    # A hub chosen blindly may stand at the edge of its group; what is most like it stands nearer to the middle.
+    middle = near_hub.where("first").groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("c"), F.col("nb").alias("nc")), F.struct(F.col("overlap") / (F.col("na") + F.col("nb")), -F.col("b"))).alias("m")).select("a", "m.*")
+    again = near_hub.where(f"first and not ({is_link})").join(middle, "a").where(f"b <> c and {den} * least(nb, nc) >= {num} * greatest(nb, nc)").select(F.col("c").alias("a"), "b")
+    near_middle = written(verified(again, sets), "near_middle")
+    linked = written(near_hub.where(is_link).select("a", "b", "na", "nb", "overlap", "first").unionByName(near_middle.where(is_link).withColumn("first", F.lit(True))), "linked")
     roots = components(linked)
-    # One hub per class, smaller in number, so hubs of hubs end; what a class has beyond its hub adds up along the way.
-    tree = written(linked.groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct(F.col("a").alias("hub"), (F.col("nb") - F.col("overlap")).alias("more")), "a").alias("h")).select("id", "h.*"), "tree")
+    # One hub per class: its bucket's hub if they link, else the bucket's middle. What a class has beyond its hub adds up along the way.
+    tree = linked.where("first").groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct(F.col("a").alias("hub"), (F.col("nb") - F.col("overlap")).alias("more")), "a").alias("h")).select("id", "h.*")
+    tree = written(tree, "tree")
     below = written(descendants(tree, classes.select("id", "n")), "below")  # hub, id, n, more: every class under each hub
     span = below.groupBy(F.col("hub").alias("id")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("more").alias("most"))
     info = tree.select("id", "hub").join(roots.select(F.col("node").alias("id"), "root"), "id", "full").join(span, "id", "full")
-    hubs = sets.where("set is not null").select(F.col("id").alias("hub"), F.col("prefix").alias("hub_prefix"))
+    posting = sets.where("set is not null").select(F.col("id").alias("hub"), F.col("prefix").alias("hub_prefix"))
     posted = sets.select("id", "n", "prefix").join(info, "id", "left").select("id", "n", "prefix", "hub", F.coalesce("root", "id").alias("root"), F.least("n", "lo").alias("lo"), F.greatest("n", "hi").alias("hi"), F.coalesce("most", F.lit(0)).alias("most"))
-    members = posted.where("hub is not null").join(hubs, "hub")
+    members = posted.where("hub is not null").join(posting, "hub")
     posted = posted.where("hub is null").withColumn("hub_prefix", F.lit(None).cast("binary")).unionByName(members)
     pairs = written(list_pairs(entries_of(posted), num, den, parts), "pairs")
     drop_written(sets)
@@ -310,23 +349,38 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     drop_written(more_sets)
     links = linked.select("a", "b").union(checked.where(is_link).select("a", "b"))
 
-    # Pairs that don't link, but with classes below that might: |y & w| <= |x & z| + |y - x| + |w - z|.
-    near = checked.where(f"not ({is_link})")
-    for side in ("a", "b"):
-        near = near.join(span.select(F.col("id").alias(side), F.col("lo").alias(f"lo_{side}"), F.col("most").alias(f"most_{side}")), side, "left")
-    near = near.withColumns({f"lo_{s}": F.least(f"lo_{s}", f"n{s}") for s in "ab"} | {f"most_{s}": F.coalesce(f"most_{s}", F.lit(0)) for s in "ab"})
-    near = written(near.where("most_a + most_b > 0").where(f"{den + num} * (overlap + most_a + most_b) >= {num} * (lo_a + lo_b)").select("a", "b", "na", "nb", "overlap"), "near")
+    # A hub's answers serve the classes y below it: z links with y, not with the hub h, only if z shares with y something
+    # that h has not, or (y having lost more than it gained) lacks with y something that h has.
+    reach = span.select(F.col("id").alias("a"), F.col("lo").alias("lo_a"), F.col("most").alias("most_a"))
+
+    def hub_misses(rows: DataFrame) -> DataFrame:
+        """Both ways round, those whose a has classes below it."""
+        both = rows.select("a", "b", "na", "nb", "overlap").unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("nb").alias("na"), F.col("na").alias("nb"), "overlap"))
+        return both.join(reach, "a")
+
+
+    misses = checked.where(f"not ({is_link})")
+    lower = below.select(F.col("hub").alias("b"), F.col("id").alias("y"), F.col("n").alias("ny"), F.col("more").alias("more_y"))
+    wide = hub_misses(misses).join(lower, "b").where(f"{den + num} * (overlap + most_a + more_y) >= {num} * (lo_a + ny)").select("a", F.col("y").alias("b"))
+    wide = written(wide.distinct(), "wide")
+    if not wide.isEmpty():
+        wide_sets = sets_of(wide)
+        seen = written(verified(wide, wide_sets), "seen")
+        drop_written(wide_sets)
+        links = links.union(seen.where(is_link).select("a", "b"))
+        misses = misses.unionByName(seen.where(f"not ({is_link})"))
+    near = written(hub_misses(misses).where(f"{den + num} * (overlap + most_a) >= {num} * (lo_a + nb)").select("a", "b").distinct(), "near")
     if not near.isEmpty():
-        ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("na").alias("n")), F.struct(F.col("b").alias("id"), F.col("nb").alias("n")))).alias("x")).select("x.*").distinct()
-        own = below.unionByName(ends.select(F.col("id").alias("hub"), "id", "n", F.lit(0).cast("long").alias("more")))
-        side = lambda s: own.select(F.col("hub").alias(s), F.col("id").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("more").alias(f"more_{s}"))
-        wide = near.join(side("a"), "a").join(side("b"), "b").where(f"{den + num} * (overlap + more_a + more_b) >= {num} * (n_a + n_b) and {den} * least(n_a, n_b) >= {num} * greatest(n_a, n_b)")
-        wide = written(wide.select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "wide")
-        links = links.union(verified(wide, sets_of(wide)).where(is_link).select("a", "b"))
+        own = below.join(near.select(F.col("a").alias("hub")).distinct(), "hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+        both_sets = sets_of(near.union(own).distinct())
+        left, right = differences(near, both_sets), differences(own, both_sets).where("gain or lost > gained")
+        derived = left.select("a", "gain", "token", "b").join(right.select("a", "gain", "token", F.col("b").alias("y")), ["a", "gain", "token"]).where("b <> y")
+        derived = written(derived.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "derived")
+        links = links.union(verified(derived, both_sets).where(is_link).select("a", "b"))
     roots = components(links)
     label = classes.select("cid", "id", "least").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     label = label.join(label.groupBy("root").agg(F.min("least").alias("component")), "root").select("cid", "component", "root")
-    out = table.where("cid is not null").join(label, "cid", "left")
+    out = table.join(label, "cid", "left")
     return out.select("doc_id", *carry, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("root").alias("group_id"))
 
 
