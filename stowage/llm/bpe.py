@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 LONG = 64  # bytes of a word from which equal pairs are contracted together, see LONG_STEP
-CACHE = 300_000  # distinct words that a task remembers; more are encoded anew
+CACHE = 700_000  # distinct words that a task remembers; more are encoded anew
 WORDS = 40_000  # words of one recursive query
 
 SHORT_STEP = """
