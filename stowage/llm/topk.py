@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 SHARD = 8192  # vectors of a shard
 QUERIES = 1024  # queries of a block
 BLOCK = 2048  # vectors that are traversed together
+FIRST = 128  # vectors of the first block, of which every score is kept
 
 
 def integer_vectors(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
@@ -41,7 +42,12 @@ def best_of_block(queries: np.ndarray, block: np.ndarray, theta: np.ndarray) ->
     essential |= (theta <= 0)[:, None]  # then even a vector in no posting can compete
     rest = np.where(essential, 0.0, bound).sum(axis=1)
     partial = np.where(essential, weight, 0.0) @ rise.T  # traverses the essential postings
-    q, v = np.nonzero(partial + rest[:, None] >= theta[:, None])
+    compete = partial + rest[:, None] >= theta[:, None]
+    if 16 * np.count_nonzero(compete) > compete.size:  # too many to probe one by one: whole lists are read instead
+        score = queries @ block.T
+        q, v = np.nonzero(compete & (score >= theta[:, None]))
+        return q, v, np.rint(score[q, v]).astype(np.int64)
+    q, v = np.nonzero(compete)
     # Probe what is missing, the terms that lower a score included, in steps: a pair goes on while it can compete.
     score, left = partial[q, v], rest[q]
     for at in range(0, queries.shape[1], 16):
@@ -63,8 +69,10 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
     """(query, vector id, score): the k best of the shard per query, by score and then by smaller id; never the query itself."""
     q, v, s = (np.zeros(0, np.int64) for _ in range(3))
     theta = np.full(len(queries), -np.inf)
-    for at in range(0, len(ids), BLOCK):
-        a, b, c = best_of_block(queries, vectors[at : at + BLOCK], theta)
+    at = 0
+    while at < len(ids):
+        size = BLOCK if at else FIRST
+        a, b, c = best_of_block(queries, vectors[at : at + size], theta)
         b = ids[at + b]
         own = b != query_ids[a]
         q, v, s = np.concatenate([q, a[own]]), np.concatenate([v, b[own]]), np.concatenate([s, c[own]])
@@ -73,6 +81,7 @@ def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
         rank = np.arange(len(q)) - np.searchsorted(q, q)
         q, v, s, rank = q[rank < k], v[rank < k], s[rank < k], rank[rank < k]
         theta[q[rank == k - 1]] = s[rank == k - 1]
+        at += size
     return q, v, s
 
 
