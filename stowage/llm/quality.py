@@ -65,15 +65,16 @@ def document_stats(docs: DataFrame, *carry: str) -> DataFrame:
 
     Empty and blank texts give zeros, a text of any length is one row, and no row meets another.
     """
+    text = "text" if "text" in carry else "stat_text"  # a text that is carried crosses once
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) + "".join(f", {c} long" for c in STAT_COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, offsets in scan.blocks(batch, "stat_text"):
+            for rows, raw, offsets in scan.blocks(batch, text):
                 columns = [rows.column(i) for i in range(len(carry))] + [pa.array(v.astype(np.int64)) for v in measure(raw, offsets)]
                 yield pa.RecordBatch.from_arrays(columns, [*carry, *STAT_COLUMNS])
 
-    return docs.select(*carry, F.col("text").alias("stat_text")).mapInArrow(run, schema)
+    return docs.select(*carry, *([F.col("text").alias(text)] if text not in carry else [])).mapInArrow(run, schema)
 
 
 def base_failed(n_words: str = "n_words", n_repeat: str = "n_repeat_words"):
@@ -149,6 +150,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", al
     stats, chosen = learn_rules(docs, labels, stratum, alpha, delta)
     drop_written(stats)
     names = docs.columns
-    rows = docs.select(*(F.col(c).alias(f"doc_{i}") for i, c in enumerate(names)), "text", F.col(stratum).cast("string").alias("rule_stratum"))
-    rows = document_stats(rows, *(f"doc_{i}" for i in range(len(names))), "rule_stratum").where(~base_failed() & verdict(chosen, "rule_stratum"))
-    return rows.select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(names)))
+    plain = ["text" if c == "text" else f"doc_{i}" for i, c in enumerate(names)]
+    rows = docs.select(*(F.col(c).alias(p) for c, p in zip(names, plain, strict=True)), F.col(stratum).cast("string").alias("rule_stratum"))
+    rows = document_stats(rows, *plain, "rule_stratum").where(~base_failed() & verdict(chosen, "rule_stratum"))
+    return rows.select(*(F.col(p).alias(c) for c, p in zip(names, plain, strict=True)))
