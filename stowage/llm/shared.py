@@ -64,9 +64,14 @@ def keyed(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def tasks_for(df: DataFrame, mb: int = 64) -> int:
-    """A number of partitions that follows the input's size, at least the session's own."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(int(str(size)) / (mb << 20))))
+    """A number of partitions that follows the size of the tables read, at least the session's own.
+
+    Only leaves of known size count: rows that come from Python have no size in the plan, so Spark takes its largest number.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, math.ceil(known / (mb << 20))))
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
