@@ -14,6 +14,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of a batch that goes to Python; a row that is longer goes alone.
+BATCH_BYTES = 8 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
@@ -22,14 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the plans run inside go when each ends, not when the driver's memory is next collected."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    """For the plans run inside: shuffle files go when each ends, not when the driver's memory is next collected; batches
+    sent to Python are of a few MB, whole texts included, as buffers outside the heap are held on both sides."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
