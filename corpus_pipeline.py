@@ -30,7 +30,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of like lines of five words or more, the first stays."""
+    """Of each group of like lines, the first stays."""
     return with_text(dedup_lines(docs, carry=("lang", "source")), F.col("kept"))
 
 
