@@ -1,9 +1,9 @@
 """Quality rules with risk-controlled thresholds.
 
 Rules compare a document's ratio (symbols, repeated lines, repeated words, word length) with a cutoff. The cutoffs are
-not guessed: for each stratum a labelled holdout says how many good documents each cutoff would reject, and a
-cutoff is allowed only if the exact (Clopper-Pearson) upper bound of that rate is at most `alpha`. All tests share
-`delta` (Bonferroni), so with probability 1 - delta every chosen cutoff keeps its promise in every stratum.
+not guessed: for each stratum a labelled holdout says how many good documents a set of cutoffs would reject together,
+and a set is allowed only if the exact (Clopper-Pearson) upper bound of that rate is at most `alpha`. All sets of cutoffs
+share `delta` (Bonferroni), so with probability 1 - delta the chosen set keeps its promise in every stratum.
 """
 
 from __future__ import annotations
@@ -96,23 +96,43 @@ def upper_bound(bad: int, n: int, delta: float) -> float:
     return hi
 
 
+def most_allowed(n: int, alpha: float, delta: float) -> int:
+    """The largest count of failures among n whose upper bound is at most alpha, -1 if there is none."""
+    lo, hi = -1, int(alpha * n) + 1
+    while hi - lo > 1:
+        bad = (lo + hi) // 2
+        lo, hi = (bad, hi) if upper_bound(bad, n, delta) <= alpha else (lo, bad)
+    return lo
+
+
 def calibrate(stats: DataFrame, good: str, stratum: str, alpha: float = 0.01, delta: float = 0.05) -> dict[str, dict[str, int]]:
-    """stratum -> rule -> smallest allowed cutoff, from labelled rows.
+    """stratum -> rule -> cutoff, from labelled rows: all rules of a stratum together reject at most alpha of good documents.
 
-    Only counts come to the driver: one row per stratum, one column per cutoff. A stratum without enough labels
-    for any cutoff gets none, so nothing of it is rejected; a null stratum is one of its own.
+    From no rule at all, the rules take turns at the next smaller cutoff while the set stays allowed. Only counts come to the
+    driver: per stratum, one row for each way to fail. A stratum without enough labels for any cutoff gets none, so
+    nothing of it is rejected; a null stratum is one of its own.
     """
-    tests = [(r, cut) for r, (_, _, grid) in RULES.items() for cut in grid]
-    fails = [F.count_if((F.col(good) == 1) & (1000 * F.col(RULES[r][0]) > cut * F.col(RULES[r][1]))).alias(f"f{i}") for i, (r, cut) in enumerate(tests)]
-    rows = stats.where(F.col(good).isNotNull()).groupBy(stratum).agg(F.count_if(F.col(good) == 1).alias("n"), *fails).collect()
-    each = delta / max(1, len(tests) * len(rows))
-    chosen: dict[str, dict[str, int]] = {}
+    levels = [sum((1000 * F.col(top) > cut * F.col(bottom)).cast("int") for cut in grid).alias(f"level_{rule}") for rule, (top, bottom, grid) in RULES.items()]
+    rows = stats.where(F.col(good).isNotNull()).groupBy(stratum, *levels).agg(F.count_if(F.col(good) == 1).alias("n")).collect()
+    strata: dict[str, list] = {}
     for row in rows:
-        ok = chosen.setdefault(row[0], {})
-        for i, (rule, cut) in enumerate(tests):
-            # Without good documents there is no evidence at all. A full count of failures is bounded by 1.
-            if row["n"] and upper_bound(row[f"f{i}"], row["n"], each) <= alpha:
-                ok[rule] = min(cut, ok.get(rule, cut))
+        strata.setdefault(row[0], []).append(row)
+    each = delta / max(1, math.prod(len(grid) + 1 for _, _, grid in RULES.values()) * len(strata))
+    chosen: dict[str, dict[str, int]] = {}
+    for value, ways in strata.items():
+        n = np.array([row["n"] for row in ways])
+        level = np.array([[row[f"level_{rule}"] for rule in RULES] for row in ways])  # fails the so many smallest cutoffs
+        most = most_allowed(int(n.sum()), alpha, each)
+        at = np.array([len(grid) for _, _, grid in RULES.values()])  # its place in the grid; behind the end: no cutoff
+        open_rules = set(range(len(RULES)))
+        while open_rules:
+            for i in sorted(open_rules):
+                tighter = at - (np.arange(len(at)) == i)
+                if tighter[i] >= 0 and n[(level > tighter).any(1)].sum() <= most:
+                    at = tighter
+                else:
+                    open_rules.discard(i)
+        chosen[value] = {rule: grid[k] for (rule, (_, _, grid)), k in zip(RULES.items(), at.tolist(), strict=True) if k < len(grid)}
     return chosen
 
 
