@@ -11,6 +11,7 @@ from stowage.functions.sites import view_name
 PAGE = 12  # bits of the page by which stores meet allocations
 MANY = 64  # pages beyond which an allocation is met by coarser buckets
 SMALL, HUGE = PAGE, 22
+STEP, OPEN = 4, 62  # lifetimes are met in ranges of seq of 2**(a multiple of STEP); open ones in 2**OPEN
 
 
 def file_order(df: DataFrame) -> DataFrame:
@@ -65,19 +66,30 @@ def min_block_filter(allocs: DataFrame, least: int = 4096) -> DataFrame:
     return allocs.where(F.col("alloc_size") >= least)
 
 
-def attribute_stores(stores: DataFrame, allocs: DataFrame) -> DataFrame:
-    """A5: each store with the newest allocation that is live at its seq and holds its address.
+def near_allocations(stores: DataFrame, allocs: DataFrame) -> DataFrame:
+    """Each store with the allocations of its bucket of addresses and range of seq.
 
-    Both sides meet in buckets of addresses: pages for allocations of few pages, 4 MiB buckets for larger ones, so an
-    allocation of any size makes few rows and no pair is tried outside a common bucket.
+    Buckets are pages for allocations of few pages, 4 MiB for larger ones. A range is as long as the lifetime, up to 2**STEP times,
+    so an allocation of any size and lifetime makes few rows, and a store meets only generations that live near it. A store
+    makes a row per kind of bucket and range that some allocation has.
     """
     start, end = F.col("alloc_addr"), F.col("alloc_addr") + F.col("alloc_size") - 1
     live = allocs.where("alloc_size > 0").withColumn("bits", F.when(F.shiftright(end, SMALL) - F.shiftright(start, SMALL) < MANY, SMALL).otherwise(HUGE))
+    life = F.greatest(F.col("end_seq") - F.col("seq"), F.lit(1))
+    live = live.withColumn("span", F.when(F.col("end_seq").isNull(), OPEN).otherwise(F.least(F.lit(OPEN), STEP * F.ceil(F.log2(life) / STEP))).cast("int"))
+    kinds = live.select("run_id", "bits", "span").distinct()
     bucket = lambda x, bits: F.when(bits == SMALL, F.shiftright(x, SMALL)).otherwise(F.shiftright(x, HUGE))
-    live = live.withColumn("bucket", F.explode(F.sequence(bucket(start, F.col("bits")), bucket(end, F.col("bits"))))).select("run_id", "bits", "bucket", F.col("seq").alias("alloc_seq"), "end_seq", "alloc_addr", "alloc_size", "generation", "alloc_stack")
-    rows = stores.select("run_id", "seq", "addr", "value", F.explode(F.array(F.lit(SMALL), F.lit(HUGE))).alias("bits"))
-    rows = rows.withColumn("bucket", bucket(F.col("addr"), F.col("bits")))
-    met = rows.join(live, ["run_id", "bits", "bucket"]).where("addr >= alloc_addr and addr - alloc_addr < alloc_size and alloc_seq < seq and (end_seq is null or seq < end_seq)")
+    live = live.withColumn("bucket", F.explode(F.sequence(bucket(start, F.col("bits")), bucket(end, F.col("bits")))))
+    live = live.withColumn("time", F.explode(F.expr(f"sequence(shiftright(seq, span), shiftright(coalesce(end_seq, {2**63 - 1}), span))")))
+    live = live.select("run_id", "bits", "span", "bucket", "time", F.col("seq").alias("alloc_seq"), "end_seq", "alloc_addr", "alloc_size", "generation", "alloc_stack")
+    rows = stores.select("run_id", "seq", "addr", "value").join(F.broadcast(kinds), "run_id")
+    rows = rows.withColumn("bucket", bucket(F.col("addr"), F.col("bits"))).withColumn("time", F.expr("shiftright(seq, span)"))
+    return rows.join(live, ["run_id", "bits", "span", "bucket", "time"])
+
+
+def attribute_stores(stores: DataFrame, allocs: DataFrame) -> DataFrame:
+    """A5: each store with the newest allocation that is live at its seq and holds its address."""
+    met = near_allocations(stores, allocs).where("addr >= alloc_addr and addr - alloc_addr < alloc_size and alloc_seq < seq and (end_seq is null or seq < end_seq)")
     newest = met.groupBy("run_id", "seq").agg(F.max_by(F.struct("addr", "value", "alloc_seq", "alloc_addr", "alloc_size", "generation", "alloc_stack"), "alloc_seq").alias("x"))
     return newest.select("run_id", "seq", "x.*").withColumn("offset", F.col("addr") - F.col("alloc_addr"))
 
