@@ -17,6 +17,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .shared import freed
+
 LONG = 64  # bytes of a word from which equal pairs are contracted together, see LONG_STEP
 CACHE = 700_000  # distinct words that a task remembers; more are encoded anew
 WORDS = 40_000  # words of one recursive query
@@ -139,4 +141,4 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
                 plain = [b"".join(map(text.__getitem__, d)) for d in words]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(coded, pa.binary()), pa.array(plain, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, n_tokens long, ids binary, decoded binary")

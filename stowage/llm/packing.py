@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import freed, written
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -109,7 +109,7 @@ def cut_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, capa
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), types, strict=True)][: len(columns)], columns)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -141,4 +141,4 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 2, capaci
             made = {"sequence_id": pa.array(sequence), "offset": pa.array(offset)}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
 
-    return numbered.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    return numbered.mapInArrow(freed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids)

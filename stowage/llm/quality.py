@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import drop_written, written
+from .shared import drop_written, freed, written
 
 STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOL = np.zeros(256, bool)
@@ -74,7 +74,7 @@ def document_stats(docs: DataFrame, *carry: str) -> DataFrame:
                 columns = [rows.column(i) for i in range(len(carry))] + [pa.array(v.astype(np.int64)) for v in measure(raw, offsets)]
                 yield pa.RecordBatch.from_arrays(columns, [*carry, *STAT_COLUMNS])
 
-    return docs.select(*carry, *([F.col("text").alias(text)] if text not in carry else [])).mapInArrow(run, schema)
+    return docs.select(*carry, *([F.col("text").alias(text)] if text not in carry else [])).mapInArrow(freed(run), schema)
 
 
 def base_failed(n_words: str = "n_words", n_repeat: str = "n_repeat_words"):

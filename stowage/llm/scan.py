@@ -19,10 +19,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
-#: One random odd-free 64-bit value per byte and two odd bases: two independent polynomial hashes.
+#: A random odd 64-bit value per byte and an odd base, twice: for rolling hashes, which only say where to look.
 BYTE_VALUE = [_rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for _ in range(2)]
 BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
 _powers: dict[tuple[int, bool], np.ndarray] = {}
+_keys: dict[int, np.ndarray] = {}
+#: Masks of the first 0 to 8 bytes of a lane.
+LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
@@ -43,6 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
+def stir(x: np.ndarray) -> np.ndarray:
+    """Another bijective finaliser."""
+    x = (x ^ (x >> U(29))) * U(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> U(32))) * U(0xA0761D6478BD642F)
+    return x ^ (x >> U(30))
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -86,12 +96,43 @@ class Words:
         return len(self.start)
 
 
+def keys(which: int, n: int) -> np.ndarray:
+    """A key for each of a span's lanes; grown on demand and kept per process."""
+    have = _keys.get(which)
+    if have is None or len(have) < n:
+        at = np.arange(max(n, 1 << 12), dtype=U)
+        have = _keys[which] = mix(at * U(BASE[which]) + BYTE_VALUE[which][77])
+    return have[:n]
+
+
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of raw[start:end] for every span, from one prefix sum."""
-    n = len(raw)
-    total = np.zeros(n + 1, U)
-    np.cumsum(BYTE_VALUE[which][raw] * powers(which, n), out=total[1:])
-    return mix((total[end] - total[start]) * powers(which, n + 1, True)[start] + (end - start).astype(U))
+    """A 64-bit hash of raw[start:end] for every span; spans may overlap.
+
+    A span is read in lanes of eight bytes. Each lane is mixed with a key of its place, so no rule on the places of bytes
+    makes spans collide, as it does in a polynomial modulo 2**64. The two hashes differ in keys, mixing and sum.
+    """
+    if not len(start):
+        return np.zeros(0, U)
+    bytes_at = np.append(raw, np.zeros(8, np.uint8))
+    lanes = np.ndarray((len(raw) + 1,), "<u8", bytes_at.data, strides=(1,))
+    size = end - start
+    count = np.maximum((size + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    if len(start) == (total := int(count.sum())):
+        nth, at, left = 0, start, size
+    else:
+        nth = np.arange(total) - np.repeat(first, count)
+        at = np.repeat(start, count) + 8 * nth
+        left = np.repeat(end, count) - at
+    lane = lanes[at] & LANE[np.minimum(left, 8)]
+    key = keys(which, int(count.max()))[nth]
+    if which == 0:
+        lane = mix(lane ^ key)
+        lane = lane if len(lane) == len(start) else np.add.reduceat(lane, first)
+    else:
+        lane = stir(lane + key)
+        lane = lane if len(lane) == len(start) else np.bitwise_xor.reduceat(lane, first)
+    return mix(lane + size.astype(U) * U(BASE[1 - which]))
 
 
 def window_hash(words: np.ndarray, size: int, which: int = 0) -> np.ndarray:
@@ -117,6 +158,15 @@ def window_starts(first: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(ok)
 
 
+def sequence_hash(values: np.ndarray, cut: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of the hashes values[cut[i]:cut[i + 1]] in their order; no part is empty."""
+    n = np.diff(cut)
+    nth = np.arange(cut[-1]) - np.repeat(cut[:-1], n)
+    key = keys(which, int(n.max()))[nth]
+    total = np.add.reduceat(mix(values ^ key), cut[:-1]) if which == 0 else np.bitwise_xor.reduceat(stir(values + key), cut[:-1])
+    return mix(total + n.astype(U))
+
+
 def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[d]:bounds[d + 1]]."""
     total = np.zeros(len(values) + 1, np.int64)

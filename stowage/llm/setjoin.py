@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .components import components
-from .shared import drop_written, keyed, tasks_for, tidy, written
+from .shared import drop_written, freed, keyed, tasks_for, tidy, written
 
 FLUSH = 1 << 21
 #: Most shingles whose frequency is broadcast; more than these keep their place by hash.
@@ -79,7 +79,7 @@ def describe(docs: DataFrame, size: int, carry: tuple[str, ...]) -> DataFrame:
                 mins = [s.fold(scan.mix(s.values ^ np.uint64(salt)), np.minimum, 0).view(np.int64) for salt in (0x3C6EF372, 0x5BE0CD19)]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *carry)), pa.array(s.n.astype(np.int64)), pa.array(s.names(), pa.binary()), *map(pa.array, mins)], names)
 
-    return docs.select("doc_id", *carry, "text").mapInArrow(run, "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n long, cid binary, m1 long, m2 long")
+    return docs.select("doc_id", *carry, "text").mapInArrow(freed(run), "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n long, cid binary, m1 long, m2 long")
 
 
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
         if n:
             yield from counted()
 
-    counts = docs.select("text").mapInArrow(run, "token long, df int").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= LEAST_HEAVY)
+    counts = docs.select("text").mapInArrow(freed(run), "token long, df int").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= LEAST_HEAVY)
     with tidy(docs.sparkSession):
         found = counts.orderBy(F.desc("df"), "token").limit(MOST_HEAVY).toArrow()
     return found.column("token").to_numpy().view(np.uint64)[::-1]
@@ -166,7 +166,7 @@ def chosen_sets(docs: DataFrame, classes: DataFrame, size: int, wanted: np.ndarr
                     j = slice(i, i + 2000)
                     yield pa.RecordBatch.from_arrays([pa.array([names[d] for d in pick[j]], pa.binary()), pa.array(s.n[pick[j]].astype(np.int64)), pa.array(sets[j], pa.binary()), pa.array(prefix[j], pa.binary())], ["cid", "n", "set", "prefix"])
 
-    once = docs.select("text").mapInArrow(run, "cid binary, n long, set binary, prefix binary").groupBy("cid").agg(F.first("set").alias("set"), F.first("prefix").alias("prefix"))
+    once = docs.select("text").mapInArrow(freed(run), "cid binary, n long, set binary, prefix binary").groupBy("cid").agg(F.first("set").alias("set"), F.first("prefix").alias("prefix"))
     return once.join(classes.select("cid", "id", "n"), "cid").select("id", "n", "set", "prefix")
 
 
@@ -190,7 +190,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     sets = sets.where("set is not null")
     one = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("set_b"))
     two = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("set_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(run, "a long, b long, na long, nb long, overlap long")
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(freed(run), "a long, b long, na long, nb long, overlap long")
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     sets = sets.where("set is not null")
     one, two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long, gain boolean, token long, gained long, lost long")
+    return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(freed(run), "a long, b long, gain boolean, token long, gained long, lost long")
 
 
 PAIR = ("n", "lo", "slack")
@@ -273,7 +273,7 @@ def list_pairs(entries: DataFrame, num: int, den: int, parts: int) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
-    rows = entries.repartition(parts, "token").sortWithinPartitions("token", "lo").mapInArrow(run, ", ".join(f"{c} {'int' if '_' in c else 'long'}" for c in columns))
+    rows = entries.repartition(parts, "token").sortWithinPartitions("token", "lo").mapInArrow(freed(run), ", ".join(f"{c} {'int' if '_' in c else 'long'}" for c in columns))
     pairs = rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in columns[3:]))
     beyond = f"greatest(ceil({num} * n_a / {den}), ceil({num} * n_b / {den})) - 1"
     return pairs.where(f"{den + num} * (shared + {beyond} + slack_a + slack_b) >= {num} * (lo_a + lo_b)").select("a", "b")
@@ -295,7 +295,7 @@ def entries_of(posted: DataFrame) -> DataFrame:
                 small = [pa.array(x[n].astype(np.int32)) for x in (*(rows.column(c).to_numpy() for c in ("n", "lo", "hi")), np.array(slack))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), rows.column("id").take(pa.array(n)), rows.column("root").take(pa.array(n)), *small], ["token", "id", "root", "n", "lo", "hi", "slack"])
 
-    return posted.select("prefix", "hub_prefix", "id", "root", "n", "lo", "hi", "most").mapInArrow(run, "token long, id long, root long, n int, lo int, hi int, slack int")
+    return posted.select("prefix", "hub_prefix", "id", "root", "n", "lo", "hi", "most").mapInArrow(freed(run), "token long, id long, root long, n int, lo int, hi int, slack int")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -19,23 +20,48 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    """The folder that driver and executors share, spark.checkpoint.dir."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    return path
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches sent to Python have a few MB from now on, unless the session has its own bounds: whole texts are held on both sides.
+
+    Frames that an operator returns run later, in the caller's session, so the setting stays.
+    """
+    for name, value in (("maxRecordsPerBatch", "4000"), ("maxBytesPerBatch", str(BATCH_BYTES))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
 
 
 @contextlib.contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
-    """For the plans run inside: shuffle files go when each ends, not when the driver's memory is next collected; batches
-    sent to Python are of a few MB, whole texts included, as buffers outside the heap are held on both sides."""
-    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
-    before = {name: spark.conf.get(name, None) for name in wanted}
-    for name, value in wanted.items():
-        spark.conf.set(name, value)
+    """For the plans run inside: shuffle files go when each ends, not when the driver's memory is next collected."""
+    small_batches(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
     try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def freed(run: Callable) -> Callable:
+    """The function of mapInArrow, with the memory that a task no longer uses given back when it ends: workers live on between tasks."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return work
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -91,7 +117,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
             texts = [None if x is None else pack(x.encode()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(texts, pa.binary())], names)
 
-    return docs.select(*names[:-1], "text").mapInArrow(run, schema)
+    return docs.select(*names[:-1], "text").mapInArrow(freed(run), schema)
 
 
 def unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:

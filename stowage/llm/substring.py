@@ -1,10 +1,10 @@
 """Substring deduplication behind a count-min prefilter.
 
-Pass 1: every task sketches the windows it reads (one hashed counter row, saturating at two); the partition sketches
-are merged by cell and only a bit per cell stays: counted twice or more. A cell never counts less than
-any of its windows, so no repeated window is missed. Pass 2 sends on the windows of such cells only and groups them by
-96 bits of hash. The sketch follows the input (`cells_per_window`) up to `most_cells`, the bound of what is
-broadcast; beyond it more windows go to the exact pass, and the result stays the same.
+Pass 1: every unit of documents sketches its windows in two rows of hashed counters; the sketches are summed by range of
+cells, and each unit gets back a bit for each of its cells: counted twice or more. A cell never counts less than any of
+its windows, so no repeated window is missed. Pass 2 sends on only the windows with both bits, each once per unit with the smallest
+document that has it there, and groups them exactly by 128 bits of two hashes. The sketch grows with the input; a window of very many
+documents is a row entry per unit, not one per document.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import keyed, packed_texts, tasks_for, tidy, unpacked, written
+from .shared import freed, tasks_for, written
+from .units import CELLS, Cells, answers_of, in_units, opened, range_of, ranges_for, sketched
 
-SEGMENT = 16  # bits of a cell's place within its segment
-FLUSH = 1 << 21  # windows that a task holds before it sends on what it has
+LAST = np.iinfo(np.int64).max  # stands for a doc_id that is null: after every other
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[scan.Words, np.ndarray, list[np.ndarray]]:
@@ -31,209 +31,107 @@ def windows(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[scan.Words
     return words, at, [scan.window_hash(scan.span_hash(raw, words.start, words.end, k), size, k)[at] if len(at) else np.zeros(0, scan.U) for k in (0, 1)]
 
 
-def partition_sketch(cells: np.ndarray) -> pa.RecordBatch:
-    """One row per segment: the low bits of its cells, those that were hit twice or more twice."""
-    cells = np.sort(cells)
-    if len(cells) > 2:
-        cells = cells[np.append([True, True], cells[2:] != cells[:-2])]
-    segment = (cells >> SEGMENT).astype(np.int32)
-    cut = np.append(np.flatnonzero(np.append(True, segment[1:] != segment[:-1])), len(cells)) if len(cells) else np.zeros(1, np.int64)
-    low = np.ascontiguousarray(cells & np.uint64(0xFFFF)).astype("<u2").tobytes()
-    bounds = pa.py_buffer((cut * 2).astype(np.int32).tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(segment[cut[:-1]]), pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, bounds, pa.py_buffer(low)])], ["segment", "cells"])
+class Suspects:
+    """The windows of a unit that the sketch calls repeated, and their groups: equal windows, in order of the first hash."""
 
+    def __init__(self, rows: pa.RecordBatch, answers: list[dict] | None, size: int, ranges: int, cells: int):
+        self.raw, self.offsets = scan.text_buffer(rows.column("text"))
+        self.words, at, hashes = windows(self.raw, self.offsets, size)
+        ok = np.ones(len(at), bool)
+        for row in (0, 1):
+            ok &= Cells(hashes[row], ranges, cells).back(answers_of(answers, row)).astype(bool)
+        self.at, (a, b) = at[ok], (h[ok] for h in hashes)
+        self.doc = rows.column("doc_id").fill_null(LAST).to_numpy()[self.words.doc[self.at]]
+        order = np.lexsort((self.doc, b, a))
+        a, b = a[order], b[order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        self.group = np.empty(len(a), np.int64)
+        self.group[order] = np.cumsum(new) - 1
+        self.h1, self.h2, self.least = a[new], b[new], self.doc[order][new]
 
-def merged_sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """A bit for each of the 2**bits cells: estimated count of two or more. At most 2**bits / 8 bytes reach the driver."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for _, raw, offsets in scan.blocks(batch, "text"):
-                held.append(windows(raw, offsets, size)[2][0] >> np.uint64(64 - bits))
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield partition_sketch(np.concatenate(held))
-                    held, n = [], 0
-        if n:
-            yield partition_sketch(np.concatenate(held))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, count = None, np.zeros(1 << SEGMENT, np.uint8)
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(count > 1, bitorder="little").tobytes()], pa.binary())], ["segment", "repeated"])
-
-        for batch in batches:
-            for segment, cells in zip(batch.column("segment").to_pylist(), batch.column("cells"), strict=True):
-                if segment != now:
-                    if now is not None and (count > 1).any():
-                        yield done()
-                    now = segment
-                    count[:] = 0
-                low = np.frombuffer(cells.as_buffer(), "<u2")
-                count[low] = np.minimum(count[low] + 1, 2)  # a cell that occurs twice in the row is next to itself
-                count[low[1:][low[1:] == low[:-1]]] = 2
-        if now is not None and (count > 1).any():
-            yield done()
-
-    rows = docs.select("text").mapInArrow(sketch, "segment int, cells binary")
-    rows = rows.repartition(tasks_for(docs), "segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, repeated binary")
-    out = np.zeros(max(1, 1 << (bits - 3)), np.uint8)
-    step = 1 << (SEGMENT - 3)
-    with tidy(docs.sparkSession):
-        merged = rows.toArrow()
-    for batch in merged.to_batches():
-        for segment, repeated in zip(batch.column("segment").to_pylist(), batch.column("repeated"), strict=True):
-            out[segment * step : (segment + 1) * step] = np.frombuffer(repeated.as_buffer(), np.uint8)[: len(out)]
-    return out
-
-
-MARKS = "bucket int, rk_f long, rk_r long, at binary, h1 binary, h2 binary, doc_id long"
-
-
-def suspects(docs: DataFrame, size: int, bits: int, sketch, buckets: int) -> DataFrame:
-    """The windows of repeated cells, packed: a row per document and bucket of hashes (rows without hashes: decided already).
-
-    Within a flush, only the smallest document of a window goes on; in the others it starts in a smaller document, so
-    it is decided on the spot. A window of very many documents therefore costs a row per flush, not one per document.
-    """
+def send_groups(size: int, ranges: int, cells: int):
+    """Units with their answers -> per unit and range of the first hash, its different suspects and their smallest documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = sketch.value
-        held, n = [], 0
         for batch in batches:
-            for rows, raw, offsets in scan.blocks(batch, "text"):
-                words, at, (h1, h2) = windows(raw, offsets, size)
-                cell = h1 >> np.uint64(64 - bits)
-                ok = (repeated[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-                at, h1, h2 = at[ok], h1[ok], (h2[ok] >> np.uint64(32)).astype(np.uint32)  # 96 bits name a window
-                d = words.doc[at]
-                ids = rows.column("doc_id")
-                order = ids.fill_null(np.iinfo(np.int64).max).to_numpy()  # null: after every other
-                held.append((h1, h2, (at - words.first[d]).astype(np.uint32), *(x[d] for x in (order, rows.column("rk_f").to_numpy(), rows.column("rk_r").to_numpy()))))
-                n += len(at)
-                if n >= FLUSH // 2:
-                    yield from packed(held, buckets)
-                    held, n = [], 0
-        if n:
-            yield from packed(held, buckets)
-
-    return docs.select("doc_id", "rk_f", "rk_r", "text").mapInArrow(run, MARKS)
-
-
-def packed(held: list, buckets: int) -> Iterator[pa.RecordBatch]:
-    h1, h2, at, doc, f, r = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((doc, h2, h1))
-    a, b, d = h1[order], h2[order], doc[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    least = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    decided = np.zeros(len(d), bool)
-    decided[order] = d > least
-    bucket = np.where(decided, (r % buckets).astype(np.int64), (h2 % np.uint32(buckets)).astype(np.int64))
-    order = np.lexsort((at, r, f, decided, bucket))
-    key = [x[order] for x in (bucket, decided, f, r)]
-    cut = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in key], axis=0)))
-    ends = np.append(cut[1:], len(order))
-
-    def binary(values: np.ndarray, width: int, empty: np.ndarray | None = None) -> pa.Array:
-        n = (ends - cut) * width
-        if empty is not None:
-            keep = np.repeat(~empty, ends - cut)
-            values, n = values[keep], np.where(empty, 0, n)
-        return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(np.append(0, np.cumsum(n)).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
-
-    done = key[1][cut]
-    rows = pa.RecordBatch.from_arrays(
-        [pa.array(key[0][cut].astype(np.int32)), pa.array(key[2][cut]), pa.array(key[3][cut]), binary(at[order], 4), binary(h1[order], 8, done), binary(h2[order], 4, done), pa.array(doc[order][cut])],
-        ["bucket", "rk_f", "rk_r", "at", "h1", "h2", "doc_id"],
-    )
-    for i in range(0, len(rows), 5000):
-        yield rows.slice(i, 5000)
-
-
-def flat(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a binary column's rows, one after another, and how many each row has."""
-    raw, offsets = scan.text_buffer(column)
-    return np.frombuffer(raw.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
+            for unit, data, answers in zip(batch.column("unit").to_pylist(), batch.column("data"), batch.column("answers").to_pylist(), strict=True):
+                s = Suspects(opened(data), answers, size, ranges, cells)
+                if not len(s.h1):
+                    continue
+                at = range_of(s.h1, ranges).astype(np.int32)
+                cut = np.append(np.flatnonzero(np.append(True, at[1:] != at[:-1])), len(at))
+                parts = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (s.h1, s.h2, s.least)]
+                yield pa.RecordBatch.from_arrays([pa.array(at[cut[:-1]]), pa.array(np.full(len(cut) - 1, unit)), *(pa.array(x, pa.binary()) for x in parts)], ["range", "unit", "h1", "h2", "least"])
+
+    return run
 
 
 def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups the windows of each bucket exactly; sends back, per document, where those start that a smaller document has."""
+    """Groups the windows of each range exactly; tells each unit, bit by bit, which of its windows start in a smaller document elsewhere."""
     now, held = None, []
 
-    def settle() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        h1, n = flat(rows.column("h1"), "<u8")
-        h2, _ = flat(rows.column("h2"), "<u4")
-        at, each = flat(rows.column("at"), "<u4")
-        open_rows = n > 0
-        doc = np.repeat(rows.column("doc_id").to_numpy(), n)
-        order = np.lexsort((doc, h2, h1))
-        a, b, d = h1[order], h2[order], doc[order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-        hit = np.zeros(len(a), bool)
-        if len(a):
-            hit[order] = d > d[np.flatnonzero(new)][np.cumsum(new) - 1]
-        keep = np.ones(len(at), bool)
-        keep[np.repeat(open_rows, each)] = hit
-        left = scan.per_document(keep, np.append(0, np.cumsum(each)))
-        some = left > 0
-        bounds = np.append(0, np.cumsum(left[some] * 4)).astype(np.int32)
-        some = pa.array(some)
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("rk_f").filter(some), rows.column("rk_r").filter(some), pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(at[keep].tobytes())])],
-            ["rk_f", "rk_r", "at"],
-        )
+    def settle() -> pa.RecordBatch:
+        a, b, least = (np.frombuffer(b"".join(x[i] for x in held), t) for i, t in ((1, "<u8"), (2, "<u8"), (3, "<i8")))
+        order = np.lexsort((least, b, a))
+        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+        first = np.flatnonzero(new)
+        smaller = np.empty(len(a), bool)
+        smaller[order] = least[order] > np.repeat(least[order][first], np.diff(np.append(first, len(a))))
+        cut = np.append(0, np.cumsum([len(x[1]) // 8 for x in held]))
+        bits = [np.packbits(smaller[i:j], bitorder="little").tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        n = len(held)
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([now] * n, pa.int32()), pa.array(np.diff(cut)), pa.array(bits, pa.binary())], ["unit", "range", "n", "bits"])
 
     for batch in batches:
-        bucket = batch.column("bucket").to_numpy()
-        cut = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
-        for i, j in zip(cut[:-1], cut[1:], strict=True):
-            if now is not None and bucket[i] != now:
-                yield from settle()
-                held = []
-            now = bucket[i]
-            held.append(batch.slice(i, j - i))
+        for at, *row in zip(*(batch.column(c).to_pylist() for c in ("range", "unit", "h1", "h2", "least")), strict=True):
+            if at != now:
+                if held:
+                    yield settle()
+                now, held = at, []
+            held.append(row)
     if held:
-        yield from settle()
+        yield settle()
 
 
-def removed_words(docs: DataFrame, size: int = 13, cells_per_window: int = 8, most_cells: int = 1 << 29) -> DataFrame:
+def removed_words(docs: DataFrame, size: int = 13, most_cells: int = CELLS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the text left): per row of `docs`, in no order.
 
     A word goes if a window of `size` words that covers it also starts in a document with a smaller doc_id. Windows are
     judged on the input. Null, empty and short texts have no window and lose nothing. Rows that share a doc_id are one
     document to this rule: they don't remove from each other. A null doc_id counts as larger than any other.
+    `most_cells` (a power of two) is what one task counts at a time; the sketch has as many for each PER_RANGE windows.
     """
-    docs = keyed(docs, "doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    expected = total // 6 + 1
-    bits = max(SEGMENT, min(most_cells.bit_length() - 1, (cells_per_window * expected - 1).bit_length()))
-    sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, size, bits))
-    buckets = max(16, expected // (1 << 22))
-    marks = suspects(docs, size, bits, sketch, buckets).repartition(tasks_for(docs, 16), "bucket").sortWithinPartitions("bucket").mapInArrow(decide, "rk_f long, rk_r long, at binary")
-    marks = written(marks.groupBy("rk_f", "rk_r").agg(F.collect_list("at").alias("marks")), "marks")
-    sketch.destroy()
+    units = in_units(docs, "doc_id")
+    ranges = ranges_for(units)
+
+    def hashes(rows: pa.RecordBatch) -> list[np.ndarray]:
+        return windows(*scan.text_buffer(rows.column("text")), size)[2]
+
+    answers = written(sketched(units, hashes, ranges, lambda count: count > 1, most_cells), "repeated")
+    known = units.select("unit", "data").join(answers, "unit", "left")
+    sent = known.mapInArrow(freed(send_groups(size, ranges, most_cells)), "range int, unit long, h1 binary, h2 binary, least binary")
+    sent = sent.repartition(tasks_for(units, 4), "range").sortWithinPartitions("range")
+    found = sent.mapInArrow(freed(decide), "unit long, range int, n long, bits binary")
+    found = written(found.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("range", "n", "bits"))).alias("found")), "found")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, offsets in scan.blocks(unpacked(batch), "text"):
-                words = scan.Words(raw, offsets)
-                marks = rows.column("marks")
-                lists = marks.flatten()
-                at, each = flat(lists, "<u4")
-                of = np.repeat(np.arange(len(rows)), np.diff(np.asarray(marks.offsets)) if not marks.null_count else [len(x) if x is not None else 0 for x in marks.to_pylist()])
-                doc = np.repeat(of, each)
-                gone = scan.covered(np.unique(at.astype(np.int64) + words.first[doc]), size, len(words))
-                texts = kept_texts(raw, words, gone)
-                n = np.diff(words.first)
+            for data, answers, found in zip(batch.column("data"), batch.column("answers").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                rows = opened(data)
+                s = Suspects(rows, answers, size, ranges, most_cells)
+                smaller = [np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=x["n"], bitorder="little") for x in found or ()]
+                smaller = np.concatenate(smaller).astype(bool) if smaller else np.zeros(0, bool)
+                hit = smaller[s.group] | (s.doc > s.least[s.group])
+                words = s.words
+                gone = scan.covered(s.at[hit], size, len(words))
+                texts = kept_texts(s.raw, words, gone)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(n), pa.array(scan.per_document(gone, words.first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts])],
+                    [rows.column("doc_id"), pa.array(np.diff(words.first)), pa.array(scan.per_document(gone, words.first)), pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([t.decode() for t in texts])],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    return packed_texts(docs).join(marks, ["rk_f", "rk_r"], "left").select("doc_id", "packed", "marks").mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return known.join(found, "unit", "left").select("data", "answers", "found").mapInArrow(freed(finish), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def kept_texts(raw: np.ndarray, words: scan.Words, gone: np.ndarray) -> list[bytes]:

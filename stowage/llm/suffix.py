@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import keyed, packed_texts, tasks_for, unpacked, written
+from .shared import freed, keyed, packed_texts, tasks_for, unpacked, written
 
 PIECE = 32
 FLUSH = 1 << 25  # starts that a task holds before equal contexts are folded
@@ -101,7 +101,7 @@ def all_contexts(docs: DataFrame, size: int) -> DataFrame:
         if n:
             yield from sliced(fold(held))
 
-    return docs.select("rk_f", "rk_r", "text").mapInArrow(run, COLUMNS)
+    return docs.select("rk_f", "rk_r", "text").mapInArrow(freed(run), COLUMNS)
 
 
 def sliced(batch: pa.RecordBatch, most: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -306,7 +306,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = ()
     docs = keyed(docs, "doc_id", "text", *carry)
     types = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) if carry else ""
     parts = tasks_for(docs, 16)
-    found = all_contexts(docs, size).repartition(parts, "deal").sortWithinPartitions("h", "c").mapInArrow(sort_out, "h long, c long, f long, r long, lo int, hi int, what int")
+    found = all_contexts(docs, size).repartition(parts, "deal").sortWithinPartitions("h", "c").mapInArrow(freed(sort_out), "h long, c long, f long, r long, lo int, hi int, what int")
     found = written(found, "contexts")
     open_ = found.where("what >= 1 and what < 5")
     sizes = open_.agg(F.count_if(F.col("what") < 3).alias("blocks"), F.count_if(F.col("what") >= 3).alias("crowds")).first()
@@ -317,11 +317,11 @@ def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = ()
 
     spans = found.where("what in (0, 1, 4)").select("f", "r", "lo", "hi")
     if sizes["blocks"]:
-        rows = with_text(open_.where("what < 3")).mapInArrow(cut_contexts(size, False), "h long, f long, r long, lo int, content binary, what int")
+        rows = with_text(open_.where("what < 3")).mapInArrow(freed(cut_contexts(size, False)), "h long, f long, r long, lo int, content binary, what int")
         n = max(parts, sizes["blocks"] // 8000)
-        spans = spans.union(rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(expand(size), SPANS))
+        spans = spans.union(rows.repartition(n, "h").sortWithinPartitions("h").mapInArrow(freed(expand(size)), SPANS))
     if sizes["crowds"]:
-        rows = with_text(open_.where("what >= 3")).mapInArrow(cut_contexts(size, True), "h1 long, h2 long, f long, r long, lo int, weight long")
+        rows = with_text(open_.where("what >= 3")).mapInArrow(freed(cut_contexts(size, True)), "h1 long, h2 long, f long, r long, lo int, weight long")
         again = rows.groupBy("h1", "h2").agg(F.sum("weight").alias("k")).where("k > 1").select("h1", "h2")
         spans = spans.union(rows.join(again, ["h1", "h2"]).select("f", "r", "lo", F.col("lo").alias("hi")))
     spans = spans.groupBy("f", "r").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -348,4 +348,4 @@ def remove_repeats(docs: DataFrame, size: int = 200, carry: tuple[str, ...] = ()
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *carry)), pa.array(n_bytes, pa.int64()), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())], ["doc_id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = packed_texts(docs).join(spans.select(F.col("f").alias("rk_f"), F.col("r").alias("rk_r"), "spans"), ["rk_f", "rk_r"], "left")
-    return joined.select("doc_id", *carry, "packed", "spans").mapInArrow(finish, f"doc_id long{types}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}")
+    return joined.select("doc_id", *carry, "packed", "spans").mapInArrow(freed(finish), f"doc_id long{types}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'string' if as_text else 'binary'}")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import drop_written, written
+from .shared import drop_written, freed, written
 
 BUCKETS = 1 << 20
 SIZES = (5, 7)
@@ -91,7 +91,7 @@ def document_frequencies(sample: DataFrame) -> DataFrame:
             j = at[i : i + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(counts[1][j]), pa.array(counts[0][j])], ["bucket", "pos", "unl"])
 
-    rows = sample.repartition(6).mapInArrow(run, "bucket int, pos int, unl int")
+    rows = sample.repartition(6).mapInArrow(freed(run), "bucket int, pos int, unl int")
     return rows.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl"))
 
 
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 8000, most_un
                 cut = np.searchsorted(doc, np.arange(len(rows) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([rows.column("y"), pa.ListArray.from_arrays(pa.array(cut), pa.array(feature.astype(np.int32)))], ["y", "x"])
 
-    table = sample.select("y", "text").mapInArrow(extract, "y int, x array<int>").toArrow().combine_chunks()
+    table = sample.select("y", "text").mapInArrow(freed(extract), "y int, x array<int>").toArrow().combine_chunks()
     drop_written(sample)
     x = table.column("x").chunk(0) if len(table) else pa.array([], pa.list_(pa.int32()))
     lengths = np.diff(x.offsets.to_numpy()) if len(x) else np.zeros(0, int)
@@ -190,5 +190,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
                 f = np.bincount(doc, weight[feature], minlength=len(rows)) + bias
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(f, -30, 30))))], ["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
