@@ -167,6 +167,15 @@ def sequence_hash(values: np.ndarray, cut: np.ndarray, which: int = 0) -> np.nda
     return mix(total + n.astype(U))
 
 
+def order_by(values: np.ndarray | None, doc: np.ndarray) -> np.ndarray:
+    """The order by document, then by value; without values stable. Small numbers are sorted by their digits."""
+    order = np.arange(len(doc)) if values is None else np.argsort(values)
+    if len(doc):
+        for shift in range(0, max(1, int(doc.max()).bit_length()), 16):
+            order = order[np.argsort((doc[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[d]:bounds[d + 1]]."""
     total = np.zeros(len(values) + 1, np.int64)

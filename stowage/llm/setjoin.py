@@ -1,15 +1,17 @@
 """Exact n-gram Jaccard join that skips work through relations between sets.
 
-Equal sets are one class. Each class is compared with the hub of its min-hash bucket first (two hashes); a class that
+Equal sets are one class. Each class is compared with the hub of its min-hash bucket first; a class that
 links with its hub derives its answers from the hub's: it posts only the prefix shingles that the hub does not
-post, and whatever the hub finds is checked against it only if the two sets' difference leaves room for a link. The
-inverted lists hold positions and the sizes of what hangs below an entry, so whole runs of a list are skipped when
-no size in them can link. Shingles found in many documents go last in the order that prefixes are cut from;
-that order changes the work only, never the links.
+post, and whatever the hub finds is checked against it only if the two sets' difference leaves room for a link.
+Prefixes are cut from the rare end of an order by frequency (a sketch of all documents' shingles, summed by range and sent
+back to each unit of documents), so few unlike sets share a posted shingle. A list entry holds the shingle's place in its
+set; lists are in order of size and place, in blocks that know their bounds, and whole blocks are skipped where what can lie
+before and behind the shingle leaves no room for a link. Frequencies and blocks change the work only, never the links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +21,13 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .components import components
-from .shared import drop_written, freed, keyed, tasks_for, tidy, written
+from .shared import drop_written, freed, tasks_for, written
+from .units import Cells, answers_of, in_units, opened, ranges_for, sketched
 
-FLUSH = 1 << 21
-#: Most shingles whose frequency is broadcast; more than these keep their place by hash.
-MOST_HEAVY = 1 << 17
-LEAST_HEAVY = 24
-LOW_SHARE = 0.2
-#: Bits of the filter that says which classes are worth sending on; a false hit costs time only.
-FILTER_BITS = 1 << 25
+HOT = 24  # documents from which a shingle's list is read by place only, see list_pairs()
+BLOCK = 64  # entries of a block of a list
+MINS = 4  # min-hashes of a set
+PAIRS = 200_000  # pairs that are looked at together
 
 
 class Sets:
@@ -47,7 +47,7 @@ class Sets:
                 doc.append(short)
         n = len(offsets) - 1
         values, doc = np.concatenate(values) if values else np.zeros(0, scan.U), np.concatenate(doc)
-        order = np.lexsort((values, doc))
+        order = scan.order_by(values, doc)
         values, doc = values[order], doc[order]
         keep = np.append(True, (values[1:] != values[:-1]) | (doc[1:] != doc[:-1]))[: len(values)]
         self.values, self.doc = values[keep], doc[keep]
@@ -68,106 +68,75 @@ class Sets:
         return [flat[i : i + 16] for i in range(0, len(flat), 16)]
 
 
-def describe(docs: DataFrame, size: int, carry: tuple[str, ...]) -> DataFrame:
-    """Per document its set's name, size and two min-hashes."""
-    names = ["doc_id", *carry, "n", "cid", "m1", "m2"]
+def describe(units: DataFrame, size: int) -> DataFrame:
+    """Per document its unit and place there, its set's name, size and min-hashes."""
+    names = ["unit", "at", "doc_id", "n", "cid", *(f"m{i}" for i in range(MINS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, offsets in scan.blocks(batch, "text"):
-                s = Sets(raw, offsets, size)
-                mins = [s.fold(scan.mix(s.values ^ np.uint64(salt)), np.minimum, 0).view(np.int64) for salt in (0x3C6EF372, 0x5BE0CD19)]
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", *carry)), pa.array(s.n.astype(np.int64)), pa.array(s.names(), pa.binary()), *map(pa.array, mins)], names)
+            for unit, data in zip(batch.column("unit").to_pylist(), batch.column("data"), strict=True):
+                at = 0
+                for rows, raw, offsets in scan.blocks(opened(data), "text"):
+                    s = Sets(raw, offsets, size)
+                    mins = [s.fold(scan.mix(s.values ^ scan.BYTE_VALUE[1][salt]), np.minimum, 0).view(np.int64) for salt in range(MINS)]
+                    place = [pa.array(np.full(len(rows), unit, np.int64)), pa.array(np.arange(at, at + len(rows), dtype=np.int32))]
+                    yield pa.RecordBatch.from_arrays([*place, rows.column("doc_id"), pa.array(s.n.astype(np.int64)), pa.array(s.names(), pa.binary()), *map(pa.array, mins)], names)
+                    at += len(rows)
 
-    return docs.select("doc_id", *carry, "text").mapInArrow(freed(run), "doc_id long, " + "".join(f"{c} long, " for c in carry) + "n long, cid binary, m1 long, m2 long")
+    return units.select("unit", "data").mapInArrow(freed(run), "unit long, at int, doc_id long, n long, cid binary" + "".join(f", m{i} long" for i in range(MINS)))
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """The shingles of LEAST_HEAVY documents or more, the most frequent last.
+def unit_sets(rows: pa.RecordBatch, size: int) -> Sets:
+    return Sets(*scan.text_buffer(rows.column("text")), size)
 
-    Prefixes are cut from the low end of the hashes, so all shingles there are counted; of the others, those that one flush
-    has many times. At most MOST_HEAVY come to the driver. What is missed keeps its place by hash.
-    """
-    low = int(2**64 * LOW_SHARE)
+
+def level(count: np.ndarray) -> np.ndarray:
+    """Eight steps for each doubling of a count."""
+    return np.minimum(8 * np.log2(np.maximum(count, 1)), 255).astype(np.uint8)
+
+
+def prefixes(units: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """id, prefix and n_cold: the rarest shingles of every class, rarest first, and how many of them are not HOT."""
+    ranges = ranges_for(units)
+    answers = written(sketched(units, lambda rows: [unit_sets(rows, size).values], ranges, level), "levels")
+    wanted = classes.groupBy("unit").agg(F.collect_list(F.struct("at", "id")).alias("wanted"))
+    hot = level(np.array([HOT]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted() -> Iterator[pa.RecordBatch]:
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            some = (value < np.uint64(low)) | (count >= 4)
-            value, count = value[some].view(np.int64), count[some].astype(np.int32)
-            for i in range(0, len(value), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(value[i : i + 100_000]), pa.array(count[i : i + 100_000])], ["token", "df"])
-
-        held, n = [], 0
         for batch in batches:
-            for _, raw, offsets in scan.blocks(batch, "text"):
-                held.append(Sets(raw, offsets, size).values)
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield from counted()
-                    held, n = [], 0
-        if n:
-            yield from counted()
-
-    counts = docs.select("text").mapInArrow(freed(run), "token long, df int").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= LEAST_HEAVY)
-    with tidy(docs.sparkSession):
-        found = counts.orderBy(F.desc("df"), "token").limit(MOST_HEAVY).toArrow()
-    return found.column("token").to_numpy().view(np.uint64)[::-1]
-
-
-def bit_filter(names: DataFrame) -> np.ndarray:
-    """A bitmap of the names' first bytes, FILTER_BITS / 8 bytes whatever their number."""
-    rows = names.select(F.conv(F.hex(F.substring("cid", 1, 4)), 16, 10).cast("long").alias("h")).select((F.col("h") % FILTER_BITS).alias("h"))
-    rows = rows.groupBy(F.shiftright("h", 15).alias("s")).agg(F.collect_set((F.col("h") % 32768).cast("short")).alias("bits"))  # 64 KB a row at most
-    out = np.zeros(FILTER_BITS, bool)
-    for batch in rows.toArrow().to_batches():
-        for s, bits in zip(batch.column("s").to_pylist(), batch.column("bits"), strict=True):
-            out[(s << 15) + bits.values.to_numpy().astype(np.int64)] = True
-    return np.packbits(out, bitorder="little")
-
-
-def chosen_sets(docs: DataFrame, classes: DataFrame, size: int, wanted: np.ndarray, heavy: np.ndarray | None, num: int, den: int) -> DataFrame:
-    """id, n, set (of the classes that the filter lets pass) and, if `heavy` is given, prefix: once per class."""
-    shared = docs.sparkSession.sparkContext.broadcast((wanted, heavy))
+            for data, answers, wanted in zip(batch.column("data"), batch.column("answers").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                s = unit_sets(opened(data), size)
+                levels = Cells(s.values, ranges).back(answers_of(answers, 0))
+                order = np.argsort(levels, kind="stable")  # by value within a level
+                order = order[scan.order_by(None, s.doc[order])]
+                ordered, cold = s.values[order], levels[order] < hot
+                length = s.n - -(-num * s.n // den) + 1
+                for i in range(0, len(wanted), 2000):
+                    ids, parts, n_cold = [], [], []
+                    for x in wanted[i : i + 2000]:
+                        at = slice(s.bounds[x["at"]], s.bounds[x["at"]] + length[x["at"]])
+                        ids.append(x["id"])
+                        parts.append(ordered[at].tobytes())
+                        n_cold.append(int(np.count_nonzero(cold[at])))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.binary()), pa.array(n_cold, pa.int64())], ["id", "prefix", "n_cold"])
+
+    return units.select("unit", "data").join(wanted, "unit").join(answers, "unit", "left").select("data", "answers", "wanted").mapInArrow(freed(run), "id long, prefix binary, n_cold long")
+
+
+def sets_of(units: DataFrame, classes: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, n and set of the classes whose id is among `ids`, taken from one document each."""
+    wanted = ids.distinct().join(classes, "id").groupBy("unit").agg(F.collect_list(F.struct("at", "id")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, heavy = shared.value
-        known = np.sort(heavy) if heavy is not None else None
-        rank = np.argsort(heavy) if heavy is not None else None
-        seen: set[bytes] = set()
         for batch in batches:
-            for _, raw, offsets in scan.blocks(batch, "text"):
-                s = Sets(raw, offsets, size)
-                names = s.names()
-                h = np.array([int.from_bytes(x[:4], "big") for x in names], np.int64) % FILTER_BITS
-                full = ((wanted[h >> 3] >> (h & 7).astype(np.uint8)) & 1).astype(bool) & (s.n > 0)
-                send = (full if heavy is None else s.n > 0).copy()
-                for d in np.flatnonzero(send):
-                    if names[d] in seen:
-                        send[d] = False
-                    seen.add(names[d])
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                pick = np.flatnonzero(send)
-                if not len(pick):
-                    continue
-                prefix: list = [None] * len(pick)
-                if heavy is not None:
-                    place = np.zeros(len(s.values), np.int64)
-                    if len(known):
-                        i = np.minimum(np.searchsorted(known, s.values), len(known) - 1)
-                        place = np.where(known[i] == s.values, rank[i] + 1, 0)
-                    order = np.lexsort((s.values, place, s.doc))
-                    ordered = s.values[order]
-                    length = s.n - -(-num * s.n // den) + 1
-                    prefix = [ordered[s.bounds[d] : s.bounds[d] + length[d]].tobytes() for d in pick]
-                sets = [s.values[s.bounds[d] : s.bounds[d + 1]].tobytes() if full[d] else None for d in pick]
-                for i in range(0, len(pick), 2000):
-                    j = slice(i, i + 2000)
-                    yield pa.RecordBatch.from_arrays([pa.array([names[d] for d in pick[j]], pa.binary()), pa.array(s.n[pick[j]].astype(np.int64)), pa.array(sets[j], pa.binary()), pa.array(prefix[j], pa.binary())], ["cid", "n", "set", "prefix"])
-
-    once = docs.select("text").mapInArrow(freed(run), "cid binary, n long, set binary, prefix binary").groupBy("cid").agg(F.first("set").alias("set"), F.first("prefix").alias("prefix"))
-    return once.join(classes.select("cid", "id", "n"), "cid").select("id", "n", "set", "prefix")
+            for data, wanted in zip(batch.column("data"), batch.column("wanted").to_pylist(), strict=True):
+                s = unit_sets(opened(data).take(pa.array([x["at"] for x in wanted])), size)
+                for i in range(0, len(wanted), 2000):
+                    j = range(i, min(i + 2000, len(wanted)))
+                    sets = [s.values[s.bounds[d] : s.bounds[d + 1]].tobytes() for d in j]
+                    yield pa.RecordBatch.from_arrays([pa.array([wanted[d]["id"] for d in j], pa.int64()), pa.array(s.n[j.start : j.stop].astype(np.int64)), pa.array(sets, pa.binary())], ["id", "n", "set"])
+
+    return written(units.select("unit", "data").join(wanted, "unit").select("data", "wanted").mapInArrow(freed(run), "id long, n long, set binary"), "chosen")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,7 +156,6 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 out[i] = (held[at] == v).sum()
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("na"), batch.column("nb"), pa.array(out)], ["a", "b", "na", "nb", "overlap"])
 
-    sets = sets.where("set is not null")
     one = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("set").alias("set_b"))
     two = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("set").alias("set_a"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "set_a", "set_b").mapInArrow(freed(run), "a long, b long, na long, nb long, overlap long")
@@ -205,57 +173,109 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 fill = lambda v, t, n=n: pa.array(np.full(n, v), t)
                 yield pa.RecordBatch.from_arrays([fill(batch.column("a")[i].as_py(), pa.int64()), fill(batch.column("b")[i].as_py(), pa.int64()), pa.array(np.arange(n) < len(gained)), pa.array(np.concatenate([gained, lost])), fill(len(gained), pa.int64()), fill(len(lost), pa.int64())], ["a", "b", "gain", "token", "gained", "lost"])
 
-    sets = sets.where("set is not null")
     one, two = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     return pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b").mapInArrow(freed(run), "a long, b long, gain boolean, token long, gained long, lost long")
 
 
-PAIR = ("n", "lo", "slack")
+PAIR = ("n", "lo", "slack", "n_hot")
+ENTRY = ("n", "lo", "hi", "pos", "most", "slack", "n_hot")
+
+
+def expanded(n: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k, 0), (k, 1) ... (k, n[k] - 1) for every k, in parts of about `most` pairs."""
+    total = np.append(0, np.cumsum(n))
+    at = 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        k = np.repeat(np.arange(at, to), n[at:to])
+        yield k, np.arange(len(k)) - (total[k] - total[at])
+        at = to
+
+
+class Lists:
+    """Whole lists, by token; within a list by size and place, in blocks of BLOCK entries with their bounds."""
+
+    def __init__(self, rows: pa.RecordBatch, num: int, den: int):
+        self.num, self.den = num, den
+        self.token, self.id, self.root = (rows.column(c).to_numpy() for c in ("token", "id", "root"))
+        self.n, self.lo, self.hi, self.pos, self.most, self.slack, self.n_hot = (rows.column(c).to_numpy().astype(np.int64) for c in ENTRY)
+        self.hot = rows.column("hot").to_numpy(zero_copy_only=False)
+        self.rest = self.n - self.pos - 1
+        total = len(self.token)
+        start = np.flatnonzero(np.append(True, self.token[1:] != self.token[:-1]))
+        size = np.diff(np.append(start, total))
+        blocks = -(-size // BLOCK)
+        of = np.repeat(np.arange(len(start)), blocks)
+        self.block_start = start[of] + BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        self.block_end = np.append(self.block_start[1:], total)
+        self.own = np.repeat(np.arange(len(of)), self.block_end - self.block_start)
+        self.last_block = np.cumsum(blocks)[of][self.own]
+        least, greatest = (lambda x, f=f: f.reduceat(x, self.block_start) for f in (np.minimum, np.maximum))
+        self.b_lo, self.b_hi, self.b_root = least(self.lo), greatest(self.hi), (least(self.root), greatest(self.root))
+        self.b_pos, self.b_rest, self.b_most, self.b_slack = (greatest(x) for x in (self.pos, self.rest, self.most, self.slack))
+
+    def room(self, k: np.ndarray, lo, hi, pos, rest, most, slack) -> np.ndarray:
+        """Whether entry k and one with these numbers may link.
+
+        A shingle at two places has at most the lesser number before it and behind it in common. If a hot one is the first that
+        two sets share, nothing is before it but what they don't post; if it isn't, they have met at the first.
+        """
+        before = np.where(self.hot[k], self.slack[k] + slack, np.minimum(self.pos[k], pos) + self.most[k] + most)
+        fits = (self.den + self.num) * (before + 1 + np.minimum(self.rest[k], rest)) >= self.num * (self.lo[k] + lo)
+        return fits & (self.den * self.hi[k] >= self.num * lo) & (self.den * hi >= self.num * self.lo[k])
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k, d in expanded(self.last_block - self.own, PAIRS):
+            b = self.own[k] + d
+            ok = (self.block_end[b] > k + 1) & ~((self.b_root[0][b] == self.root[k]) & (self.b_root[1][b] == self.root[k]))
+            k, b = k[ok], b[ok]
+            ok = self.room(k, self.b_lo[b], self.b_hi[b], self.b_pos[b], self.b_rest[b], self.b_most[b], self.b_slack[b])
+            k, b = k[ok], b[ok]
+            begin = np.maximum(k + 1, self.block_start[b])
+            for i, d in expanded(self.block_end[b] - begin, PAIRS):
+                x, y = k[i], begin[i] + d
+                ok = self.root[x] != self.root[y]
+                x, y = x[ok], y[ok]
+                ok = self.room(x, self.lo[y], self.hi[y], self.pos[y], self.rest[y], self.most[y], self.slack[y])
+                if ok.any():
+                    yield x[ok], y[ok]
 
 
 def list_pairs(entries: DataFrame, num: int, den: int, parts: int) -> DataFrame:
     """Candidate pairs (a, b) of entries that share posted shingles, hang below different roots, and may link.
 
-    Lists come sorted by least size, so for each entry the part of its list that is too large is skipped as a whole;
-    a list of any length goes through in blocks. A pair stays if the number of shingles that it shares in its prefixes
-    leaves room: beyond the prefix that ends first, only num/den of that set (less one) can be shared. `slack` is what
-    an entry does not post and what the classes below it have beyond it.
+    Shingles of HOT documents or more pair only where they can be the first that two sets share; the others, whose lists are
+    short, wherever their places leave room. A pair stays if the shingles found leave room: beyond the prefix that ends first
+    only num/den of that set (less one) can be shared, and of hot ones no more than either posts. `slack` is what an entry does not post and
+    what the classes below it (`most` at most) have beyond it.
     """
     columns = ["a", "b", "shared", *(f"{c}_{s}" for s in "ab" for c in PAIR)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            token, ids, lo, hi, root = (rows.column(c).to_numpy() for c in ("token", "id", "lo", "hi", "root"))
-            cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            cut = np.stack([cut[:-1], cut[1:]], 1)
-            left, right, n = [], [], 0
-            for i, j in cut[cut[:, 1] - cut[:, 0] > 1].tolist():
-                if (root[i:j] == root[i]).all():
-                    continue
-                to = i + np.searchsorted(lo[i:j], hi[i:j] * den // num, "right")
-                for k in range(i, j - 1):
-                    other = np.arange(k + 1, to[k - i])
-                    other = other[root[other] != root[k]]
-                    if len(other):
-                        left.append(np.full(len(other), k))
-                        right.append(other)
-                        n += len(other)
-                    if n > 100_000:
-                        yield made(rows, ids, left, right)
-                        left, right, n = [], [], 0
+        def pairs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            lists = Lists(rows, num, den)
+            found, n = [], 0
+            for x, y in lists.pairs():
+                found.append((x, y))
+                n += len(x)
+                if n >= PAIRS:
+                    yield made(lists, found)
+                    found, n = [], 0
             if n:
-                yield made(rows, ids, left, right)
+                yield made(lists, found)
 
-        def made(rows: pa.RecordBatch, ids: np.ndarray, left: list, right: list) -> pa.RecordBatch:
-            x, y = np.concatenate(left), np.concatenate(right)
+        def made(lists: Lists, found: list) -> pa.RecordBatch:
+            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+            ids = lists.id
             x, y = np.where(ids[x] < ids[y], x, y), np.where(ids[x] < ids[y], y, x)
             order = np.lexsort((ids[y], ids[x]))
             x, y = x[order], y[order]
             first = np.flatnonzero(np.append(True, (ids[x][1:] != ids[x][:-1]) | (ids[y][1:] != ids[y][:-1])))
-            shared = np.diff(np.append(first, len(x)))
+            shared = np.add.reduceat((~lists.hot[x]).astype(np.int32), first).astype(np.int32)
             x, y = x[first], y[first]
-            info = [pa.array(rows.column(c).to_numpy()[at]) for at in (x, y) for c in PAIR]
-            return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(shared.astype(np.int64)), *info], columns)
+            info = [pa.array(getattr(lists, c)[at].astype(np.int32)) for at in (x, y) for c in PAIR]
+            return pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(shared), *info], columns)
 
         held: list[pa.RecordBatch] = []
         n = 0
@@ -266,17 +286,19 @@ def list_pairs(entries: DataFrame, num: int, den: int, parts: int) -> DataFrame:
             if n >= 50_000 and held[0].column("token")[0].as_py() != token[-1]:
                 last = int(np.searchsorted(token, token[-1]))  # the last list may go on in the next batch
                 held.append(batch.slice(0, last))
-                yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                yield from pairs(held)
                 held, n, batch = [], 0, batch.slice(last)
             held.append(batch)
             n += len(batch)
         if held:
-            yield from pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield from pairs(held)
 
-    rows = entries.repartition(parts, "token").sortWithinPartitions("token", "lo").mapInArrow(freed(run), ", ".join(f"{c} {'int' if '_' in c else 'long'}" for c in columns))
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)) if num < den else F.col("n")
+    rows = entries.repartition(parts, "token").sortWithinPartitions("token", size, "pos")
+    rows = rows.mapInArrow(freed(run), ", ".join(f"{c} {'long' if c in 'ab' else 'int'}" for c in columns))
     pairs = rows.groupBy("a", "b").agg(F.sum("shared").alias("shared"), *(F.first(c).alias(c) for c in columns[3:]))
     beyond = f"greatest(ceil({num} * n_a / {den}), ceil({num} * n_b / {den})) - 1"
-    return pairs.where(f"{den + num} * (shared + {beyond} + slack_a + slack_b) >= {num} * (lo_a + lo_b)").select("a", "b")
+    return pairs.where(f"{den + num} * (shared + least(n_hot_a, n_hot_b) + {beyond} + slack_a + slack_b) >= {num} * (lo_a + lo_b)").select("a", "b")
 
 
 def entries_of(posted: DataFrame) -> DataFrame:
@@ -286,65 +308,82 @@ def entries_of(posted: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, len(batch), 500):
                 rows = batch.slice(i, 500)
-                own, slack = [], []
-                for p, q, more in zip(rows.column("prefix").to_pylist(), rows.column("hub_prefix").to_pylist(), rows.column("most").to_pylist(), strict=True):
+                own, places, slack, hot = [], [], [], []
+                for p, q, most, n_cold in zip(*(rows.column(c).to_pylist() for c in ("prefix", "hub_prefix", "most", "n_cold")), strict=True):
                     p = np.frombuffer(p, np.int64)
-                    own.append(p if q is None else p[~np.isin(p, np.frombuffer(q, np.int64))])
-                    slack.append(more + len(p) - len(own[-1]))
+                    at = np.arange(len(p)) if q is None else np.flatnonzero(~np.isin(p, np.frombuffer(q, np.int64)))
+                    own.append(p[at])
+                    places.append(at)
+                    slack.append(most + len(p) - len(at))
+                    hot.append(int((at >= n_cold).sum()))
                 n = np.repeat(np.arange(len(rows)), [len(p) for p in own])
-                small = [pa.array(x[n].astype(np.int32)) for x in (*(rows.column(c).to_numpy() for c in ("n", "lo", "hi")), np.array(slack))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), rows.column("id").take(pa.array(n)), rows.column("root").take(pa.array(n)), *small], ["token", "id", "root", "n", "lo", "hi", "slack"])
+                place = np.concatenate(places)
+                numbers = {c: rows.column(c).to_numpy()[n] for c in ("n", "lo", "hi", "most")} | {"pos": place, "slack": np.array(slack)[n], "n_hot": np.array(hot)[n]}
+                small = [pa.array(numbers[c].astype(np.int32)) for c in ENTRY]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), rows.column("id").take(pa.array(n)), rows.column("root").take(pa.array(n)), *small, pa.array(place >= rows.column("n_cold").to_numpy()[n])], ["token", "id", "root", *ENTRY, "hot"])
 
-    return posted.select("prefix", "hub_prefix", "id", "root", "n", "lo", "hi", "most").mapInArrow(freed(run), "token long, id long, root long, n int, lo int, hi int, slack int")
+    return posted.select("prefix", "hub_prefix", "n_cold", "id", "root", "n", "lo", "hi", "most").mapInArrow(freed(run), "token long, id long, root long, " + "".join(f"{c} int, " for c in ENTRY) + "hot boolean")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, component_id, group_id and the (long) columns to carry: per row of `docs`, in no order.
+def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id and group_id: per row of `docs`, in no order.
 
     Shingles are `size` words, A-Z lower-cased; a text of fewer words is one shingle; a text without words (or null) has
     the empty set, n_shingles 0, and is a component of its own. Sets link when den * |x & y| >= num * |x | y|;
     component_id is the least doc_id that links lead to. Rows that share a doc_id and equal texts are
     members like any other; a null doc_id never is the least unless no other is there. group_id numbers the groups (null: none).
     """
-    docs = docs.select("doc_id", *carry, "text")
-    parts = tasks_for(docs, 16)
-    table = written(describe(docs, size, carry), "sets")
-    classes = table.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
-    classes = written(written(classes, "classes").withColumn("id", F.monotonically_increasing_id()), "classes")  # written with their numbers, so these stay
-    heavy = frequent_shingles(docs, size)
+    return grouped(in_units(docs, "doc_id"), size, num, den).drop("unit", "at")
+
+
+def grouped(units: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """unit, at, doc_id, n_shingles, component_id and group_id of near_duplicates(), for documents in units."""
+    parts = tasks_for(units, 4)
+    table = written(describe(units, size), "sets")
+    classes = table.where("n > 0").groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", *(f"m{i}" for i in range(MINS)))), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("unit", "at")).alias("place"))
+    classes = written(classes.select("*", "place.*").drop("place").withColumn("id", F.monotonically_increasing_id()), "classes")  # written with their numbers, so these stay
 
-    def sets_of(ids: DataFrame, with_prefix: bool = False) -> DataFrame:
-        wanted = bit_filter(ids.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id"))
-        return written(chosen_sets(docs, classes, size, wanted, heavy if with_prefix else None, num, den), "chosen")
+    def both_sets(pairs: DataFrame) -> DataFrame:
+        return sets_of(units, classes, pairs.select(F.explode(F.array("a", "b")).alias("id")), size)
 
     # Relations: each class and the hub (the one with most copies) of its min-hash buckets, where the sizes can link.
     is_link = f"{den + num} * overlap >= {num} * (na + nb)"
     can_link = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
     one = F.col("id").alias("b"), F.col("n").alias("nb")
-    hubs = {m: classes.groupBy(m).agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("copies", -F.col("id"))).alias("hub"), F.count("*").alias("k")).where("k > 1").select(m, "hub.*") for m in ("m1", "m2")}
+    minima = [f"m{i}" for i in range(MINS)]
+    hubs = {m: classes.groupBy(m).agg(F.max_by(F.struct(F.col("id").alias("a"), F.col("n").alias("na")), F.struct("copies", -F.col("id"))).alias("hub"), F.count("*").alias("k")).where("k > 1").select(m, "hub.*") for m in minima}
     stars = {m: classes.join(hub, m).select("a", "na", *one).where(f"a <> b and {can_link}").select("a", "b") for m, hub in hubs.items()}
-    all_stars = written(stars["m1"].withColumn("first", F.lit(True)).union(stars["m2"].withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first")), "stars")
-    sets = sets_of(all_stars.select("a", "b"), True)
+    all_stars = written(stars["m0"].withColumn("first", F.lit(True)).union(stars["m1"].withColumn("first", F.lit(False))).groupBy("a", "b").agg(F.max("first").alias("first")), "stars")
+    sets = both_sets(all_stars)
     near_hub = written(verified(all_stars.select("a", "b"), sets).join(all_stars, ["a", "b"]), "near_hub")
     # A hub chosen blindly may stand at the edge of its group; what is most like it stands nearer to the middle.
     middle = near_hub.where("first").groupBy("a").agg(F.max_by(F.struct(F.col("b").alias("c"), F.col("nb").alias("nc")), F.struct(F.col("overlap") / (F.col("na") + F.col("nb")), -F.col("b"))).alias("m")).select("a", "m.*")
     again = near_hub.where(f"first and not ({is_link})").join(middle, "a").where(f"b <> c and {den} * least(nb, nc) >= {num} * greatest(nb, nc)").select(F.col("c").alias("a"), "b")
     near_middle = written(verified(again, sets), "near_middle")
     linked = written(near_hub.where(is_link).select("a", "b", "na", "nb", "overlap", "first").unionByName(near_middle.where(is_link).withColumn("first", F.lit(True))), "linked")
-    roots = components(linked)
+    drop_written(sets)
+    # The hubs of the other minima bring together what these have left apart.
+    root = components(linked).select(F.col("node").alias("id"), "root")
+    for m in minima[2:]:
+        apart = stars[m].join(root.select(F.col("id").alias("a"), F.col("root").alias("root_a")), "a", "left").join(root.select(F.col("id").alias("b"), F.col("root").alias("root_b")), "b", "left")
+        apart = written(apart.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "apart")
+        more = written(verified(apart, both_sets(apart)).where(is_link).select("a", "b", "na", "nb", "overlap").withColumn("first", F.lit(False)), "more")
+        linked = linked.unionByName(more)
+        root = components(linked).select(F.col("node").alias("id"), "root")
     # One hub per class: its bucket's hub if they link, else the bucket's middle. What a class has beyond its hub adds up along the way.
     tree = linked.where("first").groupBy(F.col("b").alias("id")).agg(F.min_by(F.struct(F.col("a").alias("hub"), (F.col("nb") - F.col("overlap")).alias("more")), "a").alias("h")).select("id", "h.*")
     tree = written(tree, "tree")
     below = written(descendants(tree, classes.select("id", "n")), "below")  # hub, id, n, more: every class under each hub
     span = below.groupBy(F.col("hub").alias("id")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("more").alias("most"))
-    info = tree.select("id", "hub").join(roots.select(F.col("node").alias("id"), "root"), "id", "full").join(span, "id", "full")
-    posting = sets.where("set is not null").select(F.col("id").alias("hub"), F.col("prefix").alias("hub_prefix"))
-    posted = sets.select("id", "n", "prefix").join(info, "id", "left").select("id", "n", "prefix", "hub", F.coalesce("root", "id").alias("root"), F.least("n", "lo").alias("lo"), F.greatest("n", "hi").alias("hi"), F.coalesce("most", F.lit(0)).alias("most"))
+    info = tree.select("id", "hub").join(root, "id", "full").join(span, "id", "full")
+    first = written(prefixes(units, classes, size, num, den), "prefixes")
+    posting = first.select(F.col("id").alias("hub"), F.col("prefix").alias("hub_prefix"))
+    posted = first.join(classes.select("id", "n"), "id").join(info, "id", "left").select("id", "n", "n_cold", "prefix", "hub", F.coalesce("root", "id").alias("root"), F.least("n", "lo").alias("lo"), F.greatest("n", "hi").alias("hi"), F.coalesce("most", F.lit(0)).alias("most"))
     members = posted.where("hub is not null").join(posting, "hub")
     posted = posted.where("hub is null").withColumn("hub_prefix", F.lit(None).cast("binary")).unionByName(members)
     pairs = written(list_pairs(entries_of(posted), num, den, parts), "pairs")
-    drop_written(sets)
-    more_sets = sets_of(pairs)
+    drop_written(first)
+    more_sets = both_sets(pairs)
     checked = written(verified(pairs, more_sets), "checked")
     drop_written(more_sets)
     links = linked.select("a", "b").union(checked.where(is_link).select("a", "b"))
@@ -364,7 +403,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     wide = hub_misses(misses).join(lower, "b").where(f"{den + num} * (overlap + most_a + more_y) >= {num} * (lo_a + ny)").select("a", F.col("y").alias("b"))
     wide = written(wide.distinct(), "wide")
     if not wide.isEmpty():
-        wide_sets = sets_of(wide)
+        wide_sets = both_sets(wide)
         seen = written(verified(wide, wide_sets), "seen")
         drop_written(wide_sets)
         links = links.union(seen.where(is_link).select("a", "b"))
@@ -372,16 +411,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, num: int = 85, den: int = 10
     near = written(hub_misses(misses).where(f"{den + num} * (overlap + most_a) >= {num} * (lo_a + nb)").select("a", "b").distinct(), "near")
     if not near.isEmpty():
         own = below.join(near.select(F.col("a").alias("hub")).distinct(), "hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
-        both_sets = sets_of(near.union(own).distinct())
-        left, right = differences(near, both_sets), differences(own, both_sets).where("gain or lost > gained")
+        these = both_sets(near.union(own))
+        left, right = differences(near, these), differences(own, these).where("gain or lost > gained")
         derived = left.select("a", "gain", "token", "b").join(right.select("a", "gain", "token", F.col("b").alias("y")), ["a", "gain", "token"]).where("b <> y")
         derived = written(derived.select(F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "derived")
-        links = links.union(verified(derived, both_sets).where(is_link).select("a", "b"))
+        links = links.union(verified(derived, these).where(is_link).select("a", "b"))
     roots = components(links)
     label = classes.select("cid", "id", "least").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     label = label.join(label.groupBy("root").agg(F.min("least").alias("component")), "root").select("cid", "component", "root")
     out = table.join(label, "cid", "left")
-    return out.select("doc_id", *carry, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("root").alias("group_id"))
+    return out.select("unit", "at", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.col("root").alias("group_id"))
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -390,12 +429,17 @@ def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     Texts without words are in no group and all stay.
     """
     names = docs.columns
-    rows = keyed(docs, *names)
-    groups = near_duplicates(rows.select("doc_id", "text", "rk_f", "rk_r"), size, num, den, ("rk_f", "rk_r"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rk_f", "rk_r")
-    stay = groups.where("n_shingles > 0").groupBy("group_id").agg(F.min(place).alias("p")).select("p.rk_f", "p.rk_r")
-    stay = stay.unionByName(groups.where("n_shingles = 0").select("rk_f", "rk_r"))
-    return rows.join(stay, ["rk_f", "rk_r"]).select(*names)
+    units = in_units(docs, *(c for c in names if c != "text"))
+    groups = grouped(units, size, num, den)
+    stay = groups.where("n_shingles > 0").groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "unit", "at")).alias("p")).select("p.unit", "p.at")
+    stay = stay.unionByName(groups.where("n_shingles = 0").select("unit", "at")).groupBy("unit").agg(F.collect_list("at").alias("stay"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, stay in zip(batch.column("data"), batch.column("stay").to_pylist(), strict=True):
+                yield opened(data).select(names).take(pa.array(sorted(stay)))
+
+    return units.join(stay, "unit").select("data", "stay").mapInArrow(freed(run), docs.schema)
 
 
 def descendants(tree: DataFrame, sizes: DataFrame) -> DataFrame:
