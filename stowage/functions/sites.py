@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .bits import c
 
-#: Frames of allocators, tested on lower-cased text.
-ALLOCATORS = r"malloc|calloc|realloc|memalign|operator new|_gfortran|vg_replace"
+#: Frames of allocators and loaders, tested on lower-cased text.
+ALLOCATORS = r"malloc|calloc|realloc|free|operator new|operator delete|libgfortran|libstdc\+\+|ld-2\.|dl-init|\?\?\?"
 #: The shorter list of the tracer.
 TRACER_ALLOCATORS = r"malloc|calloc|realloc|memalign|operator new|_gfortran"
 

@@ -40,9 +40,9 @@ def silent_stores(t: DataFrame) -> DataFrame:
     return out.withColumn("silent_frac", r9(b.ratio("silent", "stores_with_prev")))
 
 
-def buffer_silent(t: DataFrame) -> DataFrame:
+def buffer_silent(t: DataFrame, keep_all: bool = False) -> DataFrame:
     out = with_previous(t.select(*CELL, "alloc_type", "alloc_size", "value", "rn")).groupBy(*BUFFER).agg(F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size"), F.count("*").alias("stores"), F.count("prev").alias("pairs"), F.count_if(F.col("prev") == F.col("value")).alias("silent"))
-    return out.where("pairs > 0").withColumn("silent_frac", r9(b.ratio("silent", "pairs")))
+    return (out if keep_all else out.where("pairs > 0")).withColumn("silent_frac", r9(b.ratio("silent", "pairs")))
 
 
 def bit_patterns(t: DataFrame) -> DataFrame:
@@ -64,11 +64,11 @@ def write_concentration(t: DataFrame, shares: tuple[int, ...] = (50, 80, 90, 95,
 
 
 def block_extents(t: DataFrame, size: int) -> DataFrame:
-    """Exponent extent and count of every block of `size` cells of a buffer in offset order (last values, rank // size)."""
+    """Exponent extent and number (n) of the normal values of every block of `size` cells of a buffer in offset order (last values, rank // size)."""
     cells = snapshot(t)
     index = ranked(cells, BUFFER, "offset")
     x = b.normal_exp("alloc_type", "value")
-    return index.groupBy(*BUFFER, F.floor(F.col("idx") / size).alias("block")).agg(F.min("alloc_type").alias("alloc_type"), F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    return index.groupBy(*BUFFER, F.floor(F.col("idx") / size).alias("block")).agg(F.min("alloc_type").alias("alloc_type"), F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
 
 
 def ranked(cells: DataFrame, key: tuple[str, ...], order: str, bits: int = RANGE_BITS) -> DataFrame:
@@ -86,30 +86,32 @@ def rolled(blocks: DataFrame, factor: int) -> DataFrame:
 
 
 def mx_feasibility(t: DataFrame, block: int = 32, spread: int = 8) -> DataFrame:
+    """A block of fewer than two normal values fits, and has no part in the mean and the median."""
     s = F.col("hi") - F.col("lo")
-    fits = F.coalesce(s <= spread, F.lit(True))  # a block without a normal value has nothing to scale
-    return block_extents(t, block).groupBy(*TYPED).agg(F.count("*").alias("blocks"), F.count_if(fits).alias("viable_blocks"), r9(F.count_if(fits) / F.count("*")).alias("viable_frac"), r9(F.sum(s) / F.count(s)).alias("mean_spread"), F.percentile(s, 0.5).alias("median_spread"), F.max(s).alias("max_spread"))
+    fits, wide = (F.col("n") < 2) | (s <= spread), F.when(F.col("n") >= 2, s)
+    return block_extents(t, block).groupBy(*TYPED).agg(F.count("*").alias("blocks"), F.count_if(fits).alias("viable_blocks"), b.share(fits).alias("viable_frac"), r9(F.sum(wide) / F.count(wide)).alias("mean_spread"), F.percentile(wide, 0.5).alias("median_spread"), F.max(s).alias("max_spread"))
 
 
 def mx_block_sweep(t: DataFrame, sizes: tuple[int, ...] = (8, 16, 32, 64, 128)) -> DataFrame:
-    """One ranking at the smallest size; larger blocks are merged from smaller ones."""
+    """One ranking at the smallest size; larger blocks are merged from smaller ones. Shares of blocks, as mx_feasibility() judges them."""
     s = F.col("hi") - F.col("lo")
+    small, wide = F.col("n") < 2, F.when(F.col("n") >= 2, s)
     base, out = block_extents(t, sizes[0]), None
     for size in sizes:
         blocks = base if size == sizes[0] else rolled(base, size // sizes[0])
-        part = blocks.groupBy(*TYPED).agg(F.count("*").alias("blocks"), F.count_if(F.coalesce(s <= 4, F.lit(True))).alias("viable_spread4"), F.count_if(F.coalesce(s <= 8, F.lit(True))).alias("viable_spread8"), r9(F.sum(s) / F.count(s)).alias("mean_spread")).withColumn("block_size", F.lit(size))
+        part = blocks.groupBy(*TYPED).agg(F.count("*").alias("blocks"), b.share(small | (s <= 4)).alias("viable_spread4"), b.share(small | (s <= 8)).alias("viable_spread8"), r9(F.sum(wide) / F.count(wide)).alias("mean_spread")).withColumn("block_size", F.lit(size))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def mx_scale_sharing(t: DataFrame, sizes: tuple[int, ...] = (16, 32, 64)) -> DataFrame:
-    """How far the blocks of a buffer share their scale (largest exponent)."""
+    """Different scales (largest exponents) per block of a buffer: small where blocks share them. Blocks without a normal value have no scale."""
     base, out = block_extents(t, sizes[0]), None
     for size in sizes:
         blocks = (base if size == sizes[0] else rolled(base, size // sizes[0])).where("hi is not null")
         own = blocks.groupBy(*BUFFER).agg(F.min("alloc_type").alias("alloc_type"), F.count("*").alias("k"), F.count_distinct("hi").alias("d"))
-        shared = 1 - F.col("d") / F.col("k")
-        part = own.groupBy(*TYPED).agg(F.sum("k").alias("blocks"), F.sum("d").alias("distinct_scales_total"), r9(1 - F.sum("d") / F.sum("k")).alias("overall_scale_share"), r9(F.avg(shared)).alias("mean_buffer_share"), r9(F.percentile(shared, 0.5)).alias("median_buffer_share")).withColumn("block_size", F.lit(size))
+        shared = F.col("d") / F.col("k")
+        part = own.groupBy(*TYPED).agg(F.sum("k").alias("blocks"), F.sum("d").alias("distinct_scales_total"), r9(F.sum("d") / F.sum("k")).alias("overall_scale_share"), r9(F.avg(shared)).alias("mean_buffer_share"), r9(F.percentile(shared, 0.5)).alias("median_buffer_share")).withColumn("block_size", F.lit(size))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -139,14 +141,14 @@ def hot_offsets(t: DataFrame, buffers: int = 10, offsets: int = 5) -> DataFrame:
     rows = cells.join(chosen, list(BUFFER))
     rank = F.row_number().over(Window.partitionBy(*BUFFER).orderBy(F.desc("writes"), "offset"))
     rows = rows.withColumn("_r", rank).where(F.col("_r") <= offsets)
-    return rows.select("bench", "alloc_addr", "generation", "alloc_type", "alloc_size", "offset", "writes", r9(F.col("writes") / F.col("all")).alias("pct_of_buffer"), r9(F.col("writes") / F.col("bench_all")).alias("pct_of_bench"))
+    return rows.select("bench", "alloc_addr", "generation", "alloc_type", "alloc_size", "offset", "writes", r9(100 * F.col("writes") / F.col("all")).alias("pct_of_buffer"), r9(100 * F.col("writes") / F.col("bench_all")).alias("pct_of_bench"))
 
 
 def spatial_delta(t: DataFrame) -> DataFrame:
-    """Neighbouring cells of a buffer, last values."""
+    """Neighbouring cells of a buffer, last values: how many bits differ (up to 8, up to 16), and the bits of the numeric difference."""
     pairs = previous(snapshot(t), BUFFER, ("offset",), "value", "prev").where("prev is not null")
-    d = b.log_delta("value", "prev")
-    return pairs.groupBy(*TYPED).agg(F.count("*").alias("pairs"), F.count_if(F.col("value") == F.col("prev")).alias("bit_identical"), F.count_if(d <= 8).alias("delta_le_8b"), F.count_if(d <= 16).alias("delta_le_16b"), r9(F.sum(b.hamming("alloc_type", "value", "prev")) / F.count("*")).alias("mean_hamming"), r9(F.sum(d) / F.count("*")).alias("mean_log_delta"))
+    d, h = b.log_delta("value", "prev"), b.hamming("alloc_type", "value", "prev")
+    return pairs.groupBy(*TYPED).agg(F.count("*").alias("pairs"), F.count_if(F.col("value") == F.col("prev")).alias("bit_identical"), F.count_if(h <= 8).alias("delta_le_8b"), F.count_if(h <= 16).alias("delta_le_16b"), r9(F.sum(h) / F.count("*")).alias("mean_hamming"), r9(F.sum(d) / F.count("*")).alias("mean_log_delta"))
 
 
 def stacks_of_buffers(t: DataFrame) -> DataFrame:
@@ -159,19 +161,20 @@ def by_site(per_buffer: DataFrame, t: DataFrame, *aggregates: Column) -> DataFra
 
 
 def site_silent(t: DataFrame, k: int = 20, min_pairs: int = 1000) -> DataFrame:
-    sites = by_site(buffer_silent(t.where(FP)), t, F.sum("stores").alias("stores"), F.sum("pairs").alias("pairs"), F.sum("silent").alias("silent")).where(F.col("pairs") >= min_pairs)
+    """Stores of all types; buffers whose stores never meet a value count with their stores."""
+    sites = by_site(buffer_silent(t, keep_all=True), t, F.sum("stores").alias("stores"), F.sum("pairs").alias("pairs"), F.sum("silent").alias("silent")).where((F.col("pairs") >= min_pairs) & (F.col("site") != ""))
     sites = top(sites, k, "bench", F.desc("pairs"), "site")
     return sites.withColumn("silent_frac", r9(b.ratio("silent", "pairs")))
 
 
 def outlier_channels(t: DataFrame, q: float = 0.999, k: int = 20, least: int = 1000, exact: bool = True) -> DataFrame:
-    """Per stack, stores whose magnitude reaches the q quantile and the offsets they are at; added up by site.
+    """Per stack and type, stores other than zero whose magnitude reaches the q quantile and the offsets they are at; added up by site.
 
     exact: the quantile is the value at rank ceil(q * n), found on counts of values, and offsets are counted one by one;
     otherwise both are sketches of bounded size.
     """
-    rows = t.where(FP).select("bench", "alloc_stack", "offset", b.magnitude("alloc_type", "value").alias("x"))
-    key = ["bench", "alloc_stack"]
+    key = [*TYPED, "alloc_stack"]
+    rows = t.where(FP).where("value <> 0").select(*key, "offset", b.magnitude("alloc_type", "value").alias("x"))
     if exact:
         each = rows.groupBy(*key, "x").agg(F.count("*").alias("m"))
         each = each.withColumns({"upto": F.sum("m").over(Window.partitionBy(*key).orderBy("x")), "n": F.sum("m").over(Window.partitionBy(*key))})
@@ -182,19 +185,25 @@ def outlier_channels(t: DataFrame, q: float = 0.999, k: int = 20, least: int = 1
         distinct = F.approx_count_distinct
     out = F.when(F.col("x") >= F.col("edge"), F.col("offset"))
     per_stack = rows.join(edge, key).groupBy(*key).agg(F.count("*").alias("total"), F.count(out).alias("n_outlier_999"), distinct("offset").alias("distinct_offsets"), distinct(out).alias("outlier_offsets"))
-    sites = per_stack.groupBy("bench", alloc_site("alloc_stack").alias("site")).agg(*(F.sum(x).alias(x) for x in ("total", "n_outlier_999", "distinct_offsets", "outlier_offsets"))).where(F.col("total") >= least)
-    sites = top(sites, k, "bench", F.desc("total"), "site")
+    sites = per_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(*(F.sum(x).alias(x) for x in ("total", "n_outlier_999", "distinct_offsets", "outlier_offsets"))).where((F.col("total") >= least) & (F.col("site") != ""))
+    sites = top(sites, k, "bench", F.desc("total"), "alloc_type", "site")
     return sites.withColumn("channel_frac", r9(b.ratio("outlier_offsets", "distinct_offsets")))
 
 
 def exponent_stability(t: DataFrame, k: int = 20, least: int = 100, exact: bool = True) -> DataFrame:
-    x = b.normal_exp("alloc_type", "value")
-    cells = t.where(FP).groupBy(*CELL).agg(F.count(x).alias("n"), (F.max(x) - F.min(x)).alias("range")).where("n >= 2")
-    cells = cells.join(stacks_of_buffers(t), list(BUFFER)).groupBy("bench", "alloc_stack", "range").agg(F.count("*").alias("m"))
-    sites = cells.groupBy("bench", alloc_site("alloc_stack").alias("site"), "range").agg(F.sum("m").alias("m"))
-    q = (lambda p: F.percentile("range", p, F.col("m"))) if exact else (lambda p: F.percentile_approx(F.col("range"), p))
-    out = sites.groupBy("bench", "site").agg(F.sum("m").alias("distinct_offsets"), r9(F.sum(F.when(F.col("range") == 0, F.col("m")).otherwise(0)) / F.sum("m")).alias("frac_constant_exp"), r9(F.sum(F.col("range") * F.col("m")) / F.sum("m")).alias("mean_exp_range"), q(0.5).alias("median_exp_range"), q(0.95).alias("p95_exp_range")).where(F.col("distinct_offsets") >= least)
-    return top(out, k, "bench", F.desc("distinct_offsets"), "site")
+    """Exponent ranges of the cells with two normal values or more; of a site, the mean of its stacks' medians and the largest of their 95th percentiles.
+
+    exact: percentiles are interpolated, on counts of ranges; otherwise they are sketches.
+    """
+    x, r, m = b.normal_exp("alloc_type", "value"), F.col("range"), F.col("m")
+    cells = t.where(FP).groupBy(*CELL, "alloc_type").agg(F.count(x).alias("n"), (F.max(x) - F.min(x)).alias("range")).where("n >= 2")
+    cells = cells.join(stacks_of_buffers(t), list(BUFFER)).groupBy(*TYPED, "alloc_stack", "range").agg(F.count("*").alias("m"))
+    q = (lambda p: F.percentile("range", p, m)) if exact else (lambda p: F.percentile_approx(r, p))
+    stacks = cells.groupBy(*TYPED, "alloc_stack").agg(F.sum("m").alias("n"), F.sum(F.when(r == 0, m).otherwise(0)).alias("same"), F.sum(r * m).alias("ranges"), q(0.5).alias("median"), q(0.95).alias("p95"))
+    out = stacks.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(
+        F.sum("n").alias("distinct_offsets"), r9(F.sum("same") / F.sum("n")).alias("frac_constant_exp"), r9(F.sum("ranges") / F.sum("n")).alias("mean_exp_range"), r9(F.avg("median")).alias("median_exp_range"), r9(F.max("p95")).alias("p95_exp_range")
+    )
+    return top(out.where((F.col("distinct_offsets") >= least) & (F.col("site") != "")), k, "bench", F.desc("distinct_offsets"), "alloc_type", "site")
 
 
 def cacheline_homogeneity(t: DataFrame) -> DataFrame:

@@ -129,17 +129,38 @@ def heap_metrics(nodes: DataFrame) -> DataFrame:
     return nodes.select("prefix", r9(b.ratio("tb", "tbk")).alias("avg_size"), r9(b.ratio("tl", "tbk")).alias("avg_lifetime"), r9(b.ratio("rb", "tb")).alias("reads_per_byte"), r9(b.ratio("wb", "tb")).alias("writes_per_byte"))
 
 
-def heap_presets(total: dict[str, float]) -> dict[str, Column]:
-    """name -> condition of a significant node. The thresholds."""
-    of = lambda c, p: F.col(c) >= p / 100 * total[c]
-    per = lambda a, x: b.ratio(a, x)
-    some = of("tb", 0.5)
+def heap_presets(total: dict[str, float], short_lived: float) -> dict[str, Column]:
+    """name -> condition of a significant node, by the totals of the profile and its bound of a short life. The thresholds."""
+    of = lambda c, p: F.col(c) >= p * total[c]
+    per = lambda a, x, test: F.coalesce(test(b.ratio(a, x)), F.lit(False))
+    read, wrote = F.col("rb") != 0, F.col("wb") != 0
+    low = per("rb", "tb", lambda x: x <= 0.4) | per("wb", "tb", lambda x: x <= 0.4)
+    high = per("rb", "tb", lambda x: x >= 1000) | per("wb", "tb", lambda x: x >= 1000)
     return {
-        "total_bytes": of("tb", 1), "total_blocks": of("tbk", 1), "tiny": of("tbk", 1) & (per("tb", "tbk") <= 16), "short_lived": of("tb", 1) & (per("tl", "tbk") <= 500),
-        "zero_reads_or_writes": some & ((F.col("rb") == 0) | (F.col("wb") == 0)), "zero_reads": some & (F.col("rb") == 0), "zero_writes": some & (F.col("wb") == 0),
-        "low_reads": some & (F.col("rb") > 0) & (per("rb", "tb") <= 0.4), "low_writes": some & (F.col("wb") > 0) & (per("wb", "tb") <= 0.4),
-        "high_reads": some & (per("rb", "tb") >= 1000), "high_writes": some & (per("wb", "tb") >= 1000), "at_peak": of("gb", 1), "at_end": of("eb", 1), "total_reads": of("rb", 1),
-    }
+        "total_bytes": of("tb", 0.01),
+        "total_blocks": of("tbk", 0.01),
+        "total_blocks_tiny": of("tbk", 0.005) & per("tb", "tbk", lambda x: x <= 16),
+        "total_blocks_short_lived": of("tbk", 0.005) & per("tl", "tbk", lambda x: x <= short_lived),
+        "total_bytes_zero_reads_or_writes": of("tb", 0.005) & ~(read & wrote),
+        "total_blocks_zero_reads_or_writes": of("tbk", 0.005) & ~(read & wrote),
+        "total_bytes_low_access": of("tb", 0.005) & read & wrote & low,
+        "total_blocks_low_access": of("tbk", 0.005) & read & wrote & low,
+        "at_peak_bytes": of("gb", 0.01),
+        "at_end_bytes": of("eb", 0.01),
+        "reads_bytes": of("rb", 0.01),
+        "reads_bytes_high_access": of("rb", 0.005) & high,
+        "writes_bytes": of("wb", 0.01),
+        "writes_bytes_high_access": of("wb", 0.005) & high,
+    }
+
+
+def heap_preset_nodes(points: DataFrame, counters: list[str], short_lived: float) -> DataFrame:
+    """preset, prefix: the significant nodes of every preset, without their ancestors."""
+    total = points.agg(*(F.sum(c).alias(c) for c in counters)).first().asDict()
+    presets = heap_presets({c: n or 0 for c, n in total.items()}, short_lived)
+    tree = heap_prefix_tree(points, counters)
+    names = F.filter(F.array(*(F.when(condition, F.lit(name)) for name, condition in presets.items())), lambda x: x.isNotNull())
+    return tree.select(F.explode(names).alias("preset"), "prefix")
 
 
 def heap_significant(tree: DataFrame, condition: Column) -> DataFrame:

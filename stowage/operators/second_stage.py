@@ -104,21 +104,21 @@ def exp_bits_histogram(sites: DataFrame) -> DataFrame:
 
 
 def residual_class_share(classes: DataFrame) -> DataFrame:
-    """Of 64-bit stores."""
+    """What the classes of 64-bit stores leave, per type."""
     known = sum((F.coalesce(f"frac_{n}_f64", F.lit(0.0)) for n in ("normal", "subnormal", "inf_nan")), F.lit(0.0))
-    return classes.select("bench", r9(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - known))).alias("other"))
+    return classes.select("bench", "alloc_type", r9(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - known))).alias("other"))
 
 
 def scaling_granularity(stability: DataFrame) -> DataFrame:
     """D17"""
     x = F.col("frac_constant_exp")
-    return stability.select("bench", "site", F.when(x >= 0.8, "per-channel").when(x <= 0.2, "per-token").otherwise("mixed").alias("granularity"))
+    return stability.select("bench", "alloc_type", "site", F.when(x >= 0.8, "per-channel").when(x <= 0.2, "per-token").otherwise("mixed").alias("granularity"))
 
 
 def outlier_scaling_class(channels: DataFrame) -> DataFrame:
     """D18"""
     x = F.col("channel_frac")
-    return channels.select("bench", "site", F.when(x <= 0.05, "per-channel").when(x >= 0.5, "per-tensor").otherwise("mixed").alias("scaling"))
+    return channels.select("bench", "alloc_type", "site", F.when(x <= 0.05, "per-channel").when(x >= 0.5, "per-tensor").otherwise("mixed").alias("scaling"))
 
 
 def dominant_site_share(profile: DataFrame) -> DataFrame:
@@ -135,7 +135,8 @@ def single_slot_share(lines: DataFrame, within_total: bool = True) -> DataFrame:
 
 def class_fractions(counts: DataFrame, *columns: str) -> DataFrame:
     """D21"""
-    return counts.select("bench", *(r9(F.col(c) / F.greatest(F.col("total"), F.lit(1))).alias(c) for c in columns), F.row_number().over(Window.partitionBy().orderBy(F.desc("total"), "bench")).alias("rank"))
+    key = [c for c in ("bench", "alloc_type") if c in counts.columns]
+    return counts.select(*key, *(r9(F.col(c) / F.greatest(F.col("total"), F.lit(1))).alias(c) for c in columns), F.row_number().over(Window.partitionBy().orderBy(F.desc("total"), *key)).alias("rank"))
 
 
 def delta_bands(deltas: DataFrame) -> DataFrame:
@@ -145,28 +146,32 @@ def delta_bands(deltas: DataFrame) -> DataFrame:
     return deltas.select("bench", "alloc_type", part(i).alias("identical"), part(e - i).alias("within_8b"), part(s - e).alias("within_16b"), part(F.col("pairs") - s).alias("beyond"))
 
 
-def silent_energy_sweep(buffers: DataFrame, thresholds: tuple[float, ...] = tuple(i / 20 for i in range(19)), ratios: tuple[int, ...] = (2, 5, 10)) -> DataFrame:
-    """Net saving (S * k - C) / (T * k) if buffers with a silent share of t or more are checked before every store.
+#: Grid of silent shares from which a buffer is checked before every store: 0.05 to 0.95.
+THRESHOLDS = tuple(i / 20 for i in range(1, 20))
 
-    S: silent pairs of the checked buffers, C: their pairs, T: all pairs. Buffers are summed by bench and by the highest
-    threshold they reach before the grid is joined, so the grid meets at most a row per bench and threshold.
+
+def gated(buffers: DataFrame, thresholds: tuple[float, ...], least: int) -> DataFrame:
+    """bench, threshold, s, c, t: silent stores and all stores of the buffers checked, and all stores of all buffers.
+
+    Checked are buffers of at least `least` pairs whose silent share reaches the threshold. Buffers are summed by bench and by the
+    highest threshold they reach before the grid is joined, so the grid meets at most a row per bench and threshold.
     """
-    spark = buffers.sparkSession
     grid = F.array(*map(F.lit, thresholds))
-    level = F.size(F.filter(grid, lambda t: t <= F.col("silent") / F.col("pairs")))
-    sums = buffers.groupBy("bench", level.alias("level")).agg(F.sum("pairs").alias("pairs"), F.sum("silent").alias("silent"))
-    params = spark.createDataFrame([(i + 1, float(t), k) for i, t in enumerate(thresholds) for k in ratios], "need int, threshold double, ratio int")
-    on = F.col("level") >= F.col("need")
-    rows = sums.crossJoin(F.broadcast(params)).groupBy("bench", "threshold", "ratio").agg(F.sum(F.when(on, F.col("silent")).otherwise(0)).alias("s"), F.sum(F.when(on, F.col("pairs")).otherwise(0)).alias("c"), F.sum("pairs").alias("t"))
-    net = lambda s, c, t: r9((s * F.col("ratio") - c) / (t * F.col("ratio")))
-    return rows.groupBy("threshold", "ratio").agg(net(F.sum("s"), F.sum("c"), F.sum("t")).alias("net_saving"))
+    level = F.when(F.col("pairs") >= least, F.size(F.filter(grid, lambda t: t <= F.col("silent") / F.col("pairs")))).otherwise(0)
+    sums = buffers.groupBy("bench", level.alias("level")).agg(F.sum("stores").alias("stores"), F.sum("silent").alias("silent"))
+    rows = sums.select("*", F.posexplode(grid).alias("need", "threshold"))
+    on = F.col("level") > F.col("need")
+    return rows.groupBy("bench", "threshold").agg(F.sum(F.when(on, F.col("silent")).otherwise(0)).alias("s"), F.sum(F.when(on, F.col("stores")).otherwise(0)).alias("c"), F.sum("stores").alias("t"))
+
+
+def silent_energy_sweep(buffers: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, ratios: tuple[int, ...] = (2, 5, 10), least: int = 1000) -> DataFrame:
+    """Net saving (S * k - C) / (T * k) if a write costs k reads and the buffers gated() chooses are read before every store."""
+    total = gated(buffers, thresholds, least).groupBy("threshold").agg(*(F.sum(c).alias(c) for c in "sct"))
+    rows = total.select("*", F.explode(F.array(*map(F.lit, ratios))).alias("ratio"))
+    return rows.select("threshold", "ratio", r9((F.col("s") * F.col("ratio") - F.col("c")) / (F.col("t") * F.col("ratio"))).alias("net_saving"))
 
 
-def best_thresholds(buffers: DataFrame, ratio: int = 5, thresholds: tuple[float, ...] = tuple(i / 20 for i in range(19))) -> DataFrame:
+def best_thresholds(buffers: DataFrame, ratio: int = 5, thresholds: tuple[float, ...] = THRESHOLDS, least: int = 1000) -> DataFrame:
     """Per bench the threshold of the largest saving (the lowest of ties), and the saving, zero at least."""
-    grid = F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")
-    rows = buffers.select("bench", "pairs", "silent", grid)
-    on = F.col("silent") / F.col("pairs") >= F.col("threshold")
-    rows = rows.groupBy("bench", "threshold").agg(F.sum(F.when(on, F.col("silent")).otherwise(0)).alias("s"), F.sum(F.when(on, F.col("pairs")).otherwise(0)).alias("c"), F.sum("pairs").alias("t"))
-    rows = rows.withColumn("net", r9((F.col("s") * ratio - F.col("c")) / (F.col("t") * ratio)))
+    rows = gated(buffers, thresholds, least).withColumn("net", r9((F.col("s") * ratio - F.col("c")) / (F.col("t") * ratio)))
     return top(rows, 1, "bench", F.desc("net"), "threshold").select("bench", "threshold", F.greatest(F.lit(0.0), "net").alias("net_saving"))

@@ -64,19 +64,19 @@ def hot_stack_sites(t: DataFrame, k: int = 15) -> DataFrame:
 def value_patterns(t: DataFrame) -> DataFrame:
     v, high = F.col("value"), b.top_bits("value", 8)
     e = F.shiftrightunsigned("value", 52).bitwiseAND(F.lit(2047))
-    return t.groupBy("bench").agg(F.count_if(v == 0).alias("zero"), F.count_if((v != 0) & (high == 0)).alias("nonzero_top_byte_zero"), F.count_if(high != 0).alias("nonzero_top_byte_nonzero"), F.count_if(e.between(1, 2046)).alias("exp_field_normal_f64"), F.count("*").alias("total"))
+    return t.groupBy(*TYPED).agg(F.count_if(v == 0).alias("zero"), F.count_if((v != 0) & (high == 0)).alias("nonzero_top_byte_zero"), F.count_if(high != 0).alias("nonzero_top_byte_nonzero"), F.count_if(e.between(1, 2046)).alias("exp_field_normal_f64"), F.count("*").alias("total"))
 
 
 def alignment(t: DataFrame) -> DataFrame:
     o = F.col("offset")
-    return t.groupBy("bench").agg(F.count_if(o % 8 == 0).alias("aligned_8b"), F.count_if((o % 8 != 0) & (o % 4 == 0)).alias("aligned_4b_only"), F.count_if(o % 4 != 0).alias("unaligned"), F.count("*").alias("total"))
+    return t.groupBy(*TYPED).agg(F.count_if(o % 8 == 0).alias("aligned_8b"), F.count_if((o % 8 != 0) & (o % 4 == 0)).alias("aligned_4b_only"), F.count_if(o % 4 != 0).alias("unaligned"), F.count("*").alias("total"))
 
 
 def reused_allocations(t: DataFrame, k: int = 20) -> DataFrame:
-    """Addresses with more than one generation; avg_size weighs by stores, avg_size_distinct by buffers."""
+    """Addresses with more than one generation; avg_size is the sizes of all stores over max_generation, avg_size_distinct the mean of the buffers."""
     own = t.groupBy(*BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"))
     out = own.groupBy("bench", "run_id", "alloc_addr").agg(F.max("generation").alias("max_generation"), F.sum("n").alias("stores"), F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("size").alias("d"), F.count("*").alias("buffers")).where("max_generation > 1")
-    out = out.select("bench", "alloc_addr", "max_generation", "stores", r9(F.col("s") / F.col("stores")).alias("avg_size"), r9(F.col("d") / F.col("buffers")).alias("avg_size_distinct"))
+    out = out.select("bench", "alloc_addr", "max_generation", "stores", r9(F.col("s") / F.col("max_generation")).alias("avg_size"), r9(F.col("d") / F.col("buffers")).alias("avg_size_distinct"))
     return top(out, k, None, F.desc("max_generation"), F.desc("stores"), "bench", "alloc_addr")
 
 
@@ -87,7 +87,8 @@ def coverage(t: DataFrame) -> DataFrame:
 
 
 def fit_shares(fmts=tuple(b.FORMATS)) -> list[Column]:
-    return [r9(F.avg(b.fits_format(f, "alloc_type", "value").cast("int"))).alias(f"pct_{f}") for f in fmts]
+    """Shares of stores that keep their value in each format; one as wide as the stores keeps all."""
+    return [r9(F.coalesce(F.avg(b.fits_format(f, "alloc_type", "value").cast("int")), F.lit(1.0))).alias(f"pct_{f}") for f in fmts]
 
 
 def fit_counts(fmts=tuple(b.FORMATS)) -> list[Column]:
@@ -105,16 +106,17 @@ def buffer_feasibility(t: DataFrame) -> DataFrame:
 
 def site_feasibility(t: DataFrame, k: int = 20, least: int = 1000) -> DataFrame:
     by_stack = t.where(FP).groupBy(*TYPED, "alloc_stack").agg(F.count("*").alias("n"), *fit_counts())
-    sites = by_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(F.sum("n").alias("total"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in b.FORMATS)).where(F.col("total") >= least)
+    sites = by_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(F.sum("n").alias("total"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in b.FORMATS)).where((F.col("total") >= least) & (F.col("site") != ""))
     sites = top(sites, k, "bench", F.desc("total"), "alloc_type", "site")
     return sites.select(*TYPED, "site", "total", *(r9(b.ratio(f"n_{f}", "total")).alias(f"pct_{f}") for f in b.FORMATS))
 
 
 def exponent_range(t: DataFrame, e4m3: tuple[int, int] = (-9, 8), e5m2: tuple[int, int] = (-16, 15)) -> DataFrame:
-    e, m, x = b.biased_exp("alloc_type", "value"), b.mantissa("alloc_type", "value"), b.normal_exp("alloc_type", "value")
+    """A zero is a store of all bits 0; any other with exponent field 0, a negative zero too, counts as denormal."""
+    e, x = b.biased_exp("alloc_type", "value"), b.normal_exp("alloc_type", "value")
     inside = lambda w: r9(F.count_if(x.between(*w)) / F.count("*"))
     out = t.where(FP).groupBy(*TYPED).agg(
-        F.count("*").alias("total"), r9(F.count_if((e == 0) & (m == 0)) / F.count("*")).alias("frac_zero"), r9(F.count_if((e == 0) & (m != 0)) / F.count("*")).alias("frac_denormal"),
+        F.count("*").alias("total"), b.share(F.col("value") == 0).alias("frac_zero"), b.share((e == 0) & (F.col("value") != 0)).alias("frac_denormal"),
         r9(F.count_if(e == b.exp_special("alloc_type")) / F.count("*")).alias("frac_inf_nan"), F.min(x).alias("min_exp"), F.max(x).alias("max_exp"), r9(F.sum(x) / F.count(x)).alias("mean_exp"),
         inside(e4m3).alias("frac_in_e4m3_range"), inside(e5m2).alias("frac_in_e5m2_range"),
     )
@@ -122,21 +124,28 @@ def exponent_range(t: DataFrame, e4m3: tuple[int, int] = (-9, 8), e5m2: tuple[in
 
 
 def site_profile(t: DataFrame, k: int = 15) -> DataFrame:
-    """pct_of_bench is the share of all stores of the bench that have a site, not of the k shown."""
-    own = t.where(FP).groupBy("alloc_stack", *BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"), F.sum(b.trailing_zeros("alloc_type", "value")).alias("tz"))
-    by_stack = own.groupBy("bench", "alloc_stack").agg(F.sum("n").alias("n"), F.count("*").alias("a"), F.sum("size").alias("s"), F.sum("tz").alias("tz"))
+    """Stores of all types; pct_of_bench is the percentage of all stores of the bench that have a site, not of the k shown.
+
+    mean_alloc_size weighs by stores. Trailing zeros are of floating-point stores; a stack's mean stands for all its stores, 0 where it has none.
+    """
+    zeros = b.trailing_zeros("alloc_type", "value")
+    own = t.groupBy("alloc_stack", *BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"), F.sum(zeros).alias("tz"), F.count(zeros).alias("k"))
+    by_stack = own.groupBy("bench", "alloc_stack").agg(F.sum("n").alias("n"), F.count("*").alias("a"), F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("tz").alias("tz"), F.sum("k").alias("k"))
+    by_stack = by_stack.withColumn("tz", F.col("n") * F.coalesce(F.col("tz") / F.nullif("k", F.lit(0)), F.lit(0.0)))
     sites = by_stack.groupBy("bench", alloc_site("alloc_stack").alias("site")).agg(F.sum("n").alias("stores"), F.sum("a").alias("buffers"), F.sum("s").alias("s"), F.sum("tz").alias("tz")).where("site <> ''")
     sites = sites.withColumn("all", F.sum("stores").over(Window.partitionBy("bench")))
     sites = top(sites, k, "bench", F.desc("stores"), "site")
-    return sites.select("bench", "site", "stores", r9(F.col("stores") / F.col("all")).alias("pct_of_bench"), "buffers", r9(F.col("s") / F.col("buffers")).alias("mean_alloc_size"), r9(F.col("tz") / F.col("stores")).alias("mean_trailing_z"))
+    return sites.select("bench", "site", "stores", r9(100 * F.col("stores") / F.col("all")).alias("pct_of_bench"), "buffers", r9(F.col("s") / F.col("stores")).alias("mean_alloc_size"), r9(F.col("tz") / F.col("stores")).alias("mean_trailing_z"))
 
 
 def bdi_compression(t: DataFrame) -> DataFrame:
-    """Last values per cache line: how many lines of two slots or more have a range that fits 8, 16 or 32 bits."""
+    """Last values per cache line: how many lines of two slots or more have a range that fits 8, 16 or 32 bits (null: no such line), and their mean range."""
     u = b.unsigned_order("value")
     lines = snapshot(t).groupBy(*BUFFER, b.line_id("offset").alias("line")).agg(F.min("alloc_type").alias("alloc_type"), F.count("*").alias("slots"), b.unsigned_range(F.min(u), F.max(u)).alias("range"))
-    small = lambda k: r9(F.count_if((F.col("slots") > 1) & (F.col("range") < F.lit(1 << k).cast("decimal(20,0)"))) / F.greatest(F.count_if(F.col("slots") > 1), F.lit(1)))
-    return lines.groupBy(*TYPED).agg(F.count("*").alias("lines"), F.count_if(F.col("slots") == 1).alias("trivial_lines"), *(small(k).alias(f"bdi{k}_frac") for k in (8, 16, 32)))
+    many = F.col("slots") > 1
+    small = lambda k: r9(b.ratio(F.count_if(many & (F.col("range") < F.lit(1 << k).cast("decimal(20,0)"))), F.count_if(many)))
+    mean = r9(F.avg(F.when(many, F.col("range").cast("double")))).alias("mean_range")
+    return lines.groupBy(*TYPED).agg(F.count("*").alias("lines"), F.count_if(F.col("slots") == 1).alias("trivial_lines"), *(small(k).alias(f"bdi{k}_frac") for k in (8, 16, 32)), mean)
 
 
 def fpc_patterns(t: DataFrame) -> DataFrame:
@@ -149,11 +158,12 @@ def fpc_patterns(t: DataFrame) -> DataFrame:
 
 
 def site_required_exp_bits(t: DataFrame, k: int = 20, least: int = 1000) -> DataFrame:
+    """Of stores that are not zero; stacks without a normal value and stores without a site are left out."""
     x = b.normal_exp("alloc_type", "value")
-    by_stack = t.where(FP).groupBy("bench", "alloc_stack").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n"))
-    sites = by_stack.groupBy("bench", alloc_site("alloc_stack").alias("site")).agg(F.min("lo").alias("min_e"), F.max("hi").alias("max_e"), F.sum("n").alias("total")).where(F.col("total") >= least)
-    sites = top(sites, k, "bench", F.desc("total"), "site")
-    return sites.select("bench", "site", "min_e", "max_e", (F.col("max_e") - F.col("min_e") + 1).alias("exp_range"), b.required_exp_bits("min_e", "max_e").alias("required_e_bits"), "total")
+    by_stack = t.where(FP).where("value <> 0").groupBy(*TYPED, "alloc_stack").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).where("lo is not null")
+    sites = by_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(F.min("lo").alias("min_e"), F.max("hi").alias("max_e"), F.sum("n").alias("total")).where((F.col("total") >= least) & (F.col("site") != ""))
+    sites = top(sites, k, "bench", F.desc("total"), "alloc_type", "site")
+    return sites.select(*TYPED, "site", "min_e", "max_e", (F.col("max_e") - F.col("min_e") + 1).alias("exp_range"), b.required_exp_bits("min_e", "max_e").alias("required_e_bits"), "total")
 
 
 def bit_plane_entropy(t: DataFrame) -> DataFrame:
@@ -165,11 +175,11 @@ def bit_plane_entropy(t: DataFrame) -> DataFrame:
 
 
 def posit_fit(t: DataFrame) -> DataFrame:
-    """Shares are of all stores, with zeros and specials; mean_abs_exp is of normal ones only."""
+    """Of stores that are not zero, specials included; mean_abs_exp is of normal ones only. The middle band holds the high one."""
     e, x = b.unbiased_exp("alloc_type", "value"), b.normal_exp("alloc_type", "value")
-    return t.where(FP).groupBy(*TYPED).agg(
-        r9(F.sum(F.abs(x)) / F.count(x)).alias("mean_abs_exp"), b.share(F.abs(e) <= 8).alias("frac_high_precision"), b.share((F.abs(e) > 8) & (F.abs(e) <= 32)).alias("frac_mid_precision"),
-        b.share(F.abs(e) > 64).alias("frac_extreme"), r9(F.avg(b.posit_useful_bits(e))).alias("mean_posit_useful_bits"),
+    return t.where(FP).where("value <> 0").groupBy(*TYPED).agg(
+        F.count("*").alias("total"), r9(F.sum(F.abs(x)) / F.count(x)).alias("mean_abs_exp"), b.share(F.abs(e) <= 4).alias("frac_high_precision"), b.share(F.abs(e) <= 16).alias("frac_mid_precision"),
+        b.share(F.abs(e) > 30).alias("frac_extreme"), r9(F.avg(b.posit_useful_bits(e))).alias("mean_posit_useful_bits"),
     )
 
 
@@ -183,24 +193,26 @@ def trace_robustness(t: DataFrame) -> DataFrame:
     """buffers_reused counts addresses with more than one generation."""
     kind = lambda k: F.count_if(F.col("alloc_type") == k)
     own = t.groupBy(*BUFFER).agg(F.min("alloc_size").alias("size"), F.max("offset").alias("o"), F.min("alloc_type").alias("alloc_type"))
-    one = own.groupBy("bench").agg(F.min("size").alias("min_size"), F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size"), F.max("generation").alias("max_generation"), kind("64bits").alias("buffers_64"), kind("32bits").alias("buffers_32"), kind("object").alias("buffers_object"), F.max("o").alias("max_offset"))
+    one = own.groupBy("bench").agg(F.min("size").alias("min_size"), F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size"), F.max("generation").alias("max_generation"), F.count_distinct("alloc_type").alias("distinct_alignment_classes"), kind("64bits").alias("buffers_64"), kind("32bits").alias("buffers_32"), kind("object").alias("buffers_object"), F.max("o").alias("max_offset"))
     two = own.groupBy("bench", "run_id", "alloc_addr").agg(F.max("generation").alias("g")).groupBy("bench").agg(F.count_if(F.col("g") > 1).alias("buffers_reused"))
     return one.join(two, "bench")
 
 
 def exponent_classes(t: DataFrame) -> DataFrame:
-    e, m = b.biased_exp("alloc_type", "value"), b.mantissa("alloc_type", "value")
-    columns = [b.share(F.col("value") == 0).alias("frac_zero")]
+    """Shares of all stores of a type; the classes of the other width are 0."""
+    e, columns = b.biased_exp("alloc_type", "value"), []
     for name, kind in (("f64", "64bits"), ("f32", "32bits")):
-        own = F.col("alloc_type") == kind
-        of = lambda x, own=own: r9(b.ratio(F.count_if(own & x), F.count_if(own)))
-        columns += [of(b.is_normal("alloc_type", "value")).alias(f"frac_normal_{name}"), of((e == 0) & (m != 0)).alias(f"frac_subnormal_{name}"), of(e == b.exp_special("alloc_type")).alias(f"frac_inf_nan_{name}")]
-    return t.groupBy("bench").agg(*columns)
+        bits = F.col("value") if name == "f64" else b.low32("value")
+        of = lambda x, kind=kind: b.share(F.coalesce((F.col("alloc_type") == kind) & x, F.lit(False)))
+        columns += [of((bits != 0) & b.is_normal("alloc_type", "value")).alias(f"frac_normal_{name}"), of((bits != 0) & (e == 0)).alias(f"frac_subnormal_{name}"), of(e == b.exp_special("alloc_type")).alias(f"frac_inf_nan_{name}")]
+    return t.groupBy(*TYPED).agg(F.count("*").alias("stores"), b.share(F.col("value") == 0).alias("frac_zero"), *columns)
 
 
 def buffer_exp_range(t: DataFrame) -> DataFrame:
-    e, x = b.biased_exp("alloc_type", "value"), b.normal_exp("alloc_type", "value")
-    out = t.where(FP).groupBy(*BUFFER).agg(F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size"), F.count("*").alias("total"), F.count_if((e == 0) & (b.mantissa("alloc_type", "value") == 0)).alias("n_zero"), F.count_if(e == b.exp_special("alloc_type")).alias("n_special"), F.min(x).alias("min_e"), F.max(x).alias("max_e"))
+    """n_special counts what is neither zero nor normal: denormals, negative zeros, infinities, NaN."""
+    x, zero = b.normal_exp("alloc_type", "value"), F.col("value") == 0
+    kind = F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size")
+    out = t.where(FP).groupBy(*BUFFER).agg(*kind, F.count("*").alias("total"), F.count_if(zero).alias("n_zero"), F.count_if(~zero & x.isNull()).alias("n_special"), F.min(x).alias("min_e"), F.max(x).alias("max_e"))
     return out.drop("run_id")
 
 

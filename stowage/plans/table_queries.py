@@ -51,11 +51,11 @@ def heap_nodes(spark, sf_dir):
 def heap_points(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
     fs = F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
-    return l.select(F.slice(fs, 1, (1 + F.col("l_orderkey") % 3).cast("int")).alias("fs"), F.col("l_quantity").cast("long").alias("tb"), F.lit(1).cast("long").alias("tbk"), (F.col("l_linenumber").cast("long") * 100).alias("tl"), (F.col("l_partkey").cast("long") % 50).alias("rb"), (F.col("l_suppkey").cast("long") % 9).alias("wb"))
+    return l.select(F.slice(fs, 1, (1 + F.col("l_orderkey") % 3).cast("int")).alias("fs"), F.col("l_quantity").cast("long").alias("tb"), F.lit(1).cast("long").alias("tbk"), (F.col("l_linenumber").cast("long") * 100).alias("tl"), (F.col("l_quantity").cast("long") * (F.col("l_orderkey").cast("long") % 2)).alias("gb"), (F.col("l_quantity").cast("long") * (F.col("l_partkey").cast("long") % 3)).alias("eb"), (F.col("l_partkey").cast("long") % 50).alias("rb"), (F.col("l_suppkey").cast("long") % 9).alias("wb"))
 
 
-COUNTERS = ["tb", "tbk", "tl", "rb", "wb"]
-POINTS = "WITH points AS (SELECT [l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)][1 : 1 + l_orderkey % 3] AS fs, CAST(l_quantity AS BIGINT) AS tb, 1 AS tbk, l_linenumber * 100 AS tl, l_partkey % 50 AS rb, l_suppkey % 9 AS wb FROM lineitem), tree AS (SELECT fs[1 : i] AS prefix, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTERS) + " FROM points, range(1, 4) r(i) WHERE i <= len(fs) GROUP BY ALL) "
+COUNTERS = ["tb", "tbk", "tl", "gb", "eb", "rb", "wb"]
+POINTS = "WITH points AS (SELECT [l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)][1 : 1 + l_orderkey % 3] AS fs, CAST(l_quantity AS BIGINT) AS tb, 1 AS tbk, l_linenumber * 100 AS tl, CAST(l_quantity AS BIGINT) * (l_orderkey % 2) AS gb, CAST(l_quantity AS BIGINT) * (l_partkey % 3) AS eb, l_partkey % 50 AS rb, l_suppkey % 9 AS wb FROM lineitem), tree AS (SELECT fs[1 : i] AS prefix, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTERS) + " FROM points, range(1, 4) r(i) WHERE i <= len(fs) GROUP BY ALL) "
 
 
 def named(df):
@@ -69,7 +69,7 @@ def block_events(spark, sf_dir):
 
 def allocations(spark, sf_dir):
     """Allocations at 16 addresses, one after another at each."""
-    o = read(spark, sf_dir, "orders").where("o_custkey % 3 = 0")
+    o = read(spark, sf_dir, "orders")
     events = o.select(F.lit("r0").alias("run_id"), (F.col("o_orderkey").cast("long") * 10).alias("seq"), F.lit("ALLOC").alias("kind"), ((F.col("o_custkey").cast("long") % 16) * 8192).alias("addr"), (4096 + (F.col("o_orderkey").cast("long") % 5) * 1500).alias("size"), F.lit(None).cast("string").alias("frame"), F.col("o_orderkey").cast("long").alias("block"), F.lit("ALLOC").alias("inside"))
     return traces.pair_lifetimes(events)
 
@@ -81,7 +81,7 @@ def stores(spark, sf_dir):
 
 
 INGEST = """WITH allocs AS (SELECT o_orderkey * 10 AS seq, lead(o_orderkey * 10) OVER w AS end_seq, (o_custkey % 16) * 8192 AS alloc_addr, 4096 + (o_orderkey % 5) * 1500 AS alloc_size, row_number() OVER w AS generation
- FROM orders WHERE o_custkey % 3 = 0 WINDOW w AS (PARTITION BY o_custkey % 16 ORDER BY o_orderkey)),
+ FROM orders WINDOW w AS (PARTITION BY o_custkey % 16 ORDER BY o_orderkey)),
 stores AS (SELECT l_orderkey * 10 + l_linenumber AS seq, (min(l_partkey) * 37 % 18) * 8192 + min(l_suppkey) * 977 % 8192 AS addr FROM lineitem GROUP BY l_orderkey, l_linenumber),
 near AS (SELECT s.seq, s.addr, a.* EXCLUDE (seq), a.seq AS alloc_seq FROM stores s JOIN (SELECT *, unnest([alloc_addr // 8192, alloc_addr // 8192 + 1]) AS page FROM allocs) a ON s.addr // 8192 = a.page AND s.addr >= alloc_addr AND s.addr < alloc_addr + alloc_size AND a.seq < s.seq AND (end_seq IS NULL OR s.seq < end_seq)),
 met AS (SELECT seq, addr, arg_max(alloc_addr, alloc_seq) AS alloc_addr, arg_max(generation, alloc_seq) AS generation FROM near GROUP BY ALL) """
@@ -110,14 +110,36 @@ def stream(spark, sf_dir, view):
 
 
 BIG = "CAST(sum({0}) AS BIGINT) AS {0}"
-ROLLUP = """, kept AS (SELECT * FROM (SELECT file, fn, CAST(sum(n) AS BIGINT) AS inner_n, CAST(sum(sum(n)) OVER (PARTITION BY file) AS BIGINT) AS outer_n, sum(sum(n)) OVER () AS total FROM costs WHERE event = 'price' GROUP BY file, fn) WHERE 100 * inner_n >= 1.5 * total),
+ROLLUP = """, kept AS (SELECT * FROM (SELECT file, fn, CAST(sum(n) AS BIGINT) AS inner_n, CAST(sum(sum(n)) OVER (PARTITION BY file) AS BIGINT) AS outer_n, sum(sum(n)) OVER () AS total FROM costs WHERE event = 'price' GROUP BY file, fn) WHERE 100 * inner_n >= 0.15 * total),
 outers AS (SELECT file, sum(outer_n) OVER (ORDER BY outer_n DESC, file ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT DISTINCT file, outer_n FROM kept))
 SELECT file, fn, outer_n, inner_n, round(100 * inner_n / total, 9) AS inner_pct, round(100 * outer_n / total, 9) AS outer_pct, round(100 * cum / total, 9) AS cum_pct FROM kept JOIN outers USING (file)"""
+SHORT_LIVED = 400.0
+#: preset -> condition of its nodes, on the tree's counters and their totals (tb_all ...).
+PRESET_SQL = {
+    "total_bytes": "tb >= 0.01 * tb_all",
+    "total_blocks": "tbk >= 0.01 * tbk_all",
+    "total_blocks_tiny": "tbk >= 0.005 * tbk_all AND tb / tbk <= 16",
+    "total_blocks_short_lived": f"tbk >= 0.005 * tbk_all AND tl / tbk <= {SHORT_LIVED}",
+    "total_bytes_zero_reads_or_writes": "tb >= 0.005 * tb_all AND (rb = 0 OR wb = 0)",
+    "total_blocks_zero_reads_or_writes": "tbk >= 0.005 * tbk_all AND (rb = 0 OR wb = 0)",
+    "total_bytes_low_access": "tb >= 0.005 * tb_all AND rb <> 0 AND wb <> 0 AND (rb / tb <= 0.4 OR wb / tb <= 0.4)",
+    "total_blocks_low_access": "tbk >= 0.005 * tbk_all AND rb <> 0 AND wb <> 0 AND (rb / tb <= 0.4 OR wb / tb <= 0.4)",
+    "at_peak_bytes": "gb >= 0.01 * gb_all",
+    "at_end_bytes": "eb >= 0.01 * eb_all",
+    "reads_bytes": "rb >= 0.01 * rb_all",
+    "reads_bytes_high_access": "rb >= 0.005 * rb_all AND (rb / tb >= 1000 OR wb / tb >= 1000)",
+    "writes_bytes": "wb >= 0.01 * wb_all",
+    "writes_bytes_high_access": "wb >= 0.005 * wb_all AND (rb / tb >= 1000 OR wb / tb >= 1000)",
+}
+PRESETS = (
+    ", sums AS (SELECT " + ", ".join(f"sum({c}) AS {c}_all" for c in ("tb", "tbk", "tl", "gb", "eb", "rb", "wb")) + " FROM tree WHERE len(prefix) = 1) "
+    + " UNION ALL ".join(f"SELECT '{name}' AS preset, array_to_string(prefix, '/') AS prefix FROM tree, sums WHERE {condition}" for name, condition in PRESET_SQL.items())
+)
 DEFS = {
     "f02_merge_profiles": (lambda s, d: p.merge_profiles(costs(s, d)), COSTS + "SELECT file, fn, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
     "f03_diff_profiles": (lambda s, d: p.diff_profiles(costs(s, d).where("run = 'run0'"), costs(s, d).where("run = 'run1'")), COSTS + "SELECT file, fn, event, CAST(sum(CASE run WHEN 'run1' THEN n ELSE -n END) AS BIGINT) AS n, 0 AS line FROM costs GROUP BY file, fn, event"),
     "f04_rename_profiles": (lambda s, d: p.merge_profiles(p.rename_profiles(costs(s, d), (r"^(\d{4})\d\d$", "$1"), ("^[NR]", "X"))), COSTS + "SELECT regexp_replace(file, '^(\\d{4})\\d\\d$', '\\1') AS file, regexp_replace(fn, '^[NR]', 'X') AS fn, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
-    "f05_profile_rollup": (lambda s, d: p.profile_rollup(costs(s, d), "price", "file:fn", 1.5), COSTS + ROLLUP),
+    "f05_profile_rollup": (lambda s, d: p.profile_rollup(costs(s, d), "price", "file:fn", 0.15), COSTS + ROLLUP),
     "f06_line_costs": (lambda s, d: p.line_costs(costs(s, d)), COSTS + "SELECT file, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
     "f07_call_costs": (lambda s, d: p.call_costs(own_costs(s, d), calls(s, d)), CALLS + "SELECT fn, CAST(coalesce(own.n, 0) AS BIGINT) AS self_n, CAST(coalesce(own.n, 0) + coalesce(c.n, 0) AS BIGINT) AS inclusive_n FROM own FULL JOIN (SELECT caller AS fn, sum(n) AS n FROM calls GROUP BY caller) c USING (fn)"),
     "f08_functions_to_threshold": (lambda s, d: p.functions_to_threshold(costs(s, d).where("event = 'price'").groupBy(F.col("file").alias("fn")).agg(F.sum("n").alias("n")), "n", 60.0), COSTS + "SELECT fn, n, round(100 * n / total, 9) AS pct FROM (SELECT *, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n DESC, fn ROWS UNBOUNDED PRECEDING) - n AS before FROM (SELECT file AS fn, CAST(sum(n) AS BIGINT) AS n FROM costs WHERE event = 'price' GROUP BY file)) WHERE 100 * before < 60 * total"),
@@ -127,6 +149,7 @@ DEFS = {
     "f13_heap_prefix_tree": (lambda s, d: named(p.heap_prefix_tree(heap_points(s, d), COUNTERS)), POINTS + "SELECT * REPLACE (array_to_string(prefix, '/') AS prefix) FROM tree"),
     "f14_heap_metrics": (lambda s, d: named(p.heap_metrics(p.heap_prefix_tree(heap_points(s, d), COUNTERS))), POINTS + "SELECT array_to_string(prefix, '/') AS prefix, round(tb / tbk, 9) AS avg_size, round(tl / tbk, 9) AS avg_lifetime, round(rb / tb, 9) AS reads_per_byte, round(wb / tb, 9) AS writes_per_byte FROM tree"),
     "f15_heap_significant": (lambda s, d: named(p.heap_significant(p.heap_prefix_tree(heap_points(s, d), COUNTERS), F.col("wb") > 0.155 * F.col("tb"))), POINTS + ", hit AS (SELECT prefix FROM tree WHERE wb > 0.155 * tb) SELECT * REPLACE (array_to_string(prefix, '/') AS prefix) FROM tree WHERE EXISTS (SELECT 1 FROM hit WHERE hit.prefix[1 : len(tree.prefix)] = tree.prefix)"),
+    "f15_heap_presets": (lambda s, d: named(p.heap_preset_nodes(heap_points(s, d), COUNTERS, SHORT_LIVED)), POINTS + PRESETS),
     "f16_interval_vectors": (lambda s, d: p.interval_vectors(block_events(s, d), 1000, 9), "SELECT 'r' AS run, thread, (c - n) // 1000 AS \"interval\", block, CAST(sum(n) AS BIGINT) AS weight FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY thread ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM (SELECT event_id, CAST(user_id % 4 AS INTEGER) AS thread, event_type AS block, 1 + user_id % 7 AS n FROM events)) GROUP BY ALL"),
     "f17_live_heap_timeline": (lambda s, d: p.live_heap_timeline(timeline_input(s, d)), INGEST + ", ev AS (SELECT seq, alloc_size AS x, 1 AS k FROM allocs UNION ALL SELECT end_seq, -alloc_size, -1 FROM allocs WHERE end_seq IS NOT NULL) SELECT 'r0' AS run_id, CAST(seq AS BIGINT) AS seq, CAST(sum(x) OVER (ORDER BY seq) AS BIGINT) AS live_bytes, CAST(sum(k) OVER (ORDER BY seq) AS BIGINT) AS live_blocks FROM ev"),
     "a03_pair_lifetimes": (lambda s, d: allocations(s, d).select("seq", "end_seq", "alloc_addr", "alloc_size", "generation"), INGEST + "SELECT seq, end_seq, alloc_addr, alloc_size, generation FROM allocs"),
