@@ -22,13 +22,15 @@ from .shared import freed
 LONG = 64  # bytes of a word from which equal pairs are contracted together, see LONG_STEP
 CACHE = 700_000  # distinct words that a task remembers; more are encoded anew
 WORDS = 40_000  # words of one recursive query
+BYTES = 1 << 18  # bytes of its words, or one word; a query of long words has a fourth
+ROWS = 4_000_000  # rows that a query's rounds may leave; after that many it starts again from where it is
 
 SHORT_STEP = """
     WITH pairs AS (
-        SELECT w, pos, tok, lead(tok) OVER seq AS next_tok, lag(pos) OVER seq AS before_pos
-        FROM step WHERE NOT done WINDOW seq AS (PARTITION BY w ORDER BY pos)),
+        SELECT w, pos, tok, d, lead(tok) OVER seq AS next_tok, lag(pos) OVER seq AS before_pos
+        FROM step WHERE NOT done AND d < {rounds} WINDOW seq AS (PARTITION BY w ORDER BY pos)),
     best AS (SELECT w, min(CAST(m AS BIGINT) << 32 | pos) AS b FROM pairs JOIN merges ON tok = l AND next_tok = r GROUP BY w)
-    SELECT pairs.w, pos, CASE WHEN pos = (b & 4294967295) THEN CAST(b >> 32 AS INTEGER) ELSE tok END, b IS NULL
+    SELECT pairs.w, pos, CASE WHEN pos = (b & 4294967295) THEN CAST(b >> 32 AS INTEGER) ELSE tok END, b IS NULL, d + 1
     FROM pairs LEFT JOIN best ON pairs.w = best.w
     WHERE b IS NULL OR before_pos IS NULL OR before_pos <> (b & 4294967295)
 """
@@ -36,20 +38,20 @@ SHORT_STEP = """
 # the same pair until it is used up, so all its places, left to right and not overlapping, are contracted in one round.
 LONG_STEP = """
     WITH pairs AS (
-        SELECT w, pos, tok, lead(tok) OVER seq AS next_tok, lag(pos) OVER seq AS before_pos, row_number() OVER seq AS k
-        FROM step WHERE NOT done WINDOW seq AS (PARTITION BY w ORDER BY pos)),
+        SELECT w, pos, tok, d, lead(tok) OVER seq AS next_tok, lag(pos) OVER seq AS before_pos, row_number() OVER seq AS k
+        FROM step WHERE NOT done AND d < {rounds} WINDOW seq AS (PARTITION BY w ORDER BY pos)),
     hit AS (SELECT w, pos, k, m, safe FROM pairs JOIN merges ON tok = l AND next_tok = r),
     least AS (SELECT w, min(m) AS m FROM hit GROUP BY w),
     chosen AS (SELECT hit.*, k - row_number() OVER seq AS run, k = min(k) OVER (PARTITION BY w) AS leftmost
                FROM hit JOIN least USING (w, m) WINDOW seq AS (PARTITION BY w ORDER BY k)),
     take AS (SELECT w, pos, m FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY k) AS n FROM chosen) WHERE n % 2 = 1 AND (safe OR leftmost))
-    SELECT pairs.w, pairs.pos, coalesce(take.m, tok), least.m IS NULL
+    SELECT pairs.w, pairs.pos, coalesce(take.m, tok), least.m IS NULL, d + 1
     FROM pairs LEFT JOIN least ON pairs.w = least.w LEFT JOIN take ON take.w = pairs.w AND take.pos = pairs.pos
     WHERE NOT EXISTS (SELECT 1 FROM take gone WHERE gone.w = pairs.w AND gone.pos = pairs.before_pos)
 """
 ENCODE = """
-WITH RECURSIVE step(w, pos, tok, done) AS (SELECT w, pos, tok, false FROM start UNION ALL ({step}))
-SELECT w, list(tok ORDER BY pos) AS ids FROM step WHERE done GROUP BY w
+WITH RECURSIVE step(w, pos, tok, done, d) AS (SELECT w, pos, tok, false, 0 FROM start UNION ALL ({step}))
+SELECT w, done, list(tok ORDER BY pos) AS ids FROM step WHERE done OR d = {rounds} GROUP BY w, done
 """
 DECODE = "SELECT w, string_agg(piece, '' ORDER BY pos) AS hex FROM ids JOIN vocabulary USING (tok) GROUP BY w"
 
@@ -79,28 +81,45 @@ class Codec:
         """The ids of every word, each on its own."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         size = np.array([len(w) for w in words], np.int64)
-        for pick, step in (((size > 0) & (size < LONG), SHORT_STEP), (size >= LONG, LONG_STEP)):
+        for pick, step, most in (((size > 0) & (size < LONG), SHORT_STEP, BYTES), (size >= LONG, LONG_STEP, BYTES // 4)):
             at = np.flatnonzero(pick)
-            for i in range(0, len(at), WORDS):
-                part = at[i : i + WORDS]
-                raw = np.frombuffer(b"".join(words[j] for j in part), np.uint8)
-                n = size[part]
-                pos = np.arange(len(raw)) - np.repeat(np.cumsum(n) - n, n)
-                self._table("start", {"w": pa.array(np.repeat(part, n).astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "tok": pa.array(self.byte[raw])})
-                rows = self._rows(ENCODE.format(step=step))
-                w, ids = rows.column("w").to_numpy(), rows.column("ids").chunk(0)
-                flat, cut = ids.values.to_numpy(), ids.offsets.to_numpy()
-                for j, a, b in zip(w.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    out[j] = flat[a:b]
+            total = np.append(0, np.cumsum(size[at]))
+            i = 0
+            while i < len(at):
+                j = max(i + 1, min(i + WORDS, int(np.searchsorted(total, total[i] + most, "right")) - 1))
+                self._contract(at[i:j], [self.byte[np.frombuffer(words[k], np.uint8)] for k in at[i:j]], step, out)
+                i = j
         return out
 
+    def _contract(self, names: np.ndarray, tokens: list[np.ndarray], step: str, out: list[np.ndarray]) -> None:
+        """Contracts the words until no pair is left; as many rounds at a time as leave at most ROWS rows (one at least)."""
+        while len(names):
+            n = np.array([len(x) for x in tokens])
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            self._table("start", {"w": pa.array(np.repeat(names, n).astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "tok": pa.array(np.concatenate(tokens).astype(np.int32))})
+            rounds = max(1, ROWS // len(pos))
+            rows = self._rows(ENCODE.format(step=step.format(rounds=rounds), rounds=rounds))
+            ids = rows.column("ids").chunk(0)
+            flat, cut = ids.values.to_numpy(), ids.offsets.to_numpy()
+            names, tokens = [], []
+            for w, done, i, j in zip(rows.column("w").to_pylist(), rows.column("done").to_pylist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if done:
+                    out[w] = flat[i:j].copy()
+                else:
+                    names.append(w)
+                    tokens.append(flat[i:j])
+
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of every sequence of ids."""
         out = [b""] * len(ids)
         n = np.array([len(x) for x in ids], np.int64)
-        if n.sum():
+        parts = np.append(np.flatnonzero(np.diff(np.cumsum(n) // (4 * BYTES), prepend=-1)), len(ids))
+        for first, last in zip(parts[:-1].tolist(), parts[1:].tolist(), strict=True):
+            n = np.array([len(x) for x in ids[first:last]], np.int64)
+            if not n.sum():
+                continue
             pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            self._table("ids", {"w": pa.array(np.repeat(np.arange(len(ids)), n).astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "tok": pa.array(np.concatenate(ids).astype(np.int32))})
+            self._table("ids", {"w": pa.array(np.repeat(np.arange(first, last), n).astype(np.int32)), "pos": pa.array(pos.astype(np.int32)), "tok": pa.array(np.concatenate(ids[first:last]).astype(np.int32))})
             rows = self._rows(DECODE)
             for w, text in zip(rows.column("w").to_pylist(), rows.column("hex").to_pylist(), strict=True):
                 out[w] = bytes.fromhex(text)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -83,7 +84,13 @@ def places(bins: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def cut_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
+def added_tokens(tokenizer_path: str) -> dict[str, int]:
+    """The texts that a tokenizer file names as tokens of their own, with their ids: they are cut out before anything else."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f).get("added_tokens", ())}
+
+
+def cut_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, capacity: int, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, part, nth (and ids): the pieces, numbered by length within each task."""
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -91,7 +98,7 @@ def cut_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
-        encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added or {})
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
@@ -99,7 +106,7 @@ def cut_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, capa
                 rows = whole.slice(at, 500)
                 out = []
                 for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    ids = np.array(encoding.encode_ordinary(text or ""), "<u4").tobytes() + end
+                    ids = np.array(encoding.encode(text or "", allowed_special="all", disallowed_special=()), "<u4").tobytes() + end
                     n = len(ids) // 4
                     cut = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
                     for piece, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
@@ -112,14 +119,14 @@ def cut_pieces(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, capa
     return docs.select("doc_id", "text").mapInArrow(freed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, end_id: int = 2, capacity: int = 1024, with_ids: bool = False, added: dict[str, int] | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids): per piece of the rows of `docs`, in no order.
 
     A text's ids, and end_id after them, are one piece if they fit; else the first piece is what is left over and the
-    others are full. Null and empty texts are end_id alone. Repeated rows are packed as often as they come. At most `capacity`
+    others are full. A text in `added` is one id wherever it stands (null: none). Null and empty texts are end_id alone. Repeated rows are packed as often as they come. At most `capacity`
     counts reach the driver; what goes to the executors grows with the combinations in the plan, not with the pieces.
     """
-    pieces = written(cut_pieces(docs, ranks_path, pattern, end_id, capacity, with_ids), "pieces")
+    pieces = written(cut_pieces(docs, ranks_path, pattern, end_id, capacity, with_ids, added), "pieces")
     each = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = docs.sparkSession.sparkContext.broadcast(places(plan_bins(counts, capacity)))

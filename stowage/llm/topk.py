@@ -1,122 +1,176 @@
 """Exact top-k search by inner product with MaxScore.
 
-A term is a component with a sign: its postings are the vectors whose component has that sign, with its size. A query's
-terms are the components of its own signs; only they can raise a score, by at most |query component| * the
-largest posting. Per block of vectors, the terms of least bounds whose sum stays under a query's k-th best score so far are
-non-essential: a vector found in none of the essential postings cannot compete. The essential postings are
-traversed, and the rest of a score is looked up only while it is still competitive. Every shard gives its k best per query;
-the shards' lists are merged.
+A term is a component. Each task groups its vectors into blocks of like ones; a block is a posting list per term with the
+least and greatest component there, so that a query's term adds at least `low` and at most `high` to a score. Blocks are taken by falling
+bound, until no bound reaches the k-th best score so far. Within a block the terms of least range whose ranges together don't
+lift a score from the sum of the lows to that score are non-essential: a vector cannot compete by them alone. The essential
+terms' postings are traversed, and the rest of a score is looked up only for vectors that are still competitive. Scores to
+start from come from a bounded sample of the vectors. Each task gives its k best per query, and the lists are merged.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD = 8192  # vectors of a shard
-QUERIES = 1024  # queries of a block
-BLOCK = 2048  # vectors that are traversed together
-FIRST = 128  # vectors of the first block, of which every score is kept
+from .shared import freed, keyed, tidy, written
+
+SHARD = 8192  # vectors that are put in blocks together
+BLOCK = 64  # vectors of a block, about
+QUERIES = 8192  # queries that go to the tasks at once
+SAMPLE = 1024  # vectors whose scores queries start from
 
 
 def integer_vectors(vectors: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """vec_id and v, floor(scale * x) of every component; vectors that are null or hold a null or non-finite component are left out."""
+    """vec_id, v (floor(scale * x) of every component) and the row's key; vectors that are null or hold a null or non-finite component are left out."""
     x = F.col(vector_column)
     whole = F.col(id_column).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
-    return vectors.where(whole).select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
-
-
-def best_of_block(queries: np.ndarray, block: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of every pair that may beat or tie with theta (exact scores); others cannot."""
-    rise = np.concatenate([np.maximum(block, 0), np.maximum(-block, 0)], axis=1)  # postings of the terms +d and -d
-    weight = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
-    bound = weight * rise.max(axis=0)
-    order = np.argsort(bound, axis=1, kind="stable")
-    total = np.cumsum(np.take_along_axis(bound, order, axis=1), axis=1)
-    essential = np.empty(bound.shape, bool)
-    np.put_along_axis(essential, order, total >= theta[:, None], axis=1)
-    essential |= (theta <= 0)[:, None]  # then even a vector in no posting can compete
-    rest = np.where(essential, 0.0, bound).sum(axis=1)
-    partial = np.where(essential, weight, 0.0) @ rise.T  # traverses the essential postings
-    compete = partial + rest[:, None] >= theta[:, None]
-    if 16 * np.count_nonzero(compete) > compete.size:  # too many to probe one by one: whole lists are read instead
-        score = queries @ block.T
-        q, v = np.nonzero(compete & (score >= theta[:, None]))
-        return q, v, np.rint(score[q, v]).astype(np.int64)
-    q, v = np.nonzero(compete)
-    # Probe what is missing, the terms that lower a score included, in steps: a pair goes on while it can compete.
-    score, left = partial[q, v], rest[q]
-    for at in range(0, queries.shape[1], 16):
-        part = slice(at, at + 16)
-        both = np.arange(queries.shape[1])[part]
-        for sign in (0, queries.shape[1]):
-            terms = both + sign
-            own = np.where(essential[q[:, None], terms], 0.0, weight[q[:, None], terms])
-            score = score + np.einsum("ij,ij->i", own, rise[v[:, None], terms])
-            left = left - (own * rise.max(axis=0)[terms]).sum(axis=1)
-            other = both + (queries.shape[1] - sign)
-            score = score - np.einsum("ij,ij->i", weight[q[:, None], terms], rise[v[:, None], other])
-        keep = score + left >= theta[q] - 0.5
-        q, v, score, left = q[keep], v[keep], score[keep], left[keep]
-    return q, v, np.rint(score).astype(np.int64)
-
-
-def search_shard(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector id, score): the k best of the shard per query, by score and then by smaller id; never the query itself."""
-    q, v, s = (np.zeros(0, np.int64) for _ in range(3))
-    theta = np.full(len(queries), -np.inf)
-    at = 0
-    while at < len(ids):
-        size = BLOCK if at else FIRST
-        a, b, c = best_of_block(queries, vectors[at : at + size], theta)
-        b = ids[at + b]
-        own = b != query_ids[a]
-        q, v, s = np.concatenate([q, a[own]]), np.concatenate([v, b[own]]), np.concatenate([s, c[own]])
-        order = np.lexsort((v, -s, q))
-        q, v, s = q[order], v[order], s[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        q, v, s, rank = q[rank < k], v[rank < k], s[rank < k], rank[rank < k]
-        theta[q[rank == k - 1]] = s[rank == k - 1]
-        at += size
-    return q, v, s
-
-
-def matrix(column: pd.Series, width: int) -> np.ndarray:
-    """Rows of `width` numbers; shorter vectors are filled up with zeros."""
+    rows = keyed(vectors, id_column, vector_column).where(whole)
+    return rows.select(F.col(id_column).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"), "rk_f", "rk_r")
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of `width` numbers from a list column; shorter vectors are filled up with zeros."""
     out = np.zeros((len(column), width))
-    for i, x in enumerate(column):
-        out[i, : len(x)] = x
+    n = np.diff(column.offsets.to_numpy())
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    out[np.repeat(np.arange(len(column)), n), place] = column.flatten().to_numpy()
     return out
 
 
+def key_columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(c).to_numpy() for c in ("vec_id", "rk_f", "rk_r"))
+
+
+def blocks_of(vectors: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of blocks of like vectors: the nearest of some of the vectors, by two rounds of means, at most 2 * BLOCK in a block."""
+    n = len(vectors)
+    centres = vectors[:: max(1, BLOCK)].copy()
+    for _ in range(2):
+        near = np.argmax(vectors @ centres.T - (centres**2).sum(axis=1) / 2, axis=1)
+        total = np.zeros_like(centres)
+        np.add.at(total, near, vectors)
+        count = np.bincount(near, minlength=len(centres))[:, None]
+        centres = np.where(count > 0, total / np.maximum(count, 1), centres)
+    order = np.argsort(near, kind="stable")
+    cut = np.append(np.flatnonzero(np.append(True, near[order][1:] != near[order][:-1])), n)
+    return [order[i : min(i + 2 * BLOCK, b)] for a, b in zip(cut[:-1], cut[1:], strict=True) for i in range(a, b, 2 * BLOCK)]
+
+
+class Best:
+    """The k best answers so far of each query: scores falling, ties by smaller id; theta: what a new one has to reach."""
+
+    def __init__(self, n: int, k: int, theta: np.ndarray | None = None):
+        self.k = k
+        self.found: list[list[tuple[float, int]]] = [[] for _ in range(n)]
+        self.theta = np.full(n, -np.inf) if theta is None else theta.copy()
+
+    def add(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        new = sorted([*self.found[q], *zip((-scores).tolist(), ids.tolist(), strict=True)])[: self.k]
+        self.found[q] = new
+        if len(new) == self.k:
+            self.theta[q] = max(self.theta[q], -new[-1][0])
+
+
+def search_shard(queries: np.ndarray, query_keys: tuple[np.ndarray, ...], vectors: np.ndarray, keys: tuple[np.ndarray, ...], best: Best) -> int:
+    """Takes the shard's vectors into `best`; a query is never its own answer. Returns how many scores were looked up to the end."""
+    groups = blocks_of(vectors)
+    rows = np.concatenate(groups)
+    start = np.append(0, np.cumsum([len(g) for g in groups]))
+    vectors, (ids, f, r) = vectors[rows], (x[rows] for x in keys)
+    low = np.minimum.reduceat(vectors, start[:-1])
+    high = np.maximum.reduceat(vectors, start[:-1])
+    bound = np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+    scored = 0
+    for q, weights in enumerate(queries):
+        own_f, own_r = query_keys[1][q], query_keys[2][q]
+        size = np.abs(weights)
+        for b in np.argsort(-bound[q], kind="stable").tolist():
+            theta = best.theta[q]
+            if bound[q, b] < theta:
+                break
+            part = slice(start[b], start[b + 1])
+            reach = size * (high[b] - low[b])  # by how much each term can lift a score above the block's least
+            order = np.argsort(reach)
+            essential = order[np.cumsum(reach[order]) >= theta - (bound[q, b] - reach.sum())]
+            rest = bound[q, b] - np.maximum(weights[essential] * high[b, essential], weights[essential] * low[b, essential]).sum()
+            at = np.flatnonzero(vectors[part][:, essential] @ weights[essential] + rest >= theta) + start[b]
+            at = at[(f[at] != own_f) | (r[at] != own_r)]
+            if len(at):
+                scores = vectors[at] @ weights
+                scored += len(at)
+                good = scores >= theta
+                if good.any():
+                    best.add(q, scores[good], ids[at[good]])
+    return scored
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query the k best of the other vectors; ties go to smaller vec_id.
+    """query_id, rank, vec_id, score: for each query row the k best of the other rows; ties go to smaller vec_id.
 
-    Both sides are tables of integer_vectors(). Queries go in blocks to every shard of the vectors; a pair of
-    block and shard is one group of bounded size. A query with fewer candidates gets all; a vector with the query's
-    vec_id is never its answer, repeated vectors each count. Vectors of different lengths are compared as if filled up with zeros.
+    Both sides are tables of integer_vectors(), of one source where they share rows. Vectors stay where they are read; QUERIES queries at a time go to every
+    task. A query with fewer candidates gets all. Repeated rows and rows that share a vec_id each count, as queries and as
+    candidates; only the row itself is left out. Vectors of different lengths are compared as if filled up with zeros. Empty tables
+    give no rows. Scores are exact below 2**53.
     """
-    size = vectors.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    asked = queries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
-    shards, blocks = max(1, math.ceil(size["n"] / SHARD)), max(1, math.ceil(asked["n"] / QUERIES))
-    width = max(size["d"] or 1, asked["d"] or 1, 1)
-    pick = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    left = queries.withColumn("block", pick(blocks, 5)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    right = vectors.withColumn("shard", pick(shards, 7)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(found):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
-        ids = own["vec_id"].to_numpy()
-        found = found.sort_values("vec_id")
-        q, v, s = search_shard(ids, matrix(own["v"], width), found["vec_id"].to_numpy(), matrix(found["v"], width), k)
-        return pd.DataFrame({"query_id": ids[q], "vec_id": v, "score": s})
-
-    pairs = left.groupBy("block", "shard").cogroup(right.groupBy("block", "shard"))
-    lists = pairs.applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    spark = vectors.sparkSession
+    vectors, queries = written(vectors, "vectors"), written(queries, "queries")
+    width = max(1, vectors.agg(F.max(F.size("v"))).first()[0] or 1, queries.agg(F.max(F.size("v"))).first()[0] or 1)
+    rounds = max(1, math.ceil(queries.count() / QUERIES))
+    sample = vectors.orderBy(F.xxhash64("rk_f", "rk_r"), "rk_f", "rk_r").limit(SAMPLE).toArrow().combine_chunks()
+    names, out = ["query_id", "rk_f", "rk_r", "vec_id", "score"], []
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, keys, theta = shared.value
+            best = Best(len(asked), k, theta)
+            held, n = [], 0
+
+            def take() -> None:
+                rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                search_shard(asked, keys, matrix(rows.column("v"), width), key_columns(rows), best)
+
+            for batch in batches:
+                for at in range(0, len(batch), SHARD):
+                    held.append(batch.slice(at, SHARD))
+                    n += len(held[-1])
+                    if n >= SHARD:
+                        take()
+                        held, n = [], 0
+            if n:
+                take()
+            of = np.repeat(np.arange(len(asked)), [len(x) for x in best.found])
+            flat = [y for x in best.found for y in x]
+            score, ids = (np.array([y[i] for y in flat]) for i in (0, 1))
+            for i in range(0, len(of), 100_000):
+                j = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[of[j]]) for x in keys), pa.array(ids[j].astype(np.int64)), pa.array(np.rint(-score[j]).astype(np.int64))], names)
+
+        return run
+
+    for number in range(rounds):
+        with tidy(spark):
+            rows = queries.where(F.pmod(F.xxhash64("rk_f", "rk_r", F.lit(3)), F.lit(rounds)) == number).toArrow().combine_chunks()
+        if not len(rows):
+            continue
+        rows = rows.to_batches()[0]
+        asked, keys = matrix(rows.column("v"), width), key_columns(rows)
+        start = Best(len(asked), k)
+        if len(sample):
+            some = sample.to_batches()[0]
+            search_shard(asked, keys, matrix(some.column("v"), width), key_columns(some), start)
+        shared = spark.sparkContext.broadcast((asked, keys, start.theta))
+        out.append(written(vectors.mapInArrow(freed(search(shared)), "query_id long, rk_f long, rk_r long, vec_id long, score long"), "found"))
+        shared.destroy()
+    if not out:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    lists = out[0]
+    for more in out[1:]:
+        lists = lists.union(more)
+    rank = F.row_number().over(Window.partitionBy("rk_f", "rk_r").orderBy(F.desc("score"), "vec_id"))
     return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,6 +15,7 @@ def awkward():
         (10, "x" * 5000), (11, "word " * 3000), (12, "é" * 150 + "\n" + BASE[:400]), (None, BASE), (None, "lone words of a row without a name " * 3), (13, " ".join(near[:150])),
         (14, "a\x0bb\x0cc d e f\x85g"), (15, "line\n" * 40), (16, BASE + " " + BASE), (16, "second row of sixteen " + BASE[:300]), (17, "\x00nul \x00nul " * 60),
         (18, " ".join(near[:160] + ["changed"] + near[161:])), (19, "idiot moron " * 5), (-3, " ".join(near[20:])),
+        (20, "left <|endoftext|> right<|endoftext|><|endof"),
     ]
     return [(i, t, None if n % 3 == 0 else ("en", "fr")[n % 2], None if n % 5 == 0 else "src", None if t is None else len(t), "clash", n) for n, (i, t) in enumerate(texts)]
 

@@ -38,3 +38,14 @@ def test_nothing_is_lost_when_words_are_forgotten(spark, monkeypatch):
     monkeypatch.setattr(bpe, "WORDS", 3)
     codec = bpe.Codec(CONTENT)
     assert codec.decode(codec.encode([b"one", b" two", b" three", b" four", b""])) == [b"one", b" two", b" three", b" four", b""]
+
+
+def test_rounds_start_again_from_where_they_are(monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("etaoin shrdlu", k=k)).encode() for k in (5000, 80, 3, 70, 900)] + [b"ab" * 9000]
+    monkeypatch.setattr(bpe, "ROWS", 20_000)
+    monkeypatch.setattr(bpe, "BYTES", 2000)
+    codec = bpe.Codec(CONTENT)
+    ids = codec.encode(words)
+    assert [x.tolist() for x in ids] == [ENCODING._core_bpe.encode_single_piece(w) for w in words]
+    assert codec.decode(ids) == words

@@ -44,8 +44,7 @@ def test_plan_uses_up_the_counts():
 def test_pieces_hold_every_id_once(spark, small):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet") if small else frame(spark)
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(docs, RANKS, public_tokenizers.PATTERN, with_ids=True).collect()
+    rows = packing.pack(docs, RANKS, public_tokenizers.PATTERN, with_ids=True, added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))).collect()
     expected = Counter()
     for r in docs.collect():
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
