@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from stowage.functions import bits as b
 
 ONE = lambda x: F.lit(x).cast("long")
+FLOATS = {4: (8, 23, 127), 8: (11, 52, 1023)}  # bytes: bits of exponent and mantissa, bias
 
 
 def shl(x: Column, n: Column) -> Column:
@@ -24,22 +25,14 @@ def shr(x: Column, n: Column) -> Column:
     return F.when(n >= 64, ONE(0)).otherwise(F.call_function("shiftrightunsigned", x, F.least(n, ONE(63)).cast("int")))
 
 
-def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits", esz: int = 4, mbits: int = 3, emax: int = 8, emin: int = -6, scale_bits: int = 8, block: int = 32, sites: DataFrame | None = None) -> DataFrame:
-    """`df` with mx_bits and the flags changed, flushed, saturated, block_nan, scale_clamped.
-
-    The shared exponent of a block is the largest floor(log2 |v|) less emax. A block with an infinity or NaN, or with a
-    scale above its range, becomes NaN; one with a scale below it is clamped; one of zeros stays. Ties round away from
-    zero, what is too small becomes a zero of its sign, and the top binade ends at 1.75 * 2**emax (1.111 is NaN there) for
-    emax 8 with 3 mantissa bits, else at the largest significand. With `sites`, only rows whose `site` is in it change.
-    """
-    width, mant, bias = (8, 23, 127) if esz == 4 else (11, 52, 1023)
+def block_scales(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits", esz: int = 4, emax: int = 8, scale_bits: int = 8, block: int = 32) -> DataFrame:
+    """`df` with the parts of its floats, the shared exponent of their blocks, block_nan and scale_clamped; none of it depends on the mantissa's width."""
+    width, mant, bias = FLOATS[esz]
     special = (1 << width) - 1
     limit = (1 << (scale_bits - 1)) - 1
-    nan_bits = (special << mant) | (1 << (mant - 1))
-    sign_bit = 1 << 31 if esz == 4 else b.FLIP
     v = F.col(bits)
     df = df.withColumns({
-        "_e": F.shiftrightunsigned(v, mant).bitwiseAND(ONE(special)), "_m": v.bitwiseAND(ONE((1 << mant) - 1)), "_sign": v.bitwiseAND(ONE(sign_bit)), "_block": F.floor(F.col(idx) / block)
+        "_e": F.shiftrightunsigned(v, mant).bitwiseAND(ONE(special)), "_m": v.bitwiseAND(ONE((1 << mant) - 1)), "_sign": v.bitwiseAND(ONE(1 << 31 if esz == 4 else b.FLIP)), "_block": F.floor(F.col(idx) / block)
     })
     e, m = F.col("_e"), F.col("_m")
     finite = (e < special) & ((e > 0) | (m > 0))
@@ -49,21 +42,38 @@ def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits"
     blocks = df.groupBy(*key, "_block").agg(F.max("_lead").alias("_top"), F.max((F.col("_e") == special).cast("int")).alias("_bad"))
     df = df.join(blocks, [*key, "_block"])
     shared = F.col("_top") - emax
-    df = df.withColumns({"block_nan": (F.col("_bad") == 1) | F.coalesce(shared > limit, F.lit(False)), "scale_clamped": F.coalesce(shared < -limit, F.lit(False)), "_shared": F.greatest(shared, ONE(-limit))})
+    return df.withColumns({"block_nan": (F.col("_bad") == 1) | F.coalesce(shared > limit, F.lit(False)), "scale_clamped": F.coalesce(shared < -limit, F.lit(False)), "_shared": F.greatest(shared, ONE(-limit))})
+
+
+def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits", esz: int = 4, mbits: int | Column = 3, emax: int = 8, emin: int = -6, scale_bits: int = 8, block: int = 32, sites: DataFrame | None = None) -> DataFrame:
+    """`df` with mx_bits and the flags changed, flushed, saturated, block_nan, scale_clamped.
+
+    The shared exponent of a block is the largest floor(log2 |v|) less emax. A block with an infinity or NaN, or with a
+    scale above its range, becomes NaN; one with a scale below it is clamped; one of zeros stays. Ties round away from
+    zero, what is too small becomes a zero of its sign, and the top binade ends at 1.75 * 2**emax (1.111 is NaN there) for
+    emax 8 with 3 mantissa bits, else at the largest significand. With `sites`, only rows whose `site` is in it change.
+    """
+    width, mant, bias = FLOATS[esz]
+    special = (1 << width) - 1
+    nan_bits = (special << mant) | (1 << (mant - 1))
+    v = F.col(bits)
+    keep = mbits if isinstance(mbits, Column) else ONE(mbits)
+    if "_shared" not in df.columns:
+        df = block_scales(df, key, idx, bits, esz, emax, scale_bits, block)
     # quantum: the value of the last mantissa bit kept, as a power of two
-    df = df.withColumn("_q", F.greatest(F.col("_lead"), F.col("_shared") + emin) - mbits)
+    df = df.withColumn("_q", F.greatest(F.col("_lead"), F.col("_shared") + emin) - keep)
     drop = F.col("_q") - F.col("_unit")
     half = shl(ONE(1), F.greatest(drop - 1, ONE(0)))
     rounded = F.when(drop <= 0, F.col("_sig")).when(drop > mant + 2, ONE(0)).otherwise(shr(F.col("_sig") + half, drop))
     df = df.withColumn("_r", rounded).withColumn("_qq", F.when(drop <= 0, F.col("_unit")).otherwise(F.col("_q")))
     # saturation: r * 2**qq above top significand at the top binade
-    top_sig = (1 << (mbits + 1)) - 1 - (1 if (mbits, emax) == (3, 8) else 0)
-    at_top = F.col("_shared") + emax - mbits
+    top_sig = shl(ONE(1), keep + 1) - 1 - F.when((keep == 3) & (F.lit(emax) == 8), ONE(1)).otherwise(ONE(0))
+    at_top = F.col("_shared") + emax - keep
     over = (drop > 0) & (F.col("_qq") == at_top) & (F.col("_r") > top_sig)
     # not rounded (drop <= 0) means fewer bits than kept: it can still lie above the top significand
-    wide = (drop <= 0) & (F.col("_lead") == F.col("_shared") + emax) & (F.col("_sig") > shl(ONE(top_sig), F.greatest(at_top - F.col("_unit"), ONE(0)))) & (at_top >= F.col("_unit"))
+    wide = (drop <= 0) & (F.col("_lead") == F.col("_shared") + emax) & (F.col("_sig") > shl(top_sig, F.greatest(at_top - F.col("_unit"), ONE(0)))) & (at_top >= F.col("_unit"))
     df = df.withColumn("saturated", F.coalesce(over | wide, F.lit(False)) & ~F.col("block_nan"))
-    df = df.withColumns({"_r": F.when(F.col("saturated"), ONE(top_sig)).otherwise(F.col("_r")), "_qq": F.when(F.col("saturated"), at_top).otherwise(F.col("_qq"))})
+    df = df.withColumns({"_r": F.when(F.col("saturated"), top_sig).otherwise(F.col("_r")), "_qq": F.when(F.col("saturated"), at_top).otherwise(F.col("_qq"))})
     # back to bits: r * 2**qq, normal or subnormal, overflow to infinity
     length = F.length(F.bin("_r")).cast("long")
     exp = length - 1 + F.col("_qq") + bias
@@ -74,7 +84,7 @@ def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits"
     out = F.when(F.col("block_nan"), ONE(nan_bits)).when(F.col("_lead").isNull(), v).otherwise(F.col("_sign").bitwiseOR(magnitude))
     chosen = F.lit(True)
     if sites is not None:
-        df = df.join(F.broadcast(sites.select("site").distinct().withColumn("_chosen", F.lit(True))), "site", "left")
+        df = df.join(sites.select("site").distinct().withColumn("_chosen", F.lit(True)), "site", "left")
         chosen = F.coalesce("_chosen", F.lit(False))
     df = df.withColumn("mx_bits", F.when(chosen, out).otherwise(v))
     flushed = chosen & ~F.col("block_nan") & F.col("_lead").isNotNull() & (F.col("_r") == 0)
@@ -89,11 +99,7 @@ def mx_summary(rounded: DataFrame, key: list[str], by: list[str], idx: str = "id
 
 
 def mantissa_sweep(df: DataFrame, key: list[str], by: list[str], widths: tuple[int, ...] = (23, 16, 10, 7, 3), **options) -> DataFrame:
-    """Counters for every mantissa width; the input is read once per width."""
-    out = None
-    for w in widths:
-        part = mx_summary(mx_round(df, key, mbits=w, **options), key, by).withColumn("mbits", F.lit(w))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
+    """Counters for every mantissa width; the input is read, and its blocks' scales are found, once for all widths."""
+    scales = {k: v for k, v in options.items() if k in ("idx", "bits", "esz", "emax", "scale_bits", "block")}
+    rows = block_scales(df, key, **scales).withColumn("mbits", F.explode(F.array(*map(F.lit, widths))))
+    return mx_summary(mx_round(rows, key, mbits=F.col("mbits").cast("long"), **options), key, [*by, "mbits"])

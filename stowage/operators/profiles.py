@@ -51,7 +51,7 @@ def line_costs(p: DataFrame) -> DataFrame:
 
 def attribution_summary(p: DataFrame, event: str, readable: DataFrame, threshold: float = 0.1) -> DataFrame:
     """counts by how far they can be attributed; `readable` has file and stale of the sources at hand."""
-    rows = p.where(F.col("event") == event).join(F.broadcast(readable.select("file", "stale")), "file", "left")
+    rows = p.where(F.col("event") == event).join(readable.select("file", "stale"), "file", "left")
     total = p.where(F.col("event") == event).agg(F.sum("n").alias("total"))
     files = rows.groupBy("file").agg(F.sum("n").alias("file_n"))
     rows = rows.join(files, "file").crossJoin(F.broadcast(total))
@@ -183,12 +183,19 @@ def interval_vectors(events: DataFrame, interval: int, bits: int = 20) -> DataFr
     return rows.groupBy(*key, "interval", "block").agg(F.sum("n_instr").alias("weight"))
 
 
-def live_heap_timeline(allocs: DataFrame) -> DataFrame:
-    """live bytes and blocks after every allocation and free (allocs: run_id, seq, end_seq or null, size)."""
+def live_heap_timeline(allocs: DataFrame, bits: int = 20) -> DataFrame:
+    """live bytes and blocks after every allocation and free (allocs: run_id, seq, end_seq or null, size).
+
+    Sums run in ranges of seq and are completed by those of the ranges before, so one long run is many tasks' work.
+    """
     on = allocs.select("run_id", "seq", F.col("size").alias("d"), F.lit(1).cast("long").alias("k"))
     off = allocs.where("end_seq is not null").select("run_id", F.col("end_seq").alias("seq"), (-F.col("size")).alias("d"), F.lit(-1).cast("long").alias("k"))
-    w = Window.partitionBy("run_id").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)  # what happens at one seq happens at once
-    return on.unionByName(off).select("run_id", "seq", F.sum("d").over(w).alias("live_bytes"), F.sum("k").over(w).alias("live_blocks"))
+    rows = on.unionByName(off).withColumn("_r", F.shiftright("seq", bits))
+    before = Window.partitionBy("run_id").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("run_id", "_r").agg(F.sum("d").alias("d"), F.sum("k").alias("k")).select("run_id", "_r", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in "dk"))
+    w = Window.partitionBy("run_id", "_r").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)  # what happens at one seq happens at once
+    inside = rows.select("run_id", "_r", "seq", F.sum("d").over(w).alias("d"), F.sum("k").over(w).alias("k"))
+    return inside.join(sums, ["run_id", "_r"]).select("run_id", "seq", (F.col("d") + F.col("_d")).alias("live_bytes"), (F.col("k") + F.col("_k")).alias("live_blocks"))
 
 
 def peak_composition(allocs: DataFrame, k: int = 20) -> DataFrame:

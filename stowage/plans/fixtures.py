@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
 
 
-@pandas_udf(LongType())
-def f64_bits(x: pd.Series) -> pd.Series:
-    return pd.Series(x.to_numpy("float64").view("int64"))
+def f64_bits(x) -> Column:
+    """The bits of a double, in the JVM."""
+    return F.reflect(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x).cast("long")
 
 
-@pandas_udf(LongType())
-def f32_bits(x: pd.Series) -> pd.Series:
-    return pd.Series(x.to_numpy("float32").view("uint32").astype("int64"))
+def f32_bits(x) -> Column:
+    return F.reflect(F.lit("java.lang.Float"), F.lit("floatToRawIntBits"), x).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
 
 
 FRAMES = ("solve_grid", "__phys_MOD_alloc_state", "std::vector<int, A>::grow(int)", "read_input", "???", "main")
@@ -59,7 +55,7 @@ def trace(spark: SparkSession, sf_dir: str, view: str = "li") -> DataFrame:
     if view == "emb":
         rows = read("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
         vec, pos = F.col("vec_id").cast("long"), F.col("pos").cast("long")
-        return rows.select(*base, F.concat(F.lit("label_"), "label").alias("bench"), (65536 + vec * 256).alias("alloc_addr"), F.lit(256).cast("long").alias("alloc_size"), F.lit("32bits").alias("alloc_type"), F.lit(1).cast("long").alias("generation"), F.lit("   by 0x10: main (main.c:5)").alias("alloc_stack"), (4 * pos).alias("offset"), f32_bits("x").alias("value"), (vec * 64 + pos).alias("rn"))
+        return rows.select(*base, F.concat(F.lit("label_"), "label").alias("bench"), (65536 + vec * 256).alias("alloc_addr"), F.lit(256).cast("long").alias("alloc_size"), F.lit("32bits").alias("alloc_type"), F.lit(1).cast("long").alias("generation"), F.lit("   by 0x10: main (main.c:5)").alias("alloc_stack"), (4 * pos).alias("offset"), f32_bits(F.col("x").cast("float")).alias("value"), (vec * 64 + pos).alias("rn"))
     if view == "ev":
         e = read("events")
         return e.select(*base, F.col("event_type").alias("bench"), (65536 * (F.col("user_id").cast("long") % 16 + 1)).alias("alloc_addr"), F.lit(256).cast("long").alias("alloc_size"), F.lit("64bits").alias("alloc_type"), F.lit(1).cast("long").alias("generation"), F.lit("   by 0x10: main (main.c:5)").alias("alloc_stack"), (8 * (F.col("event_id").cast("long") % 16)).alias("offset"), f64_bits(F.floor(F.col("value") / 50).cast("double")).alias("value"), F.col("event_id").cast("long").alias("rn"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.operators.profiles import decode_access_counts
+from stowage.sources.traces import carried, file_order
 
 
 def read_cost_profiles(spark: SparkSession, *paths: str) -> DataFrame:
@@ -13,10 +14,8 @@ def read_cost_profiles(spark: SparkSession, *paths: str) -> DataFrame:
 
     Raises if the runs name different events or a `summary:` line is not the sum of the counts.
     """
-    lines = spark.read.text(list(paths)).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("run"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono")).alias("seq"), "value")
-    w = Window.partitionBy("run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda p: F.last(F.when(F.col("value").rlike(p), F.regexp_extract("value", p, 1)), ignorenulls=True).over(w)
-    lines = lines.withColumns({"events": carried(r"^events:\s*(.*)$"), "file": carried(r"^fl=(.*)$"), "fn": carried(r"^fn=(.*)$")})
+    last = lambda p: F.when(F.col("value").rlike(p), F.regexp_extract("value", p, 1))
+    lines = carried(file_order(spark.read.text(list(paths))), events=last(r"^events:\s*(.*)$"), file=last(r"^fl=(.*)$"), fn=last(r"^fn=(.*)$")).withColumnRenamed("run_id", "run")
     if lines.where("events is not null").select(F.split(F.trim("events"), r"\s+").alias("e")).distinct().limit(2).count() > 1:
         raise ValueError("the profiles count different events")
     numbers = lambda c: F.transform(F.split(F.trim(c), r"\s+"), lambda x: x.cast("long"))

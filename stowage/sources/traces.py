@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import bits as b
@@ -15,22 +17,38 @@ STEP, OPEN = 4, 62  # lifetimes are met in ranges of seq of 2**(a multiple of ST
 
 
 def file_order(df: DataFrame) -> DataFrame:
-    """Lines with run_id (the file's name) and seq, which rises in file order."""
-    return df.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("run_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono"), "value")
+    """Lines with run_id (the file's name), the start of their split (at) and seq, which counts the lines of a file from 1.
+
+    Lines are counted inside their split; one row per split is stitched to the splits before it, so a file of any size is many tasks' work.
+    """
+    lines = df.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("run_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono"), "value")
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "at").orderBy("mono")))
+    before = Window.partitionBy("run_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("run_id", "at").agg(F.count("*").alias("lines")).select("run_id", "at", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    return lines.join(splits, ["run_id", "at"]).select("run_id", "at", (F.col("before") + F.col("n")).alias("seq"), "value")
+
+
+def carried(lines: DataFrame, **columns: Column) -> DataFrame:
+    """Lines of file_order() with the last value that each of the columns had up to a line, in ranges of a split as there."""
+    so_far = Window.partitionBy("run_id", "at").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("run_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.select("*", *(F.last(x, ignorenulls=True).over(so_far).alias(name) for name, x in columns.items()))
+    ends = lines.groupBy("run_id", "at").agg(*(F.max_by(name, "seq").alias(name) for name in columns))
+    ends = ends.select("run_id", "at", *(F.last(name, ignorenulls=True).over(before).alias(f"{name}_before") for name in columns))
+    lines = lines.join(ends, ["run_id", "at"])
+    return lines.withColumns({name: F.coalesce(name, f"{name}_before") for name in columns}).drop(*(f"{name}_before" for name in columns))
 
 
 def read_trace_log(spark: SparkSession, *paths: str) -> DataFrame:
     """A1: run_id, seq, kind (ALLOC, FREE, STORE, FRAME, other markers dropped), addr, size, value, frame, block.
 
-    Block delimiters carry forward over a file by a window; block is the seq of the opening delimiter. A line that fits
-    none of the forms is dropped. seq is the order of splits in a file and of lines in a split.
+    Block delimiters carry forward over a file; block is the seq of the opening delimiter. A line that fits none of the
+    forms is dropped. seq is the order of splits in a file and of lines in a split.
     """
     lines = file_order(spark.read.text(list(paths)))
-    w = Window.partitionBy("run_id").orderBy("at", "mono")
     marker = F.regexp_extract("value", r"^===(ALLOC|FREE) (START|END)===", 1)
-    state = F.when(F.col("value").startswith("==="), F.when(F.col("value").contains("START"), F.struct(marker.alias("kind"), F.col("seq").alias("block"))).otherwise(F.struct(F.lit("").alias("kind"), F.col("seq").alias("block"))))
-    lines = lines.withColumn("seq", F.row_number().over(w).cast("long"))
-    lines = lines.withColumn("state", F.last(state, ignorenulls=True).over(Window.partitionBy("run_id").orderBy("seq"))).where(~F.col("value").startswith("==="))
+    kind = F.when(F.col("value").contains("START"), marker).otherwise("")
+    lines = carried(lines, state=F.when(F.col("value").startswith("==="), F.struct(kind.alias("kind"), F.col("seq").alias("block")))).where(~F.col("value").startswith("==="))
     head = r"^Start 0x([0-9a-fA-F]+), size (\d+)"
     store = r"^0x([0-9a-fA-F]+) 0x([0-9a-fA-F]+)\s*$"
     inside = F.coalesce(F.col("state.kind"), F.lit(""))
@@ -81,8 +99,8 @@ def near_allocations(stores: DataFrame, allocs: DataFrame) -> DataFrame:
     bucket = lambda x, bits: F.when(bits == SMALL, F.shiftright(x, SMALL)).otherwise(F.shiftright(x, HUGE))
     live = live.withColumn("bucket", F.explode(F.sequence(bucket(start, F.col("bits")), bucket(end, F.col("bits")))))
     live = live.withColumn("time", F.explode(F.expr(f"sequence(shiftright(seq, span), shiftright(coalesce(end_seq, {2**63 - 1}), span))")))
-    live = live.select("run_id", "bits", "span", "bucket", "time", F.col("seq").alias("alloc_seq"), "end_seq", "alloc_addr", "alloc_size", "generation", "alloc_stack")
-    rows = stores.select("run_id", "seq", "addr", "value").join(F.broadcast(kinds), "run_id")
+    live = live.select("run_id", "bits", "span", "bucket", "time", F.col("seq").alias("alloc_seq"), "end_seq", "alloc_addr", "alloc_size", "generation")
+    rows = stores.select("run_id", "seq", "addr", "value").join(kinds, "run_id")
     rows = rows.withColumn("bucket", bucket(F.col("addr"), F.col("bits"))).withColumn("time", F.expr("shiftright(seq, span)"))
     return rows.join(live, ["run_id", "bits", "span", "bucket", "time"])
 
@@ -90,8 +108,9 @@ def near_allocations(stores: DataFrame, allocs: DataFrame) -> DataFrame:
 def attribute_stores(stores: DataFrame, allocs: DataFrame) -> DataFrame:
     """A5: each store with the newest allocation that is live at its seq and holds its address."""
     met = near_allocations(stores, allocs).where("addr >= alloc_addr and addr - alloc_addr < alloc_size and alloc_seq < seq and (end_seq is null or seq < end_seq)")
-    newest = met.groupBy("run_id", "seq").agg(F.max_by(F.struct("addr", "value", "alloc_seq", "alloc_addr", "alloc_size", "generation", "alloc_stack"), "alloc_seq").alias("x"))
-    return newest.select("run_id", "seq", "x.*").withColumn("offset", F.col("addr") - F.col("alloc_addr"))
+    newest = met.groupBy("run_id", "seq").agg(F.max_by(F.struct("addr", "value", "alloc_seq", "alloc_addr", "alloc_size", "generation"), "alloc_seq").alias("x"))
+    stacks = allocs.select("run_id", F.col("seq").alias("alloc_seq"), "alloc_stack")  # joined last: stores don't carry texts through the shuffles before
+    return newest.select("run_id", "seq", "x.*").join(stacks, ["run_id", "alloc_seq"]).withColumn("offset", F.col("addr") - F.col("alloc_addr"))
 
 
 def unattributed_stores(stores: DataFrame, attributed: DataFrame, strict: bool = False) -> DataFrame:
@@ -171,15 +190,25 @@ def stale_sources(spark: SparkSession, source: str, manifest: DataFrame | None,
 
 
 def save_result(df: DataFrame, path: str, fmt: str = "parquet") -> int:
-    """Writes the benches that `path` has not yet, and says how many rows; what is finished is left alone."""
+    """Writes the benches that `path` has not yet, and says how many rows; what is finished is left alone.
+
+    A call writes one folder, batch=<name>. A folder without the mark of a finished job does not count, and goes.
+    """
     spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        df = df.join(spark.read.format(fmt).option("header", "true").load(path).select("bench").distinct(), "bench", "left_anti")
-    n = df.count()
-    if n:
-        df.write.mode("append").format(fmt).option("header", "true").save(path)
-    return n
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [x.getPath() for x in files.listStatus(top)] if files.exists(top) else []
+    for folder in [x for x in folders if x.getName().startswith("batch=")]:
+        if files.exists(hadoop.Path(folder, "_SUCCESS")):
+            df = df.join(spark.read.format(fmt).option("header", "true").load(folder.toString()).select("bench").distinct(), "bench", "left_anti")
+        else:
+            files.delete(folder, True)
+    at, rows = f"{path}/batch={uuid.uuid4().hex}", Observation()
+    df.observe(rows, F.count("*").alias("n")).write.format(fmt).option("header", "true").save(at)
+    if not rows.get["n"]:
+        files.delete(hadoop.Path(at), True)
+    return rows.get["n"]
 
 
 def parse_site_listing(spark: SparkSession, *paths: str) -> DataFrame:
@@ -192,6 +221,5 @@ def parse_site_listing(spark: SparkSession, *paths: str) -> DataFrame:
 def parse_mem_reference_trace(spark: SparkSession, *paths: str) -> DataFrame:
     """run_id, seq, kind (I, L, S, M), addr, size."""
     p = r"^\s*([ILSM])\s+([0-9a-fA-F]+),(\d+)"
-    rows = file_order(spark.read.text(list(paths)))
-    rows = rows.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("at", "mono")).cast("long")).where(F.col("value").rlike(p))
+    rows = file_order(spark.read.text(list(paths))).where(F.col("value").rlike(p))
     return rows.select("run_id", "seq", F.regexp_extract("value", p, 1).alias("kind"), b.from_hex(F.regexp_extract("value", p, 2)).alias("addr"), F.regexp_extract("value", p, 3).cast("long").alias("size"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import pickle
 import uuid
 from collections.abc import Iterator
@@ -19,30 +20,36 @@ ATTRIBUTED = "run_id string, seq long, addr long, value long, alloc_addr long, a
 def stream_attribute(events: DataFrame) -> DataFrame:
     """H1: events (run_id, seq, kind, addr, size, value) -> stores with their allocation.
 
-    State per run: the live allocations, a counter of generations per address, and the last seq. Events are taken in
-    order of seq within a batch. status: "ok"; "unattributed" (no live allocation); "late" (a batch after its seq had passed).
+    State per run: the live allocations by address, a counter of generations per address, the largest size so far and the last seq. Events
+    are taken in order of seq within a batch; a store looks back from its address by the largest size at most. status: "ok"; "unattributed"
+    (no live allocation); "late" (a batch after its seq had passed).
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        live, generation, last = pickle.loads(state.get[0]) if state.exists else ({}, {}, -1)
+        starts, live, generation, largest, last = pickle.loads(state.get[0]) if state.exists else ([], {}, {}, 0, -1)
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out, seen = [], last
         for e in rows.itertuples(index=False):
             late = e.seq <= last
             seen = max(seen, e.seq)
             if e.kind == "ALLOC" and not late:
+                if e.addr not in live:
+                    bisect.insort(starts, e.addr)
                 generation[e.addr] = generation.get(e.addr, 0) + 1
-                live[e.addr] = (int(e.size), generation[e.addr], int(e.seq))
+                live[e.addr] = (int(e.seq), int(e.size), generation[e.addr])
+                largest = max(largest, int(e.size))
             elif e.kind == "FREE" and not late:
-                live.pop(e.addr, None)
+                if live.pop(e.addr, None):
+                    del starts[bisect.bisect_left(starts, e.addr)]
             elif e.kind == "STORE":
-                held = [(seq, at, size, g) for at, (size, g, seq) in live.items() if at <= e.addr < at + size]
+                near = starts[bisect.bisect_right(starts, e.addr - largest) : bisect.bisect_right(starts, e.addr)]
+                held = [(*live[at], at) for at in near if e.addr < at + live[at][1]]
                 if late or not held:
                     out.append((key[0], e.seq, e.addr, e.value, None, None, None, None, "late" if late else "unattributed"))
                 else:
-                    _, at, size, g = max(held)
+                    _, size, g, at = max(held)
                     out.append((key[0], e.seq, e.addr, e.value, at, size, g, e.addr - at, "ok"))
-        state.update((pickle.dumps((live, generation, seen)),))
+        state.update((pickle.dumps((starts, live, generation, largest, seen)),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in ATTRIBUTED.split(", ")]).astype({c: "Int64" for c in ("alloc_addr", "alloc_size", "generation", "offset")})
 
     return events.select("run_id", "seq", "kind", "addr", "size", "value").groupBy("run_id").applyInPandasWithState(update, ATTRIBUTED, "state binary", "append", "NoTimeout")
@@ -80,7 +87,9 @@ def stream_summary(stores: DataFrame) -> DataFrame:
 def run_available(df: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over all that is there now and gives its result as a table in the shared folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
     at = f"{base}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
