@@ -94,6 +94,47 @@ scores AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product
            FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+""",
+    # Measures, then per language the turns by which the cutoffs are tightened while the exact binomial tail allows it.
+    "op8_quality_rules": r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (SELECT rid, doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs),
+starts AS (SELECT rid, p, array_to_string(w[p : p + 4], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS p FROM split WHERE len(w) >= 5)),
+twice AS (SELECT rid, p FROM starts QUALIFY count(*) OVER (PARTITION BY rid, win) >= 2),
+repeats AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + 5)) AS q FROM twice) GROUP BY rid),
+stats AS (
+    SELECT rid, doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+           CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    FROM split LEFT JOIN repeats USING (rid)),
+levels AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, [
+        len(list_filter([10, 20, 50, 100, 150, 200, 300, 500], lambda c: 1000 * n_symbols > c * word_chars)),
+        len(list_filter([50, 100, 200, 300, 500, 700], lambda c: 1000 * n_dup_lines > c * n_lines)),
+        len(list_filter([20, 50, 100, 150, 200], lambda c: 1000 * n_repeat_words > c * n_words)),
+        len(list_filter([9000, 10000, 12000, 15000, 20000], lambda c: 1000 * word_chars > c * n_words))] AS level
+    FROM stats),
+good AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+ways AS (SELECT lang, level, count(*) FILTER (WHERE good = 1) AS n FROM levels JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+strata AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n, list({'level': level, 'n': n}) AS ways, count(*) OVER () AS strata FROM ways GROUP BY lang),
+tails AS (
+    SELECT lang, strata, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) OVER (PARTITION BY lang ORDER BY i) AS tail
+    FROM (SELECT lang, strata, n, unnest(range(0, CAST(floor(0.01 * n) AS BIGINT) + 1)) AS i FROM strata)),
+most AS (SELECT lang, coalesce(max(i) FILTER (WHERE tail <= 0.05 / (9 * 7 * 6 * 6 * strata)), -1) AS most FROM tails GROUP BY lang),
+turns AS (
+    SELECT s.lang, ways, most, 0 AS step, 1 AS i, [8, 6, 5, 5] AS cuts, [true, true, true, true] AS open
+    FROM strata s JOIN most m ON s.lang IS NOT DISTINCT FROM m.lang
+    UNION ALL
+    SELECT lang, ways, most, step + 1, i % 4 + 1, CASE WHEN fits THEN tighter ELSE cuts END, list_transform(open, lambda x, j: x AND (j <> i OR fits))
+    FROM (
+        SELECT *, open[i] AND tighter[i] >= 0 AND most >= coalesce(list_sum(list_transform(list_filter(ways, lambda x:
+                   x.level[1] > tighter[1] OR x.level[2] > tighter[2] OR x.level[3] > tighter[3] OR x.level[4] > tighter[4]), lambda x: x.n)), 0) AS fits
+        FROM (SELECT *, list_transform(cuts, lambda x, j: x - CAST(j = i AS INTEGER)) AS tighter FROM turns WHERE list_bool_or(open)))),
+chosen AS (SELECT lang, arg_max(cuts, step) AS cuts FROM turns GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(level[1] > cuts[1] OR level[2] > cuts[2] OR level[3] > cuts[3] OR level[4] > cuts[4], false) AS kept
+FROM levels d LEFT JOIN chosen c ON d.lang IS NOT DISTINCT FROM c.lang
 """,
     "op9_substring_dedup": WORDS
     + """,
