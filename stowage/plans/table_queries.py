@@ -158,7 +158,18 @@ DEFS = {
     "a07_classify_alignment": (lambda s, d: traces.classify_alignment(attributed(s, d)).groupBy("alloc_type").agg(F.count("*").alias("stores")), INGEST + "SELECT CASE WHEN by8 THEN '64bits' WHEN by4 THEN '32bits' ELSE 'object' END AS alloc_type, CAST(sum(n) AS BIGINT) AS stores FROM (SELECT bool_and((addr - alloc_addr) % 8 = 0) AS by8, bool_and((addr - alloc_addr) % 4 = 0) AS by4, count(*) AS n FROM met GROUP BY alloc_addr, generation) GROUP BY 1"),
     "a08_drop_unwritten": (lambda s, d: traces.drop_unwritten(allocations(s, d), attributed(s, d)).select("seq", "alloc_addr", "generation"), INGEST + "SELECT seq, alloc_addr, generation FROM allocs SEMI JOIN met USING (alloc_addr, generation)"),
     "h02_stream_silent": (lambda s, d: streaming.run_available(streaming.stream_silent(stream(s, d, "ev")), "append").groupBy("bench", "alloc_type").agg(F.sum("stores_with_prev").alias("stores_with_prev"), F.sum("silent").alias("silent")), f"WITH t AS ({fixtures.DUCK['ev']}) SELECT bench, alloc_type, count(prev) AS stores_with_prev, count(*) FILTER (prev = value) AS silent FROM (SELECT *, lag(value) OVER (PARTITION BY bench, alloc_addr, generation, \"offset\" ORDER BY rn, value) AS prev FROM t) GROUP BY ALL"),
-    "h03_stream_summary": (lambda s, d: streaming.run_available(streaming.stream_summary(stream(s, d, "li")), "complete").drop("allocations"), f"WITH t AS ({fixtures.DUCK['li']}) SELECT bench, count(*) AS stores, count(*) FILTER (value = 0) AS zero, count(*) FILTER (\"offset\" % 8 = 0) AS aligned_8b, count(*) FILTER (\"offset\" % 4 <> 0) AS unaligned, count(*) FILTER (CASE alloc_type WHEN '64bits' THEN ((value >> 52) & 2047) BETWEEN 1 AND 2046 WHEN '32bits' THEN ((value >> 23) & 255) BETWEEN 1 AND 254 ELSE false END) AS normal FROM t GROUP BY bench"),
+    "h03_stream_summary": (lambda s, d: streaming.run_available(streaming.stream_summary(stream(s, d, "li")), "complete").drop("allocations"), f"""
+WITH t AS ({fixtures.DUCK['li']}),
+parts AS (
+    SELECT *, CASE alloc_type WHEN '64bits' THEN (value >> 52) & 2047 WHEN '32bits' THEN (value >> 23) & 255 END AS e,
+           CASE alloc_type WHEN '64bits' THEN 2047 WHEN '32bits' THEN 255 END AS special, CASE alloc_type WHEN '64bits' THEN 1023 WHEN '32bits' THEN 127 END AS bias
+    FROM t)
+SELECT bench, count(*) AS stores, count(*) FILTER (alloc_type = '64bits') AS stores_64, count(*) FILTER (alloc_type = '32bits') AS stores_32, count(*) FILTER (alloc_type = 'object') AS stores_object,
+       count(*) FILTER (value = 0) AS zero, count(*) FILTER (value <> 0 AND (value >> 56) & 255 = 0) AS nonzero_top_byte_zero, count(*) FILTER ((value >> 56) & 255 <> 0) AS nonzero_top_byte_nonzero,
+       count(*) FILTER ("offset" % 8 = 0) AS aligned_8b, count(*) FILTER ("offset" % 8 = 4) AS aligned_4b_only, count(*) FILTER ("offset" % 4 <> 0) AS unaligned,
+       count(*) FILTER (e > 0 AND e < special) AS normal, count(*) FILTER (e = 0 AND value <> 0) AS denormal, count(*) FILTER (e = special) AS inf_nan,
+       CAST(min(e - bias) FILTER (e > 0 AND e < special) AS BIGINT) AS min_exp, CAST(max(e - bias) FILTER (e > 0 AND e < special) AS BIGINT) AS max_exp
+FROM parts GROUP BY bench"""),
 }
 
 QUERIES = {name: q for name, (q, _) in DEFS.items()}

@@ -76,11 +76,16 @@ def stream_silent(stores: DataFrame) -> DataFrame:
 
 
 def stream_summary(stores: DataFrame) -> DataFrame:
-    """H3: running counters; distinct allocations are estimated, as exact ones would need unbounded state."""
-    o = F.col("offset")
+    """H3: running counters of C01, C05, C06 and C15 per bench; distinct allocations are estimated, as exact ones would need unbounded state."""
+    o, v, high = F.col("offset"), F.col("value"), b.top_bits("value", 8)
+    e, x = b.biased_exp("alloc_type", "value"), b.normal_exp("alloc_type", "value")
     return stores.groupBy("bench").agg(
-        F.count("*").alias("stores"), F.approx_count_distinct(F.struct("run_id", "alloc_addr", "generation")).alias("allocations"), F.count_if(F.col("value") == 0).alias("zero"),
-        F.count_if(o % 8 == 0).alias("aligned_8b"), F.count_if(o % 4 != 0).alias("unaligned"), F.count_if(b.is_normal("alloc_type", "value")).alias("normal"),
+        F.count("*").alias("stores"), F.approx_count_distinct(F.struct("run_id", "alloc_addr", "generation")).alias("allocations"),
+        *(F.count_if(F.col("alloc_type") == kind).alias(f"stores_{name}") for kind, name in (("64bits", "64"), ("32bits", "32"), ("object", "object"))),
+        F.count_if(v == 0).alias("zero"), F.count_if((v != 0) & (high == 0)).alias("nonzero_top_byte_zero"), F.count_if(high != 0).alias("nonzero_top_byte_nonzero"),
+        F.count_if(o % 8 == 0).alias("aligned_8b"), F.count_if((o % 8 != 0) & (o % 4 == 0)).alias("aligned_4b_only"), F.count_if(o % 4 != 0).alias("unaligned"),
+        F.count_if(b.is_normal("alloc_type", "value")).alias("normal"), F.count_if((e == 0) & (v != 0)).alias("denormal"), F.count_if(e == b.exp_special("alloc_type")).alias("inf_nan"),
+        F.min(x).alias("min_exp"), F.max(x).alias("max_exp"),
     )
 
 
