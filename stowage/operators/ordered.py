@@ -80,9 +80,10 @@ def ranked(cells: DataFrame, key: tuple[str, ...], order: str, bits: int = RANGE
     return inside.join(sizes, [*key, "_range"]).withColumn("idx", F.col("_base") + F.col("_i")).drop("_range", "_i", "_base")
 
 
-def rolled(blocks: DataFrame, factor: int) -> DataFrame:
-    """Blocks `factor` times as large: counts and extents merge."""
-    return blocks.groupBy(*BUFFER, F.floor(F.col("block") / factor).alias("block")).agg(F.min("alloc_type").alias("alloc_type"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+def at_sizes(blocks: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """Blocks of sizes[0] as blocks of every size (multiples of it), in one pass: counts and extents merge."""
+    rows = blocks.withColumn("block_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("block", F.expr(f"block div (block_size div {sizes[0]})"))
+    return rows.groupBy(*BUFFER, "block_size", "block").agg(F.min("alloc_type").alias("alloc_type"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def mx_feasibility(t: DataFrame, block: int = 32, spread: int = 8) -> DataFrame:
@@ -96,24 +97,16 @@ def mx_block_sweep(t: DataFrame, sizes: tuple[int, ...] = (8, 16, 32, 64, 128))
     """One ranking at the smallest size; larger blocks are merged from smaller ones. Shares of blocks, as mx_feasibility() judges them."""
     s = F.col("hi") - F.col("lo")
     small, wide = F.col("n") < 2, F.when(F.col("n") >= 2, s)
-    base, out = block_extents(t, sizes[0]), None
-    for size in sizes:
-        blocks = base if size == sizes[0] else rolled(base, size // sizes[0])
-        part = blocks.groupBy(*TYPED).agg(F.count("*").alias("blocks"), b.share(small | (s <= 4)).alias("viable_spread4"), b.share(small | (s <= 8)).alias("viable_spread8"), r9(F.sum(wide) / F.count(wide)).alias("mean_spread")).withColumn("block_size", F.lit(size))
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks = at_sizes(block_extents(t, sizes[0]), sizes).groupBy(*TYPED, "block_size")
+    return blocks.agg(F.count("*").alias("blocks"), b.share(small | (s <= 4)).alias("viable_spread4"), b.share(small | (s <= 8)).alias("viable_spread8"), r9(F.sum(wide) / F.count(wide)).alias("mean_spread"))
 
 
 def mx_scale_sharing(t: DataFrame, sizes: tuple[int, ...] = (16, 32, 64)) -> DataFrame:
     """Different scales (largest exponents) per block of a buffer: small where blocks share them. Blocks without a normal value have no scale."""
-    base, out = block_extents(t, sizes[0]), None
-    for size in sizes:
-        blocks = (base if size == sizes[0] else rolled(base, size // sizes[0])).where("hi is not null")
-        own = blocks.groupBy(*BUFFER).agg(F.min("alloc_type").alias("alloc_type"), F.count("*").alias("k"), F.count_distinct("hi").alias("d"))
-        shared = F.col("d") / F.col("k")
-        part = own.groupBy(*TYPED).agg(F.sum("k").alias("blocks"), F.sum("d").alias("distinct_scales_total"), r9(F.sum("d") / F.sum("k")).alias("overall_scale_share"), r9(F.avg(shared)).alias("mean_buffer_share"), r9(F.percentile(shared, 0.5)).alias("median_buffer_share")).withColumn("block_size", F.lit(size))
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks = at_sizes(block_extents(t, sizes[0]), sizes).where("hi is not null")
+    own = blocks.groupBy(*BUFFER, "block_size").agg(F.min("alloc_type").alias("alloc_type"), F.count("*").alias("k"), F.count_distinct("hi").alias("d"))
+    shared = F.col("d") / F.col("k")
+    return own.groupBy(*TYPED, "block_size").agg(F.sum("k").alias("blocks"), F.sum("d").alias("distinct_scales_total"), r9(F.sum("d") / F.sum("k")).alias("overall_scale_share"), r9(F.avg(shared)).alias("mean_buffer_share"), r9(F.percentile(shared, 0.5)).alias("median_buffer_share"))
 
 
 def gini_of(counts: DataFrame, key: tuple[str, ...], x: str) -> DataFrame:

@@ -51,7 +51,7 @@ def plain(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", ["c01_summary", "c09_silent_stores", "c11_write_concentration", "c14_mx_feasibility", "c17_intra_buffer_gini", "c16_site_profile", "c19_mx_block_sweep", "c30_posit_fit", "c34_exponent_classes", "c38_silent_energy_sweep", "d09_convertible_buffers", "e09_mx_embeddings", "e11_mantissa_sweep", "f05_profile_rollup", "f15_heap_presets", "f17_live_heap_timeline", "a05_attribute_stores", "h02_stream_silent", "h03_stream_summary"])
+@pytest.mark.parametrize("name", ["c01_summary", "c09_silent_stores", "c11_write_concentration", "c14_mx_feasibility", "c17_intra_buffer_gini", "c16_site_profile", "c19_mx_block_sweep", "c28_mx_scale_sharing", "d13_sweep_is_flat", "c30_posit_fit", "c34_exponent_classes", "c38_silent_energy_sweep", "d09_convertible_buffers", "e09_mx_embeddings", "e11_mantissa_sweep", "f05_profile_rollup", "f15_heap_presets", "f17_live_heap_timeline", "a05_attribute_stores", "h02_stream_silent", "h03_stream_summary"])
 def test_query_matches_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
