@@ -21,6 +21,7 @@ from .shared import freed
 
 LONG = 64  # bytes of a word from which equal pairs are contracted together, see LONG_STEP
 CACHE = 700_000  # distinct words that a task remembers; more are encoded anew
+DOCS = 1600  # texts whose new words are encoded together: every query costs its rounds, however few its words
 WORDS = 40_000  # words of one recursive query
 BYTES = 1 << 18  # bytes of its words, or one word; a query of long words has a fourth
 ROWS = 4_000_000  # rows that a query's rounds may leave; after that many it starts again from where it is
@@ -147,8 +148,8 @@ def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFra
             text.update(zip(words, codec.decode(found), strict=True))
 
         for whole in batches:
-            for at in range(0, len(whole), 400):
-                rows = whole.slice(at, 400)
+            for at in range(0, len(whole), DOCS):
+                rows = whole.slice(at, DOCS)
                 words = [split.findall(t) if t else [] for t in rows.column("text").to_pylist()]
                 if len(ids) > CACHE:
                     ids.clear()
