@@ -79,7 +79,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("group_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_maxscore_search, op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op6_fuzzy_lines, op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join)}
+def op12_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+ALL = (
+    op1_maxscore_search, op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op6_fuzzy_lines,
+    op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join, op12_entropy_mixing,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
 WORDS = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
