@@ -79,6 +79,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("group_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import prove
+
+    altered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return prove(table(spark, sf_dir, "documents"), {"n_chars": altered}).drop("proof")
+
+
 def op12_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -87,7 +94,7 @@ def op12_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL = (
     op1_maxscore_search, op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op6_fuzzy_lines,
-    op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join, op12_entropy_mixing,
+    op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join, op11_merkle_manifest, op12_entropy_mixing,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
@@ -96,6 +103,11 @@ WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS
 words AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM docs)
 """
 
+BYTES = "list_transform(range(1, 2 * strlen({0}) + 1, 2), lambda i: CAST('0x' || hex(encode({0}))[i : i + 1] AS BIGINT))"
+CRC32 = "xor(list_reduce(" + BYTES + ", lambda c, b: xor(c >> 8, crc_table[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295)"
+#: The table of crc32, from its polynomial.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc_table)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore_search": """
 WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -145,6 +157,42 @@ chosen AS (SELECT lang, arg_max(cuts, step) AS cuts FROM turns GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(level[1] > cuts[1] OR level[2] > cuts[2] OR level[3] > cuts[3] OR level[4] > cuts[4], false) AS kept
 FROM levels d LEFT JOIN chosen c ON d.lang IS NOT DISTINCT FROM c.lang
+""",
+    # Levels of all runs, then of the run of their roots; siblings by level and place; the altered leaf climbs with its siblings.
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE {CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS rid, *, {CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS altered FROM documents, crc),
+fields AS (
+    SELECT rid, doc_id, coalesce('=' || lang, '-') AS run,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+           coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n, coalesce(strlen(text) || ':' || text, '-') AS tail,
+           CASE WHEN altered THEN coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') END AS n_altered
+    FROM docs),
+leaves AS (SELECT rid, doc_id, run, sha256(head || n || tail) AS leaf, sha256(head || coalesce(n_altered, n) || tail) AS shown FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
+nodes AS (
+    SELECT run, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY run) AS total FROM placed
+    UNION ALL
+    SELECT run, any_value(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), any_value(total + 1) // 2 FROM nodes WHERE total > 1 GROUP BY run, place // 2),
+tops AS (SELECT run, digest AS subroot, row_number() OVER (ORDER BY run) - 1 AS place, count(*) OVER () AS runs FROM nodes WHERE total = 1),
+upper AS (
+    SELECT 0 AS level, place, subroot AS digest, runs AS total FROM tops
+    UNION ALL
+    SELECT any_value(level) + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), any_value(total + 1) // 2 FROM upper WHERE total > 1 GROUP BY place // 2),
+whole AS (SELECT digest AS root FROM upper WHERE total = 1),
+high AS (SELECT run, subroot, place, (SELECT max(level) FROM nodes n WHERE n.run = tops.run) AS height FROM tops),
+climb AS (
+    SELECT rid, run, 0 AS level, place, shown AS digest, '' AS proof FROM placed
+    UNION ALL
+    SELECT c.rid, c.run, c.level + 1, c.place // 2, sha256(CASE WHEN c.place % 2 = 1 THEN s.digest || c.digest ELSE c.digest || coalesce(s.digest, '') END), c.proof || coalesce(s.digest, '')
+    FROM climb c JOIN high h USING (run) LEFT JOIN nodes s ON s.run = c.run AND s.level = c.level AND s.place = xor(c.place, 1) WHERE c.level < h.height),
+over_runs AS (
+    SELECT rid, 0 AS level, h.place, digest, proof FROM climb c JOIN high h ON c.run = h.run AND c.level = h.height
+    UNION ALL
+    SELECT c.rid, c.level + 1, c.place // 2, sha256(CASE WHEN c.place % 2 = 1 THEN s.digest || c.digest ELSE c.digest || coalesce(s.digest, '') END), c.proof || coalesce(s.digest, '')
+    FROM over_runs c LEFT JOIN upper s ON s.level = c.level AND s.place = xor(c.place, 1) WHERE c.level < (SELECT max(level) FROM upper))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM over_runs JOIN leaves USING (rid) JOIN tops ON tops.run = leaves.run, whole WHERE level = (SELECT max(level) FROM upper)
 """,
     "op9_substring_dedup": WORDS
     + """,
