@@ -92,9 +92,16 @@ def op12_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 25).drop("n_words")
+
+
 ALL = (
     op1_maxscore_search, op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op6_fuzzy_lines,
     op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join, op11_merkle_manifest, op12_entropy_mixing,
+    op13_importance_resampling,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
@@ -193,6 +200,26 @@ over_runs AS (
     FROM over_runs c LEFT JOIN upper s ON s.level = c.level AND s.place = xor(c.place, 1) WHERE c.level < (SELECT max(level) FROM upper))
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
 FROM over_runs JOIN leaves USING (rid) JOIN tops ON tops.run = leaves.run, whole WHERE level = (SELECT max(level) FROM upper)
+""",
+    "op13_importance_resampling": rf"""
+WITH {CRC_TABLE},
+docs AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+goal AS (SELECT translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM benchmark),
+words AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (SELECT rid, doc_id, text FROM docs UNION ALL SELECT NULL, NULL, text FROM goal)),
+features AS (
+    SELECT rid IS NULL AS is_goal, rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM words),
+different AS (SELECT f, CAST({CRC32.format("f")} % 10000 AS BIGINT) AS bucket FROM (SELECT DISTINCT f FROM features), crc),
+counts AS (SELECT bucket, count(*) FILTER (NOT is_goal) AS s, count(*) FILTER (is_goal) AS t FROM features JOIN different USING (f) GROUP BY bucket),
+sums AS (SELECT CAST(sum(s) AS BIGINT) AS all_s, CAST(sum(t) AS BIGINT) AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000)))) AS gain FROM counts, sums),
+means AS (SELECT rid, floor(sum(gain) / count(*)) AS weight, count(*) AS n FROM features JOIN different USING (f) JOIN gains USING (bucket) WHERE NOT is_goal GROUP BY rid),
+scores AS (
+    SELECT rid, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM words LEFT JOIN means USING (rid) WHERE rid IS NOT NULL),
+drawn AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, count(*) OVER () AS n FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank
+FROM scores LEFT JOIN drawn USING (rid)
 """,
     "op9_substring_dedup": WORDS
     + """,
