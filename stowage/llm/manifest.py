@@ -1,7 +1,7 @@
 """A Merkle manifest of a dataset, built as a postorder append log.
 
 Rows are leaves; the leaves of a language, in order of doc_id, are a *run* with a tree of its own, and the roots of all runs are
-the leaves of one more run. An aligned *builder* owns 2**LEVELS consecutive leaves of a run and appends nodes in the order in which they are
+the leaves of one more run. An aligned *builder* owns 2**levels consecutive leaves of a run and appends nodes in the order in which they are
 completed. The place of any node in the run's log follows from the run's length alone (`position`), so siblings are found by
 arithmetic with the sizes of subtrees, without links between nodes. The roots of a run's builders are the leaves of the next tier of builders.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import in_order
-from .shared import drop_written, freed, keyed, tidy, written
+from .shared import freed, keyed, tidy, written
 
 LEVELS = 8
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -107,72 +107,72 @@ def leaf_of(fields: dict[str, Column]) -> Column:
 SEGMENT = "run string, builder long, leaves long, entries array<struct<doc_id:bigint,claimed:binary>>, log binary, root binary"
 
 
-def build_tier(nodes: DataFrame, name: str) -> DataFrame:
+def build_tier(nodes: DataFrame, levels: int) -> DataFrame:
     """run, place, total, doc_id, digest, claimed -> a segment of the log for each builder.
 
-    `log` holds the builder's nodes one after another, 32 bytes each. A run's only builder goes up to the run's root, others LEVELS levels.
+    `log` holds the builder's nodes one after another, 32 bytes each. A run's only builder goes up to the run's root, others `levels` levels.
     """
 
     def build(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
         total, digests = rows.column("total")[0].as_py(), rows.column("digest").to_pylist()
-        log = append_log(digests, levels_of(total))
+        log = append_log(digests, levels_up(total, levels))
         entries = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in ("doc_id", "claimed")], ["doc_id", "claimed"])
         entries = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), entries)
         one = [pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int64()), pa.array([total], pa.int64()), entries, pa.array([b"".join(log)], pa.binary()), pa.array([log[-1]], pa.binary())]
         return pa.Table.from_arrays(one, ["run", "builder", "leaves", "entries", "log", "root"])
 
-    builder = F.shiftright("place", LEVELS).alias("builder")
-    return written(nodes.select("run", builder, "place", "total", "doc_id", "digest", "claimed").groupBy("run", "builder").applyInArrow(build, SEGMENT), name)
+    builder = F.shiftright("place", levels).alias("builder")
+    return written(nodes.select("run", builder, "place", "total", "doc_id", "digest", "claimed").groupBy("run", "builder").applyInArrow(build, SEGMENT), "manifest")
 
 
-def build_log(leaves: DataFrame) -> list[DataFrame]:
+def build_log(leaves: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
     """The tiers of builders over the runs of `leaves` (run, place, total, doc_id, digest, claimed), the leaves' own first.
 
-    Each tier has a 2**LEVELS-th of the rows below it; a run leaves off at the tier where it has one builder.
+    Each tier has a 2**levels-th of the rows below it; a run leaves off at the tier where it has one builder.
     """
-    tiers = [build_tier(leaves, "manifest")]
+    tiers = [build_tier(leaves, levels)]
     while True:
-        open_ = tiers[-1].where(F.col("leaves") > 1 << LEVELS)
+        open_ = tiers[-1].where(F.col("leaves") > 1 << levels)
         if open_.isEmpty():
             return tiers
-        up = F.ceil(F.col("leaves") / (1 << LEVELS)).cast("long")
+        up = F.ceil(F.col("leaves") / (1 << levels)).cast("long")
         none = F.lit(None)
-        tiers.append(build_tier(open_.select("run", F.col("builder").alias("place"), up.alias("total"), none.cast("long").alias("doc_id"), F.col("root").alias("digest"), none.cast("binary").alias("claimed")), "manifest"))
+        tiers.append(build_tier(open_.select("run", F.col("builder").alias("place"), up.alias("total"), none.cast("long").alias("doc_id"), F.col("root").alias("digest"), none.cast("binary").alias("claimed")), levels))
 
 
-def levels_of(leaves: int) -> int:
+def levels_up(leaves: int, levels: int) -> int:
     """Levels that a builder goes up in a run of so many leaves."""
-    return height(leaves) if leaves <= 1 << LEVELS else LEVELS
+    return height(leaves) if leaves <= 1 << levels else levels
 
 
-def own_leaves(builder: int, leaves: int) -> int:
-    return min(1 << LEVELS, leaves - (builder << LEVELS))
+def own_leaves(builder: int, leaves: int, levels: int) -> int:
+    return min(1 << levels, leaves - (builder << levels))
 
 
-def own_steps(builder: int, leaves: int, log: bytes) -> Iterator[list[bytes]]:
+def own_steps(builder: int, leaves: int, log: bytes, levels: int) -> Iterator[list[bytes]]:
     """Of each of a builder's leaves, the steps from it up to the builder's root, read from the builder's part of the log."""
-    levels, count = levels_of(leaves), own_leaves(builder, leaves)
+    up, count = levels_up(leaves, levels), own_leaves(builder, leaves, levels)
     for at in range(count):
-        yield [side.encode() + (log[32 * p : 32 * p + 32] if p >= 0 else b"") for side, p in sibling_positions(at, count, levels)]
+        yield [side.encode() + (log[32 * p : 32 * p + 32] if p >= 0 else b"") for side, p in sibling_positions(at, count, up)]
 
 
-def child_steps(segments: DataFrame) -> DataFrame:
+def child_steps(segments: DataFrame, levels: int) -> DataFrame:
     """run, builder, steps: for each child builder of a tier's segments, its way up to the root (`tail` is the segment's own way)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                for at, steps in enumerate(own_steps(r["builder"], r["leaves"], r["log"])):
-                    out.append({"run": r["run"], "builder": (r["builder"] << LEVELS) + at, "tail": steps + r["tail"]})
+                for at, steps in enumerate(own_steps(r["builder"], r["leaves"], r["log"], levels)):
+                    out.append({"run": r["run"], "builder": (r["builder"] << levels) + at, "tail": steps + r["tail"]})
             if out:
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("run", pa.string()), ("builder", pa.int64()), ("tail", pa.list_(pa.binary()))]))
 
     return segments.mapInArrow(freed(run), "run string, builder long, tail array<binary>")
 
 
-def log_rows(tiers: list[DataFrame]) -> DataFrame:
+def log_rows(tiers: list[DataFrame], levels: int = LEVELS) -> DataFrame:
     """run, level, position, digest: the runs' logs node by node, at the places that `position` gives in the whole run's log."""
 
     def rows_of(tier: int):
@@ -181,12 +181,12 @@ def log_rows(tiers: list[DataFrame]) -> DataFrame:
             for batch in batches:
                 out = []
                 for r in batch.to_pylist():
-                    count = own_leaves(r["builder"], r["leaves"])
-                    for level in range(1 if tier else 0, levels_of(r["leaves"]) + 1):
+                    count = own_leaves(r["builder"], r["leaves"], levels)
+                    for level in range(1 if tier else 0, levels_up(r["leaves"], levels) + 1):
                         for i in range(-(-count >> level)):
                             p = position(level, i, count)
-                            whole = (r["builder"] << (LEVELS - level)) + i
-                            out.append({"run": r["run"], "level": level + tier * LEVELS, "position": position(level + tier * LEVELS, whole, r["run_leaves"]), "digest": r["log"][32 * p : 32 * p + 32]})
+                            whole = (r["builder"] << (levels - level)) + i
+                            out.append({"run": r["run"], "level": level + tier * levels, "position": position(level + tier * levels, whole, r["run_leaves"]), "digest": r["log"][32 * p : 32 * p + 32]})
                 yield pa.RecordBatch.from_pylist(out, schema)
 
         return freed(run)
@@ -199,7 +199,7 @@ def log_rows(tiers: list[DataFrame]) -> DataFrame:
     return out
 
 
-def prove(docs: DataFrame, claimed: dict[str, Column] | None = None) -> DataFrame:
+def prove(docs: DataFrame, claimed: dict[str, Column] | None = None, levels: int = LEVELS) -> DataFrame:
     """doc_id, leaf, subroot, root, proof, proof_sha256, folded_root, verified: per row of `docs`, its proof in the manifest and what it proves.
 
     `claimed` has other values of some fields, as someone may present them: folded_root comes from the claimed row and the manifest's siblings, and
@@ -215,18 +215,18 @@ def prove(docs: DataFrame, claimed: dict[str, Column] | None = None) -> DataFram
     with tidy(spark):
         rows = keyed(docs, *FIELDS).select(run.alias("run"), "doc_id", original.alias("leaf"), other.alias("other"), "rk_f", "rk_r")
         rows = written(rows.select("run", F.col("doc_id").cast("long").alias("doc_id"), F.unhex("leaf").alias("digest"), F.when(F.col("leaf") != F.col("other"), F.unhex("other")).alias("claimed"), "rk_f", "rk_r"), "leaves")
-        tiers = build_log(in_order(rows, "run", F.col("doc_id"), F.col("digest"), F.col("rk_f"), F.col("rk_r")))
-        tops = [t.where(F.col("leaves") <= 1 << LEVELS).select("run", F.col("root").alias("subroot")) for t in tiers]
+        tiers = build_log(in_order(rows, "run", F.col("doc_id"), F.col("digest"), F.col("rk_f"), F.col("rk_r")), levels)
+        tops = [t.where(F.col("leaves") <= 1 << levels).select("run", F.col("root").alias("subroot")) for t in tiers]
         subroots = tops[0]
         for t in tops[1:]:
             subroots = subroots.unionByName(t)
         subroots = written(subroots.withColumn("all", F.lit("all")), "subroots")
         none = F.lit(None)
         ordered = written(in_order(subroots, "all", F.col("run")), "runs")
-        over = build_log(ordered.select(F.lit("all").alias("run"), "place", "total", none.cast("long").alias("doc_id"), F.col("subroot").alias("digest"), none.cast("binary").alias("claimed")))
+        over = build_log(ordered.select(F.lit("all").alias("run"), "place", "total", none.cast("long").alias("doc_id"), F.col("subroot").alias("digest"), none.cast("binary").alias("claimed")), levels)
         start = over[-1].withColumn("tail", F.array().cast("array<binary>"))
         for below in (*reversed(over[:-1]), None):
-            steps = child_steps(start)
+            steps = child_steps(start, levels)
             if below is not None:
                 start = below.join(steps, ["run", "builder"])
         top = over[-1].select(F.col("root").alias("top"))
@@ -234,10 +234,10 @@ def prove(docs: DataFrame, claimed: dict[str, Column] | None = None) -> DataFram
         ways = written(ways.crossJoin(F.broadcast(top)), "ways")  # one root
         down = None
         for k in range(len(tiers) - 1, -1, -1):
-            ended = tiers[k].where(F.col("leaves") <= 1 << LEVELS).join(ways.select("run", "tail"), "run")
-            segments = ended if down is None else ended.unionByName(tiers[k].where(F.col("leaves") > 1 << LEVELS).join(down, ["run", "builder"]))
+            ended = tiers[k].where(F.col("leaves") <= 1 << levels).join(ways.select("run", "tail"), "run")
+            segments = ended if down is None else ended.unionByName(tiers[k].where(F.col("leaves") > 1 << levels).join(down, ["run", "builder"]))
             if k:
-                down = written(child_steps(segments), "ways_down")
+                down = written(child_steps(segments, levels), "ways_down")
         segments = segments.join(ways.select("run", "subroot", "top"), "run")
 
     schema = pa.schema([("doc_id", pa.int64()), ("leaf", pa.string()), ("subroot", pa.string()), ("root", pa.string()), ("proof", pa.list_(pa.binary())), ("proof_sha256", pa.string()), ("folded_root", pa.string()), ("verified", pa.bool_())])
@@ -246,8 +246,8 @@ def prove(docs: DataFrame, claimed: dict[str, Column] | None = None) -> DataFram
         for batch in batches:
             for r in batch.to_pylist():
                 out = []
-                count = own_leaves(r["builder"], r["leaves"])
-                for at, (entry, steps) in enumerate(zip(r["entries"], own_steps(r["builder"], r["leaves"], r["log"]), strict=True)):
+                count = own_leaves(r["builder"], r["leaves"], levels)
+                for at, (entry, steps) in enumerate(zip(r["entries"], own_steps(r["builder"], r["leaves"], r["log"], levels), strict=True)):
                     p = 32 * position(0, at, count)
                     leaf, steps = r["log"][p : p + 32], steps + r["tail"]
                     got = folded(entry["claimed"] or leaf, steps)
