@@ -1,7 +1,7 @@
 """Analyses that depend on the order of stores, on neighbouring offsets, or on blocks of them.
 
-Windows over a cell are balanced by nature. Windows over a whole buffer are not: one buffer may hold most rows. There, a
-buffer is cut into ranges, the window runs inside a range, and one row per range is stitched to the range before.
+One buffer, and one cell of it, may hold most rows of a trace. So both are cut into ranges, windows run inside a range, and one row
+per range is stitched to the range before. Analyses of cells (cells.py) take a trace or its table of cells.
 """
 
 from __future__ import annotations
@@ -11,43 +11,25 @@ from pyspark.sql import functions as F
 
 from stowage.functions import bits as b
 from stowage.functions.sites import alloc_site
-from stowage.operators.stores import BUFFER, CELL, FP, TYPED, cell_counts, r9, snapshot, top
+from stowage.operators.cells import BUFFER, CELL, FP, cell_counts, cells, exponent_extents, snapshot
+from stowage.operators.ranges import RANGE_BITS, previous, ranked
+from stowage.operators.stores import TYPED, buffer_feasibility, r9, top
 
-RANGE_BITS = 20
 
-
-def previous(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...], value: str, out: str, bits: int = RANGE_BITS) -> DataFrame:
-    """`out`: the value of the row before within the key, by `order` (its first column a long).
-
-    The window runs over ranges of 2**bits of the first order column; only each range's first row takes its value from
-    the last row of the range before, found in a table of one row per range. A key of any size is thus many tasks' work.
-    """
-    ranged = df.withColumn("_range", F.shiftright(order[0], bits))
-    w = Window.partitionBy(*key, "_range").orderBy(*order)
-    inside = ranged.withColumn("_inside", F.lag(F.struct(F.col(value).alias("v"))).over(w))
-    ends = ranged.groupBy(*key, "_range").agg(F.max_by(value, F.struct(*order)).alias("_end"))
-    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy(*key).orderBy("_range"))).drop("_end")
-    return inside.join(ends, [*key, "_range"]).withColumn(out, F.when(F.col("_inside").isNotNull(), F.col("_inside.v")).otherwise(F.col("_before"))).drop("_range", "_inside", "_before")
-
-
-def with_previous(t: DataFrame) -> DataFrame:
-    """prev: what the cell held before the store (null: nothing yet). A cell is small, so a plain window does."""
-    return t.withColumn("prev", F.lag("value").over(Window.partitionBy(*CELL).orderBy("rn", "value")))
-
-
-def silent_stores(t: DataFrame) -> DataFrame:
-    out = with_previous(t.select(*CELL, "alloc_type", "value", "rn")).groupBy(*TYPED).agg(F.count("prev").alias("stores_with_prev"), F.count_if(F.col("prev") == F.col("value")).alias("silent"))
+def silent_stores(t: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
+    out = cells(t, bits).groupBy(*TYPED).agg(F.sum("pairs").alias("stores_with_prev"), F.sum("silent").alias("silent"))
     return out.withColumn("silent_frac", r9(b.ratio("silent", "stores_with_prev")))
 
 
-def buffer_silent(t: DataFrame, keep_all: bool = False) -> DataFrame:
-    out = with_previous(t.select(*CELL, "alloc_type", "alloc_size", "value", "rn")).groupBy(*BUFFER).agg(F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size"), F.count("*").alias("stores"), F.count("prev").alias("pairs"), F.count_if(F.col("prev") == F.col("value")).alias("silent"))
+def buffer_silent(t: DataFrame, keep_all: bool = False, bits: int = RANGE_BITS) -> DataFrame:
+    kind = F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size")
+    out = cells(t, bits).groupBy(*BUFFER).agg(*kind, F.sum("writes").alias("stores"), F.sum("pairs").alias("pairs"), F.sum("silent").alias("silent"))
     return (out if keep_all else out.where("pairs > 0")).withColumn("silent_frac", r9(b.ratio("silent", "pairs")))
 
 
-def bit_patterns(t: DataFrame) -> DataFrame:
+def bit_patterns(t: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
     t = t.where(FP).select(*BUFFER, "alloc_type", "value", "rn")
-    pairs = previous(t, BUFFER, ("rn", "value"), "value", "prev", 44)
+    pairs = previous(t, BUFFER, ("rn", "value"), "value", "prev", bits)
     e, m = b.biased_exp("alloc_type", "value"), b.mantissa("alloc_type", "value")
     some = F.col("prev").isNotNull()
     return pairs.groupBy(*TYPED).agg(F.count("*").alias("total"), F.count_if(F.col("value") == 0).alias("zero_values"), F.count_if(e == 0).alias("exp_zero"), F.count_if(m == 0).alias("mantissa_zero"), F.count("prev").alias("pairs"), F.count_if(some & (F.col("prev") == F.col("value"))).alias("bit_identical"), r9(F.sum(b.hamming("alloc_type", "value", "prev")) / F.count("prev")).alias("mean_hamming"))
@@ -71,15 +53,6 @@ def block_extents(t: DataFrame, size: int) -> DataFrame:
     return index.groupBy(*BUFFER, F.floor(F.col("idx") / size).alias("block")).agg(F.min("alloc_type").alias("alloc_type"), F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
 
 
-def ranked(cells: DataFrame, key: tuple[str, ...], order: str, bits: int = RANGE_BITS) -> DataFrame:
-    """idx: place (from 0) of a row in its key by `order`, which is unique there; ranges are counted first, then ranked inside."""
-    ranged = cells.withColumn("_range", F.shiftright(order, bits))
-    sizes = ranged.groupBy(*key, "_range").agg(F.count("*").alias("_n"))
-    sizes = sizes.withColumn("_base", F.sum("_n").over(Window.partitionBy(*key).orderBy("_range")) - F.col("_n")).drop("_n")
-    inside = ranged.withColumn("_i", F.row_number().over(Window.partitionBy(*key, "_range").orderBy(order)) - 1)
-    return inside.join(sizes, [*key, "_range"]).withColumn("idx", F.col("_base") + F.col("_i")).drop("_range", "_i", "_base")
-
-
 def at_sizes(blocks: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
     """Blocks of sizes[0] as blocks of every size (multiples of it), in one pass: counts and extents merge."""
     rows = blocks.withColumn("block_size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("block", F.expr(f"block div (block_size div {sizes[0]})"))
@@ -120,7 +93,7 @@ def gini_of(counts: DataFrame, key: tuple[str, ...], x: str) -> DataFrame:
 
 
 def intra_buffer_gini(t: DataFrame, exact: bool = True) -> DataFrame:
-    counts = t.where(FP).groupBy(*CELL, "alloc_type").agg(F.count("*").alias("x"))
+    counts = cell_counts(t.where(FP)).withColumnRenamed("writes", "x")
     g = gini_of(counts, (*BUFFER, "alloc_type"), "x").where("n > 1")
     median = F.percentile("gini", 0.5) if exact else F.percentile_approx("gini", 0.5)
     return g.groupBy(*TYPED).agg(F.count("*").alias("buffers"), r9(F.avg("gini")).alias("mean_gini"), r9(median).alias("median_gini"), r9(F.min("gini")).alias("min_gini"), r9(F.max("gini")).alias("max_gini"), r9(F.sum(F.col("gini") * F.col("total")) / F.sum("total")).alias("weighted_gini"))
@@ -145,81 +118,123 @@ def spatial_delta(t: DataFrame) -> DataFrame:
 
 
 def stacks_of_buffers(t: DataFrame) -> DataFrame:
-    return t.groupBy(*BUFFER).agg(F.min("alloc_stack").alias("alloc_stack"))
+    """BUFFER, alloc_stack: the distinct pairs; a buffer has one stack."""
+    return t.select(*BUFFER, "alloc_stack").distinct().dropDuplicates(list(BUFFER))
 
 
-def by_site(per_buffer: DataFrame, t: DataFrame, *aggregates: Column) -> DataFrame:
-    """Per-buffer rows -> per-site rows; stacks are joined to buffers, never carried through a window."""
-    return per_buffer.join(stacks_of_buffers(t), list(BUFFER)).withColumn("site", alloc_site("alloc_stack")).groupBy("bench", "site").agg(*aggregates)
+def by_site(per_buffer: DataFrame, stacks: DataFrame, *aggregates: Column) -> DataFrame:
+    """Per-buffer rows -> per-site rows; stacks (of stacks_of_buffers()) are joined to buffers, never carried through a window."""
+    return per_buffer.join(stacks, list(BUFFER)).withColumn("site", alloc_site("alloc_stack")).groupBy("bench", "site").agg(*aggregates)
 
 
-def site_silent(t: DataFrame, k: int = 20, min_pairs: int = 1000) -> DataFrame:
-    """Stores of all types; buffers whose stores never meet a value count with their stores."""
-    sites = by_site(buffer_silent(t, keep_all=True), t, F.sum("stores").alias("stores"), F.sum("pairs").alias("pairs"), F.sum("silent").alias("silent")).where((F.col("pairs") >= min_pairs) & (F.col("site") != ""))
-    sites = top(sites, k, "bench", F.desc("pairs"), "site")
+def site_silent(t: DataFrame, k: int = 20, min_pairs: int = 1000, bits: int = RANGE_BITS, stacks: DataFrame | None = None) -> DataFrame:
+    """Stores of all types; buffers whose stores never meet a value count with their stores. A table of cells needs the buffers' stacks beside it."""
+    buffers = buffer_silent(t, keep_all=True, bits=bits)
+    sites = by_site(buffers, stacks_of_buffers(t) if stacks is None else stacks, *(F.sum(c).alias(c) for c in ("stores", "pairs", "silent")))
+    sites = top(sites.where((F.col("pairs") >= min_pairs) & (F.col("site") != "")), k, "bench", F.desc("pairs"), "site")
     return sites.withColumn("silent_frac", r9(b.ratio("silent", "pairs")))
 
 
+#: exact_quantile() looks at so many bits of a value at a time.
+DIGIT = 21
+
+
+def exact_quantile(rows: DataFrame, key: tuple[str, ...], x: str, q: float) -> DataFrame:
+    """key, total, below, edge: the least value of x at whose rank a share q of the key's rows is reached, and how many rows are below it.
+
+    x is a long from 0 to 2**63 - 1. Rows are counted by the top 21 bits of x, then, of the range that holds the rank, by the next 21 bits, then
+    by the last: partial counts go through the shuffle, and no task orders more than 2**21 counts of a key, however many values it has.
+    """
+    edges = rows.select(*key).distinct().withColumns({"total": F.lit(None).cast("long"), "below": F.lit(0).cast("long"), "edge": F.lit(0).cast("long")})
+    for level, shift in enumerate((2 * DIGIT, DIGIT, 0)):
+        digit = F.shiftright(x, shift)
+        part = rows
+        if level:
+            part = rows.join(edges.select(*key, "edge"), list(key)).where(F.shiftright(x, shift + DIGIT) == F.col("edge"))
+        counts = part.groupBy(*key, digit.alias("digit")).agg(F.count("*").alias("m"))
+        upto = F.sum("m").over(Window.partitionBy(*key).orderBy("digit"))
+        if level:
+            counts = counts.join(edges.select(*key, "total", "below"), list(key))
+        else:
+            counts = counts.withColumns({"total": F.sum("m").over(Window.partitionBy(*key)), "below": F.lit(0).cast("long")})
+        counts = counts.withColumn("upto", F.col("below") + upto)
+        reached = counts.where(F.col("upto") >= F.ceil(F.lit(q) * F.col("total")))
+        edges = reached.groupBy(*key).agg(F.min("total").alias("total"), F.min(F.col("upto") - F.col("m")).alias("below"), F.min("digit").alias("edge"))
+    return edges
+
+
 def outlier_channels(t: DataFrame, q: float = 0.999, k: int = 20, least: int = 1000, exact: bool = True) -> DataFrame:
     """Per stack and type, stores other than zero whose magnitude reaches the q quantile and the offsets they are at; added up by site.
 
-    exact: the quantile is the value at rank ceil(q * n), found on counts of values, and offsets are counted one by one;
-    otherwise both are sketches of bounded size.
+    exact: the quantile is the value at rank ceil(q * n); otherwise it is a sketch of bounded size. Stacks go by two hashes; their texts are
+    joined to the sums. An offset is an outlier's if its largest magnitude reaches the quantile, so one row per offset does.
     """
-    key = [*TYPED, "alloc_stack"]
-    rows = t.where(FP).where("value <> 0").select(*key, "offset", b.magnitude("alloc_type", "value").alias("x"))
+    ids = (F.xxhash64("alloc_stack").alias("s1"), F.xxhash64(F.lit(1), "alloc_stack").alias("s2"))
+    key = (*TYPED, "s1", "s2")
+    rows = t.where(FP).where("value <> 0").select(*TYPED, *ids, "offset", b.magnitude("alloc_type", "value").alias("x"))
+    stacks = t.select("alloc_stack").distinct().select(*ids, alloc_site("alloc_stack").alias("site"))
+    offsets = rows.groupBy(*key, "offset").agg(F.count("*").alias("m"), F.max("x").alias("most"))
     if exact:
-        each = rows.groupBy(*key, "x").agg(F.count("*").alias("m"))
-        each = each.withColumns({"upto": F.sum("m").over(Window.partitionBy(*key).orderBy("x")), "n": F.sum("m").over(Window.partitionBy(*key))})
-        edge = each.where(F.col("upto") >= F.ceil(F.lit(q) * F.col("n"))).groupBy(*key).agg(F.min("x").alias("edge"))
-        distinct = F.count_distinct
+        edges = exact_quantile(rows, key, "x", q)
+        outliers = F.max(F.col("total") - F.col("below"))
     else:
-        edge = rows.groupBy(*key).agg(F.percentile_approx("x", q, 100_000).alias("edge"))
-        distinct = F.approx_count_distinct
-    out = F.when(F.col("x") >= F.col("edge"), F.col("offset"))
-    per_stack = rows.join(edge, key).groupBy(*key).agg(F.count("*").alias("total"), F.count(out).alias("n_outlier_999"), distinct("offset").alias("distinct_offsets"), distinct(out).alias("outlier_offsets"))
-    sites = per_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(*(F.sum(x).alias(x) for x in ("total", "n_outlier_999", "distinct_offsets", "outlier_offsets"))).where((F.col("total") >= least) & (F.col("site") != ""))
-    sites = top(sites, k, "bench", F.desc("total"), "alloc_type", "site")
+        edges = rows.groupBy(*key).agg(F.percentile_approx("x", q, 100_000).alias("edge"))
+        over = rows.join(edges, list(key)).groupBy(*key).agg(F.count_if(F.col("x") >= F.col("edge")).alias("over"))
+        edges = edges.join(over, list(key))
+        outliers = F.max("over")
+    per_stack = offsets.join(edges, list(key)).groupBy(*key).agg(
+        F.sum("m").alias("n"), outliers.alias("n_outlier_999"), F.count("*").alias("distinct_offsets"), F.count_if(F.col("most") >= F.col("edge")).alias("outlier_offsets"),
+    )
+    names = ("n_outlier_999", "distinct_offsets", "outlier_offsets")
+    sites = per_stack.join(stacks, ["s1", "s2"]).groupBy(*TYPED, "site").agg(F.sum("n").alias("total"), *(F.sum(x).alias(x) for x in names))
+    sites = top(sites.where((F.col("total") >= least) & (F.col("site") != "")), k, "bench", F.desc("total"), "alloc_type", "site")
     return sites.withColumn("channel_frac", r9(b.ratio("outlier_offsets", "distinct_offsets")))
 
 
-def exponent_stability(t: DataFrame, k: int = 20, least: int = 100, exact: bool = True) -> DataFrame:
+def exponent_stability(t: DataFrame, k: int = 20, least: int = 100, exact: bool = True, stacks: DataFrame | None = None) -> DataFrame:
     """Exponent ranges of the cells with two normal values or more; of a site, the mean of its stacks' medians and the largest of their 95th percentiles.
 
     exact: percentiles are interpolated, on counts of ranges; otherwise they are sketches.
     """
-    x, r, m = b.normal_exp("alloc_type", "value"), F.col("range"), F.col("m")
-    cells = t.where(FP).groupBy(*CELL, "alloc_type").agg(F.count(x).alias("n"), (F.max(x) - F.min(x)).alias("range")).where("n >= 2")
-    cells = cells.join(stacks_of_buffers(t), list(BUFFER)).groupBy(*TYPED, "alloc_stack", "range").agg(F.count("*").alias("m"))
+    r, m = F.col("range"), F.col("m")
+    own = exponent_extents(t).where("normal >= 2").withColumn("range", F.col("max_exp") - F.col("min_exp"))
+    own = own.groupBy(*BUFFER, "alloc_type", "range").agg(F.count("*").alias("m"))  # buffers first: stacks are joined to few rows
+    own = own.join(stacks_of_buffers(t) if stacks is None else stacks, list(BUFFER)).groupBy(*TYPED, "alloc_stack", "range").agg(F.sum("m").alias("m"))
     q = (lambda p: F.percentile("range", p, m)) if exact else (lambda p: F.percentile_approx(r, p))
-    stacks = cells.groupBy(*TYPED, "alloc_stack").agg(F.sum("m").alias("n"), F.sum(F.when(r == 0, m).otherwise(0)).alias("same"), F.sum(r * m).alias("ranges"), q(0.5).alias("median"), q(0.95).alias("p95"))
-    out = stacks.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(
-        F.sum("n").alias("distinct_offsets"), r9(F.sum("same") / F.sum("n")).alias("frac_constant_exp"), r9(F.sum("ranges") / F.sum("n")).alias("mean_exp_range"), r9(F.avg("median")).alias("median_exp_range"), r9(F.max("p95")).alias("p95_exp_range")
+    sums = F.sum("m").alias("n"), F.sum(F.when(r == 0, m).otherwise(0)).alias("same"), F.sum(r * m).alias("ranges")
+    each = own.groupBy(*TYPED, "alloc_stack").agg(*sums, q(0.5).alias("median"), q(0.95).alias("p95"))
+    out = each.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(
+        F.sum("n").alias("distinct_offsets"), r9(F.sum("same") / F.sum("n")).alias("frac_constant_exp"), r9(F.sum("ranges") / F.sum("n")).alias("mean_exp_range"),
+        r9(F.avg("median")).alias("median_exp_range"), r9(F.max("p95")).alias("p95_exp_range"),
     )
     return top(out.where((F.col("distinct_offsets") >= least) & (F.col("site") != "")), k, "bench", F.desc("distinct_offsets"), "alloc_type", "site")
 
 
 def cacheline_homogeneity(t: DataFrame) -> DataFrame:
     """Physical lines (generations collapsed); shares are of lines with two slots or more, mean_slots_per_line of all lines."""
-    key = ("run_id", "bench", "alloc_type", "alloc_addr", "offset")
-    cells = snapshot(t, *key)
+    last = snapshot(t, "run_id", "bench", "alloc_type", "alloc_addr", "offset")
     parts = {"high32": b.top_bits("value", 32), "high16": b.top_bits("value", 16), "high8": b.top_bits("value", 8), "exp": b.biased_exp("alloc_type", "value")}
-    lines = cells.groupBy("run_id", "bench", "alloc_type", "alloc_addr", b.line_id("offset").alias("line")).agg(F.count("*").alias("slots"), *((F.min(x) == F.max(x)).alias(n) for n, x in parts.items()))
+    same = ((F.min(x) == F.max(x)).alias(n) for n, x in parts.items())
+    lines = last.groupBy("run_id", "bench", "alloc_type", "alloc_addr", b.line_id("offset").alias("line")).agg(F.count("*").alias("slots"), *same)
     many = F.col("slots") > 1
-    return lines.groupBy(*TYPED).agg(F.count_if(many).alias("lines"), F.count_if(~many).alias("trivial_lines"), r9(F.avg("slots")).alias("mean_slots_per_line"), *(r9(b.ratio(F.count_if(many & F.col(n)), F.count_if(many))).alias(f"frac_homog_{n}") for n in parts))
+    shares = (r9(b.ratio(F.count_if(many & F.col(n)), F.count_if(many))).alias(f"frac_homog_{n}") for n in parts)
+    return lines.groupBy(*TYPED).agg(F.count_if(many).alias("lines"), F.count_if(~many).alias("trivial_lines"), r9(F.avg("slots")).alias("mean_slots_per_line"), *shares)
 
 
 def zoom(per_buffer: DataFrame, t: DataFrame, bench: str, order: str, k: int = 22) -> DataFrame:
-    """The k largest buffers of one bench, with their site."""
-    rows = per_buffer.where(F.col("bench") == bench).join(stacks_of_buffers(t.where(F.col("bench") == bench)).drop("run_id"), [c for c in BUFFER if c != "run_id"])
-    return top(rows.withColumn("site", alloc_site("alloc_stack")).drop("alloc_stack"), k, None, F.desc(order), "alloc_addr", "generation")
+    """The k largest buffers of one bench, with their site. The buffers are chosen first: stacks are read for k of them."""
+    first = top(per_buffer.where(F.col("bench") == bench), k, None, F.desc(order), "alloc_addr", "generation", "run_id")
+    stacks = stacks_of_buffers(t.where(F.col("bench") == bench))
+    return first.join(stacks, list(BUFFER)).withColumn("site", alloc_site("alloc_stack")).drop("alloc_stack")
 
 
-def zoom_silent(t: DataFrame, bench: str, k: int = 22) -> DataFrame:
-    return zoom(buffer_silent(t).drop("run_id"), t, bench, "pairs", k)
+def zoom_silent(t: DataFrame, bench: str, k: int = 22, bits: int = RANGE_BITS) -> DataFrame:
+    """With the aggregate of all the bench's buffers, chosen or not: silent over pairs."""
+    buffers = buffer_silent(t, bits=bits)
+    whole = buffers.where(F.col("bench") == bench).groupBy("bench").agg(r9(b.ratio(F.sum("silent"), F.sum("pairs"))).alias("bench_silent_frac"))
+    return zoom(buffers, t, bench, "pairs", k).join(whole, "bench")
 
 
 def zoom_feasibility(t: DataFrame, bench: str, k: int = 22, fmt: str = "bf16") -> DataFrame:
-    from stowage.operators.stores import buffer_feasibility
-
-    return zoom(buffer_feasibility(t).withColumnRenamed(f"pct_{fmt}", "pct_fit").select("bench", "alloc_addr", "generation", "alloc_type", "alloc_size", "total", "pct_fit"), t, bench, "total", k)
+    fits = buffer_feasibility(t).withColumnRenamed(f"pct_{fmt}", "pct_fit").select(*BUFFER, "alloc_type", "alloc_size", "total", "pct_fit")
+    return zoom(fits, t, bench, "total", k)

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from stowage.functions import bits as b
 from stowage.operators.stores import r9, top
 
-BUFFER_KEY = ("bench", "alloc_addr", "generation")
+BUFFER_KEY = ("run_id", "bench", "alloc_addr", "generation")
 
 
 def cumulative_share(tops: DataFrame, totals: DataFrame) -> DataFrame:
     """The share of a bench's stores held by its first, second, ... buffers."""
     order = Window.partitionBy("bench").orderBy(F.desc("stores"), "alloc_addr", "generation")
-    rows = tops.select(*BUFFER_KEY, "stores").withColumns({"rank": F.row_number().over(order), "cum_stores": F.sum("stores").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    return rows.join(totals.select("bench", F.col("stores").alias("all")), "bench").select("bench", "rank", "cum_stores", r9(F.col("cum_stores") / F.col("all")).alias("cum_frac"))
+    cum = F.sum("stores").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = tops.select("bench", "alloc_addr", "generation", "stores").withColumns({"rank": F.row_number().over(order), "cum_stores": cum})
+    rows = rows.join(totals.select("bench", F.col("stores").alias("all")), "bench")
+    return rows.select("bench", "rank", "cum_stores", r9(F.col("cum_stores") / F.col("all")).alias("cum_frac"))
 
 
 def size_ccdf(sizes: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def top_buffers_above_floor(buffers: DataFrame, weight: str, floor: int = 1000,
     """The k heaviest of a bench above the floor; of all where none is above it."""
     above = F.max(F.col(weight) >= floor).over(Window.partitionBy("bench"))
     rows = buffers.withColumn("_any", above).where(~F.col("_any") | (F.col(weight) >= floor)).drop("_any")
-    return top(rows, k, "bench", F.desc(weight), "alloc_addr", "generation")
+    return top(rows, k, "bench", F.desc(weight), "alloc_addr", "generation", "run_id")
 
 
 def coverage_of_selection(selected: DataFrame, all_: DataFrame, weight: str) -> DataFrame:
@@ -97,16 +99,25 @@ def silent_impact_rank(sites: DataFrame, k: int = 12) -> DataFrame:
 
 
 def exp_bits_histogram(sites: DataFrame) -> DataFrame:
-    """Stores by required width, and the share that needs no more."""
-    rows = sites.groupBy("required_e_bits").agg(F.sum("total").alias("stores"))
-    up_to = F.sum("stores").over(Window.orderBy("required_e_bits").rowsBetween(Window.unboundedPreceding, 0))  # a row per width, 64 at most
-    return rows.select("required_e_bits", "stores", r9(up_to / F.sum("stores").over(Window.partitionBy())).alias("cum_share"))
+    """Per type, stores by required width, and the share of the type's stores that needs no more."""
+    rows = sites.groupBy("alloc_type", "required_e_bits").agg(F.sum("total").alias("stores"))
+    up_to = F.sum("stores").over(Window.partitionBy("alloc_type").orderBy("required_e_bits"))  # a row per type and width, 64 at most
+    return rows.select("alloc_type", "required_e_bits", "stores", r9(up_to / F.sum("stores").over(Window.partitionBy("alloc_type"))).alias("cum_share"))
+
+
+def exp_bits_shares(sites: DataFrame, widths: tuple[int, ...] = (4, 5, 8, 11)) -> DataFrame:
+    """Per type, the share of stores whose site needs at most so many exponent bits. The widths of common formats."""
+    fits = lambda w: F.sum(F.when(F.col("required_e_bits") <= w, F.col("total")).otherwise(0)) / F.sum("total")
+    return sites.groupBy("alloc_type").agg(F.sum("total").alias("stores"), *(r9(fits(w)).alias(f"le_{w}_bits") for w in widths))
 
 
 def residual_class_share(classes: DataFrame) -> DataFrame:
-    """What the classes of 64-bit stores leave, per type."""
-    known = sum((F.coalesce(f"frac_{n}_f64", F.lit(0.0)) for n in ("normal", "subnormal", "inf_nan")), F.lit(0.0))
-    return classes.select("bench", "alloc_type", r9(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - known))).alias("other"))
+    """What zeros and the classes of its own width leave of a floating-point type's stores, within 0 and 1."""
+    share = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    own = lambda name: F.when(F.col("alloc_type") == "64bits", share(f"frac_{name}_f64")).otherwise(share(f"frac_{name}_f32"))
+    known = share("frac_zero") + own("normal") + own("subnormal") + own("inf_nan")
+    rows = classes.where("alloc_type in ('64bits', '32bits')")
+    return rows.select("bench", "alloc_type", r9(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - known))).alias("other"))
 
 
 def scaling_granularity(stability: DataFrame) -> DataFrame:

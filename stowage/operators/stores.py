@@ -12,10 +12,8 @@ from pyspark.sql import functions as F
 
 from stowage.functions import bits as b
 from stowage.functions.sites import alloc_site, site3
+from stowage.operators.cells import BUFFER, CELL, FP, cell_counts, snapshot
 
-BUFFER = ("run_id", "bench", "alloc_addr", "generation")
-CELL = (*BUFFER, "offset")
-FP = "alloc_type in ('64bits', '32bits')"
 TYPED = ("bench", "alloc_type")
 
 
@@ -38,10 +36,6 @@ def summary(t: DataFrame) -> DataFrame:
     return total.withColumn("frac_zero_value", r9(F.col("z") / F.col("stores"))).drop("z")
 
 
-def cell_counts(t: DataFrame) -> DataFrame:
-    return t.groupBy(*CELL).agg(F.count("*").alias("writes"), F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size"))
-
-
 def top_allocations(t: DataFrame, k: int = 20) -> DataFrame:
     own = cell_counts(t).groupBy(*BUFFER).agg(F.min("alloc_size").alias("alloc_size"), F.min("alloc_type").alias("alloc_type"), F.sum("writes").alias("stores"), F.count("*").alias("unique_offsets"))
     own = top(own, k, "bench", F.desc("stores"), "alloc_addr", "generation", "run_id")
@@ -75,9 +69,11 @@ def alignment(t: DataFrame) -> DataFrame:
 def reused_allocations(t: DataFrame, k: int = 20) -> DataFrame:
     """Addresses with more than one generation; avg_size is the sizes of all stores over max_generation, avg_size_distinct the mean of the buffers."""
     own = t.groupBy(*BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"))
-    out = own.groupBy("bench", "run_id", "alloc_addr").agg(F.max("generation").alias("max_generation"), F.sum("n").alias("stores"), F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("size").alias("d"), F.count("*").alias("buffers")).where("max_generation > 1")
-    out = out.select("bench", "alloc_addr", "max_generation", "stores", r9(F.col("s") / F.col("max_generation")).alias("avg_size"), r9(F.col("d") / F.col("buffers")).alias("avg_size_distinct"))
-    return top(out, k, None, F.desc("max_generation"), F.desc("stores"), "bench", "alloc_addr")
+    sums = F.max("generation").alias("max_generation"), F.sum("n").alias("stores"), F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("size").alias("d"), F.count("*").alias("buffers")
+    out = own.groupBy("bench", "run_id", "alloc_addr").agg(*sums).where("max_generation > 1")
+    out = top(out, k, None, F.desc("max_generation"), F.desc("stores"), "bench", "alloc_addr", "run_id")
+    means = r9(F.col("s") / F.col("max_generation")).alias("avg_size"), r9(F.col("d") / F.col("buffers")).alias("avg_size_distinct")
+    return out.select("bench", "alloc_addr", "max_generation", "stores", *means)
 
 
 def coverage(t: DataFrame) -> DataFrame:
@@ -100,8 +96,8 @@ def format_feasibility(t: DataFrame) -> DataFrame:
 
 
 def buffer_feasibility(t: DataFrame) -> DataFrame:
-    out = t.where(FP).groupBy(*BUFFER).agg(F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size"), F.count("*").alias("total"), *fit_shares())
-    return out.drop("run_id")
+    kind = F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size")
+    return t.where(FP).groupBy(*BUFFER).agg(*kind, F.count("*").alias("total"), *fit_shares())
 
 
 def site_feasibility(t: DataFrame, k: int = 20, least: int = 1000) -> DataFrame:
@@ -212,8 +208,8 @@ def buffer_exp_range(t: DataFrame) -> DataFrame:
     """n_special counts what is neither zero nor normal: denormals, negative zeros, infinities, NaN."""
     x, zero = b.normal_exp("alloc_type", "value"), F.col("value") == 0
     kind = F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size")
-    out = t.where(FP).groupBy(*BUFFER).agg(*kind, F.count("*").alias("total"), F.count_if(zero).alias("n_zero"), F.count_if(~zero & x.isNull()).alias("n_special"), F.min(x).alias("min_e"), F.max(x).alias("max_e"))
-    return out.drop("run_id")
+    special = F.count_if(~zero & x.isNull()).alias("n_special")
+    return t.where(FP).groupBy(*BUFFER).agg(*kind, F.count("*").alias("total"), F.count_if(zero).alias("n_zero"), special, F.min(x).alias("min_e"), F.max(x).alias("max_e"))
 
 
 def frequent_values(t: DataFrame, ks: tuple[int, ...] = (1, 8, 64, 256, 1024)) -> DataFrame:
@@ -224,10 +220,3 @@ def frequent_values(t: DataFrame, ks: tuple[int, ...] = (1, 8, 64, 256, 1024)) -
     took = lambda k: F.sum(F.col("n") * F.greatest(F.lit(0), F.least(F.lit(k) - F.col("before"), F.col("m"))))
     total = F.sum(F.col("n") * F.col("m"))
     return each.groupBy(*TYPED).agg(total.alias("total_stores"), F.sum("m").alias("distinct_values"), *(r9(took(k) / total).alias(f"top{k}_frac") for k in ks))
-
-
-def snapshot(t: DataFrame, *key: str) -> DataFrame:
-    """The last value of every cell, floating-point types only."""
-    key = key or CELL
-    last = t.where(FP).groupBy(*key).agg(F.max_by(F.struct("value", "alloc_type"), F.struct("rn", "value")).alias("s"))
-    return last.select(*key, "s.value", *(["s.alloc_type"] if "alloc_type" not in key else []))

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+from stowage.functions.sites import ALLOCATORS
+from stowage.operators import cells
 from stowage.operators import ordered as o
 from stowage.operators import stores as s
-from stowage.plans.fixtures import DUCK, trace
+from stowage.plans.fixtures import DUCK, RN_BITS, trace
 
 E = "CASE alloc_type WHEN '64bits' THEN (value >> 52) & 2047 WHEN '32bits' THEN (value >> 23) & 255 END"
 M = "CASE alloc_type WHEN '64bits' THEN value & 4503599627370495 WHEN '32bits' THEN value & 8388607 END"
 BIAS, SPECIAL, WIDTH = (f"CASE alloc_type WHEN '64bits' THEN {a} WHEN '32bits' THEN {b} END" for a, b in ((1023, 127), (2047, 255), (52, 23)))
-SITE = r"""regexp_extract(coalesce(
-    list_filter(string_split(alloc_stack, chr(10)), lambda f: NOT regexp_matches(lower(f),
-        'malloc|calloc|realloc|free|operator new|operator delete|libgfortran|libstdc\+\+|ld-2\.|dl-init|\?\?\?'))[1],
-    string_split(alloc_stack, chr(10))[2], string_split(alloc_stack, chr(10))[1], ''), ': (.*?) \(', 1)"""
+SITE = "(SELECT site FROM sites WHERE stack = alloc_stack)"
 BUF = "run_id, bench, alloc_addr, generation"
 
 
@@ -24,7 +23,10 @@ snap AS (SELECT {BUF}, "offset", arg_max(value, rn) AS value, min(alloc_type) AS
 snapx AS (SELECT *, CASE WHEN e > 0 AND e < special THEN e - bias END AS x FROM (SELECT *, {E} AS e, {BIAS} AS bias, {SPECIAL} AS special FROM snap)),
 idx AS (SELECT *, row_number() OVER (PARTITION BY {BUF} ORDER BY "offset") - 1 AS i FROM snapx),
 prev AS (SELECT *, lag(value) OVER (PARTITION BY {BUF}, "offset" ORDER BY rn, value) AS prev FROM t),
-bufsite AS (SELECT {BUF}, min(alloc_stack) AS alloc_stack FROM t GROUP BY ALL)
+bufsite AS (SELECT {BUF}, min(alloc_stack) AS alloc_stack FROM t GROUP BY ALL),
+frames AS (SELECT stack, generate_subscripts(f, 1) AS place, unnest(f) AS frame FROM (SELECT stack, string_split(stack, chr(10)) AS f FROM (SELECT DISTINCT alloc_stack AS stack FROM t))),
+choice AS (SELECT *, CASE WHEN NOT regexp_matches(lower(frame), '{ALLOCATORS}') THEN 0 WHEN place = 2 THEN 1 ELSE 2 END AS worse FROM frames),
+sites AS (SELECT stack, regexp_extract(arg_min(frame, (worse, place)), ': (.*?) \\(', 1) AS site FROM choice GROUP BY stack)
 """
 
 
@@ -78,18 +80,43 @@ FEASIBLE = """count(*) AS total,
        round(count(*) FILTER (tz >= CASE alloc_type WHEN '64bits' THEN 45 ELSE 16 END) / count(*), 9) AS pct_bf16,
        round(count(*) FILTER (tz >= CASE alloc_type WHEN '64bits' THEN 42 ELSE 13 END) / count(*), 9) AS pct_fp16"""
 FEAS_BUF = f"""
-SELECT bench, alloc_addr, generation, min(alloc_type) AS alloc_type, min(alloc_size) AS alloc_size, {FEASIBLE},
+SELECT run_id, bench, alloc_addr, generation, min(alloc_type) AS alloc_type, min(alloc_size) AS alloc_size, {FEASIBLE},
        CASE alloc_type WHEN '64bits' THEN round(count(*) FILTER (tz >= 29) / count(*), 9) ELSE 1.0 END AS pct_fp32
 FROM fp GROUP BY run_id, bench, alloc_addr, generation, alloc_type"""
 RANGE_BUF = f"""
-SELECT bench, alloc_addr, generation, min(alloc_type) AS alloc_type, min(alloc_size) AS alloc_size, count(*) AS total, count(*) FILTER (value = 0) AS n_zero,
+SELECT {BUF}, min(alloc_type) AS alloc_type, min(alloc_size) AS alloc_size, count(*) AS total, count(*) FILTER (value = 0) AS n_zero,
        count(*) FILTER (value <> 0 AND (e = 0 OR e = special)) AS n_special, min(x) AS min_e, max(x) AS max_e
 FROM fp GROUP BY {BUF}"""
 
+SILENT = """
+SELECT bench, alloc_type, count(prev) AS stores_with_prev, count(*) FILTER (prev = value) AS silent, round(count(*) FILTER (prev = value) / nullif(count(prev), 0), 9) AS silent_frac
+FROM prev GROUP BY ALL"""
+BUFFER_SILENT = f"SELECT *, round(silent / pairs, 9) AS silent_frac FROM ({SILENT_BUF}) WHERE pairs > 0"
+SITE_SILENT = f"""
+SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY pairs DESC, site) AS pick FROM (
+SELECT bench, site, {big('sum(stores)')} AS stores, {big('sum(pairs)')} AS pairs, {big('sum(silent)')} AS silent, round(sum(silent) / sum(pairs), 9) AS silent_frac
+FROM (SELECT *, {SITE} AS site FROM ({SILENT_BUF}) JOIN bufsite USING ({BUF})) WHERE site <> '' GROUP BY bench, site HAVING sum(pairs) >= 10)) WHERE pick <= 20"""
+EXP_BITS = f"""
+SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY total DESC, alloc_type, site) AS pick FROM (
+SELECT bench, alloc_type, site, min(lo) AS min_e, max(hi) AS max_e, max(hi) - min(lo) + 1 AS exp_range, {big('ceil(log2(greatest(max(hi) - min(lo) + 1, 2)))')} AS required_e_bits, {big('sum(n)')} AS total
+FROM (SELECT *, {SITE} AS site FROM (SELECT bench, alloc_type, alloc_stack, min(x) AS lo, max(x) AS hi, count(*) AS n FROM fp WHERE value <> 0 GROUP BY ALL))
+WHERE site <> '' AND lo IS NOT NULL GROUP BY bench, alloc_type, site HAVING sum(n) >= 1000)) WHERE pick <= 20"""
+CELLS = f"""
+SELECT {BUF}, "offset", min(alloc_type) AS alloc_type, min(alloc_size) AS alloc_size, count(*) AS writes, count(prev) AS pairs, count(*) FILTER (prev = value) AS silent,
+       arg_max(value, (rn, value)) AS last, max(rn) AS last_rn, count(x) AS normal, min(x) AS min_exp, max(x) AS max_exp
+FROM (SELECT *, CASE WHEN e > 0 AND e < special THEN e - bias END AS x FROM (SELECT *, {E} AS e, {BIAS} AS bias, {SPECIAL} AS special FROM prev)) GROUP BY {BUF}, "offset"
+"""
+
+
+def ranged(operator):
+    """The operator with ranges that fit the views' numbers."""
+    return lambda t: operator(t, bits=RN_BITS)
+
+
 #: name -> (operator on a trace, view, SQL after the common table expressions)
 ANALYSES = {
     "c01_summary": (s.summary, "li", f"SELECT bench, count(*) AS stores, count(DISTINCT (run_id, alloc_addr, generation)) AS allocations, count(*) FILTER (alloc_type = '64bits') AS stores_64, count(*) FILTER (alloc_type = '32bits') AS stores_32, count(*) FILTER (alloc_type = 'object') AS stores_object, {pct('value = 0')} AS frac_zero_value FROM t GROUP BY bench"),
-    "c02_top_allocations": (s.top_allocations, "li", topk(f"SELECT {BUF}, min(alloc_size) AS alloc_size, min(alloc_type) AS alloc_type, count(*) AS stores, count(DISTINCT \"offset\") AS unique_offsets, round(count(*) / min(alloc_size), 9) AS stores_per_byte FROM t GROUP BY {BUF}", 20, "bench", "stores DESC, alloc_addr, generation", "bench, alloc_addr, alloc_size, alloc_type, generation, stores, unique_offsets, stores_per_byte")),
+    "c02_top_allocations": (s.top_allocations, "li", topk(f"SELECT {BUF}, min(alloc_size) AS alloc_size, min(alloc_type) AS alloc_type, count(*) AS stores, count(DISTINCT \"offset\") AS unique_offsets, round(count(*) / min(alloc_size), 9) AS stores_per_byte FROM t GROUP BY {BUF}", 20, "bench", "stores DESC, alloc_addr, generation, run_id", "bench, alloc_addr, alloc_size, alloc_type, generation, stores, unique_offsets, stores_per_byte")),
     "c03_size_distribution": (s.size_distribution, "li", f"SELECT bench, CAST(2 ** (length(bin(size)) - 1) AS BIGINT) AS size_bucket_bytes, count(*) AS allocations FROM (SELECT {BUF}, min(alloc_size) AS size FROM t GROUP BY {BUF}) GROUP BY ALL"),
     "c04_hot_stack_sites": (s.hot_stack_sites, "li", topk(f"SELECT bench, array_to_string(string_split(alloc_stack, chr(10))[1:3], chr(10)) AS site3, {big('sum(n)')} AS stores, count(*) AS allocs, {big('sum(n * size)')} AS total_bytes, {big('sum(size)')} AS distinct_bytes FROM (SELECT {BUF}, alloc_stack, count(*) AS n, min(alloc_size) AS size FROM t GROUP BY ALL) GROUP BY 1, 2", 15, None, "stores DESC, bench, site3", "*")),
     "c05_value_patterns": (s.value_patterns, "li", """
@@ -103,12 +130,13 @@ SELECT bench, alloc_type, count(*) FILTER ("offset" % 8 = 0) AS aligned_8b, coun
 FROM t GROUP BY bench, alloc_type"""),
     "c07_reused_allocations": (s.reused_allocations, "li", """
 SELECT bench, alloc_addr, max(generation) AS max_generation, count(*) AS stores, round(sum(alloc_size) / max(generation), 9) AS avg_size,
-       round((SELECT avg(size) FROM (SELECT DISTINCT b.run_id, b.generation, b.alloc_size AS size FROM t b WHERE b.bench = t.bench AND b.alloc_addr = t.alloc_addr)), 9) AS avg_size_distinct
-FROM t GROUP BY run_id, bench, alloc_addr HAVING max(generation) > 1 ORDER BY max_generation DESC, stores DESC, bench, alloc_addr LIMIT 20"""),
+       round((SELECT avg(size) FROM (SELECT DISTINCT b.run_id, b.generation, b.alloc_size AS size FROM t b WHERE b.run_id = t.run_id AND b.bench = t.bench AND b.alloc_addr = t.alloc_addr)), 9) AS avg_size_distinct
+FROM t GROUP BY run_id, bench, alloc_addr HAVING max(generation) > 1 ORDER BY max_generation DESC, stores DESC, bench, alloc_addr, run_id LIMIT 20"""),
     "c08_coverage": (s.coverage, "li", f"SELECT bench, alloc_type, count(*) AS allocations, round(avg(c), 9) AS avg_coverage, round(min(c), 9) AS min_coverage, round(max(c), 9) AS max_coverage, round(avg(w), 9) AS avg_writes_per_slot FROM (SELECT bench, min(alloc_type) AS alloc_type, count(DISTINCT \"offset\") * min(CASE width WHEN 52 THEN 8 ELSE 4 END) / min(alloc_size) AS c, count(*) / count(DISTINCT \"offset\") AS w FROM fp GROUP BY {BUF}) GROUP BY ALL"),
-    "c09_silent_stores": (o.silent_stores, "ev", "SELECT bench, alloc_type, count(prev) AS stores_with_prev, count(*) FILTER (prev = value) AS silent, round(count(*) FILTER (prev = value) / nullif(count(prev), 0), 9) AS silent_frac FROM prev GROUP BY ALL"),
-    "c09_silent_stores_mixed": (o.silent_stores, "li", "SELECT bench, alloc_type, count(prev) AS stores_with_prev, count(*) FILTER (prev = value) AS silent, round(count(*) FILTER (prev = value) / nullif(count(prev), 0), 9) AS silent_frac FROM prev GROUP BY ALL"),
-    "c10_bit_patterns": (o.bit_patterns, "li", f"SELECT bench, alloc_type, count(*) AS total, count(*) FILTER (value = 0) AS zero_values, count(*) FILTER (e = 0) AS exp_zero, count(*) FILTER (m = 0) AS mantissa_zero, count(prev) AS pairs, count(*) FILTER (prev = value) AS bit_identical, round(sum({hamming('value', 'prev')}) / count(prev), 9) AS mean_hamming FROM (SELECT *, lag(value) OVER (PARTITION BY {BUF} ORDER BY rn, value) AS prev FROM fp) GROUP BY ALL"),
+    "c09_silent_stores": (ranged(o.silent_stores), "ev", SILENT),
+    "c09_silent_stores_mixed": (ranged(o.silent_stores), "li", SILENT),
+    "c09_silent_stores_hot": (ranged(o.silent_stores), "hot", SILENT),
+    "c10_bit_patterns": (ranged(o.bit_patterns), "li", f"SELECT bench, alloc_type, count(*) AS total, count(*) FILTER (value = 0) AS zero_values, count(*) FILTER (e = 0) AS exp_zero, count(*) FILTER (m = 0) AS mantissa_zero, count(prev) AS pairs, count(*) FILTER (prev = value) AS bit_identical, round(sum({hamming('value', 'prev')}) / count(prev), 9) AS mean_hamming FROM (SELECT *, lag(value) OVER (PARTITION BY {BUF} ORDER BY rn, value) AS prev FROM fp) GROUP BY ALL"),
     "c11_write_concentration": (o.write_concentration, "li", f"SELECT bench, CAST(max(total) AS BIGINT) AS total_stores, count(*) AS total_buffers, {CONC} FROM (SELECT bench, row_number() OVER w AS r, sum(n) OVER (PARTITION BY bench ORDER BY n DESC, alloc_addr, generation ROWS UNBOUNDED PRECEDING) AS c, sum(n) OVER (PARTITION BY bench) AS total FROM (SELECT {BUF}, count(*) AS n FROM t GROUP BY {BUF}) WINDOW w AS (PARTITION BY bench ORDER BY n DESC, alloc_addr, generation)) GROUP BY bench"),
     "c12_format_feasibility": (s.format_feasibility, "li", f"""
 SELECT bench, alloc_type, {FEASIBLE},
@@ -142,7 +170,7 @@ WHERE site <> '' GROUP BY bench, site)) WHERE pick <= 15"""),
     "c17_intra_buffer_gini": (o.intra_buffer_gini, "li", f"SELECT bench, alloc_type, count(*) AS buffers, round(avg(g), 9) AS mean_gini, round(quantile_cont(g, 0.5), 9) AS median_gini, round(min(g), 9) AS min_gini, round(max(g), 9) AS max_gini, round(sum(g * total) / sum(total), 9) AS weighted_gini FROM (SELECT bench, min(alloc_type) AS alloc_type, sum(c) AS total, (2 * sum(r * c) - (count(*) + 1) * sum(c)) / (count(*) * sum(c)) AS g FROM (SELECT {BUF}, alloc_type, c, row_number() OVER (PARTITION BY {BUF} ORDER BY c) AS r FROM (SELECT {BUF}, alloc_type, \"offset\", count(*) AS c FROM fp GROUP BY ALL)) GROUP BY {BUF} HAVING count(*) > 1) GROUP BY ALL"),
     "c18_hot_offsets": (o.hot_offsets, "li", f"""
 SELECT bench, alloc_addr, generation, alloc_type, alloc_size, "offset", writes, round(100.0 * writes / total, 9) AS pct_of_buffer, round(100.0 * writes / bench_total, 9) AS pct_of_bench
-FROM (SELECT *, row_number() OVER (PARTITION BY {BUF} ORDER BY writes DESC, "offset") AS r, dense_rank() OVER (PARTITION BY bench ORDER BY total DESC, alloc_addr, generation) AS b
+FROM (SELECT *, row_number() OVER (PARTITION BY {BUF} ORDER BY writes DESC, "offset") AS r, dense_rank() OVER (PARTITION BY bench ORDER BY total DESC, alloc_addr, generation, run_id) AS b
       FROM (SELECT *, sum(writes) OVER (PARTITION BY {BUF}) AS total, sum(writes) OVER (PARTITION BY bench) AS bench_total
             FROM (SELECT {BUF}, "offset", min(alloc_type) AS alloc_type, min(alloc_size) AS alloc_size, count(*) AS writes FROM t GROUP BY {BUF}, "offset")))
 WHERE r <= 5 AND b <= 10"""),
@@ -152,21 +180,16 @@ SELECT bench, alloc_type, count(*) AS pairs, count(*) FILTER (value = prev) AS b
        round(avg(h), 9) AS mean_hamming, round(avg({DELTA}), 9) AS mean_log_delta
 FROM (SELECT *, {hamming('value', 'prev')} AS h FROM (SELECT *, lag(value) OVER (PARTITION BY {BUF} ORDER BY "offset") AS prev FROM snap))
 WHERE prev IS NOT NULL GROUP BY bench, alloc_type"""),
-    "c21_site_silent": ((lambda t: o.site_silent(t, min_pairs=10)), "li", f"""
-SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY pairs DESC, site) AS pick FROM (
-SELECT bench, site, {big('sum(stores)')} AS stores, {big('sum(pairs)')} AS pairs, {big('sum(silent)')} AS silent, round(sum(silent) / sum(pairs), 9) AS silent_frac
-FROM (SELECT *, {SITE} AS site FROM ({SILENT_BUF}) JOIN bufsite USING ({BUF})) WHERE site <> '' GROUP BY bench, site HAVING sum(pairs) >= 10)) WHERE pick <= 20"""),
+    "c21_site_silent": ((lambda t: o.site_silent(t, min_pairs=10, bits=RN_BITS)), "li", SITE_SILENT),
+    "c21_site_silent_hot": ((lambda t: o.site_silent(t, min_pairs=10, bits=RN_BITS)), "hot", SITE_SILENT),
     "c22_bdi_compression": (s.bdi_compression, "emb", f"""
 SELECT bench, alloc_type, count(*) AS lines, count(*) FILTER (k = 1) AS trivial_lines, round(count(*) FILTER (k >= 2 AND r < 256) / nullif(count(*) FILTER (k >= 2), 0), 9) AS bdi8_frac,
        round(count(*) FILTER (k >= 2 AND r < 65536) / nullif(count(*) FILTER (k >= 2), 0), 9) AS bdi16_frac,
        round(count(*) FILTER (k >= 2 AND r < 4294967296) / nullif(count(*) FILTER (k >= 2), 0), 9) AS bdi32_frac, round(avg(r) FILTER (k >= 2), 9) AS mean_range
 FROM (SELECT bench, min(alloc_type) AS alloc_type, count(*) AS k, max(value) - min(value) AS r FROM snap GROUP BY {BUF}, "offset" // 64) GROUP BY bench, alloc_type"""),
     "c23_fpc_patterns": (s.fpc_patterns, "li", f"SELECT bench, alloc_type, count(*) AS total, {', '.join(f'{pct(x)} AS pct_{n}' for n, x in FPC.items())}, {pct(' OR '.join(f'({x})' for x in FPC.values()))} AS pct_any_pattern FROM fp GROUP BY ALL"),
-    "c24_site_required_exp_bits": (s.site_required_exp_bits, "li", f"""
-SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY total DESC, alloc_type, site) AS pick FROM (
-SELECT bench, alloc_type, site, min(lo) AS min_e, max(hi) AS max_e, max(hi) - min(lo) + 1 AS exp_range, {big('ceil(log2(greatest(max(hi) - min(lo) + 1, 2)))')} AS required_e_bits, {big('sum(n)')} AS total
-FROM (SELECT *, {SITE} AS site FROM (SELECT bench, alloc_type, alloc_stack, min(x) AS lo, max(x) AS hi, count(*) AS n FROM fp WHERE value <> 0 GROUP BY ALL))
-WHERE site <> '' AND lo IS NOT NULL GROUP BY bench, alloc_type, site HAVING sum(n) >= 1000)) WHERE pick <= 20"""),
+    "c24_site_required_exp_bits": (s.site_required_exp_bits, "li", EXP_BITS),
+    "c24_site_required_exp_bits_mix": (s.site_required_exp_bits, "mix", EXP_BITS),
     "c25_frequent_values": (s.frequent_values, "li", "SELECT bench, alloc_type, CAST(sum(n) AS BIGINT) AS total_stores, count(*) AS distinct_values, " + ", ".join(f"round(coalesce(sum(n) FILTER (r <= {k}), 0) / sum(n), 9) AS top{k}_frac" for k in (1, 8, 64, 256, 1024)) + " FROM (SELECT *, row_number() OVER (PARTITION BY bench, alloc_type ORDER BY n DESC) AS r FROM (SELECT bench, alloc_type, value, count(*) AS n FROM fp GROUP BY ALL)) GROUP BY ALL"),
     "c26_outlier_channels": (o.outlier_channels, "li", f"""
 SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY total DESC, alloc_type, site) AS pick FROM (
@@ -205,14 +228,36 @@ SELECT bench, alloc_type, count(*) AS stores, {pct('value = 0')} AS frac_zero,
        {pct("alloc_type = '32bits' AND value & 4294967295 <> 0 AND (value >> 23) & 255 = 0")} AS frac_subnormal_f32,
        {pct("alloc_type = '32bits' AND (value >> 23) & 255 = 255")} AS frac_inf_nan_f32
 FROM t GROUP BY bench, alloc_type"""),
-    "c35_buffer_silent": (o.buffer_silent, "li", f"SELECT *, round(silent / pairs, 9) AS silent_frac FROM ({SILENT_BUF}) WHERE pairs > 0"),
+    "c35_buffer_silent": (ranged(o.buffer_silent), "li", BUFFER_SILENT),
+    "c35_buffer_silent_hot": (ranged(o.buffer_silent), "hot", BUFFER_SILENT),
     "c36_buffer_feasibility": (s.buffer_feasibility, "li", FEAS_BUF),
     "c36_buffer_feasibility_events": (s.buffer_feasibility, "ev", FEAS_BUF),
     "c37_buffer_exp_range": (s.buffer_exp_range, "li", RANGE_BUF),
     "c37_buffer_exp_range_events": (s.buffer_exp_range, "ev", RANGE_BUF),
-    "c39_zoom_silent": (lambda t: o.zoom_silent(t, "NO"), "li", f"SELECT bench, alloc_addr, generation, alloc_type, alloc_size, stores, pairs, silent, round(silent / pairs, 9) AS silent_frac, {SITE} AS site FROM ({SILENT_BUF}) JOIN bufsite USING ({BUF}) WHERE pairs > 0 AND bench = 'NO' ORDER BY pairs DESC, alloc_addr, generation LIMIT 22"),
-    "c40_zoom_feasibility": (lambda t: o.zoom_feasibility(t, "NO"), "li", f"SELECT bench, alloc_addr, generation, alloc_type, alloc_size, total, pct_bf16 AS pct_fit, {SITE} AS site FROM ({FEAS_BUF}) JOIN (SELECT * EXCLUDE (run_id) FROM bufsite) USING (bench, alloc_addr, generation) WHERE bench = 'NO' ORDER BY total DESC, alloc_addr, generation LIMIT 22"),
+    "c39_zoom_silent": ((lambda t: o.zoom_silent(t, "NO", bits=RN_BITS)), "li", f"""
+SELECT {BUF}, alloc_type, alloc_size, stores, pairs, silent, round(silent / pairs, 9) AS silent_frac, {SITE} AS site,
+       round((SELECT sum(silent) / sum(pairs) FROM ({SILENT_BUF}) WHERE bench = 'NO'), 9) AS bench_silent_frac
+FROM ({SILENT_BUF}) JOIN bufsite USING ({BUF}) WHERE pairs > 0 AND bench = 'NO' ORDER BY pairs DESC, alloc_addr, generation, run_id LIMIT 22"""),
+    "c40_zoom_feasibility": ((lambda t: o.zoom_feasibility(t, "NO")), "li", f"""
+SELECT {BUF}, alloc_type, alloc_size, total, pct_bf16 AS pct_fit, {SITE} AS site
+FROM ({FEAS_BUF}) JOIN bufsite USING ({BUF}) WHERE bench = 'NO' ORDER BY total DESC, alloc_addr, generation, run_id LIMIT 22"""),
+}
+
+ANALYSES |= {
+    "cells_table": (ranged(cells.cells), "li", CELLS),
+    "cells_table_hot": (ranged(cells.cells), "hot", CELLS),
 }
+#: Analyses that read the table of cells instead of the trace.
+OF_CELLS = (
+    "c02_top_allocations", "c08_coverage", "c09_silent_stores_mixed", "c14_mx_feasibility", "c17_intra_buffer_gini", "c18_hot_offsets", "c19_mx_block_sweep",
+    "c20_spatial_delta", "c22_bdi_compression", "c28_mx_scale_sharing", "c31_cacheline_homogeneity", "c35_buffer_silent",
+)
+for _name in OF_CELLS:
+    _run, _view, _sql = ANALYSES[_name]
+    ANALYSES[f"cells_{_name}"] = ((lambda t, run=_run: run(cells.cells(t, RN_BITS))), _view, _sql)
+for _name, _run in (("c21_site_silent", lambda t, c, s: o.site_silent(c, min_pairs=10, stacks=s)), ("c27_exponent_stability", lambda t, c, s: o.exponent_stability(c, stacks=s))):
+    _, _view, _sql = ANALYSES[_name]
+    ANALYSES[f"cells_{_name}"] = ((lambda t, run=_run: run(t, cells.cells(t, RN_BITS), o.stacks_of_buffers(t))), _view, _sql)
 
 QUERIES = {name: (lambda spark, sf_dir, run=run, view=view: run(trace(spark, sf_dir, view))) for name, (run, view, _) in ANALYSES.items()}
 ORACLE_SQL = {name: ctes(view) + sql for name, (_, view, sql) in ANALYSES.items()}
