@@ -44,13 +44,18 @@ def running(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...], bits: i
     return inside.withColumns({name: F.col(name) + F.col(f"_{name}_before") for name in sums}).drop("_range", *(f"_{n}" for n in sums), *(f"_{n}_before" for n in sums))
 
 
-def latest(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...], value: str, out: str, bits: int = RANGE_BITS) -> DataFrame:
-    """`out`: the last `value` that is not null among the rows of the key up to a row's own, by `order` (its first column a long)."""
-    ranged = df.withColumn("_range", F.shiftright(order[0], bits))
-    upto = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = ranged.withColumn("_inside", F.last(value, ignorenulls=True).over(upto))
-    ends = ranged.where(F.col(value).isNotNull()).groupBy(*key, "_range").agg(F.max_by(value, F.struct(*order)).alias("_end"))
-    # Ranges without a value of their own take the one before, so they need a row here too.
-    all_ = ranged.groupBy(*key, "_range").agg(F.lit(1).alias("_one")).join(ends, [*key, "_range"], "left")
-    all_ = all_.select(*key, "_range", F.last("_end", ignorenulls=True).over(before(*key)).alias("_before"))
-    return inside.join(all_, [*key, "_range"]).withColumn(out, F.coalesce("_inside", "_before")).drop("_range", "_inside", "_before")
+def latest_of(df: DataFrame, marks: DataFrame, key: tuple[str, ...], order: str, value: str, bits: int = RANGE_BITS) -> DataFrame:
+    """Rows of `df` with the `value` of the last mark of their key before them (marks: key, order, value); null where there is none.
+
+    Rows and marks are swept together, range by range; of the marks before a range only the last is needed, and it is joined to the range. A
+    mark at a row's own place does not count.
+    """
+    in_range = F.shiftright(order, bits).alias("_range")
+    rows = df.select("*", F.lit(None).cast(marks.schema[value].dataType).alias(value), F.lit(0).alias("_mark"))
+    all_ = rows.unionByName(marks.select(*key, order, value, F.lit(1).alias("_mark")), allowMissingColumns=True).select("*", in_range)
+    upto = Window.partitionBy(*key, "_range").orderBy(order, "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    inside = all_.withColumn("_inside", F.last(value, ignorenulls=True).over(upto)).where("_mark = 0")
+    ends = marks.select(*key, order, value, in_range).groupBy(*key, "_range").agg(F.max_by(value, order).alias("_end"))
+    ranges = df.select(*key, in_range).distinct().join(ends, [*key, "_range"], "full")
+    ranges = ranges.select(*key, "_range", F.last("_end", ignorenulls=True).over(before(*key)).alias("_before"))
+    return inside.join(ranges, [*key, "_range"]).withColumn(value, F.coalesce("_inside", "_before")).drop("_range", "_inside", "_before", "_mark")

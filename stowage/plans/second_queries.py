@@ -40,7 +40,7 @@ SELECT alloc_type, required_e_bits, CAST(sum(total) AS BIGINT) AS stores, round(
 FROM base GROUP BY alloc_type, required_e_bits"""),
     "d15_exp_bits_shares": over("c24_site_required_exp_bits_mix", d.exp_bits_shares, "SELECT alloc_type, CAST(sum(total) AS BIGINT) AS stores, " + ", ".join(f"round(coalesce(sum(total) FILTER (required_e_bits <= {w}), 0) / sum(total), 9) AS le_{w}_bits" for w in (4, 5, 8, 11)) + " FROM base GROUP BY alloc_type"),
     "d16_residual_class_share": over("c34_exponent_classes", d.residual_class_share, """
-SELECT bench, alloc_type, round(greatest(0.0, least(1.0, 1 - (coalesce(frac_zero, 0) + coalesce(normal, 0) + coalesce(subnormal, 0) + coalesce(inf_nan, 0)))), 9) AS other
+SELECT bench, alloc_type, round(greatest(0.0, least(1.0, 1 - (coalesce(frac_zero, 0) + coalesce(normal, 0) + coalesce(subnormal, 0) + coalesce(inf_nan, 0)))), 8) AS other
 FROM (SELECT bench, alloc_type, frac_zero, frac_normal_f64 AS normal, frac_subnormal_f64 AS subnormal, frac_inf_nan_f64 AS inf_nan FROM base WHERE alloc_type = '64bits'
       UNION ALL SELECT bench, alloc_type, frac_zero, frac_normal_f32, frac_subnormal_f32, frac_inf_nan_f32 FROM base WHERE alloc_type = '32bits')"""),
     "d17_scaling_granularity": over("c27_exponent_stability", d.scaling_granularity, "SELECT bench, alloc_type, site, CASE WHEN frac_constant_exp >= 0.8 THEN 'per-channel' WHEN frac_constant_exp <= 0.2 THEN 'per-token' ELSE 'mixed' END AS granularity FROM base"),

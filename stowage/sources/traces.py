@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -9,22 +11,49 @@ from pyspark.sql import functions as F
 
 from stowage.functions import bits as b
 from stowage.functions.sites import view_name
+from stowage.operators.ranges import RANGE_BITS, latest_of, running
 
 PAGE = 12  # bits of the page by which stores meet allocations
 MANY = 64  # pages beyond which an allocation is met by coarser buckets
 SMALL, HUGE = PAGE, 22
-STEP, OPEN = 4, 62  # lifetimes are met in ranges of seq of 2**(a multiple of STEP); open ones in 2**OPEN
+NEVER = 2**63 - 1  # where allocations end that are open at the end of their run
+SLICE = 8  # allocations that begin in one slice of a bucket's time
 
 
-def file_order(df: DataFrame) -> DataFrame:
-    """Lines with run_id (the file's name), the start of their split (at) and seq, which counts the lines of a file from 1.
+def folder_of(spark: SparkSession, paths: tuple[str, ...]) -> str:
+    """The folder (as file names in _metadata have it, without scheme and host) by which the files of `paths` are named."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    folders = []
+    for path in paths:
+        whole = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+        at = hadoop.Path(whole or ".")
+        files = at.getFileSystem(conf)
+        name = files.makeQualified(at).toUri().getRawPath()
+        is_folder = whole == path and files.exists(at) and files.getFileStatus(at).isDirectory()
+        folders.append(f"{name.rstrip('/')}/" if is_folder or whole.endswith("/") else name)
+    return os.path.commonprefix(folders).rpartition("/")[0] + "/"
 
-    Lines are counted inside their split; one row per split is stitched to the splits before it, so a file of any size is many tasks' work.
+
+def run_of(spark: SparkSession, paths: tuple[str, ...]) -> Column:
+    """A row's file, by its path below the folder of all that is given (the whole path where it is not below it)."""
+    path = F.regexp_replace("_metadata.file_path", r"^[^:/]+:(//[^/]*)?", "")
+    folder = folder_of(spark, paths)
+    return F.when(F.startswith(path, F.lit(folder)), F.substr(path, F.lit(len(folder) + 1))).otherwise(path)
+
+
+def file_order(spark: SparkSession, *paths: str, recursive: bool = False) -> DataFrame:
+    """Lines of text files: run_id (the file's path below the folder of all that is given), at (the start of the line's split), seq (from 1 in each file), value.
+
+    Lines are counted inside their split; one row per split is stitched to the splits before it, so a file of any size is many tasks'
+    work. Neither names of folders nor numbers of partitions take part: files of one name in two folders are two runs. The counts
+    are taken from the same shuffle as the lines, so the files are read once.
     """
-    lines = df.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("run_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono"), "value")
+    text = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(list(paths))
+    lines = text.select(run_of(spark, paths).alias("run_id"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono"), "value")
     lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "at").orderBy("mono")))
     before = Window.partitionBy("run_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    splits = lines.groupBy("run_id", "at").agg(F.count("*").alias("lines")).select("run_id", "at", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    splits = lines.groupBy("run_id", "at").agg(F.greatest(F.max("n"), F.count("value")).alias("lines"))
+    splits = splits.select("run_id", "at", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
     return lines.join(splits, ["run_id", "at"]).select("run_id", "at", (F.col("before") + F.col("n")).alias("seq"), "value")
 
 
@@ -45,12 +74,12 @@ def read_trace_log(spark: SparkSession, *paths: str) -> DataFrame:
     Block delimiters carry forward over a file; block is the seq of the opening delimiter. A line that fits none of the
     forms is dropped. seq is the order of splits in a file and of lines in a split.
     """
-    lines = file_order(spark.read.text(list(paths)))
+    lines = file_order(spark, *paths)
     marker = F.regexp_extract("value", r"^===(ALLOC|FREE) (START|END)===", 1)
     kind = F.when(F.col("value").contains("START"), marker).otherwise("")
     lines = carried(lines, state=F.when(F.col("value").startswith("==="), F.struct(kind.alias("kind"), F.col("seq").alias("block")))).where(~F.col("value").startswith("==="))
-    head = r"^Start 0x([0-9a-fA-F]+), size (\d+)"
-    store = r"^0x([0-9a-fA-F]+) 0x([0-9a-fA-F]+)\s*$"
+    head = r"^Start\s+0x([0-9a-fA-F]+),\s+size\s+(\d+)"
+    store = r"^0x([0-9a-fA-F]+)\s+0x([0-9a-fA-F]+)"  # whatever follows the value is left alone
     inside = F.coalesce(F.col("state.kind"), F.lit(""))
     is_head, is_store = F.col("value").rlike(head) & (inside != ""), F.col("value").rlike(store) & (inside == "")
     kind = F.when(is_head, inside).when(is_store, "STORE").when(inside != "", "FRAME")
@@ -84,33 +113,68 @@ def min_block_filter(allocs: DataFrame, least: int = 4096) -> DataFrame:
     return allocs.where(F.col("alloc_size") >= least)
 
 
-def near_allocations(stores: DataFrame, allocs: DataFrame) -> DataFrame:
-    """Each store with the allocations of its bucket of addresses and range of seq.
+def bucket_of(address: Column, bits: Column) -> Column:
+    """Pages for allocations of few pages, 4 MiB for larger ones."""
+    return F.when(bits == SMALL, F.shiftright(address, SMALL)).otherwise(F.shiftright(address, HUGE))
+
+
+BUCKET = ("run_id", "bits", "bucket")
+
+
+def bucketed(allocs: DataFrame) -> DataFrame:
+    """Allocations with the size of the buckets by which stores meet them."""
+    end = F.col("alloc_addr") + F.col("alloc_size") - 1
+    small = F.shiftright(end, SMALL) - F.shiftright("alloc_addr", SMALL) < MANY
+    return allocs.where("alloc_size > 0").withColumn("bits", F.when(small, SMALL).otherwise(HUGE))
 
-    Buckets are pages for allocations of few pages, 4 MiB for larger ones. A range is as long as the lifetime, up to 2**STEP times,
-    so an allocation of any size and lifetime makes few rows, and a store meets only generations that live near it. A store
-    makes a row per kind of bucket and range that some allocation has.
+
+def time_slices(allocs: DataFrame, bits: int = RANGE_BITS, size: int = SLICE) -> DataFrame:
+    """run_id, bits, bucket, seq, live: for every `size`-th allocation of a bucket, all that may hold a store from its seq on, up to the next slice.
+
+    The order of a bucket's allocations cuts its time into slices, whatever their lifetimes are. `live` has the allocations that begin in the slice
+    and those that reach into it: as blocks alive at one time don't overlap, few do. A long-lived allocation is in as many slices as others
+    begin beside it.
     """
-    start, end = F.col("alloc_addr"), F.col("alloc_addr") + F.col("alloc_size") - 1
-    live = allocs.where("alloc_size > 0").withColumn("bits", F.when(F.shiftright(end, SMALL) - F.shiftright(start, SMALL) < MANY, SMALL).otherwise(HUGE))
-    life = F.greatest(F.col("end_seq") - F.col("seq"), F.lit(1))
-    live = live.withColumn("span", F.when(F.col("end_seq").isNull(), OPEN).otherwise(F.least(F.lit(OPEN), STEP * F.ceil(F.log2(life) / STEP))).cast("int"))
-    kinds = live.select("run_id", "bits", "span").distinct()
-    bucket = lambda x, bits: F.when(bits == SMALL, F.shiftright(x, SMALL)).otherwise(F.shiftright(x, HUGE))
-    live = live.withColumn("bucket", F.explode(F.sequence(bucket(start, F.col("bits")), bucket(end, F.col("bits")))))
-    live = live.withColumn("time", F.explode(F.expr(f"sequence(shiftright(seq, span), shiftright(coalesce(end_seq, {2**63 - 1}), span))")))
-    live = live.select("run_id", "bits", "span", "bucket", "time", F.col("seq").alias("alloc_seq"), "end_seq", "alloc_addr", "alloc_size", "generation")
+    who = ("alloc_seq", "end_seq", "alloc_addr", "alloc_size")
+    end = F.col("alloc_addr") + F.col("alloc_size") - 1
+    held = bucketed(allocs).select("run_id", "bits", F.col("seq").alias("alloc_seq"), *who[1:])
+    held = held.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("alloc_addr"), F.col("bits")), bucket_of(end, F.col("bits")))))
+    begin = F.struct(F.col("alloc_seq").alias("seq"), F.lit(1).alias("first"))
+    finish = F.struct(F.coalesce("end_seq", F.lit(NEVER)).alias("seq"), F.lit(0).alias("first"))
+    events = held.select(*BUCKET, *who, F.explode(F.array(begin, finish)).alias("x")).select(*BUCKET, *who, "x.*")
+    events = running(events, BUCKET, ("seq", "first", "alloc_seq"), bits, begun=F.col("first"))
+    # The slice of an event: an allocation's own where it begins, the last that it reaches into where it ends.
+    at = F.floor((F.col("begun") - 1) / size)
+    spans = events.groupBy(*BUCKET, *who).agg(F.min(at).alias("low"), F.max(F.when(F.col("first") == 0, at)).alias("high"))
+    spans = spans.withColumn("slice", F.explode(F.sequence("low", "high")))
+    own = F.min(F.when(F.col("slice") == F.col("low"), F.col("alloc_seq")))
+    return spans.groupBy(*BUCKET, "slice").agg(own.alias("seq"), F.collect_list(F.struct(*who)).alias("live")).select(*BUCKET, "seq", "live")
+
+
+def placed(stores: DataFrame, allocs: DataFrame) -> DataFrame:
+    """Each store by its bucket: one row for each of the two kinds of bucket that the store's run has."""
+    kinds = bucketed(allocs).select("run_id", "bits").distinct()
     rows = stores.select("run_id", "seq", "addr", "value").join(kinds, "run_id")
-    rows = rows.withColumn("bucket", bucket(F.col("addr"), F.col("bits"))).withColumn("time", F.expr("shiftright(seq, span)"))
-    return rows.join(live, ["run_id", "bits", "span", "bucket", "time"])
+    return rows.withColumn("bucket", bucket_of(F.col("addr"), F.col("bits")))
 
 
-def attribute_stores(stores: DataFrame, allocs: DataFrame) -> DataFrame:
-    """A5: each store with the newest allocation that is live at its seq and holds its address."""
-    met = near_allocations(stores, allocs).where("addr >= alloc_addr and addr - alloc_addr < alloc_size and alloc_seq < seq and (end_seq is null or seq < end_seq)")
-    newest = met.groupBy("run_id", "seq").agg(F.max_by(F.struct("addr", "value", "alloc_seq", "alloc_addr", "alloc_size", "generation"), "alloc_seq").alias("x"))
-    stacks = allocs.select("run_id", F.col("seq").alias("alloc_seq"), "alloc_stack")  # joined last: stores don't carry texts through the shuffles before
-    return newest.select("run_id", "seq", "x.*").join(stacks, ["run_id", "alloc_seq"]).withColumn("offset", F.col("addr") - F.col("alloc_addr"))
+def attribute_stores(stores: DataFrame, allocs: DataFrame, bits: int = RANGE_BITS, size: int = SLICE) -> DataFrame:
+    """A5: each store with the newest allocation that is live at its seq and holds its address.
+
+    A sweep over each bucket: stores and slices of time in one order of seq, in ranges of 2**bits of it, so that a page that takes most stores is
+    many tasks' work. A store takes the slice before it, and looks at the few allocations of that slice; it is never multiplied by
+    lifetimes. What an allocation is called and its stack are joined last: no shuffle of stores carries texts.
+    """
+    rows = placed(stores, allocs)
+    near = latest_of(rows, time_slices(allocs, bits, size), BUCKET, "seq", "live", bits)
+    holds = lambda a: (
+        (F.col("addr") >= a["alloc_addr"]) & (F.col("addr") - a["alloc_addr"] < a["alloc_size"])
+        & (a["alloc_seq"] < F.col("seq")) & (a["end_seq"].isNull() | (F.col("seq") < a["end_seq"]))
+    )
+    found = near.select("run_id", "seq", "addr", "value", F.array_max(F.filter("live", holds))["alloc_seq"].alias("alloc_seq")).where("alloc_seq is not null")
+    newest = found.groupBy("run_id", "seq", "addr", "value").agg(F.max("alloc_seq").alias("alloc_seq"))
+    names = allocs.select("run_id", F.col("seq").alias("alloc_seq"), "alloc_addr", "alloc_size", "generation", "alloc_stack")
+    return newest.join(names, ["run_id", "alloc_seq"]).withColumn("offset", F.col("addr") - F.col("alloc_addr"))
 
 
 def unattributed_stores(stores: DataFrame, attributed: DataFrame, strict: bool = False) -> DataFrame:
@@ -146,15 +210,24 @@ NAME = r"0x([0-9a-fA-F]+)_(\d+)_(64bits|32bits|object)_(\d+)\.stores$"
 
 
 def read_stores_dir(spark: SparkSession, path: str, bench: str = "") -> tuple[DataFrame, DataFrame]:
-    """A10: per-allocation files as a trace, and the names of files that fit no pattern. Lines that fit none are ignored."""
-    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("mono"), "value")
+    """A10: per-allocation files as a trace, and the names of files that fit no pattern. Lines that fit none are ignored.
+
+    A run is a folder, named by its path below `path` ("." for `path` itself); rn is the line's number in its file, so it orders a buffer's stores.
+    """
+    rows = file_order(spark, path, recursive=True).withColumnRenamed("run_id", "file")
     bad = rows.where(~F.col("file").rlike(NAME)).select("file").distinct()
     rows = rows.where(F.col("file").rlike(NAME))
-    stacks = rows.where("value like '#%'").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "mono", F.regexp_replace("value", r"^#\s?", "").alias("frame")))), lambda x: x["frame"]), "\n").alias("alloc_stack"))
+    frame = F.regexp_replace("value", r"^#\s?", "").alias("frame")
+    heads = rows.where("value like '#%'").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", frame))).alias("x"))
+    heads = heads.select("file", F.array_join("x.frame", "\n").alias("alloc_stack"))
     body = r"^(\d+):0x([0-9a-fA-F]+)$"
     part = lambda i: F.regexp_extract("file", NAME, i)
-    stores = rows.where(F.col("value").rlike(body)).join(stacks, "file", "left")
-    trace = stores.select(F.lit("r0").alias("run_id"), F.lit(bench).alias("bench"), b.from_hex(part(1)).alias("alloc_addr"), part(2).cast("long").alias("alloc_size"), part(3).alias("alloc_type"), part(4).cast("long").alias("generation"), F.coalesce("alloc_stack", F.lit("")).alias("alloc_stack"), F.regexp_extract("value", body, 1).cast("long").alias("offset"), b.from_hex(F.regexp_extract("value", body, 2)).alias("value"), F.col("mono").alias("rn"))
+    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    trace = rows.where(F.col("value").rlike(body)).join(heads, "file", "left").select(
+        F.when(folder == "", ".").otherwise(folder).alias("run_id"), F.lit(bench).alias("bench"), b.from_hex(part(1)).alias("alloc_addr"), part(2).cast("long").alias("alloc_size"),
+        part(3).alias("alloc_type"), part(4).cast("long").alias("generation"), F.coalesce("alloc_stack", F.lit("")).alias("alloc_stack"),
+        F.regexp_extract("value", body, 1).cast("long").alias("offset"), b.from_hex(F.regexp_extract("value", body, 2)).alias("value"), F.col("seq").alias("rn"),
+    )
     return trace, bad
 
 
@@ -162,7 +235,7 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet trace; unsigned columns become signed bits, rn is the row number in the file where none is stored."""
     df = spark.read.parquet(path)
     if "rn" not in df.columns:
-        df = df.select("*", F.col("_metadata.row_index").alias("rn"), F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("run_id"))
+        df = df.select("*", F.col("_metadata.row_index").alias("rn"), run_of(spark, (path,)).alias("run_id"))
     return df.select(*(b.from_unsigned(f.name).alias(f.name) if f.dataType.simpleString().startswith("decimal") else F.col(f.name).cast("long").alias(f.name) if f.name in ("generation", "offset", "value", "alloc_addr", "alloc_size") else F.col(f.name) for f in df.schema))
 
 
@@ -221,5 +294,5 @@ def parse_site_listing(spark: SparkSession, *paths: str) -> DataFrame:
 def parse_mem_reference_trace(spark: SparkSession, *paths: str) -> DataFrame:
     """run_id, seq, kind (I, L, S, M), addr, size."""
     p = r"^\s*([ILSM])\s+([0-9a-fA-F]+),(\d+)"
-    rows = file_order(spark.read.text(list(paths))).where(F.col("value").rlike(p))
+    rows = file_order(spark, *paths).where(F.col("value").rlike(p))
     return rows.select("run_id", "seq", F.regexp_extract("value", p, 1).alias("kind"), b.from_hex(F.regexp_extract("value", p, 2)).alias("addr"), F.regexp_extract("value", p, 3).cast("long").alias("size"))

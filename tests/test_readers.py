@@ -155,3 +155,52 @@ def test_attribution_summary(spark):
     readable = spark.createDataFrame([("a.c", False), ("b.c", True), ("d.c", False)], "file string, stale boolean")
     got = dict(map(tuple, profiles.attribution_summary(costs, "Ir", readable, threshold=1.0).collect()))
     assert got == {"annotated": 100, "known_file_no_line": 50, "stale_source": 40, "unreadable": 30, "unidentified_file": 20, "below_threshold": 1}
+
+
+def test_files_of_one_name_are_two_runs(spark, tmp_path):
+    for folder in "xy":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "run.log").write_text("===ALLOC START===\nStart  0x4000,  size 8192\n===ALLOC END===\n0x4010  0x2 trailing text\n0x4018\t0x3\n")
+    for given in ([str(tmp_path / "x"), str(tmp_path / "y")], [str(tmp_path / "*" / "run.log")], [str(tmp_path / "x/run.log"), str(tmp_path / "y/run.log")]):
+        rows = sorted((r.run_id, r.seq, r.kind) for r in traces.read_trace_log(spark, *given).collect())
+        assert rows == [(f"{f}/run.log", seq, kind) for f in "xy" for seq, kind in ((2, "ALLOC"), (4, "STORE"), (5, "STORE"))]
+    trace, lost = traces.ingest_log(spark, "b", str(tmp_path / "x"), str(tmp_path / "y"))
+    assert sorted((r.run_id, r.generation, r.offset, r.value) for r in trace.collect()) == [(f"{f}/run.log", 1, o, v) for f in "xy" for o, v in ((16, 2), (24, 3))]
+    assert lost.count() == 0
+    for folder in "xy":
+        (tmp_path / folder / "m.mem").write_text(" L 10,4\n S 20,8\n")
+    got = sorted((r.run_id, r.seq, r.kind) for r in traces.parse_mem_reference_trace(spark, str(tmp_path / "x/m.mem"), str(tmp_path / "y/m.mem")).collect())
+    assert got == [(f"{f}/m.mem", seq, kind) for f in "xy" for seq, kind in ((1, "L"), (2, "S"))]
+
+
+def test_the_files_are_scanned_once(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x\ny\n")
+    df = traces.file_order(spark, str(tmp_path))
+    assert [(r.seq, r.value) for r in df.orderBy("seq").collect()] == [(1, "x"), (2, "y")]
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
+def test_stores_dir_of_folders_and_splits(spark, tmp_path):
+    """Two runs with a buffer of one name; bodies over many splits; rn is the line's number in its file."""
+    for folder in ("one", "two/deep"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "0x4000_65536_64bits_1.stores").write_text("# at main\n# by g\n" + "".join(f"{8 * (i % 9)}:0x{i:x}\n" for i in range(1500)))
+    with small_splits(spark):
+        trace, bad = traces.read_stores_dir(spark, str(tmp_path), "b")
+        rows = sorted((r.run_id, r.rn, r.offset, r.value, r.alloc_stack) for r in trace.collect())
+    assert rows == [(run, i + 3, 8 * (i % 9), i, "at main\nby g") for run in ("one", "two/deep") for i in range(1500)]
+    assert bad.count() == 0
+
+
+def test_cost_profiles_of_one_name_and_many_counters(spark, tmp_path):
+    events = [f"E{i}" for i in range(1500)]
+    for folder, by in (("x", 1), ("y", 2)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "p").write_text(f"events: {' '.join(events)}\nfl=a.c\nfn=f\n7 {' '.join(str(by * i) for i in range(1500))}\nsummary: {' '.join(str(by * i) for i in range(1500))}\n")
+    got = profile_files.load_cost_profiles(spark, str(tmp_path / "out"), str(tmp_path / "x"), str(tmp_path / "y")).collect()
+    assert sorted((r.run, r.event, r.n) for r in got) == sorted((f"{f}/p", e, by * i) for f, by in (("x", 1), ("y", 2)) for i, e in enumerate(events))
+    (tmp_path / "z").write_text("events: A B\nfl=a\nfn=f\n1 2 3 4\n")
+    with pytest.raises(ValueError):
+        profile_files.read_cost_profiles(spark, str(tmp_path / "z"))
