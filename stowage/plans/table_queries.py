@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stowage.operators import profiles as p
@@ -91,6 +93,19 @@ def attributed(spark, sf_dir):
     return traces.attribute_stores(stores(spark, sf_dir), allocations(spark, sf_dir))
 
 
+def event_stream(spark, sf_dir):
+    """A stream of all allocations and stores, in files of the shared folder."""
+    o = read(spark, sf_dir, "orders")
+    blocks = o.select(
+        F.lit("r0").alias("run_id"), (F.col("o_orderkey").cast("long") * 10).alias("seq"), F.lit("ALLOC").alias("kind"), ((F.col("o_custkey").cast("long") % 16) * 8192).alias("addr"),
+        (4096 + (F.col("o_orderkey").cast("long") % 5) * 1500).alias("size"), F.lit(None).cast("long").alias("value"),
+    )
+    writes = stores(spark, sf_dir).select("run_id", "seq", F.lit("STORE").alias("kind"), "addr", F.lit(None).cast("long").alias("size"), "value")
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/events-{uuid.uuid4().hex}"
+    blocks.unionByName(writes).write.parquet(at)
+    return spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+
+
 def timeline_input(spark, sf_dir):
     a = allocations(spark, sf_dir)
     return a.select("run_id", "seq", "end_seq", F.col("alloc_size").alias("size"), F.concat(F.lit("site"), F.col("alloc_addr").cast("string")).alias("site"))
@@ -157,6 +172,9 @@ DEFS = {
     "a06_unattributed_stores": (lambda s, d: traces.unattributed_stores(stores(s, d), attributed(s, d)).select("seq", "addr"), INGEST + "SELECT seq, addr FROM stores ANTI JOIN met USING (seq)"),
     "a07_classify_alignment": (lambda s, d: traces.classify_alignment(attributed(s, d)).groupBy("alloc_type").agg(F.count("*").alias("stores")), INGEST + "SELECT CASE WHEN by8 THEN '64bits' WHEN by4 THEN '32bits' ELSE 'object' END AS alloc_type, CAST(sum(n) AS BIGINT) AS stores FROM (SELECT bool_and((addr - alloc_addr) % 8 = 0) AS by8, bool_and((addr - alloc_addr) % 4 = 0) AS by4, count(*) AS n FROM met GROUP BY alloc_addr, generation) GROUP BY 1"),
     "a08_drop_unwritten": (lambda s, d: traces.drop_unwritten(allocations(s, d), attributed(s, d)).select("seq", "alloc_addr", "generation"), INGEST + "SELECT seq, alloc_addr, generation FROM allocs SEMI JOIN met USING (alloc_addr, generation)"),
+    "h01_stream_attribute": (lambda s, d: streaming.run_available(streaming.stream_attribute(event_stream(s, d)), "append").select("seq", "addr", "alloc_addr", "generation", "offset", "status"), INGEST + """
+SELECT seq, addr, alloc_addr, generation, addr - alloc_addr AS "offset", CASE WHEN alloc_addr IS NULL THEN 'unattributed' ELSE 'ok' END AS status
+FROM stores LEFT JOIN met USING (seq, addr)"""),
     "h02_stream_silent": (lambda s, d: streaming.run_available(streaming.stream_silent(stream(s, d, "ev")), "append").groupBy("bench", "alloc_type").agg(F.sum("stores_with_prev").alias("stores_with_prev"), F.sum("silent").alias("silent")), f"WITH t AS ({fixtures.DUCK['ev']}) SELECT bench, alloc_type, count(prev) AS stores_with_prev, count(*) FILTER (prev = value) AS silent FROM (SELECT *, lag(value) OVER (PARTITION BY bench, alloc_addr, generation, \"offset\" ORDER BY rn, value) AS prev FROM t) GROUP BY ALL"),
     "h03_stream_summary": (lambda s, d: streaming.run_available(streaming.stream_summary(stream(s, d, "li")), "complete").drop("allocations"), f"""
 WITH t AS ({fixtures.DUCK['li']}),

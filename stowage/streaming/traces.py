@@ -1,78 +1,177 @@
-"""Streaming forms of the stateful computations: attribution, silent stores, counters."""
+"""Streaming forms of the stateful computations: attribution, silent stores, counters.
+
+State is kept per key in the state store, read and written entry by entry (RocksDB; `run_available` turns it on where a session has
+another). Events may come in any order within a micro-batch. What comes a micro-batch too late is told apart, not guessed.
+"""
 
 from __future__ import annotations
 
-import bisect
-import pickle
+import contextlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stowage.functions import bits as b
-from stowage.operators.stores import BUFFER
+from stowage.operators.cells import BUFFER
 
+AREA = 20  # bits of the addresses that share a key
+OFFSETS = 12  # bits of the offsets that share a key
+NEVER = 2**63 - 1
+
+LIFETIME = "run_id string, alloc_seq long, addr long, size long, generation long, end_seq long"
 ATTRIBUTED = "run_id string, seq long, addr long, value long, alloc_addr long, alloc_size long, generation long, offset long, status string"
+SILENT = "bench string, alloc_type string, stores_with_prev long, silent long, late long"
 
 
-def stream_attribute(events: DataFrame) -> DataFrame:
-    """H1: events (run_id, seq, kind, addr, size, value) -> stores with their allocation.
+class Lifetimes(StatefulProcessor):
+    """Per start address of a run: counts generations, and says when the block there begins and ends (end_seq null: begins).
 
-    State per run: the live allocations by address, a counter of generations per address, the largest size so far and the last seq. Events
-    are taken in order of seq within a batch; a store looks back from its address by the largest size at most. status: "ok"; "unattributed"
-    (no live allocation); "late" (a batch after its seq had passed).
+    A further allocation at a live start ends the block before it. Events before the last one of their address are dropped.
     """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        starts, live, generation, largest, last = pickle.loads(state.get[0]) if state.exists else ([], {}, {}, 0, -1)
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-        out, seen = [], last
-        for e in rows.itertuples(index=False):
-            late = e.seq <= last
-            seen = max(seen, e.seq)
-            if e.kind == "ALLOC" and not late:
-                if e.addr not in live:
-                    bisect.insort(starts, e.addr)
-                generation[e.addr] = generation.get(e.addr, 0) + 1
-                live[e.addr] = (int(e.seq), int(e.size), generation[e.addr])
-                largest = max(largest, int(e.size))
-            elif e.kind == "FREE" and not late:
-                if live.pop(e.addr, None):
-                    del starts[bisect.bisect_left(starts, e.addr)]
-            elif e.kind == "STORE":
-                near = starts[bisect.bisect_right(starts, e.addr - largest) : bisect.bisect_right(starts, e.addr)]
-                held = [(*live[at], at) for at in near if e.addr < at + live[at][1]]
-                if late or not held:
-                    out.append((key[0], e.seq, e.addr, e.value, None, None, None, None, "late" if late else "unattributed"))
-                else:
-                    _, size, g, at = max(held)
-                    out.append((key[0], e.seq, e.addr, e.value, at, size, g, e.addr - at, "ok"))
-        state.update((pickle.dumps((starts, live, generation, largest, seen)),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in ATTRIBUTED.split(", ")]).astype({c: "Int64" for c in ("alloc_addr", "alloc_size", "generation", "offset")})
-
-    return events.select("run_id", "seq", "kind", "addr", "size", "value").groupBy("run_id").applyInPandasWithState(update, ATTRIBUTED, "state binary", "append", "NoTimeout")
-
-
-def stream_silent(stores: DataFrame) -> DataFrame:
-    """H2: per batch and buffer, how many stores had a predecessor in their cell and repeated it; sums of the rows are the totals.
-
-    State per buffer: the last value of each of its offsets.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.block = handle.getValueState("block", "generation long, alloc_seq long, size long, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, addr = key
+        generation, begun, size, last = self.block.get() if self.block.exists() else (0, -1, 0, -1)
+        out = []
+        for e in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples(index=False):  # allocations and frees of one address
+            if e.seq <= last:
+                continue
+            last = int(e.seq)
+            if begun >= 0:
+                out.append((run, begun, addr, size, generation, last))
+                begun = -1
+            if e.kind == "ALLOC":
+                generation, begun, size = generation + 1, last, int(e.size)
+                out.append((run, begun, addr, size, generation, None))
+        self.block.update((generation, begun, size, last))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in LIFETIME.split(", ")])
+        yield frame.astype({"end_seq": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+class Attribution(StatefulProcessor):
+    """Per area of addresses: its live blocks, one entry each, and the last seq.
+
+    A batch's blocks are rectangles of addresses and seqs; stores are looked up by sorted addresses, older blocks first, so that the newest
+    block that holds a store has the last word.
     """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = pickle.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["rn", "value"], kind="stable")
-        before = rows.groupby("offset")["value"].shift()
-        first = before.isna()
-        before = before.astype("Int64").where(~first, rows["offset"].map(last).astype("Int64"))
-        last.update(rows.groupby("offset")["value"].last().to_dict())
-        state.update((pickle.dumps(last),))
-        yield pd.DataFrame({"bench": [key[1]], "alloc_type": [rows["alloc_type"].iloc[0]], "stores_with_prev": [int(before.notna().sum())], "silent": [int((before == rows["value"]).sum())]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.live = handle.getMapState("live", "alloc_seq long", "addr long, size long, generation long")
+        self.last = handle.getValueState("last", "seq long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows))
+        last = self.last.get()[0] if self.last.exists() else -1
+        blocks = {k[0]: (*v, NEVER) for k, v in self.live.iterator()}
+        begins = batch[batch["value"].isna() & batch["end_seq"].isna()]
+        ends = batch[batch["value"].isna() & batch["end_seq"].notna()]
+        known = set(blocks)
+        for e in begins.itertuples(index=False):
+            blocks[int(e.alloc_seq)] = (int(e.addr), int(e.size), int(e.generation), NEVER)
+        for e in ends.itertuples(index=False):
+            if int(e.alloc_seq) in blocks:
+                blocks[int(e.alloc_seq)] = (*blocks[int(e.alloc_seq)][:3], int(e.end_seq))
+        for begun, (addr, size, generation, end) in blocks.items():
+            if end == NEVER and begun not in known:
+                self.live.updateValue((begun,), (addr, size, generation))
+            elif end != NEVER and begun in known:
+                self.live.removeKey((begun,))
+
+        stores = batch[batch["value"].notna()].sort_values("addr", kind="stable")
+        addr, seq = stores["addr"].to_numpy(np.int64), stores["seq"].to_numpy(np.int64)
+        owner = np.full(len(stores), -1, np.int64)
+        for begun in sorted(blocks):
+            start, size, _, end = blocks[begun]
+            low, high = np.searchsorted(addr, [start, start + size])
+            inside = (seq[low:high] > begun) & (seq[low:high] < end)
+            owner[low:high][inside] = begun
+        late = seq <= last
+        owner[late] = -1
+        out = stores[["seq", "addr", "value"]].astype("int64").reset_index(drop=True)
+        out.insert(0, "run_id", key[0])
+        for name, part in (("alloc_addr", 0), ("alloc_size", 1), ("generation", 2)):
+            out[name] = pd.array([blocks[o][part] if o >= 0 else None for o in owner], "Int64")
+        out["offset"] = out["addr"].astype("Int64") - out["alloc_addr"]
+        out["status"] = np.where(late, "late", np.where(owner >= 0, "ok", "unattributed"))
+        seen = [last, *seq.tolist(), *begins["alloc_seq"].astype("int64").tolist(), *ends["end_seq"].astype("int64").tolist()]
+        self.last.update((int(max(seen)),))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def stream_attribute(events: DataFrame, area: int = AREA) -> DataFrame:
+    """H1: events (run_id, seq, kind, addr, size, value) -> stores with their allocation.
 
-    rows = stores.select(*BUFFER, "alloc_type", "offset", "value", "rn")
-    return rows.groupBy(*BUFFER).applyInPandasWithState(update, "bench string, alloc_type string, stores_with_prev long, silent long", "state binary", "append", "NoTimeout")
+    Two stateful steps: lifetimes by start address, where generations are counted; then stores and the lifetimes that reach into an area of 2**area
+    bytes, by area. So a run's events are many keys' work, and a large block is known in each area that it covers.
+    status: "ok"; "unattributed" (no live allocation); "late" (a batch after its area had passed its seq).
+    """
+    heap = events.where("kind in ('ALLOC', 'FREE')").select("run_id", "addr", "seq", "kind", "size")
+    lifetimes = heap.groupBy("run_id", "addr").transformWithStateInPandas(Lifetimes(), LIFETIME, "append", "none")
+    lifetimes = lifetimes.where("size > 0").withColumn("area", F.explode(F.sequence(F.shiftright("addr", area), F.shiftright(F.col("addr") + F.col("size") - 1, area))))
+    none = F.lit(None).cast("long")
+    stores = events.where("kind = 'STORE'").select(
+        "run_id", none.alias("alloc_seq"), "addr", none.alias("size"), none.alias("generation"), none.alias("end_seq"),
+        F.shiftright("addr", area).alias("area"), "seq", F.coalesce("value", F.lit(0)).alias("value"),
+    )
+    both = stores.unionByName(lifetimes.withColumns({"seq": none, "value": none}))
+    return both.groupBy("run_id", "area").transformWithStateInPandas(Attribution(), ATTRIBUTED, "append", "none")
+
+
+class Silent(StatefulProcessor):
+    """Per buffer and range of offsets: an entry per cell with its last store, kept for `ttl` after it was last written if that is set."""
+
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cells = handle.getMapState("cells", "offset long", "rn long, value long", self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = pd.concat(list(rows)).sort_values(["offset", "rn", "value"], kind="stable")
+        offset, rn, value = (batch[c].to_numpy(np.int64) for c in ("offset", "rn", "value"))
+        starts = np.flatnonzero(np.append(True, offset[1:] != offset[:-1]))
+        ends = np.append(starts[1:], len(offset))
+        pairs = silent = late = 0
+        for low, high in zip(starts.tolist(), ends.tolist(), strict=True):  # one entry read and written for each cell of the batch
+            cell = (int(offset[low]),)
+            known = self.cells.getValue(cell) if self.cells.containsKey(cell) else None
+            if known is not None:
+                skipped = int(np.searchsorted(rn[low:high], known[0], "left"))
+                late, low = late + skipped, low + skipped
+                if low == high:
+                    continue
+                pairs, silent = pairs + 1, silent + int(known[1] == value[low])
+            pairs, silent = pairs + high - low - 1, silent + int((value[low + 1 : high] == value[low : high - 1]).sum())
+            self.cells.updateValue(cell, (int(rn[high - 1]), int(value[high - 1])))
+        yield pd.DataFrame({"bench": [key[1]], "alloc_type": [batch["alloc_type"].iloc[0]], "stores_with_prev": [pairs], "silent": [silent], "late": [late]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_silent(stores: DataFrame, ttl: int | None = None, offsets: int = OFFSETS) -> DataFrame:
+    """H2: per batch and part of a buffer, how many stores had a predecessor in their cell and repeated it; sums of the rows are the totals.
+
+    Stores of a batch are ordered by rn within their cell, whatever order they come in. A store before the last one that its cell has seen in
+    earlier batches is counted as late, and compared with nothing. ttl (milliseconds) forgets cells that are not written any more.
+    """
+    rows = stores.select(*BUFFER, F.shiftright("offset", offsets).alias("part"), "alloc_type", "offset", "value", "rn")
+    return rows.groupBy(*BUFFER, "part").transformWithStateInPandas(Silent(ttl), SILENT, "append", "none" if ttl is None else "processingTime")
 
 
 def stream_summary(stores: DataFrame) -> DataFrame:
@@ -89,8 +188,29 @@ def stream_summary(stores: DataFrame) -> DataFrame:
     )
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """For streams started inside: a state store that keeps entries apart, unless the session names one itself."""
+    own = spark.conf.get(PROVIDER, None)
+    keep = own is not None and "HDFSBacked" not in own
+    if not keep:
+        spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if not keep:
+            spark.conf.unset(PROVIDER) if own is None else spark.conf.set(PROVIDER, own)
+
+
 def run_available(df: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there now and gives its result as a table in the shared folder."""
+    """Runs a stream over all that is there now and gives its result as a table in the shared folder.
+
+    A batch writes a folder of its own, so a batch that is run again after a failure replaces what it wrote before.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -98,7 +218,9 @@ def run_available(df: DataFrame, mode: str) -> DataFrame:
     at = f"{base}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={n}")
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{at}/out")
+    with keyed_state(spark):
+        stream = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
+        stream.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out").select(*df.columns)

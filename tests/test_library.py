@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stowage.functions import bits as b
 from stowage.plans import registry
 from stowage.sources import traces
-from stowage.streaming.traces import run_available, stream_attribute
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,7 +50,7 @@ def plain(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("name", ["c01_summary", "c09_silent_stores", "c11_write_concentration", "c14_mx_feasibility", "c17_intra_buffer_gini", "c16_site_profile", "c19_mx_block_sweep", "c28_mx_scale_sharing", "d13_sweep_is_flat", "c30_posit_fit", "c34_exponent_classes", "c38_silent_energy_sweep", "d09_convertible_buffers", "e09_mx_embeddings", "e11_mantissa_sweep", "f05_profile_rollup", "f15_heap_presets", "f17_live_heap_timeline", "a05_attribute_stores", "h02_stream_silent", "h03_stream_summary"])
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, SMALL)
     columns = sorted(df.columns)
@@ -97,15 +96,6 @@ def test_stores_dir(spark, tmp_path):
     assert bad.count() == 1
 
 
-def test_stream_attributes_as_the_batch_does(spark, tmp_path):
-    (tmp_path / "run.log").write_text(LOG)
-    events = traces.read_trace_log(spark, str(tmp_path / "run.log")).where("kind <> 'FRAME'").select("run_id", "seq", "kind", "addr", "size", "value")
-    events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    out = run_available(stream_attribute(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))), "append")
-    rows = sorted((r.seq, r.status, r.generation, r.offset) for r in out.collect())
-    assert [r[1:] for r in rows] == [("ok", 1, 0), ("ok", 1, 8), ("ok", 1, 0), ("unattributed", None, None), ("ok", 2, 4)]
-
-
 def test_unsigned_bits(spark):
     df = spark.createDataFrame([("18446744073709551615",), ("9223372036854775808",), ("5",)], "x string").selectExpr("cast(x as decimal(20,0)) as x")
     rows = df.select(b.from_unsigned("x").alias("s"), b.to_unsigned(b.from_unsigned("x")).alias("u"), b.hex_addr(b.from_unsigned("x")).alias("h"), b.from_hex(F.lit("ffffffffffffffff")).alias("n")).collect()
