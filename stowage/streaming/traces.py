@@ -168,7 +168,8 @@ def stream_silent(stores: DataFrame, ttl: int | None = None, offsets: int = OFFS
     """H2: per batch and part of a buffer, how many stores had a predecessor in their cell and repeated it; sums of the rows are the totals.
 
     Stores of a batch are ordered by rn within their cell, whatever order they come in. A store before the last one that its cell has seen in
-    earlier batches is counted as late, and compared with nothing. ttl (milliseconds) forgets cells that are not written any more.
+    earlier batches is counted as late, and compared with nothing. ttl (milliseconds) forgets cells that are not written any more; such a stream
+    goes by the clock, so it has no end under a trigger of what is available.
     """
     rows = stores.select(*BUFFER, F.shiftright("offset", offsets).alias("part"), "alloc_type", "offset", "value", "rn")
     return rows.groupBy(*BUFFER, "part").transformWithStateInPandas(Silent(ttl), SILENT, "append", "none" if ttl is None else "processingTime")
