@@ -6,6 +6,8 @@ snapshot, time, heap, extra, stacks; heap points have a stack of frames and addi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,17 @@ from stowage.functions import bits as b
 from stowage.operators.stores import r9, top
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the folder that driver and executors share: lineage ends here."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    at = f"{shared}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
 def merge_profiles(p: DataFrame) -> DataFrame:
     """the counts of all runs added up."""
     return p.groupBy("file", "fn", "line", "event").agg(F.sum("n").alias("n"))
@@ -110,18 +123,78 @@ def decode_access_counts(acc) -> Column:
     return F.aggregate(F.transform(b.c(acc), lambda x: x.cast("int")), F.struct(F.lit(1).alias("times"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
 
 
+#: Levels of the prefix tree that one job adds up.
+LEVELS_A_JOB = 8
+
+
+def prefix_hashes(fs) -> Column:
+    """128 bits for every prefix of an array of frames, as two longs; each from the hash of the prefix before it and the next frame."""
+    step = lambda s, frame: F.struct(
+        F.xxhash64(s["h1"], frame).alias("h1"), F.xxhash64(s["h2"], F.lit(1), frame).alias("h2"),
+        F.concat(s["out"], F.array(F.struct(F.xxhash64(s["h1"], frame).alias("h1"), F.xxhash64(s["h2"], F.lit(1), frame).alias("h2")))).alias("out"),
+    )
+    zero = F.lit(0).cast("long")
+    first = F.struct(zero.alias("h1"), zero.alias("h2"), F.array().cast("array<struct<h1:bigint,h2:bigint>>").alias("out"))
+    return F.aggregate(b.c(fs), first, step, lambda s: s["out"])
+
+
+def prefix_nodes(stacks: DataFrame) -> DataFrame:
+    """depth, h1, h2, p1, p2 (the parent's hash), stack (the hash of one stack that has the prefix): a row per different prefix.
+
+    `stacks` are different stacks with the hashes of their prefixes. Only hashes are shuffled; the frames stay with the stacks.
+    """
+    all_ = stacks.select("hs", F.posexplode("hs").alias("i", "h"), F.element_at("hs", -1).alias("leaf"))
+    parent = F.get("hs", F.col("i") - 1)
+    rows = all_.select((F.col("i") + 1).alias("depth"), "h.h1", "h.h2", parent["h1"].alias("p1"), parent["h2"].alias("p2"), F.col("leaf.h1").alias("stack"))
+    return rows.groupBy("depth", "h1", "h2", "p1", "p2").agg(F.min("stack").alias("stack"))
+
+
 def heap_prefix_tree(points: DataFrame, counters: list[str], compress: bool = False) -> DataFrame:
     """counters added up at every prefix of the points' stacks (fs: outermost frame first).
 
+    Level by level from the longest stacks: a level's nodes are added up by parent, and meet the parents' own points. A level has
+    no more rows than it has different prefixes, and nodes go by hashes. LEVELS_A_JOB levels run as one job and are written to the folder of
+    spark.checkpoint.dir. Prefixes become arrays of frames at the end, once per node. Points without frames are in no node.
     compress drops prefixes with a single child and no points of their own: the radix form of the tree.
     """
-    rows = points.groupBy("fs").agg(*(F.sum(c).alias(c) for c in counters))  # equal stacks first: fewer prefixes to make
-    prefixes = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("fs")), lambda i: F.slice("fs", 1, i))).alias("prefix"), F.size("fs").alias("depth"), *counters)
-    tree = prefixes.groupBy("prefix").agg(*(F.sum(c).alias(c) for c in counters), F.max(F.size("prefix") == F.col("depth")).alias("own"))
+    spark = points.sparkSession
+    sums = points.where(F.size("fs") > 0).groupBy("fs").agg(*(F.sum(c).alias(c) for c in counters))  # equal stacks first
+    stacks = saved(sums.withColumn("hs", prefix_hashes("fs")), "stacks")
+    nodes = saved(prefix_nodes(stacks), "nodes")
+    leaf = F.element_at("hs", -1)
+    own = stacks.select(leaf["h1"].alias("h1"), leaf["h2"].alias("h2"), F.size("fs").alias("depth"), *counters)
+    deepest = own.agg(F.max("depth")).first()[0] or 0
+    done: list[DataFrame] = []
+    below = None
+    key = ["h1", "h2"]
+    for top_ in range(deepest, 0, -LEVELS_A_JOB):
+        part = []
+        for depth in range(top_, max(0, top_ - LEVELS_A_JOB), -1):
+            level = nodes.where(F.col("depth") == depth)
+            given = own.where(F.col("depth") == depth).select(*key, *counters, F.lit(0).alias("children"), F.lit(True).alias("own"))
+            if below is not None:
+                up = below.groupBy(F.col("p1").alias("h1"), F.col("p2").alias("h2"))
+                up = up.agg(*(F.sum(c).alias(c) for c in counters), F.count("*").cast("int").alias("children"), F.lit(False).alias("own"))
+                given = given.unionByName(up)
+            total = given.groupBy(*key).agg(*(F.sum(c).alias(c) for c in counters), F.sum("children").alias("children"), F.max("own").alias("own"))
+            below = total.join(level, key)
+            part.append(below)
+        whole = part[0]
+        for df in part[1:]:
+            whole = whole.unionByName(df)
+        whole = saved(whole, "levels")
+        done.append(whole)
+        below = whole.where(F.col("depth") == max(1, top_ - LEVELS_A_JOB + 1))
+    if not done:
+        return spark.createDataFrame([], points.select(F.col("fs").alias("prefix"), *counters).schema)
+    tree = done[0]
+    for df in done[1:]:
+        tree = tree.unionByName(df)
     if compress:
-        children = tree.where(F.size("prefix") > 1).groupBy(F.slice("prefix", 1, F.size("prefix") - 1).alias("prefix")).agg(F.count("*").alias("children"))
-        tree = tree.join(children, "prefix", "left").where(F.col("own") | (F.coalesce("children", F.lit(0)) != 1)).drop("children")
-    return tree.drop("own")
+        tree = tree.where(F.col("own") | (F.col("children") != 1))
+    texts = stacks.select(leaf["h1"].alias("stack"), "fs", "hs")
+    named = tree.join(texts, "stack").where(F.get("hs", F.col("depth") - 1) == F.struct("h1", "h2"))  # 64 bits find a stack, 128 say that it is right
+    return named.select(F.slice("fs", F.lit(1), F.col("depth")).alias("prefix"), *counters)
 
 
 def heap_metrics(nodes: DataFrame) -> DataFrame:
