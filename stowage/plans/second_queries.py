@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stowage.operators import second_stage as d
 from stowage.operators.mx import mantissa_sweep, mx_round, mx_summary
-from stowage.plans.fixtures import trace
+from stowage.plans.fixtures import f64_bits, trace
 from stowage.plans.trace_queries import ANALYSES, ctes
 
 
@@ -74,11 +74,31 @@ def mx_mantissa_sweep(spark, sf_dir):
     return mantissa_sweep(tensors(spark, sf_dir), ["bench", "alloc_addr"], ["bench"])
 
 
+def doubles(spark, sf_dir):
+    """Prices and discounts as elements of 64-bit tensors, one for each flag and supplier."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
+    value = F.when(F.col("l_partkey") % 2 == 0, F.col("l_extendedprice")).otherwise(F.col("l_discount")).cast("double")
+    idx = F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")
+    return l.select(F.col("l_returnflag").alias("bench"), F.col("l_suppkey").cast("long").alias("alloc_addr"), idx.alias("idx"), f64_bits(value).alias("bits"))
+
+
+def mx_mantissa_sweep_doubles(spark, sf_dir):
+    return mantissa_sweep(doubles(spark, sf_dir), ["bench", "alloc_addr"], ["bench"], WIDTHS, esz=8)
+
+
+#: The widths that a sweep of 64-bit stores goes through.
+WIDTHS = (52, 23, 16, 10, 7, 3)
+
+
 # The same rounding on doubles: exact there for float32 inputs, 8 exponent bits below the block's top and few mantissa bits.
-_X = "CAST(x AS DOUBLE)"
-_ROUNDED = "floor(abs(v) / pow(2, q) + 0.5) * pow(2, q)"
+_FLOATS = """SELECT 'label_' || label AS bench, vec_id, pos, CAST(x AS DOUBLE) AS v
+            FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS pos FROM embeddings)"""
+_DOUBLES = """SELECT l_returnflag AS bench, l_suppkey AS vec_id, l_orderkey * 8 + l_linenumber AS pos,
+            CAST(CASE WHEN l_partkey % 2 = 0 THEN l_extendedprice ELSE l_discount END AS DOUBLE) AS v FROM lineitem"""
+# From 2**52 on, a double is whole already, and half more would be rounded itself.
+_ROUNDED = "CASE WHEN abs(v) / pow(2, q) >= 4503599627370496 THEN abs(v) ELSE floor(abs(v) / pow(2, q) + 0.5) * pow(2, q) END"
 MX_SQL = f"""
-WITH el AS (SELECT 'label_' || label AS bench, vec_id, pos, {_X} AS v FROM (SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS pos FROM embeddings)),
+WITH el AS ({{el}}),
 lead AS (SELECT *, CASE WHEN v <> 0 THEN floor(log2(abs(v))) END AS l FROM el),
 fixed AS (SELECT * EXCLUDE (l), CASE WHEN abs(v) >= pow(2, l + 1) THEN l + 1 WHEN abs(v) < pow(2, l) THEN l - 1 ELSE l END AS l FROM lead),
 shared AS (SELECT *, max(l) OVER (PARTITION BY bench, vec_id, pos // 32) - 8 AS s FROM fixed),
@@ -89,8 +109,9 @@ SELECT bench, count(*) AS stores, count(*) FILTER (l IS NOT NULL AND least(r, mo
 FROM out GROUP BY bench
 """
 
-QUERIES = {name: q for name, (q, _) in DEFS.items()} | {"e09_mx_embeddings": mx_embeddings, "e11_mantissa_sweep": mx_mantissa_sweep}
+QUERIES = {name: q for name, (q, _) in DEFS.items()} | {"e09_mx_embeddings": mx_embeddings, "e11_mantissa_sweep": mx_mantissa_sweep, "e11_mantissa_sweep_doubles": mx_mantissa_sweep_doubles}
 ORACLE_SQL = {name: sql for name, (_, sql) in DEFS.items()} | {
-    "e09_mx_embeddings": MX_SQL.format(m=3, more=""),
-    "e11_mantissa_sweep": " UNION ALL ".join(f"SELECT * FROM ({MX_SQL.format(m=m, more=f', {m} AS mbits')})" for m in (23, 16, 10, 7, 3)),
+    "e09_mx_embeddings": MX_SQL.format(m=3, more="", el=_FLOATS),
+    "e11_mantissa_sweep": " UNION ALL ".join(f"SELECT * FROM ({MX_SQL.format(m=m, more=f', {m} AS mbits', el=_FLOATS)})" for m in (23, 16, 10, 7, 3)),
+    "e11_mantissa_sweep_doubles": " UNION ALL ".join(f"SELECT * FROM ({MX_SQL.format(m=m, more=f', {m} AS mbits', el=_DOUBLES)})" for m in WIDTHS),
 }

@@ -45,6 +45,12 @@ def snapshots(spark, sf_dir):
     return e.select(F.col("event_type").alias("run"), F.col("event_id").cast("long").alias("snapshot"), F.col("event_id").cast("long").alias("time"), (F.col("user_id").cast("long") * 100).alias("heap"), (F.col("event_id").cast("long") % 17).alias("extra"), F.lit(3).cast("long").alias("stacks"))
 
 
+def readable(spark, sf_dir):
+    """The files whose source is at hand, some of them newer than the profile."""
+    number = F.col("file").cast("int")
+    return costs(spark, sf_dir).select("file").distinct().where(number % 3 != 0).select("file", (number % 5 == 0).alias("stale"))
+
+
 def heap_nodes(spark, sf_dir):
     rows = costs(spark, sf_dir).where("event = 'quantity'").groupBy("run", F.lit(0).alias("snapshot"), F.col("fn").alias("parent"), F.col("file").alias("path")).agg(F.sum("n").alias("bytes"))
     return rows.join(rows.groupBy("run").agg(F.sum("bytes").alias("total")), "run")
@@ -156,6 +162,11 @@ DEFS = {
     "f04_rename_profiles": (lambda s, d: p.merge_profiles(p.rename_profiles(costs(s, d), (r"^(\d{4})\d\d$", "$1"), ("^[NR]", "X"))), COSTS + "SELECT regexp_replace(file, '^(\\d{4})\\d\\d$', '\\1') AS file, regexp_replace(fn, '^[NR]', 'X') AS fn, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
     "f05_profile_rollup": (lambda s, d: p.profile_rollup(costs(s, d), "price", "file:fn", 0.15), COSTS + ROLLUP),
     "f06_line_costs": (lambda s, d: p.line_costs(costs(s, d)), COSTS + "SELECT file, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
+    "f06_attribution_summary": (lambda s, d: p.attribution_summary(costs(s, d), "price", readable(s, d), 1.0), COSTS + """,
+files AS (SELECT file, CAST(file AS INTEGER) % 5 = 0 AS stale FROM (SELECT DISTINCT file FROM costs) WHERE CAST(file AS INTEGER) % 3 <> 0),
+own AS (SELECT file, line, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY file) AS of_file, sum(sum(n)) OVER () AS total FROM costs WHERE event = 'price' GROUP BY file, line)
+SELECT CASE WHEN 100 * of_file < 1.0 * total THEN 'below_threshold' WHEN stale IS NULL THEN 'unreadable' WHEN stale THEN 'stale_source' ELSE 'annotated' END AS class, CAST(sum(n) AS BIGINT) AS n
+FROM own LEFT JOIN files USING (file) GROUP BY 1"""),
     "f07_call_costs": (lambda s, d: p.call_costs(own_costs(s, d), calls(s, d)), CALLS + "SELECT fn, CAST(coalesce(own.n, 0) AS BIGINT) AS self_n, CAST(coalesce(own.n, 0) + coalesce(c.n, 0) AS BIGINT) AS inclusive_n FROM own FULL JOIN (SELECT caller AS fn, sum(n) AS n FROM calls GROUP BY caller) c USING (fn)"),
     "f08_functions_to_threshold": (lambda s, d: p.functions_to_threshold(costs(s, d).where("event = 'price'").groupBy(F.col("file").alias("fn")).agg(F.sum("n").alias("n")), "n", 60.0), COSTS + "SELECT fn, n, round(100 * n / total, 9) AS pct FROM (SELECT *, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n DESC, fn ROWS UNBOUNDED PRECEDING) - n AS before FROM (SELECT file AS fn, CAST(sum(n) AS BIGINT) AS n FROM costs WHERE event = 'price' GROUP BY file)) WHERE 100 * before < 60 * total"),
     "f09_caller_callee_tree": (lambda s, d: p.caller_callee_tree(calls(s, d)), CALLS + "SELECT *, CAST(row_number() OVER (PARTITION BY fn, role ORDER BY n DESC, other) AS INTEGER) AS rank FROM (SELECT callee AS fn, 'caller' AS role, caller AS other, calls, n FROM calls UNION ALL SELECT caller, 'callee', callee, calls, n FROM calls)"),
@@ -167,6 +178,12 @@ DEFS = {
     "f15_heap_presets": (lambda s, d: named(p.heap_preset_nodes(heap_points(s, d), COUNTERS, SHORT_LIVED)), POINTS + PRESETS),
     "f16_interval_vectors": (lambda s, d: p.interval_vectors(block_events(s, d), 1000, 9), "SELECT 'r' AS run, thread, (c - n) // 1000 AS \"interval\", block, CAST(sum(n) AS BIGINT) AS weight FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY thread ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM (SELECT event_id, CAST(user_id % 4 AS INTEGER) AS thread, event_type AS block, 1 + user_id % 7 AS n FROM events)) GROUP BY ALL"),
     "f17_live_heap_timeline": (lambda s, d: p.live_heap_timeline(timeline_input(s, d)), INGEST + ", ev AS (SELECT seq, alloc_size AS x, 1 AS k FROM allocs UNION ALL SELECT end_seq, -alloc_size, -1 FROM allocs WHERE end_seq IS NOT NULL) SELECT 'r0' AS run_id, CAST(seq AS BIGINT) AS seq, CAST(sum(x) OVER (ORDER BY seq) AS BIGINT) AS live_bytes, CAST(sum(k) OVER (ORDER BY seq) AS BIGINT) AS live_blocks FROM ev"),
+    "f17_peak_composition": (lambda s, d: p.peak_composition(timeline_input(s, d), 5), INGEST + """,
+ev AS (SELECT seq, alloc_size AS x FROM allocs UNION ALL SELECT end_seq, -alloc_size FROM allocs WHERE end_seq IS NOT NULL),
+live AS (SELECT DISTINCT seq, sum(x) OVER (ORDER BY seq) AS bytes FROM ev),
+peak AS (SELECT seq FROM live ORDER BY bytes DESC, seq LIMIT 1)
+SELECT 'r0' AS run_id, 'site' || alloc_addr AS site, CAST(sum(alloc_size) AS BIGINT) AS bytes, count(*) AS blocks
+FROM allocs, peak WHERE allocs.seq <= peak.seq AND (end_seq IS NULL OR end_seq > peak.seq) GROUP BY 2 ORDER BY bytes DESC, site LIMIT 5"""),
     "a03_pair_lifetimes": (lambda s, d: allocations(s, d).select("seq", "end_seq", "alloc_addr", "alloc_size", "generation"), INGEST + "SELECT seq, end_seq, alloc_addr, alloc_size, generation FROM allocs"),
     "a05_attribute_stores": (lambda s, d: attributed(s, d).select("seq", "addr", "alloc_addr", "generation", "offset"), INGEST + 'SELECT seq, addr, alloc_addr, generation, addr - alloc_addr AS "offset" FROM met'),
     "a06_unattributed_stores": (lambda s, d: traces.unattributed_stores(stores(s, d), attributed(s, d)).select("seq", "addr"), INGEST + "SELECT seq, addr FROM stores ANTI JOIN met USING (seq)"),
