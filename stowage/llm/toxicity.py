@@ -38,7 +38,8 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     of = np.repeat(np.arange(n), np.diff(offsets))
     text[np.arange(len(raw)) + shift[of]] = FOLD[raw]
     gap = text == 0x20
-    keep = np.append(True, ~(gap[1:] & gap[:-1]))  # gaps of any length are one
+    keep = np.append(True, ~(gap[1:] & gap[:-1]))  # gaps of any length are one,
+    keep[offsets[:-1] + 2 * np.arange(n)] = True  # but never across texts: each begins with its own
     bounds = np.searchsorted(np.flatnonzero(keep), offsets + 2 * np.arange(n + 1))
     text = text[keep]
     docs, buckets = [], []
