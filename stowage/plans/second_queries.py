@@ -19,19 +19,45 @@ def over(name: str, run, sql: str, *more: str):
 
 
 GRID = "unnest(list_transform(range(1, 20), lambda i: i / 20.0))"
-NEAR = "SELECT bench, round(sum(CASE WHEN abs(v - a) <= 0.05 THEN w ELSE 0 END) / sum(w), 9) AS near_share FROM (SELECT *, round(sum(v * w) OVER p / sum(w) OVER p, 9) AS a FROM (SELECT bench, silent_frac AS v, pairs AS w FROM base) WINDOW p AS (PARTITION BY bench)) GROUP BY bench"
+NEAR = """
+SELECT bench, round(sum(CASE WHEN abs(v - a) <= 0.05 THEN w ELSE 0 END) / sum(w), 9) AS near_share
+       FROM (SELECT *, round(sum(v * w) OVER p / sum(w) OVER p, 9) AS a FROM (SELECT bench, silent_frac AS v, pairs AS w
+       FROM base) WINDOW p AS (PARTITION BY bench)) GROUP BY bench"""
 DEFS = {
-    "d01_cumulative_share": over("c02_top_allocations", d.cumulative_share, "SELECT bench, CAST(row_number() OVER w AS INTEGER) AS rank, CAST(sum(base.stores) OVER (PARTITION BY bench ORDER BY base.stores DESC, alloc_addr, generation ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_stores, round(sum(base.stores) OVER (PARTITION BY bench ORDER BY base.stores DESC, alloc_addr, generation ROWS UNBOUNDED PRECEDING) / base2.stores, 9) AS cum_frac FROM base JOIN base2 USING (bench) WINDOW w AS (PARTITION BY bench ORDER BY base.stores DESC, alloc_addr, generation)", "c01_summary"),
-    "d02_size_ccdf": over("c03_size_distribution", d.size_ccdf, "SELECT bench, size_bucket_bytes, (SELECT CAST(sum(allocations) AS BIGINT) FROM base b WHERE b.bench = base.bench AND b.size_bucket_bytes >= base.size_bucket_bytes) AS at_least FROM base"),
-    "d03_write_regime": over("c08_coverage", d.write_regime, "SELECT bench, alloc_type, CASE WHEN avg_coverage >= 0.5 THEN 'dense' ELSE 'sparse' END || CASE WHEN avg_writes_per_slot >= 10 THEN '-hot' ELSE '-cold' END AS regime FROM base"),
-    "d04_weighted_bench_aggregate": over("c35_buffer_silent", lambda x: d.weighted_bench_aggregate(x, "silent_frac", "pairs"), "SELECT bench, round(sum(silent_frac * pairs) / sum(pairs), 9) AS aggregate, CAST(sum(pairs) AS BIGINT) AS weight FROM base GROUP BY bench"),
-    "d05_top_buffers_above_floor": over("c35_buffer_silent", lambda x: d.top_buffers_above_floor(x, "pairs", 100, 25), "SELECT * EXCLUDE (r, m) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY pairs DESC, alloc_addr, generation, run_id) AS r, max(pairs) OVER (PARTITION BY bench) AS m FROM base) WHERE (pairs >= 100 OR m < 100) AND r <= 25"),
-    "d06_coverage_of_selection": over("c35_buffer_silent", lambda x: d.coverage_of_selection(x.where("pairs >= 100"), x, "pairs"), "SELECT bench, count(*) FILTER (pairs >= 100) AS selected, count(*) AS buffers, round(coalesce(sum(pairs) FILTER (pairs >= 100), 0) / sum(pairs), 9) AS weight_share FROM base GROUP BY bench"),
-    "d07_buffer_required_bits": over("c37_buffer_exp_range", d.buffer_required_bits, "SELECT run_id, bench, alloc_addr, generation, CASE WHEN min_e IS NULL THEN 0 ELSE CAST(ceil(log2(greatest(max_e - min_e + 1, 1))) AS BIGINT) END AS required_bits FROM base"),
+    "d01_cumulative_share": over("c02_top_allocations", d.cumulative_share, """
+SELECT bench, CAST(row_number() OVER w AS INTEGER) AS rank, CAST(sum(base.stores) OVER (PARTITION BY bench
+       ORDER BY base.stores DESC, alloc_addr, generation ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_stores, round(sum(base.stores) OVER (PARTITION
+       BY bench ORDER BY base.stores DESC, alloc_addr, generation ROWS UNBOUNDED PRECEDING) / base2.stores, 9) AS cum_frac
+       FROM base JOIN base2 USING (bench) WINDOW w AS (PARTITION BY bench ORDER BY base.stores DESC, alloc_addr, generation)""", "c01_summary"),
+    "d02_size_ccdf": over("c03_size_distribution", d.size_ccdf, """
+SELECT bench, size_bucket_bytes, (SELECT CAST(sum(allocations) AS BIGINT) FROM base b WHERE b.bench = base.bench AND b.size_bucket_bytes
+       >= base.size_bucket_bytes) AS at_least FROM base"""),
+    "d03_write_regime": over("c08_coverage", d.write_regime, """
+SELECT bench, alloc_type, CASE WHEN avg_coverage >= 0.5 THEN 'dense' ELSE 'sparse' END || CASE WHEN avg_writes_per_slot >= 10 THEN '-hot'
+       ELSE '-cold' END AS regime FROM base"""),
+    "d04_weighted_bench_aggregate": over("c35_buffer_silent", lambda x: d.weighted_bench_aggregate(x, "silent_frac", "pairs"), """
+SELECT bench, round(sum(silent_frac * pairs) / sum(pairs), 9) AS aggregate, CAST(sum(pairs) AS BIGINT) AS weight
+       FROM base GROUP BY bench"""),
+    "d05_top_buffers_above_floor": over("c35_buffer_silent", lambda x: d.top_buffers_above_floor(x, "pairs", 100, 25), """
+SELECT * EXCLUDE (r, m) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY pairs DESC, alloc_addr, generation, run_id) AS
+       r, max(pairs) OVER (PARTITION BY bench) AS m FROM base) WHERE (pairs >= 100 OR m < 100) AND r <= 25"""),
+    "d06_coverage_of_selection": over("c35_buffer_silent", lambda x: d.coverage_of_selection(x.where("pairs >= 100"), x, "pairs"), """
+SELECT bench, count(*) FILTER (pairs >= 100) AS selected, count(*) AS buffers, round(coalesce(sum(pairs) FILTER (pairs >= 100), 0) /
+       sum(pairs), 9) AS weight_share FROM base GROUP BY bench"""),
+    "d07_buffer_required_bits": over("c37_buffer_exp_range", d.buffer_required_bits, """
+SELECT run_id, bench, alloc_addr, generation, CASE WHEN min_e IS NULL THEN 0 ELSE CAST(ceil(log2(greatest(max_e - min_e + 1, 1))) AS
+       BIGINT) END AS required_bits FROM base"""),
     "d08_share_near_aggregate": over("c35_buffer_silent", lambda x: d.share_near_aggregate(x, "silent_frac", "pairs"), NEAR),
-    "d09_convertible_buffers": over("c36_buffer_feasibility_events", lambda x, y: d.convertible_buffers(x, y, "pct_fp16", -14, 15), "SELECT bench, base.alloc_type, CASE WHEN n_zero = base2.total THEN 'all_zero' WHEN n_special = 0 AND min_e >= -14 AND max_e <= 15 THEN 'convertible' ELSE 'range' END AS verdict, count(*) AS buffers, CAST(sum(base2.total) AS BIGINT) AS stores FROM base JOIN base2 USING (run_id, bench, alloc_addr, generation) WHERE pct_fp16 = 1 GROUP BY ALL", "c37_buffer_exp_range_events"),
-    "d10_top_n_per_group": over("c13_site_feasibility", lambda x: d.top_n_per_group(x, 1, "bench", F.desc("total"), "alloc_type", "site").select("bench", "alloc_type", "site", "total"), "SELECT bench, alloc_type, site, total FROM base QUALIFY row_number() OVER (PARTITION BY bench ORDER BY total DESC, alloc_type, site) <= 1"),
-    "d11_gini_quality_flag": over("c17_intra_buffer_gini", d.gini_quality_flag, "SELECT bench, alloc_type, min_gini < 0 OR max_gini > 1 AS out_of_range, greatest(0.0, least(1.0, mean_gini)) AS clipped_mean FROM base"),
+    "d09_convertible_buffers": over("c36_buffer_feasibility_events", lambda x, y: d.convertible_buffers(x, y, "pct_fp16", -14, 15), """
+SELECT bench, base.alloc_type, CASE WHEN n_zero = base2.total THEN 'all_zero' WHEN n_special = 0 AND min_e >= -14 AND max_e <= 15 THEN
+       'convertible' ELSE 'range' END AS verdict, count(*) AS buffers, CAST(sum(base2.total) AS BIGINT) AS stores
+       FROM base JOIN base2 USING (run_id, bench, alloc_addr, generation) WHERE pct_fp16 = 1 GROUP BY ALL""", "c37_buffer_exp_range_events"),
+    "d10_top_n_per_group": over("c13_site_feasibility", lambda x: d.top_n_per_group(x, 1, "bench", F.desc("total"), "alloc_type", "site").select("bench", "alloc_type", "site", "total"), """
+SELECT bench, alloc_type, site, total FROM base QUALIFY row_number() OVER (PARTITION BY bench
+       ORDER BY total DESC, alloc_type, site) <= 1"""),
+    "d11_gini_quality_flag": over("c17_intra_buffer_gini", d.gini_quality_flag, """
+SELECT bench, alloc_type, min_gini < 0 OR max_gini > 1 AS out_of_range, greatest(0.0, least(1.0, mean_gini)) AS clipped_mean
+       FROM base"""),
     "d12_buffer_dense_rank": over("c18_hot_offsets", d.buffer_dense_rank, 'SELECT bench, alloc_addr, generation, "offset", CAST(dense_rank() OVER (PARTITION BY bench ORDER BY alloc_addr, generation) AS INTEGER) AS buffer_rank FROM base'),
     "d13_sweep_is_flat": over("c28_mx_scale_sharing", d.sweep_is_flat, "SELECT bench, alloc_type, min(overall_scale_share) = max(overall_scale_share) AS is_flat FROM base GROUP BY ALL"),
     "d14_silent_impact_rank": over("c21_site_silent", d.silent_impact_rank, "SELECT bench, site, round(stores * silent_frac, 9) AS impact FROM base ORDER BY impact DESC, bench, site LIMIT 12"),
@@ -43,12 +69,25 @@ FROM base GROUP BY alloc_type, required_e_bits"""),
 SELECT bench, alloc_type, round(greatest(0.0, least(1.0, 1 - (coalesce(frac_zero, 0) + coalesce(normal, 0) + coalesce(subnormal, 0) + coalesce(inf_nan, 0)))), 8) AS other
 FROM (SELECT bench, alloc_type, frac_zero, frac_normal_f64 AS normal, frac_subnormal_f64 AS subnormal, frac_inf_nan_f64 AS inf_nan FROM base WHERE alloc_type = '64bits'
       UNION ALL SELECT bench, alloc_type, frac_zero, frac_normal_f32, frac_subnormal_f32, frac_inf_nan_f32 FROM base WHERE alloc_type = '32bits')"""),
-    "d17_scaling_granularity": over("c27_exponent_stability", d.scaling_granularity, "SELECT bench, alloc_type, site, CASE WHEN frac_constant_exp >= 0.8 THEN 'per-channel' WHEN frac_constant_exp <= 0.2 THEN 'per-token' ELSE 'mixed' END AS granularity FROM base"),
-    "d18_outlier_scaling_class": over("c26_outlier_channels", d.outlier_scaling_class, "SELECT bench, alloc_type, site, CASE WHEN channel_frac <= 0.05 THEN 'per-channel' WHEN channel_frac >= 0.5 THEN 'per-tensor' ELSE 'mixed' END AS scaling FROM base"),
-    "d19_dominant_site_share": over("c16_site_profile", d.dominant_site_share, "SELECT bench, site, share, CAST(row_number() OVER (ORDER BY share DESC, bench) AS INTEGER) AS rank FROM (SELECT bench, site, pct_of_bench AS share FROM base QUALIFY row_number() OVER (PARTITION BY bench ORDER BY stores DESC, site) = 1)"),
+    "d17_scaling_granularity": over("c27_exponent_stability", d.scaling_granularity, """
+SELECT bench, alloc_type, site, CASE WHEN frac_constant_exp >= 0.8 THEN 'per-channel' WHEN frac_constant_exp <= 0.2 THEN 'per-token'
+       ELSE 'mixed' END AS granularity FROM base"""),
+    "d18_outlier_scaling_class": over("c26_outlier_channels", d.outlier_scaling_class, """
+SELECT bench, alloc_type, site, CASE WHEN channel_frac <= 0.05 THEN 'per-channel' WHEN channel_frac >= 0.5 THEN 'per-tensor' ELSE 'mixed'
+       END AS scaling FROM base"""),
+    "d19_dominant_site_share": over("c16_site_profile", d.dominant_site_share, """
+SELECT bench, site, share, CAST(row_number() OVER (ORDER BY share DESC, bench) AS INTEGER) AS rank
+       FROM (SELECT bench, site, pct_of_bench AS share FROM base QUALIFY row_number() OVER (PARTITION BY bench
+       ORDER BY stores DESC, site) = 1)"""),
     "d20_single_slot_share": over("c31_cacheline_homogeneity", lambda x: d.single_slot_share(x, False), "SELECT bench, alloc_type, round(trivial_lines / (lines + trivial_lines), 9) AS single_slot_share FROM base"),
-    "d21_class_fractions": over("c06_alignment", lambda x: d.class_fractions(x, "aligned_8b", "aligned_4b_only", "unaligned"), "SELECT bench, alloc_type, round(aligned_8b / greatest(total, 1), 9) AS aligned_8b, round(aligned_4b_only / greatest(total, 1), 9) AS aligned_4b_only, round(unaligned / greatest(total, 1), 9) AS unaligned, CAST(row_number() OVER (ORDER BY total DESC, bench, alloc_type) AS INTEGER) AS rank FROM base"),
-    "d22_delta_bands": over("c20_spatial_delta", d.delta_bands, "SELECT bench, alloc_type, round(bit_identical / pairs, 9) AS identical, round((delta_le_8b - bit_identical) / pairs, 9) AS within_8b, round((delta_le_16b - delta_le_8b) / pairs, 9) AS within_16b, round((pairs - delta_le_16b) / pairs, 9) AS beyond FROM base"),
+    "d21_class_fractions": over("c06_alignment", lambda x: d.class_fractions(x, "aligned_8b", "aligned_4b_only", "unaligned"), """
+SELECT bench, alloc_type, round(aligned_8b / greatest(total, 1), 9) AS aligned_8b, round(aligned_4b_only / greatest(total, 1), 9) AS
+       aligned_4b_only, round(unaligned / greatest(total, 1), 9) AS unaligned, CAST(row_number() OVER (ORDER BY total DESC, bench, alloc_type)
+       AS INTEGER) AS rank FROM base"""),
+    "d22_delta_bands": over("c20_spatial_delta", d.delta_bands, """
+SELECT bench, alloc_type, round(bit_identical / pairs, 9) AS identical, round((delta_le_8b - bit_identical) / pairs, 9) AS within_8b,
+       round((delta_le_16b - delta_le_8b) / pairs, 9) AS within_16b, round((pairs - delta_le_16b) / pairs, 9) AS beyond
+       FROM base"""),
     "c38_silent_energy_sweep": over("c35_buffer_silent", lambda x: d.silent_energy_sweep(x, least=20), f"""
 SELECT CAST(threshold AS DOUBLE) AS threshold, CAST(ratio AS INTEGER) AS ratio, coalesce(round((sum(silent) FILTER (gate) * ratio - sum(stores) FILTER (gate)) / (max(total) * ratio), 9), 0) AS net_saving
 FROM (SELECT *, pairs >= 20 AND silent_frac >= threshold AS gate FROM (SELECT *, sum(stores) OVER () AS total, {GRID} AS threshold FROM base)) CROSS JOIN (SELECT unnest([2, 5, 10]) AS ratio)

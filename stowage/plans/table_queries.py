@@ -33,7 +33,10 @@ def calls(spark, sf_dir):
     return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("caller"), F.col("l_returnflag").alias("callee")).agg(F.count("*").alias("calls"), F.sum("n").alias("n"))
 
 
-CALLS = "WITH calls AS (SELECT o_orderpriority AS caller, l_returnflag AS callee, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), own AS (SELECT l_returnflag AS fn, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem GROUP BY ALL) "
+CALLS = """
+WITH calls AS (SELECT o_orderpriority AS caller, l_returnflag AS callee, count(*) AS calls, CAST(sum(CAST(l_quantity AS BIGINT)) AS
+       BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), own AS (SELECT l_returnflag AS fn, CAST(sum(l_linenumber)
+       AS BIGINT) AS n FROM lineitem GROUP BY ALL) """
 
 
 def own_costs(spark, sf_dir):
@@ -63,7 +66,10 @@ def heap_points(spark, sf_dir):
 
 
 COUNTERS = ["tb", "tbk", "tl", "gb", "eb", "rb", "wb"]
-POINTS = "WITH points AS (SELECT [l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)][1 : 1 + l_orderkey % 3] AS fs, CAST(l_quantity AS BIGINT) AS tb, 1 AS tbk, l_linenumber * 100 AS tl, CAST(l_quantity AS BIGINT) * (l_orderkey % 2) AS gb, CAST(l_quantity AS BIGINT) * (l_partkey % 3) AS eb, l_partkey % 50 AS rb, l_suppkey % 9 AS wb FROM lineitem), tree AS (SELECT fs[1 : i] AS prefix, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTERS) + " FROM points, range(1, 4) r(i) WHERE i <= len(fs) GROUP BY ALL) "
+POINTS = """
+WITH points AS (SELECT [l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)][1 : 1 + l_orderkey % 3] AS fs, CAST(l_quantity AS
+       BIGINT) AS tb, 1 AS tbk, l_linenumber * 100 AS tl, CAST(l_quantity AS BIGINT) * (l_orderkey % 2) AS gb, CAST(l_quantity AS BIGINT) *
+       (l_partkey % 3) AS eb, l_partkey % 50 AS rb, l_suppkey % 9 AS wb FROM lineitem), tree AS (SELECT fs[1 : i] AS prefix, """ + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTERS) + " FROM points, range(1, 4) r(i) WHERE i <= len(fs) GROUP BY ALL) "
 
 
 def named(df):
@@ -91,7 +97,9 @@ def stores(spark, sf_dir):
 INGEST = """WITH allocs AS (SELECT o_orderkey * 10 AS seq, lead(o_orderkey * 10) OVER w AS end_seq, (o_custkey % 16) * 8192 AS alloc_addr, 4096 + (o_orderkey % 5) * 1500 AS alloc_size, row_number() OVER w AS generation
  FROM orders WINDOW w AS (PARTITION BY o_custkey % 16 ORDER BY o_orderkey)),
 stores AS (SELECT l_orderkey * 10 + l_linenumber AS seq, (min(l_partkey) * 37 % 18) * 8192 + min(l_suppkey) * 977 % 8192 AS addr FROM lineitem GROUP BY l_orderkey, l_linenumber),
-near AS (SELECT s.seq, s.addr, a.* EXCLUDE (seq), a.seq AS alloc_seq FROM stores s JOIN (SELECT *, unnest([alloc_addr // 8192, alloc_addr // 8192 + 1]) AS page FROM allocs) a ON s.addr // 8192 = a.page AND s.addr >= alloc_addr AND s.addr < alloc_addr + alloc_size AND a.seq < s.seq AND (end_seq IS NULL OR s.seq < end_seq)),
+near AS (SELECT s.seq, s.addr, a.* EXCLUDE (seq), a.seq AS alloc_seq FROM stores s JOIN (SELECT *, unnest([alloc_addr // 8192, alloc_addr
+      // 8192 + 1]) AS page FROM allocs) a ON s.addr // 8192 = a.page AND s.addr >= alloc_addr AND s.addr < alloc_addr + alloc_size AND a.seq
+      < s.seq AND (end_seq IS NULL OR s.seq < end_seq)),
 met AS (SELECT seq, addr, arg_max(alloc_addr, alloc_seq) AS alloc_addr, arg_max(generation, alloc_seq) AS generation FROM near GROUP BY ALL) """
 
 
@@ -158,8 +166,12 @@ PRESETS = (
 )
 DEFS = {
     "f02_merge_profiles": (lambda s, d: p.merge_profiles(costs(s, d)), COSTS + "SELECT file, fn, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
-    "f03_diff_profiles": (lambda s, d: p.diff_profiles(costs(s, d).where("run = 'run0'"), costs(s, d).where("run = 'run1'")), COSTS + "SELECT file, fn, event, CAST(sum(CASE run WHEN 'run1' THEN n ELSE -n END) AS BIGINT) AS n, 0 AS line FROM costs GROUP BY file, fn, event"),
-    "f04_rename_profiles": (lambda s, d: p.merge_profiles(p.rename_profiles(costs(s, d), (r"^(\d{4})\d\d$", "$1"), ("^[NR]", "X"))), COSTS + "SELECT regexp_replace(file, '^(\\d{4})\\d\\d$', '\\1') AS file, regexp_replace(fn, '^[NR]', 'X') AS fn, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
+    "f03_diff_profiles": (lambda s, d: p.diff_profiles(costs(s, d).where("run = 'run0'"), costs(s, d).where("run = 'run1'")), COSTS + """
+SELECT file, fn, event, CAST(sum(CASE run WHEN 'run1' THEN n ELSE -n END) AS BIGINT) AS n, 0 AS line
+       FROM costs GROUP BY file, fn, event"""),
+    "f04_rename_profiles": (lambda s, d: p.merge_profiles(p.rename_profiles(costs(s, d), (r"^(\d{4})\d\d$", "$1"), ("^[NR]", "X"))), COSTS + """
+SELECT regexp_replace(file, '^(\\d{4})\\d\\d$', '\\1') AS file, regexp_replace(fn, '^[NR]', 'X') AS fn, line, event, CAST(sum(n) AS
+       BIGINT) AS n FROM costs GROUP BY ALL"""),
     "f05_profile_rollup": (lambda s, d: p.profile_rollup(costs(s, d), "price", "file:fn", 0.15), COSTS + ROLLUP),
     "f06_line_costs": (lambda s, d: p.line_costs(costs(s, d)), COSTS + "SELECT file, line, event, CAST(sum(n) AS BIGINT) AS n FROM costs GROUP BY ALL"),
     "f06_attribution_summary": (lambda s, d: p.attribution_summary(costs(s, d), "price", readable(s, d), 1.0), COSTS + """,
@@ -167,17 +179,43 @@ files AS (SELECT file, CAST(file AS INTEGER) % 5 = 0 AS stale FROM (SELECT DISTI
 own AS (SELECT file, line, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY file) AS of_file, sum(sum(n)) OVER () AS total FROM costs WHERE event = 'price' GROUP BY file, line)
 SELECT CASE WHEN 100 * of_file < 1.0 * total THEN 'below_threshold' WHEN stale IS NULL THEN 'unreadable' WHEN stale THEN 'stale_source' ELSE 'annotated' END AS class, CAST(sum(n) AS BIGINT) AS n
 FROM own LEFT JOIN files USING (file) GROUP BY 1"""),
-    "f07_call_costs": (lambda s, d: p.call_costs(own_costs(s, d), calls(s, d)), CALLS + "SELECT fn, CAST(coalesce(own.n, 0) AS BIGINT) AS self_n, CAST(coalesce(own.n, 0) + coalesce(c.n, 0) AS BIGINT) AS inclusive_n FROM own FULL JOIN (SELECT caller AS fn, sum(n) AS n FROM calls GROUP BY caller) c USING (fn)"),
-    "f08_functions_to_threshold": (lambda s, d: p.functions_to_threshold(costs(s, d).where("event = 'price'").groupBy(F.col("file").alias("fn")).agg(F.sum("n").alias("n")), "n", 60.0), COSTS + "SELECT fn, n, round(100 * n / total, 9) AS pct FROM (SELECT *, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n DESC, fn ROWS UNBOUNDED PRECEDING) - n AS before FROM (SELECT file AS fn, CAST(sum(n) AS BIGINT) AS n FROM costs WHERE event = 'price' GROUP BY file)) WHERE 100 * before < 60 * total"),
-    "f09_caller_callee_tree": (lambda s, d: p.caller_callee_tree(calls(s, d)), CALLS + "SELECT *, CAST(row_number() OVER (PARTITION BY fn, role ORDER BY n DESC, other) AS INTEGER) AS rank FROM (SELECT callee AS fn, 'caller' AS role, caller AS other, calls, n FROM calls UNION ALL SELECT caller, 'callee', callee, calls, n FROM calls)"),
-    "f10_heap_snapshots": (lambda s, d: p.heap_snapshots(snapshots(s, d)), "SELECT run, snapshot, snapshot AS time, total, snapshot = arg_max(snapshot, total * 1000000000 - snapshot) OVER (PARTITION BY run) AS is_peak FROM (SELECT event_type AS run, CAST(event_id AS BIGINT) AS snapshot, CAST(user_id * 100 + event_id % 17 + 3 AS BIGINT) AS total FROM events)"),
-    "f11_heap_tree_significant": (lambda s, d: p.heap_tree_significant(heap_nodes(s, d), 0.9), COSTS + ", nodes AS (SELECT *, sum(bytes) OVER (PARTITION BY run) AS total FROM (SELECT run, 0 AS snapshot, fn AS parent, file AS path, CAST(sum(n) AS BIGINT) AS bytes FROM costs WHERE event = 'quantity' GROUP BY ALL)) SELECT run, snapshot, parent, path, bytes, 1 AS places FROM nodes WHERE 100 * bytes >= 0.9 * total UNION ALL SELECT run, snapshot, parent, '(below threshold)', CAST(sum(bytes) AS BIGINT), count(*) FROM nodes WHERE 100 * bytes < 0.9 * total GROUP BY run, snapshot, parent"),
+    "f07_call_costs": (lambda s, d: p.call_costs(own_costs(s, d), calls(s, d)), CALLS + """
+SELECT fn, CAST(coalesce(own.n, 0) AS BIGINT) AS self_n, CAST(coalesce(own.n, 0) + coalesce(c.n, 0) AS BIGINT) AS inclusive_n
+       FROM own FULL JOIN (SELECT caller AS fn, sum(n) AS n FROM calls GROUP BY caller) c USING (fn)"""),
+    "f08_functions_to_threshold": (lambda s, d: p.functions_to_threshold(costs(s, d).where("event = 'price'").groupBy(F.col("file").alias("fn")).agg(F.sum("n").alias("n")), "n", 60.0), COSTS + """
+SELECT fn, n, round(100 * n / total, 9) AS pct FROM (SELECT *, sum(n) OVER () AS total, sum(n) OVER (ORDER BY n DESC, fn ROWS UNBOUNDED
+       PRECEDING) - n AS before FROM (SELECT file AS fn, CAST(sum(n) AS BIGINT) AS n FROM costs WHERE event = 'price'
+       GROUP BY file)) WHERE 100 * before < 60 * total"""),
+    "f09_caller_callee_tree": (lambda s, d: p.caller_callee_tree(calls(s, d)), CALLS + """
+SELECT *, CAST(row_number() OVER (PARTITION BY fn, role ORDER BY n DESC, other) AS INTEGER) AS rank
+       FROM (SELECT callee AS fn, 'caller' AS role, caller AS other, calls, n FROM calls UNION ALL SELECT caller, 'callee', callee, calls,
+       n FROM calls)"""),
+    "f10_heap_snapshots": (lambda s, d: p.heap_snapshots(snapshots(s, d)), """
+SELECT run, snapshot, snapshot AS time, total, snapshot = arg_max(snapshot, total * 1000000000 - snapshot) OVER (PARTITION BY run) AS
+       is_peak FROM (SELECT event_type AS run, CAST(event_id AS BIGINT) AS snapshot, CAST(user_id * 100 + event_id % 17 + 3 AS BIGINT) AS total
+       FROM events)"""),
+    "f11_heap_tree_significant": (lambda s, d: p.heap_tree_significant(heap_nodes(s, d), 0.9), COSTS + """
+, nodes AS (SELECT *, sum(bytes) OVER (PARTITION BY run) AS total FROM (SELECT run, 0 AS snapshot, fn AS parent, file AS path, CAST(sum(n)
+       AS BIGINT) AS bytes FROM costs WHERE event = 'quantity' GROUP BY ALL)) SELECT run, snapshot, parent, path, bytes, 1 AS places
+       FROM nodes WHERE 100 * bytes >= 0.9 * total UNION ALL SELECT run, snapshot, parent, '(below threshold)', CAST(sum(bytes) AS BIGINT),
+       count(*) FROM nodes WHERE 100 * bytes < 0.9 * total GROUP BY run, snapshot, parent"""),
     "f13_heap_prefix_tree": (lambda s, d: named(p.heap_prefix_tree(heap_points(s, d), COUNTERS)), POINTS + "SELECT * REPLACE (array_to_string(prefix, '/') AS prefix) FROM tree"),
-    "f14_heap_metrics": (lambda s, d: named(p.heap_metrics(p.heap_prefix_tree(heap_points(s, d), COUNTERS))), POINTS + "SELECT array_to_string(prefix, '/') AS prefix, round(tb / tbk, 9) AS avg_size, round(tl / tbk, 9) AS avg_lifetime, round(rb / tb, 9) AS reads_per_byte, round(wb / tb, 9) AS writes_per_byte FROM tree"),
-    "f15_heap_significant": (lambda s, d: named(p.heap_significant(p.heap_prefix_tree(heap_points(s, d), COUNTERS), F.col("wb") > 0.155 * F.col("tb"))), POINTS + ", hit AS (SELECT prefix FROM tree WHERE wb > 0.155 * tb) SELECT * REPLACE (array_to_string(prefix, '/') AS prefix) FROM tree WHERE EXISTS (SELECT 1 FROM hit WHERE hit.prefix[1 : len(tree.prefix)] = tree.prefix)"),
+    "f14_heap_metrics": (lambda s, d: named(p.heap_metrics(p.heap_prefix_tree(heap_points(s, d), COUNTERS))), POINTS + """
+SELECT array_to_string(prefix, '/') AS prefix, round(tb / tbk, 9) AS avg_size, round(tl / tbk, 9) AS avg_lifetime, round(rb / tb, 9)
+       AS reads_per_byte, round(wb / tb, 9) AS writes_per_byte FROM tree"""),
+    "f15_heap_significant": (lambda s, d: named(p.heap_significant(p.heap_prefix_tree(heap_points(s, d), COUNTERS), F.col("wb") > 0.155 * F.col("tb"))), POINTS + """
+, hit AS (SELECT prefix FROM tree WHERE wb > 0.155 * tb) SELECT * REPLACE (array_to_string(prefix, '/') AS prefix)
+       FROM tree WHERE EXISTS (SELECT 1 FROM hit WHERE hit.prefix[1 : len(tree.prefix)] = tree.prefix)"""),
     "f15_heap_presets": (lambda s, d: named(p.heap_preset_nodes(heap_points(s, d), COUNTERS, SHORT_LIVED)), POINTS + PRESETS),
-    "f16_interval_vectors": (lambda s, d: p.interval_vectors(block_events(s, d), 1000, 9), "SELECT 'r' AS run, thread, (c - n) // 1000 AS \"interval\", block, CAST(sum(n) AS BIGINT) AS weight FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY thread ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c FROM (SELECT event_id, CAST(user_id % 4 AS INTEGER) AS thread, event_type AS block, 1 + user_id % 7 AS n FROM events)) GROUP BY ALL"),
-    "f17_live_heap_timeline": (lambda s, d: p.live_heap_timeline(timeline_input(s, d)), INGEST + ", ev AS (SELECT seq, alloc_size AS x, 1 AS k FROM allocs UNION ALL SELECT end_seq, -alloc_size, -1 FROM allocs WHERE end_seq IS NOT NULL) SELECT 'r0' AS run_id, CAST(seq AS BIGINT) AS seq, CAST(sum(x) OVER (ORDER BY seq) AS BIGINT) AS live_bytes, CAST(sum(k) OVER (ORDER BY seq) AS BIGINT) AS live_blocks FROM ev"),
+    "f16_interval_vectors": (lambda s, d: p.interval_vectors(block_events(s, d), 1000, 9), """
+SELECT 'r' AS run, thread, (c - n) // 1000 AS "interval", block, CAST(sum(n) AS BIGINT) AS weight
+       FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY thread ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS c
+       FROM (SELECT event_id, CAST(user_id % 4 AS INTEGER) AS thread, event_type AS block, 1 + user_id % 7 AS n
+       FROM events)) GROUP BY ALL"""),
+    "f17_live_heap_timeline": (lambda s, d: p.live_heap_timeline(timeline_input(s, d)), INGEST + """
+, ev AS (SELECT seq, alloc_size AS x, 1 AS k FROM allocs UNION ALL SELECT end_seq, -alloc_size, -1
+       FROM allocs WHERE end_seq IS NOT NULL) SELECT 'r0' AS run_id, CAST(seq AS BIGINT) AS seq, CAST(sum(x) OVER (ORDER BY seq) AS BIGINT)
+       AS live_bytes, CAST(sum(k) OVER (ORDER BY seq) AS BIGINT) AS live_blocks FROM ev"""),
     "f17_peak_composition": (lambda s, d: p.peak_composition(timeline_input(s, d), 5), INGEST + """,
 ev AS (SELECT seq, alloc_size AS x FROM allocs UNION ALL SELECT end_seq, -alloc_size FROM allocs WHERE end_seq IS NOT NULL),
 live AS (SELECT DISTINCT seq, sum(x) OVER (ORDER BY seq) AS bytes FROM ev),
@@ -187,12 +225,18 @@ FROM allocs, peak WHERE allocs.seq <= peak.seq AND (end_seq IS NULL OR end_seq >
     "a03_pair_lifetimes": (lambda s, d: allocations(s, d).select("seq", "end_seq", "alloc_addr", "alloc_size", "generation"), INGEST + "SELECT seq, end_seq, alloc_addr, alloc_size, generation FROM allocs"),
     "a05_attribute_stores": (lambda s, d: attributed(s, d).select("seq", "addr", "alloc_addr", "generation", "offset"), INGEST + 'SELECT seq, addr, alloc_addr, generation, addr - alloc_addr AS "offset" FROM met'),
     "a06_unattributed_stores": (lambda s, d: traces.unattributed_stores(stores(s, d), attributed(s, d)).select("seq", "addr"), INGEST + "SELECT seq, addr FROM stores ANTI JOIN met USING (seq)"),
-    "a07_classify_alignment": (lambda s, d: traces.classify_alignment(attributed(s, d)).groupBy("alloc_type").agg(F.count("*").alias("stores")), INGEST + "SELECT CASE WHEN by8 THEN '64bits' WHEN by4 THEN '32bits' ELSE 'object' END AS alloc_type, CAST(sum(n) AS BIGINT) AS stores FROM (SELECT bool_and((addr - alloc_addr) % 8 = 0) AS by8, bool_and((addr - alloc_addr) % 4 = 0) AS by4, count(*) AS n FROM met GROUP BY alloc_addr, generation) GROUP BY 1"),
+    "a07_classify_alignment": (lambda s, d: traces.classify_alignment(attributed(s, d)).groupBy("alloc_type").agg(F.count("*").alias("stores")), INGEST + """
+SELECT CASE WHEN by8 THEN '64bits' WHEN by4 THEN '32bits' ELSE 'object' END AS alloc_type, CAST(sum(n) AS BIGINT) AS stores
+       FROM (SELECT bool_and((addr - alloc_addr) % 8 = 0) AS by8, bool_and((addr - alloc_addr) % 4 = 0) AS by4, count(*) AS n
+       FROM met GROUP BY alloc_addr, generation) GROUP BY 1"""),
     "a08_drop_unwritten": (lambda s, d: traces.drop_unwritten(allocations(s, d), attributed(s, d)).select("seq", "alloc_addr", "generation"), INGEST + "SELECT seq, alloc_addr, generation FROM allocs SEMI JOIN met USING (alloc_addr, generation)"),
     "h01_stream_attribute": (lambda s, d: streaming.run_available(streaming.stream_attribute(event_stream(s, d)), "append").select("seq", "addr", "alloc_addr", "generation", "offset", "status"), INGEST + """
 SELECT seq, addr, alloc_addr, generation, addr - alloc_addr AS "offset", CASE WHEN alloc_addr IS NULL THEN 'unattributed' ELSE 'ok' END AS status
 FROM stores LEFT JOIN met USING (seq, addr)"""),
-    "h02_stream_silent": (lambda s, d: streaming.run_available(streaming.stream_silent(stream(s, d, "ev")), "append").groupBy("bench", "alloc_type").agg(F.sum("stores_with_prev").alias("stores_with_prev"), F.sum("silent").alias("silent")), f"WITH t AS ({fixtures.DUCK['ev']}) SELECT bench, alloc_type, count(prev) AS stores_with_prev, count(*) FILTER (prev = value) AS silent FROM (SELECT *, lag(value) OVER (PARTITION BY bench, alloc_addr, generation, \"offset\" ORDER BY rn, value) AS prev FROM t) GROUP BY ALL"),
+    "h02_stream_silent": (lambda s, d: streaming.run_available(streaming.stream_silent(stream(s, d, "ev")), "append").groupBy("bench", "alloc_type").agg(F.sum("stores_with_prev").alias("stores_with_prev"), F.sum("silent").alias("silent")), f"""
+WITH t AS ({fixtures.DUCK['ev']}) SELECT bench, alloc_type, count(prev) AS stores_with_prev, count(*) FILTER (prev = value) AS silent
+       FROM (SELECT *, lag(value) OVER (PARTITION BY bench, alloc_addr, generation, "offset" ORDER BY rn, value) AS prev
+       FROM t) GROUP BY ALL"""),
     "h03_stream_summary": (lambda s, d: streaming.run_available(streaming.stream_summary(stream(s, d, "li")), "complete").drop("allocations"), f"""
 WITH t AS ({fixtures.DUCK['li']}),
 parts AS (

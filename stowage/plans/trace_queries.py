@@ -115,10 +115,20 @@ def ranged(operator):
 
 #: name -> (operator on a trace, view, SQL after the common table expressions)
 ANALYSES = {
-    "c01_summary": (s.summary, "li", f"SELECT bench, count(*) AS stores, count(DISTINCT (run_id, alloc_addr, generation)) AS allocations, count(*) FILTER (alloc_type = '64bits') AS stores_64, count(*) FILTER (alloc_type = '32bits') AS stores_32, count(*) FILTER (alloc_type = 'object') AS stores_object, {pct('value = 0')} AS frac_zero_value FROM t GROUP BY bench"),
-    "c02_top_allocations": (s.top_allocations, "li", topk(f"SELECT {BUF}, min(alloc_size) AS alloc_size, min(alloc_type) AS alloc_type, count(*) AS stores, count(DISTINCT \"offset\") AS unique_offsets, round(count(*) / min(alloc_size), 9) AS stores_per_byte FROM t GROUP BY {BUF}", 20, "bench", "stores DESC, alloc_addr, generation, run_id", "bench, alloc_addr, alloc_size, alloc_type, generation, stores, unique_offsets, stores_per_byte")),
-    "c03_size_distribution": (s.size_distribution, "li", f"SELECT bench, CAST(2 ** (length(bin(size)) - 1) AS BIGINT) AS size_bucket_bytes, count(*) AS allocations FROM (SELECT {BUF}, min(alloc_size) AS size FROM t GROUP BY {BUF}) GROUP BY ALL"),
-    "c04_hot_stack_sites": (s.hot_stack_sites, "li", topk(f"SELECT bench, array_to_string(string_split(alloc_stack, chr(10))[1:3], chr(10)) AS site3, {big('sum(n)')} AS stores, count(*) AS allocs, {big('sum(n * size)')} AS total_bytes, {big('sum(size)')} AS distinct_bytes FROM (SELECT {BUF}, alloc_stack, count(*) AS n, min(alloc_size) AS size FROM t GROUP BY ALL) GROUP BY 1, 2", 15, None, "stores DESC, bench, site3", "*")),
+    "c01_summary": (s.summary, "li", f"""
+SELECT bench, count(*) AS stores, count(DISTINCT (run_id, alloc_addr, generation)) AS allocations, count(*) FILTER (alloc_type = '64bits')
+       AS stores_64, count(*) FILTER (alloc_type = '32bits') AS stores_32, count(*) FILTER (alloc_type = 'object') AS stores_object, {pct('value = 0')}
+       AS frac_zero_value FROM t GROUP BY bench"""),
+    "c02_top_allocations": (s.top_allocations, "li", topk(f"""
+SELECT {BUF}, min(alloc_size) AS alloc_size, min(alloc_type) AS alloc_type, count(*) AS stores, count(DISTINCT "offset") AS unique_offsets,
+       round(count(*) / min(alloc_size), 9) AS stores_per_byte FROM t GROUP BY {BUF}""", 20, "bench", "stores DESC, alloc_addr, generation, run_id", "bench, alloc_addr, alloc_size, alloc_type, generation, stores, unique_offsets, stores_per_byte")),
+    "c03_size_distribution": (s.size_distribution, "li", f"""
+SELECT bench, CAST(2 ** (length(bin(size)) - 1) AS BIGINT) AS size_bucket_bytes, count(*) AS allocations
+       FROM (SELECT {BUF}, min(alloc_size) AS size FROM t GROUP BY {BUF}) GROUP BY ALL"""),
+    "c04_hot_stack_sites": (s.hot_stack_sites, "li", topk(f"""
+SELECT bench, array_to_string(string_split(alloc_stack, chr(10))[1:3], chr(10)) AS site3, {big('sum(n)')} AS stores, count(*) AS allocs,
+       {big('sum(n * size)')} AS total_bytes, {big('sum(size)')} AS distinct_bytes FROM (SELECT {BUF}, alloc_stack, count(*) AS n, min(alloc_size)
+       AS size FROM t GROUP BY ALL) GROUP BY 1, 2""", 15, None, "stores DESC, bench, site3", "*")),
     "c05_value_patterns": (s.value_patterns, "li", """
 SELECT bench, alloc_type, count(*) FILTER (value = 0) AS zero,
        count(*) FILTER (value <> 0 AND (value >> 56) & 255 = 0) AS nonzero_top_byte_zero, count(*) FILTER (value <> 0 AND (value >> 56) & 255 <> 0) AS nonzero_top_byte_nonzero,
@@ -132,12 +142,25 @@ FROM t GROUP BY bench, alloc_type"""),
 SELECT bench, alloc_addr, max(generation) AS max_generation, count(*) AS stores, round(sum(alloc_size) / max(generation), 9) AS avg_size,
        round((SELECT avg(size) FROM (SELECT DISTINCT b.run_id, b.generation, b.alloc_size AS size FROM t b WHERE b.run_id = t.run_id AND b.bench = t.bench AND b.alloc_addr = t.alloc_addr)), 9) AS avg_size_distinct
 FROM t GROUP BY run_id, bench, alloc_addr HAVING max(generation) > 1 ORDER BY max_generation DESC, stores DESC, bench, alloc_addr, run_id LIMIT 20"""),
-    "c08_coverage": (s.coverage, "li", f"SELECT bench, alloc_type, count(*) AS allocations, round(avg(c), 9) AS avg_coverage, round(min(c), 9) AS min_coverage, round(max(c), 9) AS max_coverage, round(avg(w), 9) AS avg_writes_per_slot FROM (SELECT bench, min(alloc_type) AS alloc_type, count(DISTINCT \"offset\") * min(CASE width WHEN 52 THEN 8 ELSE 4 END) / min(alloc_size) AS c, count(*) / count(DISTINCT \"offset\") AS w FROM fp GROUP BY {BUF}) GROUP BY ALL"),
+    "c08_coverage": (s.coverage, "li", f"""
+SELECT bench, alloc_type, count(*) AS allocations, round(avg(c), 9) AS avg_coverage, round(min(c), 9) AS min_coverage, round(max(c),
+       9) AS max_coverage, round(avg(w), 9) AS avg_writes_per_slot FROM (SELECT bench, min(alloc_type) AS alloc_type, count(DISTINCT "offset")
+       * min(CASE width WHEN 52 THEN 8 ELSE 4 END) / min(alloc_size) AS c, count(*) / count(DISTINCT "offset") AS w
+       FROM fp GROUP BY {BUF}) GROUP BY ALL"""),
     "c09_silent_stores": (ranged(o.silent_stores), "ev", SILENT),
     "c09_silent_stores_mixed": (ranged(o.silent_stores), "li", SILENT),
     "c09_silent_stores_hot": (ranged(o.silent_stores), "hot", SILENT),
-    "c10_bit_patterns": (ranged(o.bit_patterns), "li", f"SELECT bench, alloc_type, count(*) AS total, count(*) FILTER (value = 0) AS zero_values, count(*) FILTER (e = 0) AS exp_zero, count(*) FILTER (m = 0) AS mantissa_zero, count(prev) AS pairs, count(*) FILTER (prev = value) AS bit_identical, round(sum({hamming('value', 'prev')}) / count(prev), 9) AS mean_hamming FROM (SELECT *, lag(value) OVER (PARTITION BY {BUF} ORDER BY rn, value) AS prev FROM fp) GROUP BY ALL"),
-    "c11_write_concentration": (o.write_concentration, "li", f"SELECT bench, CAST(max(total) AS BIGINT) AS total_stores, count(*) AS total_buffers, {CONC} FROM (SELECT bench, row_number() OVER w AS r, sum(n) OVER (PARTITION BY bench ORDER BY n DESC, alloc_addr, generation ROWS UNBOUNDED PRECEDING) AS c, sum(n) OVER (PARTITION BY bench) AS total FROM (SELECT {BUF}, count(*) AS n FROM t GROUP BY {BUF}) WINDOW w AS (PARTITION BY bench ORDER BY n DESC, alloc_addr, generation)) GROUP BY bench"),
+    "c10_bit_patterns": (ranged(o.bit_patterns), "li", f"""
+SELECT bench, alloc_type, count(*) AS total, count(*) FILTER (value = 0) AS zero_values, count(*) FILTER (e = 0) AS exp_zero, count(*)
+       FILTER (m = 0) AS mantissa_zero, count(prev) AS pairs, count(*) FILTER (prev = value) AS bit_identical, round(sum({hamming('value', 'prev')})
+       / count(prev), 9) AS mean_hamming FROM (SELECT *, lag(value) OVER (PARTITION BY {BUF} ORDER BY rn, value) AS prev
+       FROM fp) GROUP BY ALL"""),
+    "c11_write_concentration": (o.write_concentration, "li", f"""
+SELECT bench, CAST(max(total) AS BIGINT) AS total_stores, count(*) AS total_buffers, {CONC}
+       FROM (SELECT bench, row_number() OVER w AS r, sum(n) OVER (PARTITION BY bench ORDER BY n DESC, alloc_addr, generation ROWS UNBOUNDED
+       PRECEDING) AS c, sum(n) OVER (PARTITION BY bench) AS total FROM (SELECT {BUF}, count(*) AS n
+       FROM t GROUP BY {BUF}) WINDOW w AS (PARTITION BY bench ORDER BY n DESC, alloc_addr, generation))
+       GROUP BY bench"""),
     "c12_format_feasibility": (s.format_feasibility, "li", f"""
 SELECT bench, alloc_type, {FEASIBLE},
        CASE alloc_type WHEN '64bits' THEN round(count(*) FILTER (tz >= 29) / count(*), 9) ELSE 1.0 END AS pct_fp32
@@ -167,7 +190,13 @@ FROM (SELECT *, {SITE} AS site FROM (
     SELECT bench, alloc_stack, count(*) AS n, count(DISTINCT (run_id, alloc_addr, generation)) AS k, avg(alloc_size) AS mean_size, avg(tz) AS mean_tz
     FROM (SELECT *, CASE WHEN m = 0 THEN {WIDTH} ELSE bit_count(xor(m, m - 1)) - 1 END AS tz FROM (SELECT *, {M} AS m FROM t)) GROUP BY bench, alloc_stack))
 WHERE site <> '' GROUP BY bench, site)) WHERE pick <= 15"""),
-    "c17_intra_buffer_gini": (o.intra_buffer_gini, "li", f"SELECT bench, alloc_type, count(*) AS buffers, round(avg(g), 9) AS mean_gini, round(quantile_cont(g, 0.5), 9) AS median_gini, round(min(g), 9) AS min_gini, round(max(g), 9) AS max_gini, round(sum(g * total) / sum(total), 9) AS weighted_gini FROM (SELECT bench, min(alloc_type) AS alloc_type, sum(c) AS total, (2 * sum(r * c) - (count(*) + 1) * sum(c)) / (count(*) * sum(c)) AS g FROM (SELECT {BUF}, alloc_type, c, row_number() OVER (PARTITION BY {BUF} ORDER BY c) AS r FROM (SELECT {BUF}, alloc_type, \"offset\", count(*) AS c FROM fp GROUP BY ALL)) GROUP BY {BUF} HAVING count(*) > 1) GROUP BY ALL"),
+    "c17_intra_buffer_gini": (o.intra_buffer_gini, "li", f"""
+SELECT bench, alloc_type, count(*) AS buffers, round(avg(g), 9) AS mean_gini, round(quantile_cont(g, 0.5), 9) AS median_gini, round(min(g),
+       9) AS min_gini, round(max(g), 9) AS max_gini, round(sum(g * total) / sum(total), 9) AS weighted_gini
+       FROM (SELECT bench, min(alloc_type) AS alloc_type, sum(c) AS total, (2 * sum(r * c) - (count(*) + 1) * sum(c)) / (count(*) * sum(c))
+       AS g FROM (SELECT {BUF}, alloc_type, c, row_number() OVER (PARTITION BY {BUF} ORDER BY c) AS r
+       FROM (SELECT {BUF}, alloc_type, "offset", count(*) AS c FROM fp GROUP BY ALL)) GROUP BY {BUF}
+       HAVING count(*) > 1) GROUP BY ALL"""),
     "c18_hot_offsets": (o.hot_offsets, "li", f"""
 SELECT bench, alloc_addr, generation, alloc_type, alloc_size, "offset", writes, round(100.0 * writes / total, 9) AS pct_of_buffer, round(100.0 * writes / bench_total, 9) AS pct_of_bench
 FROM (SELECT *, row_number() OVER (PARTITION BY {BUF} ORDER BY writes DESC, "offset") AS r, dense_rank() OVER (PARTITION BY bench ORDER BY total DESC, alloc_addr, generation, run_id) AS b
@@ -187,10 +216,14 @@ SELECT bench, alloc_type, count(*) AS lines, count(*) FILTER (k = 1) AS trivial_
        round(count(*) FILTER (k >= 2 AND r < 65536) / nullif(count(*) FILTER (k >= 2), 0), 9) AS bdi16_frac,
        round(count(*) FILTER (k >= 2 AND r < 4294967296) / nullif(count(*) FILTER (k >= 2), 0), 9) AS bdi32_frac, round(avg(r) FILTER (k >= 2), 9) AS mean_range
 FROM (SELECT bench, min(alloc_type) AS alloc_type, count(*) AS k, max(value) - min(value) AS r FROM snap GROUP BY {BUF}, "offset" // 64) GROUP BY bench, alloc_type"""),
-    "c23_fpc_patterns": (s.fpc_patterns, "li", f"SELECT bench, alloc_type, count(*) AS total, {', '.join(f'{pct(x)} AS pct_{n}' for n, x in FPC.items())}, {pct(' OR '.join(f'({x})' for x in FPC.values()))} AS pct_any_pattern FROM fp GROUP BY ALL"),
+    "c23_fpc_patterns": (s.fpc_patterns, "li", f"""
+SELECT bench, alloc_type, count(*) AS total, {', '.join(f'{pct(x)} AS pct_{n}' for n, x in FPC.items())}, {pct(' OR '.join(f'({x})' for x in FPC.values()))}
+       AS pct_any_pattern FROM fp GROUP BY ALL"""),
     "c24_site_required_exp_bits": (s.site_required_exp_bits, "li", EXP_BITS),
     "c24_site_required_exp_bits_mix": (s.site_required_exp_bits, "mix", EXP_BITS),
-    "c25_frequent_values": (s.frequent_values, "li", "SELECT bench, alloc_type, CAST(sum(n) AS BIGINT) AS total_stores, count(*) AS distinct_values, " + ", ".join(f"round(coalesce(sum(n) FILTER (r <= {k}), 0) / sum(n), 9) AS top{k}_frac" for k in (1, 8, 64, 256, 1024)) + " FROM (SELECT *, row_number() OVER (PARTITION BY bench, alloc_type ORDER BY n DESC) AS r FROM (SELECT bench, alloc_type, value, count(*) AS n FROM fp GROUP BY ALL)) GROUP BY ALL"),
+    "c25_frequent_values": (s.frequent_values, "li", "SELECT bench, alloc_type, CAST(sum(n) AS BIGINT) AS total_stores, count(*) AS distinct_values, " + ", ".join(f"round(coalesce(sum(n) FILTER (r <= {k}), 0) / sum(n), 9) AS top{k}_frac" for k in (1, 8, 64, 256, 1024)) + """
+FROM (SELECT *, row_number() OVER (PARTITION BY bench, alloc_type ORDER BY n DESC) AS r FROM (SELECT bench, alloc_type, value, count(*)
+       AS n FROM fp GROUP BY ALL)) GROUP BY ALL"""),
     "c26_outlier_channels": (o.outlier_channels, "li", f"""
 SELECT * EXCLUDE (pick) FROM (SELECT *, row_number() OVER (PARTITION BY bench ORDER BY total DESC, alloc_type, site) AS pick FROM (
 SELECT bench, alloc_type, site, {big('sum(n)')} AS total, {big('sum(k)')} AS n_outlier_999, {big('sum(d)')} AS distinct_offsets, {big('sum(u)')} AS outlier_offsets, round(sum(u) / sum(d), 9) AS channel_frac
@@ -211,14 +244,33 @@ FROM (SELECT *, {SITE} AS site FROM (
     FROM (SELECT {BUF}, alloc_type, max(x) - min(x) AS r FROM fp WHERE x IS NOT NULL GROUP BY {BUF}, alloc_type, "offset" HAVING count(*) >= 2) JOIN bufsite USING ({BUF}) GROUP BY bench, alloc_type, alloc_stack))
 WHERE site <> '' GROUP BY bench, alloc_type, site HAVING sum(n) >= 100)) WHERE pick <= 20"""),
     "c28_mx_scale_sharing": (o.mx_scale_sharing, "emb", " UNION ALL ".join(map(sharing, (16, 32, 64)))),
-    "c29_bit_plane_entropy": (s.bit_plane_entropy, "li", "SELECT bench, alloc_type, total, CAST(i AS INTEGER) AS bit_pos, round(ones / total, 9) AS p_one, CASE WHEN ones = 0 OR ones = total THEN 0.0 ELSE round(-(ones / total) * log2(ones / total) - (1 - ones / total) * log2(1 - ones / total), 9) END AS entropy FROM (SELECT bench, alloc_type, i, count(*) AS total, sum((value >> i) & 1) AS ones FROM fp, range(64) r(i) GROUP BY ALL)"),
+    "c29_bit_plane_entropy": (s.bit_plane_entropy, "li", """
+SELECT bench, alloc_type, total, CAST(i AS INTEGER) AS bit_pos, round(ones / total, 9) AS p_one, CASE WHEN ones = 0 OR ones = total
+       THEN 0.0 ELSE round(-(ones / total) * log2(ones / total) - (1 - ones / total) * log2(1 - ones / total), 9) END AS entropy
+       FROM (SELECT bench, alloc_type, i, count(*) AS total, sum((value >> i) & 1) AS ones FROM fp, range(64) r(i)
+       GROUP BY ALL)"""),
     "c30_posit_fit": (s.posit_fit, "li", f"""
 SELECT bench, alloc_type, count(*) AS total, round(avg(abs(x)), 9) AS mean_abs_exp, {pct('abs(e - bias) <= 4')} AS frac_high_precision, {pct('abs(e - bias) <= 16')} AS frac_mid_precision,
        {pct('abs(e - bias) > 30')} AS frac_extreme, round(avg(greatest(0.0, 28.0 - abs(e - bias) / 2.0)), 9) AS mean_posit_useful_bits
 FROM fp WHERE value <> 0 GROUP BY bench, alloc_type"""),
-    "c31_cacheline_homogeneity": (o.cacheline_homogeneity, "emb", "SELECT bench, alloc_type, count(*) FILTER (k > 1) AS lines, count(*) FILTER (k = 1) AS trivial_lines, round(avg(k), 9) AS mean_slots_per_line, " + ", ".join(f"round(count(*) FILTER (k > 1 AND {n}) / nullif(count(*) FILTER (k > 1), 0), 9) AS frac_homog_{n}" for n in ("high32", "high16", "high8", "exp")) + f" FROM (SELECT bench, alloc_type, count(*) AS k, min(value >> 32) = max(value >> 32) AS high32, min(value >> 48) = max(value >> 48) AS high16, min(value >> 56) = max(value >> 56) AS high8, min({E}) = max({E}) AS exp FROM (SELECT run_id, bench, alloc_type, alloc_addr, \"offset\", arg_max(value, rn) AS value FROM fp GROUP BY ALL) GROUP BY run_id, bench, alloc_type, alloc_addr, \"offset\" // 64) GROUP BY ALL"),
-    "c32_trace_volume": (s.trace_volume, "li", f"SELECT bench, {big('sum(n)')} AS stores, count(*) AS buffers, count(DISTINCT alloc_stack) AS call_sites, count(DISTINCT size) AS distinct_sizes, {big('sum(size)')} AS bytes_addressed, round(count(*) / count(DISTINCT alloc_stack), 9) AS buffers_per_site FROM (SELECT {BUF}, alloc_stack, count(*) AS n, min(alloc_size) AS size FROM t GROUP BY ALL) GROUP BY bench"),
-    "c33_trace_robustness": (s.trace_robustness, "li", f"SELECT bench, min(size) AS min_size, CAST(quantile_cont(size, 0.5) AS DOUBLE) AS median_size, max(size) AS max_size, max(generation) AS max_generation, count(DISTINCT k) AS distinct_alignment_classes, count(*) FILTER (k = '64bits') AS buffers_64, count(*) FILTER (k = '32bits') AS buffers_32, count(*) FILTER (k = 'object') AS buffers_object, max(o) AS max_offset, count(DISTINCT (run_id, alloc_addr)) FILTER (generation > 1) AS buffers_reused FROM (SELECT {BUF}, min(alloc_size) AS size, min(alloc_type) AS k, max(\"offset\") AS o FROM t GROUP BY {BUF}) GROUP BY bench"),
+    "c31_cacheline_homogeneity": (o.cacheline_homogeneity, "emb", """
+SELECT bench, alloc_type, count(*) FILTER (k > 1) AS lines, count(*) FILTER (k = 1) AS trivial_lines, round(avg(k), 9) AS mean_slots_per_line,
+       """ + ", ".join(f"round(count(*) FILTER (k > 1 AND {n}) / nullif(count(*) FILTER (k > 1), 0), 9) AS frac_homog_{n}" for n in ("high32", "high16", "high8", "exp")) + f"""
+FROM (SELECT bench, alloc_type, count(*) AS k, min(value >> 32) = max(value >> 32) AS high32, min(value >> 48) = max(value >> 48) AS
+       high16, min(value >> 56) = max(value >> 56) AS high8, min({E}) = max({E}) AS exp FROM (SELECT run_id, bench, alloc_type, alloc_addr,
+       "offset", arg_max(value, rn) AS value FROM fp GROUP BY ALL) GROUP BY run_id, bench, alloc_type, alloc_addr, "offset" // 64)
+       GROUP BY ALL"""),
+    "c32_trace_volume": (s.trace_volume, "li", f"""
+SELECT bench, {big('sum(n)')} AS stores, count(*) AS buffers, count(DISTINCT alloc_stack) AS call_sites, count(DISTINCT size) AS distinct_sizes,
+       {big('sum(size)')} AS bytes_addressed, round(count(*) / count(DISTINCT alloc_stack), 9) AS buffers_per_site
+       FROM (SELECT {BUF}, alloc_stack, count(*) AS n, min(alloc_size) AS size FROM t GROUP BY ALL)
+       GROUP BY bench"""),
+    "c33_trace_robustness": (s.trace_robustness, "li", f"""
+SELECT bench, min(size) AS min_size, CAST(quantile_cont(size, 0.5) AS DOUBLE) AS median_size, max(size) AS max_size, max(generation)
+       AS max_generation, count(DISTINCT k) AS distinct_alignment_classes, count(*) FILTER (k = '64bits') AS buffers_64, count(*) FILTER (k
+       = '32bits') AS buffers_32, count(*) FILTER (k = 'object') AS buffers_object, max(o) AS max_offset, count(DISTINCT (run_id, alloc_addr))
+       FILTER (generation > 1) AS buffers_reused FROM (SELECT {BUF}, min(alloc_size) AS size, min(alloc_type) AS k, max("offset") AS o
+       FROM t GROUP BY {BUF}) GROUP BY bench"""),
     "c34_exponent_classes": (s.exponent_classes, "li", f"""
 SELECT bench, alloc_type, count(*) AS stores, {pct('value = 0')} AS frac_zero,
        {pct("alloc_type = '64bits' AND value <> 0 AND (value >> 52) & 2047 BETWEEN 1 AND 2046")} AS frac_normal_f64,
