@@ -42,10 +42,12 @@ def block_scales(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "b
     blocks = df.groupBy(*key, "_block").agg(F.max("_lead").alias("_top"), F.max((F.col("_e") == special).cast("int")).alias("_bad"))
     df = df.join(blocks, [*key, "_block"])
     shared = F.col("_top") - emax
-    return df.withColumns({"block_nan": (F.col("_bad") == 1) | F.coalesce(shared > limit, F.lit(False)), "scale_clamped": F.coalesce(shared < -limit, F.lit(False)), "_shared": F.greatest(shared, ONE(-limit))})
+    return df.withColumns({"block_nan": (F.col("_bad") == 1) | F.coalesce(shared > limit, F.lit(False)), "scale_clamped": F.coalesce(shared < -limit,
+        F.lit(False)), "_shared": F.greatest(shared, ONE(-limit))})
 
 
-def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits", esz: int = 4, mbits: int | Column = 3, emax: int = 8, emin: int = -6, scale_bits: int = 8, block: int = 32, sites: DataFrame | None = None) -> DataFrame:
+def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits", esz: int = 4, mbits: int | Column = 3,
+    emax: int = 8, emin: int = -6, scale_bits: int = 8, block: int = 32, sites: DataFrame | None = None) -> DataFrame:
     """`df` with mx_bits and the flags changed, flushed, saturated, block_nan, scale_clamped.
 
     The shared exponent of a block is the largest floor(log2 |v|) less emax. A block with an infinity or NaN, or with a
@@ -77,7 +79,8 @@ def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits"
     # back to bits: r * 2**qq, normal or subnormal, overflow to infinity
     length = F.length(F.bin("_r")).cast("long")
     exp = length - 1 + F.col("_qq") + bias
-    normal = F.shiftleft(exp, mant).bitwiseOR(F.when(length - 1 <= mant, shl(F.col("_r"), F.greatest(mant - length + 1, ONE(0)))).otherwise(shr(F.col("_r"), F.greatest(length - 1 - mant, ONE(0)))).bitwiseAND(ONE((1 << mant) - 1)))
+    normal = F.shiftleft(exp, mant).bitwiseOR(F.when(length - 1 <= mant, shl(F.col("_r"), F.greatest(mant - length + 1,
+        ONE(0)))).otherwise(shr(F.col("_r"), F.greatest(length - 1 - mant, ONE(0)))).bitwiseAND(ONE((1 << mant) - 1)))
     low = F.col("_qq") - (1 - bias - mant)
     sub = F.when(low >= 0, shl(F.col("_r"), F.greatest(low, ONE(0)))).otherwise(shr(F.col("_r"), F.greatest(-low, ONE(0))))
     magnitude = F.when(F.col("_r") == 0, ONE(0)).when(exp >= special, ONE(special << mant)).when(exp >= 1, normal).otherwise(sub)
@@ -94,8 +97,11 @@ def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits"
 
 def mx_summary(rounded: DataFrame, key: list[str], by: list[str], idx: str = "idx", block: int = 32) -> DataFrame:
     """Counters per group: stores, values changed, flushed and saturated, blocks, blocks made NaN, scales clamped."""
-    blocks = rounded.groupBy(*dict.fromkeys([*by, *key]), F.floor(F.col(idx) / block).alias("_b")).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in ("changed", "flushed", "saturated")), F.max(F.col("block_nan").cast("long")).alias("nan"), F.max(F.col("scale_clamped").cast("long")).alias("low"))
-    return blocks.groupBy(*by).agg(F.sum("n").alias("stores"), *(F.sum(c).alias(f"values_{c}") for c in ("changed", "flushed", "saturated")), F.count("*").alias("blocks"), F.sum("nan").alias("blocks_nan"), F.sum("low").alias("scales_clamped"))
+    blocks = rounded.groupBy(*dict.fromkeys([*by, *key]), F.floor(F.col(idx) / block).alias("_b")).agg(F.count("*").alias("n"),
+        *(F.sum(F.col(c).cast("long")).alias(c) for c in ("changed", "flushed", "saturated")), F.max(F.col("block_nan").cast("long")).alias("nan"),
+        F.max(F.col("scale_clamped").cast("long")).alias("low"))
+    return blocks.groupBy(*by).agg(F.sum("n").alias("stores"), *(F.sum(c).alias(f"values_{c}") for c in ("changed", "flushed",
+        "saturated")), F.count("*").alias("blocks"), F.sum("nan").alias("blocks_nan"), F.sum("low").alias("scales_clamped"))
 
 
 def mantissa_sweep(df: DataFrame, key: list[str], by: list[str], widths: tuple[int, ...] = (23, 16, 10, 7, 3), **options) -> DataFrame:

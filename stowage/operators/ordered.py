@@ -32,7 +32,10 @@ def bit_patterns(t: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
     pairs = previous(t, BUFFER, ("rn", "value"), "value", "prev", bits)
     e, m = b.biased_exp("alloc_type", "value"), b.mantissa("alloc_type", "value")
     some = F.col("prev").isNotNull()
-    return pairs.groupBy(*TYPED).agg(F.count("*").alias("total"), F.count_if(F.col("value") == 0).alias("zero_values"), F.count_if(e == 0).alias("exp_zero"), F.count_if(m == 0).alias("mantissa_zero"), F.count("prev").alias("pairs"), F.count_if(some & (F.col("prev") == F.col("value"))).alias("bit_identical"), r9(F.sum(b.hamming("alloc_type", "value", "prev")) / F.count("prev")).alias("mean_hamming"))
+    return pairs.groupBy(*TYPED).agg(F.count("*").alias("total"), F.count_if(F.col("value") == 0).alias("zero_values"),
+        F.count_if(e == 0).alias("exp_zero"), F.count_if(m == 0).alias("mantissa_zero"), F.count("prev").alias("pairs"),
+        F.count_if(some & (F.col("prev") == F.col("value"))).alias("bit_identical"), r9(F.sum(b.hamming("alloc_type",
+        "value", "prev")) / F.count("prev")).alias("mean_hamming"))
 
 
 def write_concentration(t: DataFrame, shares: tuple[int, ...] = (50, 80, 90, 95, 99)) -> DataFrame:
@@ -41,7 +44,8 @@ def write_concentration(t: DataFrame, shares: tuple[int, ...] = (50, 80, 90, 95,
     w = Window.partitionBy("bench").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy("bench")
     each = each.withColumns({"rank": F.coalesce(F.sum("m").over(w), F.lit(0)), "sum": F.coalesce(F.sum(F.col("m") * F.col("n")).over(w), F.lit(0)), "total": F.sum(F.col("m") * F.col("n")).over(all_)})
-    first = lambda p: F.min(F.when(100 * (F.col("sum") + F.col("n") * F.col("m")) >= p * F.col("total"), F.col("rank") + F.greatest(F.lit(1), F.ceil((p * F.col("total") - 100 * F.col("sum")) / (100 * F.col("n"))))))
+    first = lambda p: F.min(F.when(100 * (F.col("sum") + F.col("n") * F.col("m")) >= p * F.col("total"), F.col("rank") + F.greatest(F.lit(1),
+        F.ceil((p * F.col("total") - 100 * F.col("sum")) / (100 * F.col("n"))))))
     return each.groupBy("bench").agg(F.max("total").alias("total_stores"), F.sum("m").alias("total_buffers"), *(first(p).alias(f"top_for_{p}pct") for p in shares))
 
 
@@ -63,7 +67,9 @@ def mx_feasibility(t: DataFrame, block: int = 32, spread: int = 8) -> DataFrame:
     """A block of fewer than two normal values fits, and has no part in the mean and the median."""
     s = F.col("hi") - F.col("lo")
     fits, wide = (F.col("n") < 2) | (s <= spread), F.when(F.col("n") >= 2, s)
-    return block_extents(t, block).groupBy(*TYPED).agg(F.count("*").alias("blocks"), F.count_if(fits).alias("viable_blocks"), b.share(fits).alias("viable_frac"), r9(F.sum(wide) / F.count(wide)).alias("mean_spread"), F.percentile(wide, 0.5).alias("median_spread"), F.max(s).alias("max_spread"))
+    return block_extents(t, block).groupBy(*TYPED).agg(F.count("*").alias("blocks"), F.count_if(fits).alias("viable_blocks"),
+        b.share(fits).alias("viable_frac"), r9(F.sum(wide) / F.count(wide)).alias("mean_spread"), F.percentile(wide,
+        0.5).alias("median_spread"), F.max(s).alias("max_spread"))
 
 
 def mx_block_sweep(t: DataFrame, sizes: tuple[int, ...] = (8, 16, 32, 64, 128)) -> DataFrame:
@@ -71,7 +77,8 @@ def mx_block_sweep(t: DataFrame, sizes: tuple[int, ...] = (8, 16, 32, 64, 128))
     s = F.col("hi") - F.col("lo")
     small, wide = F.col("n") < 2, F.when(F.col("n") >= 2, s)
     blocks = at_sizes(block_extents(t, sizes[0]), sizes).groupBy(*TYPED, "block_size")
-    return blocks.agg(F.count("*").alias("blocks"), b.share(small | (s <= 4)).alias("viable_spread4"), b.share(small | (s <= 8)).alias("viable_spread8"), r9(F.sum(wide) / F.count(wide)).alias("mean_spread"))
+    return blocks.agg(F.count("*").alias("blocks"), b.share(small | (s <= 4)).alias("viable_spread4"), b.share(small | (s <= 8)).alias("viable_spread8"),
+        r9(F.sum(wide) / F.count(wide)).alias("mean_spread"))
 
 
 def mx_scale_sharing(t: DataFrame, sizes: tuple[int, ...] = (16, 32, 64)) -> DataFrame:
@@ -79,7 +86,9 @@ def mx_scale_sharing(t: DataFrame, sizes: tuple[int, ...] = (16, 32, 64)) -> Dat
     blocks = at_sizes(block_extents(t, sizes[0]), sizes).where("hi is not null")
     own = blocks.groupBy(*BUFFER, "block_size").agg(F.min("alloc_type").alias("alloc_type"), F.count("*").alias("k"), F.count_distinct("hi").alias("d"))
     shared = F.col("d") / F.col("k")
-    return own.groupBy(*TYPED, "block_size").agg(F.sum("k").alias("blocks"), F.sum("d").alias("distinct_scales_total"), r9(F.sum("d") / F.sum("k")).alias("overall_scale_share"), r9(F.avg(shared)).alias("mean_buffer_share"), r9(F.percentile(shared, 0.5)).alias("median_buffer_share"))
+    return own.groupBy(*TYPED, "block_size").agg(F.sum("k").alias("blocks"), F.sum("d").alias("distinct_scales_total"),
+        r9(F.sum("d") / F.sum("k")).alias("overall_scale_share"), r9(F.avg(shared)).alias("mean_buffer_share"), r9(F.percentile(shared,
+        0.5)).alias("median_buffer_share"))
 
 
 def gini_of(counts: DataFrame, key: tuple[str, ...], x: str) -> DataFrame:
@@ -96,7 +105,8 @@ def intra_buffer_gini(t: DataFrame, exact: bool = True) -> DataFrame:
     counts = cell_counts(t.where(FP)).withColumnRenamed("writes", "x")
     g = gini_of(counts, (*BUFFER, "alloc_type"), "x").where("n > 1")
     median = F.percentile("gini", 0.5) if exact else F.percentile_approx("gini", 0.5)
-    return g.groupBy(*TYPED).agg(F.count("*").alias("buffers"), r9(F.avg("gini")).alias("mean_gini"), r9(median).alias("median_gini"), r9(F.min("gini")).alias("min_gini"), r9(F.max("gini")).alias("max_gini"), r9(F.sum(F.col("gini") * F.col("total")) / F.sum("total")).alias("weighted_gini"))
+    return g.groupBy(*TYPED).agg(F.count("*").alias("buffers"), r9(F.avg("gini")).alias("mean_gini"), r9(median).alias("median_gini"),
+        r9(F.min("gini")).alias("min_gini"), r9(F.max("gini")).alias("max_gini"), r9(F.sum(F.col("gini") * F.col("total")) / F.sum("total")).alias("weighted_gini"))
 
 
 def hot_offsets(t: DataFrame, buffers: int = 10, offsets: int = 5) -> DataFrame:
@@ -107,14 +117,17 @@ def hot_offsets(t: DataFrame, buffers: int = 10, offsets: int = 5) -> DataFrame:
     rows = cells.join(chosen, list(BUFFER))
     rank = F.row_number().over(Window.partitionBy(*BUFFER).orderBy(F.desc("writes"), "offset"))
     rows = rows.withColumn("_r", rank).where(F.col("_r") <= offsets)
-    return rows.select("bench", "alloc_addr", "generation", "alloc_type", "alloc_size", "offset", "writes", r9(100 * F.col("writes") / F.col("all")).alias("pct_of_buffer"), r9(100 * F.col("writes") / F.col("bench_all")).alias("pct_of_bench"))
+    return rows.select("bench", "alloc_addr", "generation", "alloc_type", "alloc_size", "offset", "writes", r9(100 * F.col("writes") / F.col("all")).alias("pct_of_buffer"),
+        r9(100 * F.col("writes") / F.col("bench_all")).alias("pct_of_bench"))
 
 
 def spatial_delta(t: DataFrame) -> DataFrame:
     """Neighbouring cells of a buffer, last values: how many bits differ (up to 8, up to 16), and the bits of the numeric difference."""
     pairs = previous(snapshot(t), BUFFER, ("offset",), "value", "prev").where("prev is not null")
     d, h = b.log_delta("value", "prev"), b.hamming("alloc_type", "value", "prev")
-    return pairs.groupBy(*TYPED).agg(F.count("*").alias("pairs"), F.count_if(F.col("value") == F.col("prev")).alias("bit_identical"), F.count_if(h <= 8).alias("delta_le_8b"), F.count_if(h <= 16).alias("delta_le_16b"), r9(F.sum(h) / F.count("*")).alias("mean_hamming"), r9(F.sum(d) / F.count("*")).alias("mean_log_delta"))
+    return pairs.groupBy(*TYPED).agg(F.count("*").alias("pairs"), F.count_if(F.col("value") == F.col("prev")).alias("bit_identical"),
+        F.count_if(h <= 8).alias("delta_le_8b"), F.count_if(h <= 16).alias("delta_le_16b"), r9(F.sum(h) / F.count("*")).alias("mean_hamming"),
+        r9(F.sum(d) / F.count("*")).alias("mean_log_delta"))
 
 
 def stacks_of_buffers(t: DataFrame) -> DataFrame:

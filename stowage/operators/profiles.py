@@ -54,7 +54,8 @@ def profile_rollup(p: DataFrame, event: str, by: str = "file:fn", threshold: flo
     kept = rows.crossJoin(F.broadcast(total)).where(100 * F.abs("inner_n") >= threshold * F.abs("total"))
     order = Window.partitionBy().orderBy(F.desc(F.abs("outer_n")), outer).rowsBetween(Window.unboundedPreceding, 0)
     ranked = outers.join(kept.select(outer).distinct(), outer, "left_semi").withColumn("cum_n", F.sum("outer_n").over(order))  # at most 100 / threshold rows pass
-    return kept.join(ranked, outer).select(outer, inner, "outer_n", "inner_n", r9(100 * b.ratio("inner_n", "total")).alias("inner_pct"), r9(100 * b.ratio("outer_n", "total")).alias("outer_pct"), r9(100 * b.ratio("cum_n", "total")).alias("cum_pct"))
+    return kept.join(ranked, outer).select(outer, inner, "outer_n", "inner_n", r9(100 * b.ratio("inner_n", "total")).alias("inner_pct"),
+        r9(100 * b.ratio("outer_n", "total")).alias("outer_pct"), r9(100 * b.ratio("cum_n", "total")).alias("cum_pct"))
 
 
 def line_costs(p: DataFrame) -> DataFrame:
@@ -119,7 +120,8 @@ def heap_tree_significant(nodes: DataFrame, threshold: float = 1.0) -> DataFrame
 
 def decode_access_counts(acc) -> Column:
     """counts of accesses by offset; a negative entry repeats the value after it, and 0xffff means "too many" (null)."""
-    step = lambda s, x: F.when(x < 0, F.struct((-x).alias("times"), s["out"].alias("out"))).otherwise(F.struct(F.lit(1).alias("times"), F.concat(s["out"], F.array_repeat(F.when(x < 0xFFFF, x), s["times"])).alias("out")))
+    step = lambda s, x: F.when(x < 0, F.struct((-x).alias("times"), s["out"].alias("out"))).otherwise(F.struct(F.lit(1).alias("times"),
+        F.concat(s["out"], F.array_repeat(F.when(x < 0xFFFF, x), s["times"])).alias("out")))
     return F.aggregate(F.transform(b.c(acc), lambda x: x.cast("int")), F.struct(F.lit(1).alias("times"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
 
 
@@ -199,7 +201,8 @@ def heap_prefix_tree(points: DataFrame, counters: list[str], compress: bool = Fa
 
 def heap_metrics(nodes: DataFrame) -> DataFrame:
     """tb, tbk, tl: bytes, blocks and lifetimes; rb, wb: bytes read and written."""
-    return nodes.select("prefix", r9(b.ratio("tb", "tbk")).alias("avg_size"), r9(b.ratio("tl", "tbk")).alias("avg_lifetime"), r9(b.ratio("rb", "tb")).alias("reads_per_byte"), r9(b.ratio("wb", "tb")).alias("writes_per_byte"))
+    return nodes.select("prefix", r9(b.ratio("tb", "tbk")).alias("avg_size"), r9(b.ratio("tl", "tbk")).alias("avg_lifetime"),
+        r9(b.ratio("rb", "tb")).alias("reads_per_byte"), r9(b.ratio("wb", "tb")).alias("writes_per_byte"))
 
 
 def heap_presets(total: dict[str, float], short_lived: float) -> dict[str, Column]:

@@ -32,7 +32,8 @@ def top(df: DataFrame, k: int, by: str | None, *order) -> DataFrame:
 def summary(t: DataFrame) -> DataFrame:
     of = lambda kind: F.count_if(F.col("alloc_type") == kind)
     buffers = t.groupBy(*BUFFER).agg(F.count("*").alias("n"), of("64bits").alias("w"), of("32bits").alias("h"), of("object").alias("o"), F.count_if(F.col("value") == 0).alias("z"))
-    total = buffers.groupBy("bench").agg(F.sum("n").alias("stores"), F.count("*").alias("allocations"), F.sum("w").alias("stores_64"), F.sum("h").alias("stores_32"), F.sum("o").alias("stores_object"), F.sum("z").alias("z"))
+    total = buffers.groupBy("bench").agg(F.sum("n").alias("stores"), F.count("*").alias("allocations"), F.sum("w").alias("stores_64"),
+        F.sum("h").alias("stores_32"), F.sum("o").alias("stores_object"), F.sum("z").alias("z"))
     return total.withColumn("frac_zero_value", r9(F.col("z") / F.col("stores"))).drop("z")
 
 
@@ -51,19 +52,23 @@ def hot_stack_sites(t: DataFrame, k: int = 15) -> DataFrame:
     """Over all benches; total_bytes adds alloc_size once per store, distinct_bytes once per buffer."""
     own = t.groupBy("alloc_stack", *BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"))
     by_stack = own.groupBy("bench", "alloc_stack").agg(F.sum("n").alias("n"), F.count("*").alias("a"), F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("size").alias("d"))
-    sites = by_stack.groupBy("bench", site3("alloc_stack").alias("site3")).agg(F.sum("n").alias("stores"), F.sum("a").alias("allocs"), F.sum("s").alias("total_bytes"), F.sum("d").alias("distinct_bytes"))
+    sites = by_stack.groupBy("bench", site3("alloc_stack").alias("site3")).agg(F.sum("n").alias("stores"), F.sum("a").alias("allocs"),
+        F.sum("s").alias("total_bytes"), F.sum("d").alias("distinct_bytes"))
     return top(sites, k, None, F.desc("stores"), "bench", "site3")
 
 
 def value_patterns(t: DataFrame) -> DataFrame:
     v, high = F.col("value"), b.top_bits("value", 8)
     e = F.shiftrightunsigned("value", 52).bitwiseAND(F.lit(2047))
-    return t.groupBy(*TYPED).agg(F.count_if(v == 0).alias("zero"), F.count_if((v != 0) & (high == 0)).alias("nonzero_top_byte_zero"), F.count_if(high != 0).alias("nonzero_top_byte_nonzero"), F.count_if(e.between(1, 2046)).alias("exp_field_normal_f64"), F.count("*").alias("total"))
+    return t.groupBy(*TYPED).agg(F.count_if(v == 0).alias("zero"), F.count_if((v != 0) & (high == 0)).alias("nonzero_top_byte_zero"),
+        F.count_if(high != 0).alias("nonzero_top_byte_nonzero"), F.count_if(e.between(1, 2046)).alias("exp_field_normal_f64"),
+        F.count("*").alias("total"))
 
 
 def alignment(t: DataFrame) -> DataFrame:
     o = F.col("offset")
-    return t.groupBy(*TYPED).agg(F.count_if(o % 8 == 0).alias("aligned_8b"), F.count_if((o % 8 != 0) & (o % 4 == 0)).alias("aligned_4b_only"), F.count_if(o % 4 != 0).alias("unaligned"), F.count("*").alias("total"))
+    return t.groupBy(*TYPED).agg(F.count_if(o % 8 == 0).alias("aligned_8b"), F.count_if((o % 8 != 0) & (o % 4 == 0)).alias("aligned_4b_only"),
+        F.count_if(o % 4 != 0).alias("unaligned"), F.count("*").alias("total"))
 
 
 def reused_allocations(t: DataFrame, k: int = 20) -> DataFrame:
@@ -79,7 +84,8 @@ def reused_allocations(t: DataFrame, k: int = 20) -> DataFrame:
 def coverage(t: DataFrame) -> DataFrame:
     own = cell_counts(t.where(FP)).groupBy(*BUFFER).agg(F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("size"), F.count("*").alias("slots"), F.sum("writes").alias("writes"))
     own = own.select(*TYPED, b.ratio(F.col("slots") * b.slot_bytes("alloc_type"), "size").alias("cover"), b.ratio("writes", "slots").alias("per_slot"))
-    return own.groupBy(*TYPED).agg(F.count("*").alias("allocations"), r9(F.avg("cover")).alias("avg_coverage"), r9(F.min("cover")).alias("min_coverage"), r9(F.max("cover")).alias("max_coverage"), r9(F.avg("per_slot")).alias("avg_writes_per_slot"))
+    return own.groupBy(*TYPED).agg(F.count("*").alias("allocations"), r9(F.avg("cover")).alias("avg_coverage"), r9(F.min("cover")).alias("min_coverage"),
+        r9(F.max("cover")).alias("max_coverage"), r9(F.avg("per_slot")).alias("avg_writes_per_slot"))
 
 
 def fit_shares(fmts=tuple(b.FORMATS)) -> list[Column]:
@@ -128,16 +134,19 @@ def site_profile(t: DataFrame, k: int = 15) -> DataFrame:
     own = t.groupBy("alloc_stack", *BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"), F.sum(zeros).alias("tz"), F.count(zeros).alias("k"))
     by_stack = own.groupBy("bench", "alloc_stack").agg(F.sum("n").alias("n"), F.count("*").alias("a"), F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("tz").alias("tz"), F.sum("k").alias("k"))
     by_stack = by_stack.withColumn("tz", F.col("n") * F.coalesce(F.col("tz") / F.nullif("k", F.lit(0)), F.lit(0.0)))
-    sites = by_stack.groupBy("bench", alloc_site("alloc_stack").alias("site")).agg(F.sum("n").alias("stores"), F.sum("a").alias("buffers"), F.sum("s").alias("s"), F.sum("tz").alias("tz")).where("site <> ''")
+    sites = by_stack.groupBy("bench", alloc_site("alloc_stack").alias("site")).agg(F.sum("n").alias("stores"), F.sum("a").alias("buffers"),
+        F.sum("s").alias("s"), F.sum("tz").alias("tz")).where("site <> ''")
     sites = sites.withColumn("all", F.sum("stores").over(Window.partitionBy("bench")))
     sites = top(sites, k, "bench", F.desc("stores"), "site")
-    return sites.select("bench", "site", "stores", r9(100 * F.col("stores") / F.col("all")).alias("pct_of_bench"), "buffers", r9(F.col("s") / F.col("stores")).alias("mean_alloc_size"), r9(F.col("tz") / F.col("stores")).alias("mean_trailing_z"))
+    return sites.select("bench", "site", "stores", r9(100 * F.col("stores") / F.col("all")).alias("pct_of_bench"), "buffers",
+        r9(F.col("s") / F.col("stores")).alias("mean_alloc_size"), r9(F.col("tz") / F.col("stores")).alias("mean_trailing_z"))
 
 
 def bdi_compression(t: DataFrame) -> DataFrame:
     """Last values per cache line: how many lines of two slots or more have a range that fits 8, 16 or 32 bits (null: no such line), and their mean range."""
     u = b.unsigned_order("value")
-    lines = snapshot(t).groupBy(*BUFFER, b.line_id("offset").alias("line")).agg(F.min("alloc_type").alias("alloc_type"), F.count("*").alias("slots"), b.unsigned_range(F.min(u), F.max(u)).alias("range"))
+    lines = snapshot(t).groupBy(*BUFFER, b.line_id("offset").alias("line")).agg(F.min("alloc_type").alias("alloc_type"),
+        F.count("*").alias("slots"), b.unsigned_range(F.min(u), F.max(u)).alias("range"))
     many = F.col("slots") > 1
     small = lambda k: r9(b.ratio(F.count_if(many & (F.col("range") < F.lit(1 << k).cast("decimal(20,0)"))), F.count_if(many)))
     mean = r9(F.avg(F.when(many, F.col("range").cast("double")))).alias("mean_range")
@@ -146,7 +155,8 @@ def bdi_compression(t: DataFrame) -> DataFrame:
 
 def fpc_patterns(t: DataFrame) -> DataFrame:
     zero = F.col("value") == 0
-    flags = {"zero": zero, **{f"sign{k}": b.fits_signed(k, "alloc_type", "value") for k in (4, 8, 16, 32)}, "high_zero_low16": b.high_zero_low16("value"), "repeating_byte": b.repeating_byte("alloc_type", "value")}
+    flags = {"zero": zero, **{f"sign{k}": b.fits_signed(k, "alloc_type", "value") for k in (4, 8, 16, 32)}, "high_zero_low16": b.high_zero_low16("value"),
+        "repeating_byte": b.repeating_byte("alloc_type", "value")}
     any_ = F.lit(False)
     for f in flags.values():
         any_ |= f
@@ -157,7 +167,8 @@ def site_required_exp_bits(t: DataFrame, k: int = 20, least: int = 1000) -> Data
     """Of stores that are not zero; stacks without a normal value and stores without a site are left out."""
     x = b.normal_exp("alloc_type", "value")
     by_stack = t.where(FP).where("value <> 0").groupBy(*TYPED, "alloc_stack").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).where("lo is not null")
-    sites = by_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(F.min("lo").alias("min_e"), F.max("hi").alias("max_e"), F.sum("n").alias("total")).where((F.col("total") >= least) & (F.col("site") != ""))
+    sites = by_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(F.min("lo").alias("min_e"), F.max("hi").alias("max_e"),
+        F.sum("n").alias("total")).where((F.col("total") >= least) & (F.col("site") != ""))
     sites = top(sites, k, "bench", F.desc("total"), "alloc_type", "site")
     return sites.select(*TYPED, "site", "min_e", "max_e", (F.col("max_e") - F.col("min_e") + 1).alias("exp_range"), b.required_exp_bits("min_e", "max_e").alias("required_e_bits"), "total")
 
@@ -181,7 +192,8 @@ def posit_fit(t: DataFrame) -> DataFrame:
 
 def trace_volume(t: DataFrame) -> DataFrame:
     own = t.groupBy("alloc_stack", *BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"))
-    total = own.groupBy("bench").agg(F.sum("n").alias("stores"), F.sum("size").alias("bytes_addressed"), F.count("*").alias("buffers"), F.count_distinct("alloc_stack").alias("call_sites"), F.count_distinct("size").alias("distinct_sizes"))
+    total = own.groupBy("bench").agg(F.sum("n").alias("stores"), F.sum("size").alias("bytes_addressed"), F.count("*").alias("buffers"),
+        F.count_distinct("alloc_stack").alias("call_sites"), F.count_distinct("size").alias("distinct_sizes"))
     return total.withColumn("buffers_per_site", r9(b.ratio("buffers", "call_sites")))
 
 
@@ -189,7 +201,10 @@ def trace_robustness(t: DataFrame) -> DataFrame:
     """buffers_reused counts addresses with more than one generation."""
     kind = lambda k: F.count_if(F.col("alloc_type") == k)
     own = t.groupBy(*BUFFER).agg(F.min("alloc_size").alias("size"), F.max("offset").alias("o"), F.min("alloc_type").alias("alloc_type"))
-    one = own.groupBy("bench").agg(F.min("size").alias("min_size"), F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size"), F.max("generation").alias("max_generation"), F.count_distinct("alloc_type").alias("distinct_alignment_classes"), kind("64bits").alias("buffers_64"), kind("32bits").alias("buffers_32"), kind("object").alias("buffers_object"), F.max("o").alias("max_offset"))
+    one = own.groupBy("bench").agg(F.min("size").alias("min_size"), F.percentile("size", 0.5).alias("median_size"), F.max("size").alias("max_size"),
+        F.max("generation").alias("max_generation"), F.count_distinct("alloc_type").alias("distinct_alignment_classes"),
+        kind("64bits").alias("buffers_64"), kind("32bits").alias("buffers_32"), kind("object").alias("buffers_object"),
+        F.max("o").alias("max_offset"))
     two = own.groupBy("bench", "run_id", "alloc_addr").agg(F.max("generation").alias("g")).groupBy("bench").agg(F.count_if(F.col("g") > 1).alias("buffers_reused"))
     return one.join(two, "bench")
 
@@ -200,7 +215,8 @@ def exponent_classes(t: DataFrame) -> DataFrame:
     for name, kind in (("f64", "64bits"), ("f32", "32bits")):
         bits = F.col("value") if name == "f64" else b.low32("value")
         of = lambda x, kind=kind: b.share(F.coalesce((F.col("alloc_type") == kind) & x, F.lit(False)))
-        columns += [of((bits != 0) & b.is_normal("alloc_type", "value")).alias(f"frac_normal_{name}"), of((bits != 0) & (e == 0)).alias(f"frac_subnormal_{name}"), of(e == b.exp_special("alloc_type")).alias(f"frac_inf_nan_{name}")]
+        columns += [of((bits != 0) & b.is_normal("alloc_type", "value")).alias(f"frac_normal_{name}"), of((bits != 0) & (e == 0)).alias(f"frac_subnormal_{name}"),
+            of(e == b.exp_special("alloc_type")).alias(f"frac_inf_nan_{name}")]
     return t.groupBy(*TYPED).agg(F.count("*").alias("stores"), b.share(F.col("value") == 0).alias("frac_zero"), *columns)
 
 

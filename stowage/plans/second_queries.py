@@ -64,7 +64,8 @@ SELECT bench, alloc_type, min_gini < 0 OR max_gini > 1 AS out_of_range, greatest
     "d15_exp_bits_histogram": over("c24_site_required_exp_bits_mix", d.exp_bits_histogram, """
 SELECT alloc_type, required_e_bits, CAST(sum(total) AS BIGINT) AS stores, round(sum(sum(total)) OVER (PARTITION BY alloc_type ORDER BY required_e_bits) / sum(sum(total)) OVER (PARTITION BY alloc_type), 9) AS cum_share
 FROM base GROUP BY alloc_type, required_e_bits"""),
-    "d15_exp_bits_shares": over("c24_site_required_exp_bits_mix", d.exp_bits_shares, "SELECT alloc_type, CAST(sum(total) AS BIGINT) AS stores, " + ", ".join(f"round(coalesce(sum(total) FILTER (required_e_bits <= {w}), 0) / sum(total), 9) AS le_{w}_bits" for w in (4, 5, 8, 11)) + " FROM base GROUP BY alloc_type"),
+    "d15_exp_bits_shares": over("c24_site_required_exp_bits_mix", d.exp_bits_shares, "SELECT alloc_type, CAST(sum(total) AS BIGINT) AS stores, " + ", ".join(f"round(coalesce(sum(total) FILTER (required_e_bits <= {w}), 0) / sum(total), 9) AS le_{w}_bits" for w in (4,
+        5, 8, 11)) + " FROM base GROUP BY alloc_type"),
     "d16_residual_class_share": over("c34_exponent_classes", d.residual_class_share, """
 SELECT bench, alloc_type, round(greatest(0.0, least(1.0, 1 - (coalesce(frac_zero, 0) + coalesce(normal, 0) + coalesce(subnormal, 0) + coalesce(inf_nan, 0)))), 8) AS other
 FROM (SELECT bench, alloc_type, frac_zero, frac_normal_f64 AS normal, frac_subnormal_f64 AS subnormal, frac_inf_nan_f64 AS inf_nan FROM base WHERE alloc_type = '64bits'

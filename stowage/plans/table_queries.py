@@ -18,7 +18,9 @@ def read(spark, sf_dir, name):
 
 def costs(spark, sf_dir):
     """Two runs of a line-level profile: odd and even orders."""
-    l = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("run"), (F.col("l_orderkey") % 2).cast("string")).alias("run"), (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("string").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("fn"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_quantity").cast("long").alias("quantity"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"))  # noqa: E741
+    l = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("run"), (F.col("l_orderkey") % 2).cast("string")).alias("run"),
+        (F.year("l_shipdate") * 100 + F.month("l_shipdate")).cast("string").alias("file"), F.concat("l_returnflag", "l_linestatus").alias("fn"),
+        F.col("l_linenumber").cast("int").alias("line"), F.col("l_quantity").cast("long").alias("quantity"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"))  # noqa: E741
     events = F.explode(F.array(F.struct(F.lit("quantity").alias("event"), F.col("quantity").alias("n")), F.struct(F.lit("price").alias("event"), F.col("price").alias("n")))).alias("x")
     return l.select("run", "file", "fn", "line", events).select("run", "file", "fn", "line", "x.*")
 
@@ -30,7 +32,8 @@ COSTS = """WITH costs AS (SELECT 'run' || (l_orderkey % 2) AS run, CAST(year(l_s
 def calls(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.col("l_quantity").cast("long").alias("n"))  # noqa: E741
-    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("caller"), F.col("l_returnflag").alias("callee")).agg(F.count("*").alias("calls"), F.sum("n").alias("n"))
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_orderpriority").alias("caller"), F.col("l_returnflag").alias("callee")).agg(F.count("*").alias("calls"),
+        F.sum("n").alias("n"))
 
 
 CALLS = """
@@ -45,7 +48,8 @@ def own_costs(spark, sf_dir):
 
 def snapshots(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("run"), F.col("event_id").cast("long").alias("snapshot"), F.col("event_id").cast("long").alias("time"), (F.col("user_id").cast("long") * 100).alias("heap"), (F.col("event_id").cast("long") % 17).alias("extra"), F.lit(3).cast("long").alias("stacks"))
+    return e.select(F.col("event_type").alias("run"), F.col("event_id").cast("long").alias("snapshot"), F.col("event_id").cast("long").alias("time"),
+        (F.col("user_id").cast("long") * 100).alias("heap"), (F.col("event_id").cast("long") % 17).alias("extra"), F.lit(3).cast("long").alias("stacks"))
 
 
 def readable(spark, sf_dir):
@@ -62,7 +66,10 @@ def heap_nodes(spark, sf_dir):
 def heap_points(spark, sf_dir):
     l = read(spark, sf_dir, "lineitem")  # noqa: E741
     fs = F.array("l_returnflag", "l_linestatus", F.col("l_linenumber").cast("string"))
-    return l.select(F.slice(fs, 1, (1 + F.col("l_orderkey") % 3).cast("int")).alias("fs"), F.col("l_quantity").cast("long").alias("tb"), F.lit(1).cast("long").alias("tbk"), (F.col("l_linenumber").cast("long") * 100).alias("tl"), (F.col("l_quantity").cast("long") * (F.col("l_orderkey").cast("long") % 2)).alias("gb"), (F.col("l_quantity").cast("long") * (F.col("l_partkey").cast("long") % 3)).alias("eb"), (F.col("l_partkey").cast("long") % 50).alias("rb"), (F.col("l_suppkey").cast("long") % 9).alias("wb"))
+    return l.select(F.slice(fs, 1, (1 + F.col("l_orderkey") % 3).cast("int")).alias("fs"), F.col("l_quantity").cast("long").alias("tb"),
+        F.lit(1).cast("long").alias("tbk"), (F.col("l_linenumber").cast("long") * 100).alias("tl"), (F.col("l_quantity").cast("long") * (F.col("l_orderkey").cast("long") % 2)).alias("gb"),
+        (F.col("l_quantity").cast("long") * (F.col("l_partkey").cast("long") % 3)).alias("eb"), (F.col("l_partkey").cast("long") % 50).alias("rb"),
+        (F.col("l_suppkey").cast("long") % 9).alias("wb"))
 
 
 COUNTERS = ["tb", "tbk", "tl", "gb", "eb", "rb", "wb"]
@@ -78,20 +85,24 @@ def named(df):
 
 def block_events(spark, sf_dir):
     e = read(spark, sf_dir, "events")
-    return e.select(F.lit("r").alias("run"), (F.col("user_id") % 4).cast("int").alias("thread"), F.col("event_id").cast("long").alias("seq"), F.col("event_type").alias("block"), (1 + F.col("user_id").cast("long") % 7).alias("n_instr"))
+    return e.select(F.lit("r").alias("run"), (F.col("user_id") % 4).cast("int").alias("thread"), F.col("event_id").cast("long").alias("seq"),
+        F.col("event_type").alias("block"), (1 + F.col("user_id").cast("long") % 7).alias("n_instr"))
 
 
 def allocations(spark, sf_dir):
     """Allocations at 16 addresses, one after another at each."""
     o = read(spark, sf_dir, "orders")
-    events = o.select(F.lit("r0").alias("run_id"), (F.col("o_orderkey").cast("long") * 10).alias("seq"), F.lit("ALLOC").alias("kind"), ((F.col("o_custkey").cast("long") % 16) * 8192).alias("addr"), (4096 + (F.col("o_orderkey").cast("long") % 5) * 1500).alias("size"), F.lit(None).cast("string").alias("frame"), F.col("o_orderkey").cast("long").alias("block"), F.lit("ALLOC").alias("inside"))
+    events = o.select(F.lit("r0").alias("run_id"), (F.col("o_orderkey").cast("long") * 10).alias("seq"), F.lit("ALLOC").alias("kind"),
+        ((F.col("o_custkey").cast("long") % 16) * 8192).alias("addr"), (4096 + (F.col("o_orderkey").cast("long") % 5) * 1500).alias("size"),
+        F.lit(None).cast("string").alias("frame"), F.col("o_orderkey").cast("long").alias("block"), F.lit("ALLOC").alias("inside"))
     return traces.pair_lifetimes(events)
 
 
 def stores(spark, sf_dir):
     """One store per order line number."""
     l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").cast("long").alias("part"), F.min("l_suppkey").cast("long").alias("supp"))  # noqa: E741
-    return l.select(F.lit("r0").alias("run_id"), (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("seq"), ((F.col("part") * 37 % 18) * 8192 + F.col("supp") * 977 % 8192).alias("addr"), F.col("part").alias("value"))
+    return l.select(F.lit("r0").alias("run_id"), (F.col("l_orderkey").cast("long") * 10 + F.col("l_linenumber")).alias("seq"),
+        ((F.col("part") * 37 % 18) * 8192 + F.col("supp") * 977 % 8192).alias("addr"), F.col("part").alias("value"))
 
 
 INGEST = """WITH allocs AS (SELECT o_orderkey * 10 AS seq, lead(o_orderkey * 10) OVER w AS end_seq, (o_custkey % 16) * 8192 AS alloc_addr, 4096 + (o_orderkey % 5) * 1500 AS alloc_size, row_number() OVER w AS generation
@@ -222,14 +233,17 @@ live AS (SELECT DISTINCT seq, sum(x) OVER (ORDER BY seq) AS bytes FROM ev),
 peak AS (SELECT seq FROM live ORDER BY bytes DESC, seq LIMIT 1)
 SELECT 'r0' AS run_id, 'site' || alloc_addr AS site, CAST(sum(alloc_size) AS BIGINT) AS bytes, count(*) AS blocks
 FROM allocs, peak WHERE allocs.seq <= peak.seq AND (end_seq IS NULL OR end_seq > peak.seq) GROUP BY 2 ORDER BY bytes DESC, site LIMIT 5"""),
-    "a03_pair_lifetimes": (lambda s, d: allocations(s, d).select("seq", "end_seq", "alloc_addr", "alloc_size", "generation"), INGEST + "SELECT seq, end_seq, alloc_addr, alloc_size, generation FROM allocs"),
-    "a05_attribute_stores": (lambda s, d: attributed(s, d).select("seq", "addr", "alloc_addr", "generation", "offset"), INGEST + 'SELECT seq, addr, alloc_addr, generation, addr - alloc_addr AS "offset" FROM met'),
+    "a03_pair_lifetimes": (lambda s, d: allocations(s, d).select("seq", "end_seq", "alloc_addr", "alloc_size", "generation"),
+        INGEST + "SELECT seq, end_seq, alloc_addr, alloc_size, generation FROM allocs"),
+    "a05_attribute_stores": (lambda s, d: attributed(s, d).select("seq", "addr", "alloc_addr", "generation", "offset"),
+        INGEST + 'SELECT seq, addr, alloc_addr, generation, addr - alloc_addr AS "offset" FROM met'),
     "a06_unattributed_stores": (lambda s, d: traces.unattributed_stores(stores(s, d), attributed(s, d)).select("seq", "addr"), INGEST + "SELECT seq, addr FROM stores ANTI JOIN met USING (seq)"),
     "a07_classify_alignment": (lambda s, d: traces.classify_alignment(attributed(s, d)).groupBy("alloc_type").agg(F.count("*").alias("stores")), INGEST + """
 SELECT CASE WHEN by8 THEN '64bits' WHEN by4 THEN '32bits' ELSE 'object' END AS alloc_type, CAST(sum(n) AS BIGINT) AS stores
        FROM (SELECT bool_and((addr - alloc_addr) % 8 = 0) AS by8, bool_and((addr - alloc_addr) % 4 = 0) AS by4, count(*) AS n
        FROM met GROUP BY alloc_addr, generation) GROUP BY 1"""),
-    "a08_drop_unwritten": (lambda s, d: traces.drop_unwritten(allocations(s, d), attributed(s, d)).select("seq", "alloc_addr", "generation"), INGEST + "SELECT seq, alloc_addr, generation FROM allocs SEMI JOIN met USING (alloc_addr, generation)"),
+    "a08_drop_unwritten": (lambda s, d: traces.drop_unwritten(allocations(s, d), attributed(s, d)).select("seq", "alloc_addr",
+        "generation"), INGEST + "SELECT seq, alloc_addr, generation FROM allocs SEMI JOIN met USING (alloc_addr, generation)"),
     "h01_stream_attribute": (lambda s, d: streaming.run_available(streaming.stream_attribute(event_stream(s, d)), "append").select("seq", "addr", "alloc_addr", "generation", "offset", "status"), INGEST + """
 SELECT seq, addr, alloc_addr, generation, addr - alloc_addr AS "offset", CASE WHEN alloc_addr IS NULL THEN 'unattributed' ELSE 'ok' END AS status
 FROM stores LEFT JOIN met USING (seq, addr)"""),

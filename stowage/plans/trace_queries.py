@@ -44,7 +44,8 @@ def hamming(a: str, b: str) -> str:
 
 DELTA = "CASE WHEN value = prev THEN 0 ELSE length(bin(abs(value - prev))) END"
 SIGNED = "CASE alloc_type WHEN '64bits' THEN value WHEN '32bits' THEN value - CASE WHEN value >= 2147483648 THEN 4294967296 ELSE 0 END END"
-FPC = {"zero": "value = 0", **{f"sign{k}": f"({SIGNED} BETWEEN {-(1 << k - 1)} AND {(1 << k - 1) - 1}" + (" AND alloc_type = '64bits')" if k == 32 else ")") for k in (4, 8, 16, 32)}, "high_zero_low16": "(value >> 16) = 0",
+FPC = {"zero": "value = 0", **{f"sign{k}": f"({SIGNED} BETWEEN {-(1 << k - 1)} AND {(1 << k - 1) - 1}" + (" AND alloc_type = '64bits')" if k == 32 else ")") for k in (4,
+    8, 16, 32)}, "high_zero_low16": "(value >> 16) = 0",
        "repeating_byte": "hex(value) = '0' OR CASE alloc_type WHEN '64bits' THEN printf('%016x', value) = repeat(printf('%02x', value & 255), 8) ELSE printf('%08x', value) = repeat(printf('%02x', value & 255), 4) END"}
 
 

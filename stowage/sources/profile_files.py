@@ -63,4 +63,5 @@ def read_heap_points(spark: SparkSession, *paths: str) -> DataFrame:
     if not df.where("pps is null or ftbl is null").isEmpty():
         raise ValueError("a heap profile lacks its points or its frames")
     points = df.select("run", "ftbl", F.explode("pps").alias("p"))
-    return points.select("run", *(F.coalesce(f"p.{c}", F.lit(0)).alias(c) for c in POINT), decode_access_counts("p.acc").alias("acc"), F.reverse(F.transform("p.fs", lambda i: F.get("ftbl", i))).alias("fs"))
+    return points.select("run", *(F.coalesce(f"p.{c}", F.lit(0)).alias(c) for c in POINT), decode_access_counts("p.acc").alias("acc"),
+        F.reverse(F.transform("p.fs", lambda i: F.get("ftbl", i))).alias("fs"))

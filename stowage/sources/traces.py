@@ -85,7 +85,8 @@ def read_trace_log(spark: SparkSession, *paths: str) -> DataFrame:
     kind = F.when(is_head, inside).when(is_store, "STORE").when(inside != "", "FRAME")
     hexed = lambda p, i: b.from_hex(F.regexp_extract("value", p, i))
     out = lines.select(
-        "run_id", "seq", kind.alias("kind"), F.when(is_head, hexed(head, 1)).when(is_store, hexed(store, 1)).alias("addr"), F.when(is_head, F.regexp_extract("value", head, 2).try_cast("long")).alias("size"),
+        "run_id", "seq", kind.alias("kind"), F.when(is_head, hexed(head, 1)).when(is_store, hexed(store, 1)).alias("addr"), F.when(is_head,
+            F.regexp_extract("value", head, 2).try_cast("long")).alias("size"),
         F.when(is_store, hexed(store, 2)).alias("value"), F.when(kind == "FRAME", F.col("value")).alias("frame"), F.col("state.block").alias("block"), inside.alias("inside"),
     )
     return out.where("kind is not null")
@@ -93,7 +94,8 @@ def read_trace_log(spark: SparkSession, *paths: str) -> DataFrame:
 
 def assemble_stacks(events: DataFrame) -> DataFrame:
     """A2: alloc_stack of every allocation block."""
-    frames = events.where("kind = 'FRAME' and inside = 'ALLOC'").groupBy("run_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "frame"))), lambda x: x["frame"]), "\n").alias("alloc_stack"))
+    frames = events.where("kind = 'FRAME' and inside = 'ALLOC'").groupBy("run_id", "block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq",
+        "frame"))), lambda x: x["frame"]), "\n").alias("alloc_stack"))
     return frames
 
 
@@ -105,7 +107,8 @@ def pair_lifetimes(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("run_id", "addr").orderBy("seq")
     ends = events.where("kind in ('ALLOC', 'FREE')").withColumns({"end_seq": F.lead("seq").over(w)})
     allocs = ends.where("kind = 'ALLOC'").withColumn("generation", F.row_number().over(w).cast("long"))
-    return allocs.join(assemble_stacks(events), ["run_id", "block"], "left").select("run_id", "seq", "end_seq", F.col("addr").alias("alloc_addr"), F.col("size").alias("alloc_size"), "generation", F.coalesce("alloc_stack", F.lit("")).alias("alloc_stack"))
+    return allocs.join(assemble_stacks(events), ["run_id", "block"], "left").select("run_id", "seq", "end_seq", F.col("addr").alias("alloc_addr"),
+        F.col("size").alias("alloc_size"), "generation", F.coalesce("alloc_stack", F.lit("")).alias("alloc_stack"))
 
 
 def min_block_filter(allocs: DataFrame, least: int = 4096) -> DataFrame:
@@ -202,7 +205,8 @@ def ingest_log(spark: SparkSession, bench: str, *paths: str, least: int = 4096)
     events = read_trace_log(spark, *paths)
     stores = events.where("kind = 'STORE'").select("run_id", "seq", "addr", "value")
     attributed = attribute_stores(stores, min_block_filter(pair_lifetimes(events), least))
-    trace = classify_alignment(attributed).select("run_id", F.lit(bench).alias("bench"), "alloc_addr", "alloc_size", "alloc_type", "generation", "alloc_stack", "offset", "value", F.col("seq").alias("rn"))
+    trace = classify_alignment(attributed).select("run_id", F.lit(bench).alias("bench"), "alloc_addr", "alloc_size",
+        "alloc_type", "generation", "alloc_stack", "offset", "value", F.col("seq").alias("rn"))
     return trace, unattributed_stores(stores, attributed)
 
 
@@ -236,7 +240,8 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     if "rn" not in df.columns:
         df = df.select("*", F.col("_metadata.row_index").alias("rn"), run_of(spark, (path,)).alias("run_id"))
-    return df.select(*(b.from_unsigned(f.name).alias(f.name) if f.dataType.simpleString().startswith("decimal") else F.col(f.name).cast("long").alias(f.name) if f.name in ("generation", "offset", "value", "alloc_addr", "alloc_size") else F.col(f.name) for f in df.schema))
+    return df.select(*(b.from_unsigned(f.name).alias(f.name) if f.dataType.simpleString().startswith("decimal") else F.col(f.name).cast("long").alias(f.name) if f.name in ("generation",
+        "offset", "value", "alloc_addr", "alloc_size") else F.col(f.name) for f in df.schema))
 
 
 def write_trace(t: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -295,4 +300,5 @@ def parse_mem_reference_trace(spark: SparkSession, *paths: str) -> DataFrame:
     """run_id, seq, kind (I, L, S, M), addr, size."""
     p = r"^\s*([ILSM])\s+([0-9a-fA-F]+),(\d+)"
     rows = file_order(spark, *paths).where(F.col("value").rlike(p))
-    return rows.select("run_id", "seq", F.regexp_extract("value", p, 1).alias("kind"), b.from_hex(F.regexp_extract("value", p, 2)).alias("addr"), F.regexp_extract("value", p, 3).cast("long").alias("size"))
+    return rows.select("run_id", "seq", F.regexp_extract("value", p, 1).alias("kind"), b.from_hex(F.regexp_extract("value",
+        p, 2)).alias("addr"), F.regexp_extract("value", p, 3).cast("long").alias("size"))
