@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .shared import freed
 
 LONG = 64  # bytes of a word from which equal pairs are contracted together, see LONG_STEP
-CACHE = 700_000  # distinct words that a task remembers; more are encoded anew
+CACHE = 700_000  # distinct words that a worker remembers, over all its tasks; more are encoded anew
 DOCS = 1600  # texts whose new words are encoded together: every query costs its rounds, however few its words
 WORDS = 40_000  # words of one recursive query
 BYTES = 1 << 18  # bytes of its words, or one word; a query of long words has a fourth
@@ -82,7 +82,12 @@ class Codec:
         """The ids of every word, each on its own."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
         size = np.array([len(w) for w in words], np.int64)
-        for pick, step, most in (((size > 0) & (size < LONG), SHORT_STEP, BYTES), (size >= LONG, LONG_STEP, BYTES // 4)):
+        whole = self._whole(words)
+        for k, token in whole:
+            out[k] = np.array([token], np.int32)
+        rest = size > 0
+        rest[[k for k, _ in whole]] = False
+        for pick, step, most in ((rest & (size < LONG), SHORT_STEP, BYTES), (rest & (size >= LONG), LONG_STEP, BYTES // 4)):
             at = np.flatnonzero(pick)
             total = np.append(0, np.cumsum(size[at]))
             i = 0
@@ -92,6 +97,12 @@ class Codec:
                 i = j
         return out
 
+    def _whole(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """The words that are a token as they stand, as the library takes them before any merge."""
+        self._table("asked", {"w": pa.array(range(len(words)), pa.int32()), "piece": pa.array([w.hex() for w in words], pa.string())})
+        rows = self._rows("SELECT w, tok FROM asked JOIN vocabulary USING (piece)")
+        return list(zip(rows.column("w").to_pylist(), rows.column("tok").to_pylist(), strict=True))
+
     def _contract(self, names: np.ndarray, tokens: list[np.ndarray], step: str, out: list[np.ndarray]) -> None:
         """Contracts the words until no pair is left; as many rounds at a time as leave at most ROWS rows (one at least)."""
         while len(names):
@@ -127,20 +138,32 @@ class Codec:
         return out
 
 
+#: A worker's codec and what it has learned: word -> ids, word -> decoded bytes, of the rank file that it used last.
+_learned: dict[bytes, tuple[Codec, dict[str, bytes], dict[str, bytes]]] = {}
+
+
+def learned(ranks_file: bytes) -> tuple[Codec, dict[str, bytes], dict[str, bytes]]:
+    """Workers live on between tasks; a word that one task has encoded is known to the next."""
+    key = hashlib.sha256(ranks_file).digest()
+    if key not in _learned:
+        _learned.clear()
+        _learned[key] = Codec(ranks_file), {}, {}
+    return _learned[key]
+
+
 def encode_and_decode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and decoded (bytes): per row of `docs`, in no order.
 
     Each match of `pattern` is a word of its own; special tokens' strings are ordinary text. Null texts are empty: no
-    ids. Texts and words of any length are whole; equal words are encoded once per task while it remembers them. The
+    ids. Texts and words of any length are whole; equal words are encoded once per worker while it remembers them. The
     rank file is read by the driver and goes to the executors with the plan (1 MB for 50,000 tokens).
     """
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, split = Codec(shared.value), regex.compile(pattern)
-        ids: dict[str, bytes] = {}
-        text: dict[str, bytes] = {}
+        split = regex.compile(pattern)
+        codec, ids, text = learned(shared.value)
 
         def learn(words: list[str]) -> None:
             found = codec.encode([w.encode() for w in words])
