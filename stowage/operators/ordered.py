@@ -13,7 +13,7 @@ from stowage.functions import bits as b
 from stowage.functions.sites import alloc_site
 from stowage.operators.cells import BUFFER, CELL, FP, cell_counts, cells, exponent_extents, snapshot
 from stowage.operators.ranges import RANGE_BITS, previous, ranked
-from stowage.operators.stores import TYPED, buffer_feasibility, r9, top
+from stowage.operators.stores import TYPED, buffer_feasibility, per_site, r9, top
 
 
 def silent_stores(t: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
@@ -135,16 +135,12 @@ def stacks_of_buffers(t: DataFrame) -> DataFrame:
     return t.select(*BUFFER, "alloc_stack").distinct().dropDuplicates(list(BUFFER))
 
 
-def by_site(per_buffer: DataFrame, stacks: DataFrame, *aggregates: Column) -> DataFrame:
-    """Per-buffer rows -> per-site rows; stacks (of stacks_of_buffers()) are joined to buffers, never carried through a window."""
-    return per_buffer.join(stacks, list(BUFFER)).withColumn("site", alloc_site("alloc_stack")).groupBy("bench", "site").agg(*aggregates)
-
-
 def site_silent(t: DataFrame, k: int = 20, min_pairs: int = 1000, bits: int = RANGE_BITS, stacks: DataFrame | None = None) -> DataFrame:
     """Stores of all types; buffers whose stores never meet a value count with their stores. A table of cells needs the buffers' stacks beside it."""
     buffers = buffer_silent(t, keep_all=True, bits=bits)
-    sites = by_site(buffers, stacks_of_buffers(t) if stacks is None else stacks, *(F.sum(c).alias(c) for c in ("stores", "pairs", "silent")))
-    sites = top(sites.where((F.col("pairs") >= min_pairs) & (F.col("site") != "")), k, "bench", F.desc("pairs"), "site")
+    rows = buffers.join(stacks_of_buffers(t) if stacks is None else stacks, list(BUFFER))  # stacks meet buffers, and are never carried through a window
+    sites = per_site(rows, ("bench",), *(F.sum(c).alias(c) for c in ("stores", "pairs", "silent")))
+    sites = top(sites.where(F.col("pairs") >= min_pairs), k, "bench", F.desc("pairs"), "site")
     return sites.withColumn("silent_frac", r9(b.ratio("silent", "pairs")))
 
 
@@ -185,7 +181,7 @@ def outlier_channels(t: DataFrame, q: float = 0.999, k: int = 20, least: int = 1
     ids = (F.xxhash64("alloc_stack").alias("s1"), F.xxhash64(F.lit(1), "alloc_stack").alias("s2"))
     key = (*TYPED, "s1", "s2")
     rows = t.where(FP).where("value <> 0").select(*TYPED, *ids, "offset", b.magnitude("alloc_type", "value").alias("x"))
-    stacks = t.select("alloc_stack").distinct().select(*ids, alloc_site("alloc_stack").alias("site"))
+    stacks = t.select("alloc_stack").distinct().select(*ids, "alloc_stack")
     offsets = rows.groupBy(*key, "offset").agg(F.count("*").alias("m"), F.max("x").alias("most"))
     if exact:
         edges = exact_quantile(rows, key, "x", q)
@@ -199,8 +195,8 @@ def outlier_channels(t: DataFrame, q: float = 0.999, k: int = 20, least: int = 1
         F.sum("m").alias("n"), outliers.alias("n_outlier_999"), F.count("*").alias("distinct_offsets"), F.count_if(F.col("most") >= F.col("edge")).alias("outlier_offsets"),
     )
     names = ("n_outlier_999", "distinct_offsets", "outlier_offsets")
-    sites = per_stack.join(stacks, ["s1", "s2"]).groupBy(*TYPED, "site").agg(F.sum("n").alias("total"), *(F.sum(x).alias(x) for x in names))
-    sites = top(sites.where((F.col("total") >= least) & (F.col("site") != "")), k, "bench", F.desc("total"), "alloc_type", "site")
+    sites = per_site(per_stack.join(stacks, ["s1", "s2"]), TYPED, F.sum("n").alias("total"), *(F.sum(x).alias(x) for x in names))
+    sites = top(sites.where(F.col("total") >= least), k, "bench", F.desc("total"), "alloc_type", "site")
     return sites.withColumn("channel_frac", r9(b.ratio("outlier_offsets", "distinct_offsets")))
 
 
@@ -216,11 +212,11 @@ def exponent_stability(t: DataFrame, k: int = 20, least: int = 100, exact: bool
     q = (lambda p: F.percentile("range", p, m)) if exact else (lambda p: F.percentile_approx(r, p))
     sums = F.sum("m").alias("n"), F.sum(F.when(r == 0, m).otherwise(0)).alias("same"), F.sum(r * m).alias("ranges")
     each = own.groupBy(*TYPED, "alloc_stack").agg(*sums, q(0.5).alias("median"), q(0.95).alias("p95"))
-    out = each.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(
-        F.sum("n").alias("distinct_offsets"), r9(F.sum("same") / F.sum("n")).alias("frac_constant_exp"), r9(F.sum("ranges") / F.sum("n")).alias("mean_exp_range"),
+    out = per_site(
+        each, TYPED, F.sum("n").alias("distinct_offsets"), r9(F.sum("same") / F.sum("n")).alias("frac_constant_exp"), r9(F.sum("ranges") / F.sum("n")).alias("mean_exp_range"),
         r9(F.avg("median")).alias("median_exp_range"), r9(F.max("p95")).alias("p95_exp_range"),
     )
-    return top(out.where((F.col("distinct_offsets") >= least) & (F.col("site") != "")), k, "bench", F.desc("distinct_offsets"), "alloc_type", "site")
+    return top(out.where(F.col("distinct_offsets") >= least), k, "bench", F.desc("distinct_offsets"), "alloc_type", "site")
 
 
 def cacheline_homogeneity(t: DataFrame) -> DataFrame:

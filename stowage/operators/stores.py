@@ -29,6 +29,17 @@ def top(df: DataFrame, k: int, by: str | None, *order) -> DataFrame:
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
+def per_site(rows: DataFrame, key: tuple[str, ...], *aggregates: Column) -> DataFrame:
+    """Rows with alloc_stack -> aggregates per key and site, for stacks that have one.
+
+    Whether a site is empty is asked of a maximum, after the grouping: a filter on the site itself would be pushed below every aggregation,
+    into the scan, and stacks would be parsed once per store.
+    """
+    named = F.max(F.length("site")).alias("_named")
+    sites = rows.withColumn("site", alloc_site("alloc_stack")).groupBy(*key, "site").agg(*aggregates, named)
+    return sites.where("_named > 0").drop("_named")
+
+
 def summary(t: DataFrame) -> DataFrame:
     of = lambda kind: F.count_if(F.col("alloc_type") == kind)
     buffers = t.groupBy(*BUFFER).agg(F.count("*").alias("n"), of("64bits").alias("w"), of("32bits").alias("h"), of("object").alias("o"), F.count_if(F.col("value") == 0).alias("z"))
@@ -108,7 +119,7 @@ def buffer_feasibility(t: DataFrame) -> DataFrame:
 
 def site_feasibility(t: DataFrame, k: int = 20, least: int = 1000) -> DataFrame:
     by_stack = t.where(FP).groupBy(*TYPED, "alloc_stack").agg(F.count("*").alias("n"), *fit_counts())
-    sites = by_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(F.sum("n").alias("total"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in b.FORMATS)).where((F.col("total") >= least) & (F.col("site") != ""))
+    sites = per_site(by_stack, TYPED, F.sum("n").alias("total"), *(F.sum(f"n_{f}").alias(f"n_{f}") for f in b.FORMATS)).where(F.col("total") >= least)
     sites = top(sites, k, "bench", F.desc("total"), "alloc_type", "site")
     return sites.select(*TYPED, "site", "total", *(r9(b.ratio(f"n_{f}", "total")).alias(f"pct_{f}") for f in b.FORMATS))
 
@@ -134,8 +145,7 @@ def site_profile(t: DataFrame, k: int = 15) -> DataFrame:
     own = t.groupBy("alloc_stack", *BUFFER).agg(F.count("*").alias("n"), F.min("alloc_size").alias("size"), F.sum(zeros).alias("tz"), F.count(zeros).alias("k"))
     by_stack = own.groupBy("bench", "alloc_stack").agg(F.sum("n").alias("n"), F.count("*").alias("a"), F.sum(F.col("n") * F.col("size")).alias("s"), F.sum("tz").alias("tz"), F.sum("k").alias("k"))
     by_stack = by_stack.withColumn("tz", F.col("n") * F.coalesce(F.col("tz") / F.nullif("k", F.lit(0)), F.lit(0.0)))
-    sites = by_stack.groupBy("bench", alloc_site("alloc_stack").alias("site")).agg(F.sum("n").alias("stores"), F.sum("a").alias("buffers"),
-        F.sum("s").alias("s"), F.sum("tz").alias("tz")).where("site <> ''")
+    sites = per_site(by_stack, ("bench",), F.sum("n").alias("stores"), F.sum("a").alias("buffers"), F.sum("s").alias("s"), F.sum("tz").alias("tz"))
     sites = sites.withColumn("all", F.sum("stores").over(Window.partitionBy("bench")))
     sites = top(sites, k, "bench", F.desc("stores"), "site")
     return sites.select("bench", "site", "stores", r9(100 * F.col("stores") / F.col("all")).alias("pct_of_bench"), "buffers",
@@ -167,8 +177,7 @@ def site_required_exp_bits(t: DataFrame, k: int = 20, least: int = 1000) -> Data
     """Of stores that are not zero; stacks without a normal value and stores without a site are left out."""
     x = b.normal_exp("alloc_type", "value")
     by_stack = t.where(FP).where("value <> 0").groupBy(*TYPED, "alloc_stack").agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("n")).where("lo is not null")
-    sites = by_stack.groupBy(*TYPED, alloc_site("alloc_stack").alias("site")).agg(F.min("lo").alias("min_e"), F.max("hi").alias("max_e"),
-        F.sum("n").alias("total")).where((F.col("total") >= least) & (F.col("site") != ""))
+    sites = per_site(by_stack, TYPED, F.min("lo").alias("min_e"), F.max("hi").alias("max_e"), F.sum("n").alias("total")).where(F.col("total") >= least)
     sites = top(sites, k, "bench", F.desc("total"), "alloc_type", "site")
     return sites.select(*TYPED, "site", "min_e", "max_e", (F.col("max_e") - F.col("min_e") + 1).alias("exp_range"), b.required_exp_bits("min_e", "max_e").alias("required_e_bits"), "total")
 
