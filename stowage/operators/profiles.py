@@ -6,24 +6,12 @@ snapshot, time, heap, extra, stacks; heap points have a stack of frames and addi
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import bits as b
 from stowage.operators.stores import r9, top
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the folder that driver and executors share: lineage ends here."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
-    at = f"{shared}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+from stowage.sources.saved import saved
 
 
 def merge_profiles(p: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stowage.operators import profiles as p
 from stowage.plans import fixtures
 from stowage.sources import traces
+from stowage.sources.saved import saved, shared_folder
 from stowage.streaming import traces as streaming
 
 
@@ -115,7 +116,7 @@ met AS (SELECT seq, addr, arg_max(alloc_addr, alloc_seq) AS alloc_addr, arg_max(
 
 
 def attributed(spark, sf_dir):
-    return traces.attribute_stores(stores(spark, sf_dir), allocations(spark, sf_dir))
+    return traces.attribute_stores(saved(stores(spark, sf_dir), "stores"), saved(allocations(spark, sf_dir), "allocations"))
 
 
 def event_stream(spark, sf_dir):
@@ -126,7 +127,7 @@ def event_stream(spark, sf_dir):
         (4096 + (F.col("o_orderkey").cast("long") % 5) * 1500).alias("size"), F.lit(None).cast("long").alias("value"),
     )
     writes = stores(spark, sf_dir).select("run_id", "seq", F.lit("STORE").alias("kind"), "addr", F.lit(None).cast("long").alias("size"), "value")
-    at = f"{spark.conf.get('spark.checkpoint.dir')}/events-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
     blocks.unionByName(writes).write.parquet(at)
     return spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stowage.operators.profiles import decode_access_counts
+from stowage.sources.saved import shared_folder
 from stowage.sources.traces import carried, file_order, run_of
 
 
@@ -45,10 +46,7 @@ def load_cost_profiles(spark: SparkSession, at: str, *paths: str) -> DataFrame:
 
 def read_cost_profiles(spark: SparkSession, *paths: str) -> DataFrame:
     """load_cost_profiles() into the folder that the session names in spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
-    return load_cost_profiles(spark, f"{shared}/costs-{uuid.uuid4().hex}", *paths)
+    return load_cost_profiles(spark, f"{shared_folder(spark)}/costs-{uuid.uuid4().hex}", *paths)
 
 
 #: The counters of a heap point.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stowage.functions import bits as b
 from stowage.functions.sites import view_name
 from stowage.operators.ranges import RANGE_BITS, latest_of, running
+from stowage.sources.saved import saved
 
 PAGE = 12  # bits of the page by which stores meet allocations
 MANY = 64  # pages beyond which an allocation is met by coarser buckets
@@ -201,10 +202,14 @@ def drop_unwritten(allocs: DataFrame, attributed: DataFrame) -> DataFrame:
 
 
 def ingest_log(spark: SparkSession, bench: str, *paths: str, least: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """A raw log as a trace, and the stores that belong to no allocation."""
-    events = read_trace_log(spark, *paths)
+    """A raw log as a trace, and the stores that belong to no allocation.
+
+    The log is read and parsed once: its events, the allocations and the attributed stores are tables in the folder of spark.checkpoint.dir.
+    """
+    events = saved(read_trace_log(spark, *paths), "events")
     stores = events.where("kind = 'STORE'").select("run_id", "seq", "addr", "value")
-    attributed = attribute_stores(stores, min_block_filter(pair_lifetimes(events), least))
+    allocs = saved(min_block_filter(pair_lifetimes(events), least), "allocations")
+    attributed = saved(attribute_stores(stores, allocs), "attributed")
     trace = classify_alignment(attributed).select("run_id", F.lit(bench).alias("bench"), "alloc_addr", "alloc_size",
         "alloc_type", "generation", "alloc_stack", "offset", "value", F.col("seq").alias("rn"))
     return trace, unattributed_stores(stores, attributed)

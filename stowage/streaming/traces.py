@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from stowage.functions import bits as b
 from stowage.operators.cells import BUFFER
+from stowage.sources.saved import shared_folder
 
 AREA = 20  # bits of the addresses that share a key
 OFFSETS = 12  # bits of the offsets that share a key
@@ -213,10 +214,7 @@ def run_available(df: DataFrame, mode: str) -> DataFrame:
     A batch writes a folder of its own, so a batch that is run again after a failure replaces what it wrote before.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
-    at = f"{base}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={n}")
