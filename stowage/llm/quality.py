@@ -2,8 +2,10 @@
 
 Rules compare a document's ratio (symbols, repeated lines, repeated words, word length) with a cutoff. The cutoffs are
 not guessed: for each stratum a labelled holdout says how many good documents a set of cutoffs would reject together,
-and a set is allowed only if the exact (Clopper-Pearson) upper bound of that rate is at most `alpha`. All sets of cutoffs
-share `delta` (Bonferroni), so with probability 1 - delta the chosen set keeps its promise in every stratum.
+and a set is allowed only if the exact (Clopper-Pearson) upper bound of that rate is at most `alpha`. Sets are nested and
+tested in an order that is fixed before any label is seen, the first refusal ends it (fixed-sequence testing), so the sets of
+a stratum need no share of `delta` each; strata share it (Bonferroni). With probability 1 - delta the chosen sets keep their
+promise in every stratum.
 """
 
 from __future__ import annotations
@@ -105,34 +107,45 @@ def most_allowed(n: int, alpha: float, delta: float) -> int:
     return lo
 
 
+def sequence() -> list[tuple[int, ...]]:
+    """The sets of cutoffs in the order of their tests: how many of the loosest cutoffs of each rule are passed over to reach the one in force.
+
+    Rules take turns, from no rule at all, at their next smaller cutoff; a rule at its smallest is left out. Each set rejects
+    all that the one before rejects.
+    """
+    left = [len(grid) for _, _, grid in RULES.values()]
+    out = []
+    while any(left):
+        for i in range(len(left)):
+            if left[i]:
+                left[i] -= 1
+                out.append(tuple(left))
+    return out
+
+
 def calibrate(stats: DataFrame, good: str, stratum: str, alpha: float = 0.01, delta: float = 0.05) -> dict[str, dict[str, int]]:
     """stratum -> rule -> cutoff, from labelled rows: all rules of a stratum together reject at most alpha of good documents.
 
-    From no rule at all, the rules take turns at the next smaller cutoff while the set stays allowed. Only counts come to the
-    driver: per stratum, one row for each way to fail. A stratum without enough labels for any cutoff gets none, so
-    nothing of it is rejected; a null stratum is one of its own.
+    The last set of sequence() before the first one that is not allowed. Only counts come to the driver: per stratum, one row
+    for each way to fail. A stratum without enough labels for any cutoff gets none, so nothing of it is rejected; a null
+    stratum is one of its own.
     """
     levels = [sum((1000 * F.col(top) > cut * F.col(bottom)).cast("int") for cut in grid).alias(f"level_{rule}") for rule, (top, bottom, grid) in RULES.items()]
     rows = stats.where(F.col(good).isNotNull()).groupBy(stratum, *levels).agg(F.count_if(F.col(good) == 1).alias("n")).collect()
     strata: dict[str, list] = {}
     for row in rows:
         strata.setdefault(row[0], []).append(row)
-    each = delta / max(1, math.prod(len(grid) + 1 for _, _, grid in RULES.values()) * len(strata))
     chosen: dict[str, dict[str, int]] = {}
     for value, ways in strata.items():
         n = np.array([row["n"] for row in ways])
         level = np.array([[row[f"level_{rule}"] for rule in RULES] for row in ways])  # fails the so many smallest cutoffs
-        most = most_allowed(int(n.sum()), alpha, each)
-        at = np.array([len(grid) for _, _, grid in RULES.values()])  # its place in the grid; behind the end: no cutoff
-        open_rules = set(range(len(RULES)))
-        while open_rules:
-            for i in sorted(open_rules):
-                tighter = at - (np.arange(len(at)) == i)
-                if tighter[i] >= 0 and n[(level > tighter).any(1)].sum() <= most:
-                    at = tighter
-                else:
-                    open_rules.discard(i)
-        chosen[value] = {rule: grid[k] for (rule, (_, _, grid)), k in zip(RULES.items(), at.tolist(), strict=True) if k < len(grid)}
+        most = most_allowed(int(n.sum()), alpha, delta / len(strata))
+        at = tuple(len(grid) for _, _, grid in RULES.values())  # its place in the grid; behind the end: no cutoff
+        for tighter in sequence():
+            if n[(level > np.array(tighter)).any(1)].sum() > most:
+                break
+            at = tighter
+        chosen[value] = {rule: grid[k] for (rule, (_, _, grid)), k in zip(RULES.items(), at, strict=True) if k < len(grid)}
     return chosen
 
 

@@ -67,6 +67,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_lines")
 
 
+def quality_rules_alpha_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8 with a weaker promise, a tenth of good documents, for which few labels suffice: small tables get cutoffs too."""
+    from .quality import apply_rules
+
+    return apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alpha=0.1).drop("n_lines")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import removed_words
 
@@ -101,32 +108,13 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     op1_maxscore_search, op2_suffix_dedup, op3_pu_toxicity, op4_bin_slack_packing, op5_hypergeometric_sharding, op6_fuzzy_lines,
     op7_byte_bpe, op8_quality_rules, op9_substring_dedup, op10_jaccard_join, op11_merkle_manifest, op12_entropy_mixing,
-    op13_importance_resampling,
+    op13_importance_resampling, quality_rules_alpha_10,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
 
-WORDS = r"""
-WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
-words AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM docs)
-"""
-
-BYTES = "list_transform(range(1, 2 * strlen({0}) + 1, 2), lambda i: CAST('0x' || hex(encode({0}))[i : i + 1] AS BIGINT))"
-CRC32 = "xor(list_reduce(" + BYTES + ", lambda c, b: xor(c >> 8, crc_table[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295)"
-#: The table of crc32, from its polynomial.
-CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc_table)"""
-
-ORACLE_SQL: dict[str, str] = {
-    "op1_maxscore_search": """
-WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-scores AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-           FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
-""",
-    # Measures, then per language the turns by which the cutoffs are tightened while the exact binomial tail allows it.
-    "op8_quality_rules": r"""
-WITH RECURSIVE docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+# Measures, then per language the last set of cutoffs, in their fixed order, before the exact binomial tail refuses one.
+QUALITY = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
 split AS (SELECT rid, doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs),
 starts AS (SELECT rid, p, array_to_string(w[p : p + 4], ' ') AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS p FROM split WHERE len(w) >= 5)),
@@ -148,23 +136,45 @@ good AS (SELECT doc_id, min(quality) AS good FROM labels WHERE doc_id IS NOT NUL
 ways AS (SELECT lang, level, count(*) FILTER (WHERE good = 1) AS n FROM levels JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
 strata AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n, list({'level': level, 'n': n}) AS ways, count(*) OVER () AS strata FROM ways GROUP BY lang),
 tails AS (
-    SELECT lang, strata, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99))) OVER (PARTITION BY lang ORDER BY i) AS tail
-    FROM (SELECT lang, strata, n, unnest(range(0, CAST(floor(0.01 * n) AS BIGINT) + 1)) AS i FROM strata)),
-most AS (SELECT lang, coalesce(max(i) FILTER (WHERE tail <= 0.05 / (9 * 7 * 6 * 6 * strata)), -1) AS most FROM tails GROUP BY lang),
-turns AS (
-    SELECT s.lang, ways, most, 0 AS step, 1 AS i, [8, 6, 5, 5] AS cuts, [true, true, true, true] AS open
-    FROM strata s JOIN most m ON s.lang IS NOT DISTINCT FROM m.lang
-    UNION ALL
-    SELECT lang, ways, most, step + 1, i % 4 + 1, CASE WHEN fits THEN tighter ELSE cuts END, list_transform(open, lambda x, j: x AND (j <> i OR fits))
-    FROM (
-        SELECT *, open[i] AND tighter[i] >= 0 AND most >= coalesce(list_sum(list_transform(list_filter(ways, lambda x:
-                   x.level[1] > tighter[1] OR x.level[2] > tighter[2] OR x.level[3] > tighter[3] OR x.level[4] > tighter[4]), lambda x: x.n)), 0) AS fits
-        FROM (SELECT *, list_transform(cuts, lambda x, j: x - CAST(j = i AS INTEGER)) AS tighter FROM turns WHERE list_bool_or(open)))),
-chosen AS (SELECT lang, arg_max(cuts, step) AS cuts FROM turns GROUP BY lang)
+    SELECT lang, strata, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(ALPHA) + (n - i) * ln(1 - ALPHA))) OVER (PARTITION BY lang ORDER BY i) AS tail
+    FROM (SELECT lang, strata, n, unnest(range(0, CAST(floor(ALPHA * n) AS BIGINT) + 1)) AS i FROM strata)),
+most AS (SELECT lang, coalesce(max(i) FILTER (WHERE tail <= 0.05 / strata), -1) AS most FROM tails GROUP BY lang),
+steps AS (SELECT round, rule, row_number() OVER (ORDER BY round, rule) AS step
+          FROM (SELECT unnest(range(1, 9)) AS round) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS rule, unnest([8, 6, 5, 5]) AS n) WHERE round <= n),
+sets AS (SELECT 0 AS step, [8, 6, 5, 5] AS cuts UNION ALL
+         SELECT a.step, [8 - count_if(b.rule = 1), 6 - count_if(b.rule = 2), 5 - count_if(b.rule = 3), 5 - count_if(b.rule = 4)]
+         FROM steps a JOIN steps b ON b.step <= a.step GROUP BY a.step),
+tests AS (SELECT s.lang, step, cuts, most >= coalesce(list_sum(list_transform(list_filter(ways, lambda x:
+                     x.level[1] > cuts[1] OR x.level[2] > cuts[2] OR x.level[3] > cuts[3] OR x.level[4] > cuts[4]), lambda x: x.n)), 0) AS allowed
+          FROM strata s JOIN most m ON s.lang IS NOT DISTINCT FROM m.lang CROSS JOIN sets),
+chosen AS (SELECT lang, arg_max(cuts, step) AS cuts
+           FROM (SELECT *, bool_and(allowed OR step = 0) OVER (PARTITION BY lang ORDER BY step) AS reached FROM tests) WHERE reached GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(level[1] > cuts[1] OR level[2] > cuts[2] OR level[3] > cuts[3] OR level[4] > cuts[4], false) AS kept
 FROM levels d LEFT JOIN chosen c ON d.lang IS NOT DISTINCT FROM c.lang
+"""
+
+WORDS = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM docs)
+"""
+
+BYTES = "list_transform(range(1, 2 * strlen({0}) + 1, 2), lambda i: CAST('0x' || hex(encode({0}))[i : i + 1] AS BIGINT))"
+CRC32 = "xor(list_reduce(" + BYTES + ", lambda c, b: xor(c >> 8, crc_table[CAST(xor(c, b) & 255 AS BIGINT) + 1]), 4294967295), 4294967295)"
+#: The table of crc32, from its polynomial.
+CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS crc_table)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_maxscore_search": """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
 """,
+    "op8_quality_rules": QUALITY.replace("ALPHA", "0.01"),
+    "quality_rules_alpha_10": QUALITY.replace("ALPHA", "0.1"),
     # Levels of all runs, then of the run of their roots; siblings by level and place; the altered leaf climbs with its siblings.
     "op11_merkle_manifest": f"""
 WITH RECURSIVE {CRC_TABLE},

@@ -28,3 +28,29 @@ def test_sql_chooses_the_same_cutoffs(spark, tmp_path):
     assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
     assert 0 < sum(not r.kept and not r.base_failed for r in got) <= 0.02 * len(got)
     assert quality.RULES.keys() == {"symbols", "dup_lines", "repeat_words", "word_length"}
+
+
+def test_rules_reject_documents_of_the_small_tables(spark):
+    """With a promise that few labels suffice for, rows equal the SQL's and the rules, not only the base rule, reject some."""
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    want = con.sql(queries.ORACLE_SQL["quality_rules_alpha_10"])
+    got = queries.quality_rules_alpha_10(spark, folder).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+    assert 0 < sum(not r.kept and not r.base_failed for r in got) <= 0.2 * len(got)
+
+
+def test_empty_tables(spark):
+    docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.apply_rules(docs, labels).count() == 0
+    kept = quality.apply_rules(frame(spark), labels)
+    assert kept.where("kept = base_failed").count() == 0  # no labels: nothing but the base rule
+
+
+def test_sets_of_cutoffs_are_nested():
+    sets = quality.sequence()
+    assert len(sets) == sum(len(grid) for _, _, grid in quality.RULES.values())
+    assert all(sum(x) == sum(y) + 1 and all(a >= b for a, b in zip(x, y, strict=True)) for x, y in zip(sets, sets[1:], strict=False))
+    assert sets[-1] == (0, 0, 0, 0)
