@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -119,8 +120,29 @@ def attributed(spark, sf_dir):
     return traces.attribute_stores(saved(stores(spark, sf_dir), "stores"), saved(allocations(spark, sf_dir), "allocations"))
 
 
+#: Events that a micro-batch of event_stream() has, about.
+EVENTS = 1 << 23
+
+
+def in_order(spark, at):
+    """Gives the files below `at` times in the order of their names, a second apart, and says whether their file system keeps them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda: sorted(((x.getPath().getName(), x) for x in files.listStatus(folder) if x.getPath().getName().startswith("part-")), key=lambda x: x[0])
+    parts = listed()
+    began = int(time.time() - len(parts)) * 1000
+    for i, (_, part) in enumerate(parts):
+        files.setTimes(part.getPath(), began + 1000 * i, -1)
+    times = [part.getModificationTime() for _, part in listed()]
+    return all(a < b for a, b in zip(times, times[1:], strict=False))
+
+
 def event_stream(spark, sf_dir):
-    """A stream of all allocations and stores, in files of the shared folder."""
+    """A stream of all allocations and stores, in files of the shared folder.
+
+    A file has a range of seq, and a micro-batch is one file, the earlier first: what a step holds of a batch does not grow with the tables. Where a file system
+    gives files no times, all files are one batch.
+    """
     o = read(spark, sf_dir, "orders")
     blocks = o.select(
         F.lit("r0").alias("run_id"), (F.col("o_orderkey").cast("long") * 10).alias("seq"), F.lit("ALLOC").alias("kind"), ((F.col("o_custkey").cast("long") % 16) * 8192).alias("addr"),
@@ -128,8 +150,13 @@ def event_stream(spark, sf_dir):
     )
     writes = stores(spark, sf_dir).select("run_id", "seq", F.lit("STORE").alias("kind"), "addr", F.lit(None).cast("long").alias("size"), "value")
     at = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    blocks.unionByName(writes).write.parquet(at)
-    return spark.readStream.schema(spark.read.parquet(at).schema).parquet(at)
+    parts = -(-(o.count() + read(spark, sf_dir, "lineitem").count()) // EVENTS)
+    events = blocks.unionByName(writes)
+    (events.repartitionByRange(parts, "seq") if parts > 1 else events).write.parquet(at)
+    source = spark.readStream.schema(spark.read.parquet(at).schema)
+    if parts > 1 and in_order(spark, at):
+        source = source.option("maxFilesPerTrigger", 1)
+    return source.parquet(at)
 
 
 def timeline_input(spark, sf_dir):
