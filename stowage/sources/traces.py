@@ -156,9 +156,12 @@ def time_slices(allocs: DataFrame, bits: int = RANGE_BITS, size: int = SLICE) ->
 
 
 def placed(stores: DataFrame, allocs: DataFrame) -> DataFrame:
-    """Each store by its bucket: one row for each of the two kinds of bucket that the store's run has."""
+    """Each store by its bucket: one row for each of the two kinds of bucket that the store's run has.
+
+    The kinds, two rows a run at most, are broadcast: a join by run would send all stores of a run to one task.
+    """
     kinds = bucketed(allocs).select("run_id", "bits").distinct()
-    rows = stores.select("run_id", "seq", "addr", "value").join(kinds, "run_id")
+    rows = stores.select("run_id", "seq", "addr", "value").join(F.broadcast(kinds), "run_id")
     return rows.withColumn("bucket", bucket_of(F.col("addr"), F.col("bits")))
 
 

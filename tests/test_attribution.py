@@ -74,3 +74,17 @@ def test_nothing(spark):
     none = spark.createDataFrame([], ALLOCS)
     assert traces.attribute_stores(spark.createDataFrame([("r", 1, 5, 1)], STORES), none).count() == 0
     assert traces.attribute_stores(spark.createDataFrame([], STORES), none).count() == 0
+
+
+def test_stores_of_a_run_do_not_meet_in_one_task(spark):
+    """The kinds of buckets of a run come to the stores, whatever size Spark takes them to have."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        rows = traces.placed(spark.createDataFrame([("r", 5, 8192, 1)], STORES), spark.createDataFrame([("r", 1, None, 8192, 64, 1, "")], ALLOCS))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [tuple(r) for r in rows.collect()] == [("r", 5, 8192, 1, 12, 2)]
+    finally:
+        spark.conf.set(name, before)
