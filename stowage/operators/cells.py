@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import bits as b
-from stowage.operators.ranges import RANGE_BITS
+from stowage.operators.ranges import RANGE_BITS, dealt
 
 BUFFER = ("run_id", "bench", "alloc_addr", "generation")
 CELL = (*BUFFER, "offset")
@@ -24,13 +24,14 @@ def is_cells(t: DataFrame) -> bool:
 def ordered_cells(t: DataFrame, bits: int = RANGE_BITS) -> DataFrame:
     """Every column of cells(): a cell's stores in the order of rn (ties by value), in ranges of 2**bits of rn.
 
-    A range is one row, with its first and last value; then the few ranges of a cell meet, and the first store of a range has
+    Tasks take some million stores each. A range is one row, with its first and last value; then the few ranges of a cell meet, and the first store of a range has
     the last value of the range before it as its predecessor. So a cell that holds most stores of a trace is many tasks' work, and
     no cell is treated in another way because of its size.
     """
     order = F.struct("rn", "value")
     x = b.normal_exp("alloc_type", "value")
     rows = t.select(*CELL, "alloc_type", "alloc_size", "value", "rn", F.shiftright("rn", bits).alias("_range"))
+    rows = dealt(rows, "run_id", "offset", "_range")  # columns that are constants would have Spark deal them anew
     rows = rows.withColumn("_prev", F.lag("value").over(Window.partitionBy(*CELL, "_range").orderBy("rn", "value")))
     ranges = rows.groupBy(*CELL, "_range").agg(
         F.min("alloc_type").alias("alloc_type"), F.min("alloc_size").alias("alloc_size"), F.count("*").alias("writes"),

@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 #: Ranges are 2**RANGE_BITS long in the first column of the order.
 RANGE_BITS = 20
+#: Rows that a task of dealt() orders, about.
+ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, *key: str) -> DataFrame:
+    """`df` dealt by `key` to so many tasks that each orders some ROWS rows, if the session's number of partitions is smaller than that.
+
+    So what a task holds does not grow with the table. Keys have to be small, as ranges and blocks are. The rows are counted first, which costs Parquet
+    tables a look at their footers.
+    """
+    tasks = -(-df.count() // ROWS)
+    return df.repartition(tasks, *key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def before(*key: str) -> Window:
