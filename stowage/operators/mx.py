@@ -7,10 +7,11 @@ range [emin, emax]. The arithmetic is on integers throughout: shifts, rounding a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.functions import bits as b
+from stowage.operators.ranges import dealt
 
 ONE = lambda x: F.lit(x).cast("long")
 FLOATS = {4: (8, 23, 127), 8: (11, 52, 1023)}  # bytes: bits of exponent and mantissa, bias
@@ -26,21 +27,26 @@ def shr(x: Column, n: Column) -> Column:
 
 
 def block_scales(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits", esz: int = 4, emax: int = 8, scale_bits: int = 8, block: int = 32) -> DataFrame:
-    """`df` with the parts of its floats, the shared exponent of their blocks, block_nan and scale_clamped; none of it depends on the mantissa's width."""
+    """`df` with the parts of its floats, the shared exponent of their blocks, block_nan and scale_clamped; none of it depends on the mantissa's width.
+
+    Elements go through one shuffle to their blocks, in tasks of some million elements; `_first` marks one element of each block.
+    """
     width, mant, bias = FLOATS[esz]
     special = (1 << width) - 1
     limit = (1 << (scale_bits - 1)) - 1
     v = F.col(bits)
+    df = dealt(df.withColumn("_block", F.floor(F.col(idx) / block)), *key, "_block")
+    of_block = Window.partitionBy(*key, "_block").orderBy(idx)
+    whole = of_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     df = df.withColumns({
-        "_e": F.shiftrightunsigned(v, mant).bitwiseAND(ONE(special)), "_m": v.bitwiseAND(ONE((1 << mant) - 1)), "_sign": v.bitwiseAND(ONE(1 << 31 if esz == 4 else b.FLIP)), "_block": F.floor(F.col(idx) / block)
+        "_e": F.shiftrightunsigned(v, mant).bitwiseAND(ONE(special)), "_m": v.bitwiseAND(ONE((1 << mant) - 1)), "_sign": v.bitwiseAND(ONE(1 << 31 if esz == 4 else b.FLIP))
     })
     e, m = F.col("_e"), F.col("_m")
     finite = (e < special) & ((e > 0) | (m > 0))
     # |v| = sig * 2**unit, sig an integer; lead = floor(log2 |v|), subnormals too
     df = df.withColumns({"_sig": F.when(e > 0, m.bitwiseOR(ONE(1 << mant))).otherwise(m), "_unit": F.greatest(e, ONE(1)) - bias - mant})
     df = df.withColumn("_lead", F.when(finite, F.length(F.bin("_sig")).cast("long") - 1 + F.col("_unit")))
-    blocks = df.groupBy(*key, "_block").agg(F.max("_lead").alias("_top"), F.max((F.col("_e") == special).cast("int")).alias("_bad"))
-    df = df.join(blocks, [*key, "_block"])
+    df = df.withColumns({"_top": F.max("_lead").over(whole), "_bad": F.max((F.col("_e") == special).cast("int")).over(whole), "_first": F.row_number().over(of_block) == 1})
     shared = F.col("_top") - emax
     return df.withColumns({"block_nan": (F.col("_bad") == 1) | F.coalesce(shared > limit, F.lit(False)), "scale_clamped": F.coalesce(shared < -limit,
         F.lit(False)), "_shared": F.greatest(shared, ONE(-limit))})
@@ -96,7 +102,14 @@ def mx_round(df: DataFrame, key: list[str], idx: str = "idx", bits: str = "bits"
 
 
 def mx_summary(rounded: DataFrame, key: list[str], by: list[str], idx: str = "idx", block: int = 32) -> DataFrame:
-    """Counters per group: stores, values changed, flushed and saturated, blocks, blocks made NaN, scales clamped."""
+    """Counters per group: stores, values changed, flushed and saturated, blocks, blocks made NaN, scales clamped.
+
+    Where `rounded` has block_first (an element of each block), it stands for its block, and blocks need no grouping of their own.
+    """
+    if "block_first" in rounded.columns:
+        first = F.col("block_first")
+        return rounded.groupBy(*by).agg(F.count("*").alias("stores"), *(F.count_if(F.col(c)).alias(f"values_{c}") for c in ("changed", "flushed", "saturated")),
+            F.count_if(first).alias("blocks"), F.count_if(first & F.col("block_nan")).alias("blocks_nan"), F.count_if(first & F.col("scale_clamped")).alias("scales_clamped"))
     blocks = rounded.groupBy(*dict.fromkeys([*by, *key]), F.floor(F.col(idx) / block).alias("_b")).agg(F.count("*").alias("n"),
         *(F.sum(F.col(c).cast("long")).alias(c) for c in ("changed", "flushed", "saturated")), F.max(F.col("block_nan").cast("long")).alias("nan"),
         F.max(F.col("scale_clamped").cast("long")).alias("low"))
@@ -108,4 +121,6 @@ def mantissa_sweep(df: DataFrame, key: list[str], by: list[str], widths: tuple[i
     """Counters for every mantissa width; the input is read, and its blocks' scales are found, once for all widths."""
     scales = {k: v for k, v in options.items() if k in ("idx", "bits", "esz", "emax", "scale_bits", "block")}
     rows = block_scales(df, key, **scales).withColumn("mbits", F.explode(F.array(*map(F.lit, widths))))
+    if set(by) <= set(key):  # a block is in one group
+        rows = rows.withColumn("block_first", F.col("_first"))
     return mx_summary(mx_round(rows, key, mbits=F.col("mbits").cast("long"), **options), key, [*by, "mbits"])
