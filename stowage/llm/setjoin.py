@@ -87,7 +87,15 @@ def describe(units: DataFrame, size: int) -> DataFrame:
 
 
 def unit_sets(rows: pa.RecordBatch, size: int) -> Sets:
-    return Sets(*scan.text_buffer(rows.column("text")), size)
+    """The sets of a whole unit, made a block at a time: what it takes to make them is several times the text."""
+    parts = [Sets(raw, offsets, size) for _, raw, offsets in scan.blocks(rows, "text")]
+    if len(parts) == 1:
+        return parts[0]
+    out = Sets.__new__(Sets)
+    out.n = np.concatenate([np.zeros(0, np.int64), *(s.n for s in parts)])
+    out.values = np.concatenate([np.zeros(0, scan.U), *(s.values for s in parts)])
+    out.doc, out.bounds = np.repeat(np.arange(len(out.n)), out.n), np.append(0, np.cumsum(out.n))
+    return out
 
 
 def level(count: np.ndarray) -> np.ndarray:
